@@ -116,12 +116,29 @@ def knapsack(values: np.ndarray, sizes: np.ndarray, width: int) -> tuple[float,
     return float(best[width]), counts
 
 
+def greedy_basis(sizes: np.ndarray, demand: np.ndarray, width: int) -> np.ndarray:
+    """First patterns, one a size: as many of it as fit, topped up with smaller sizes of which enough is left."""
+    left = demand.astype(float).copy()
+    patterns = np.zeros((len(sizes), len(sizes)), np.int64)
+    for k in range(len(sizes) - 1, -1, -1):
+        patterns[k, k] = width // sizes[k]
+        times = left[k] / patterns[k, k]
+        room = width - int(patterns[k, k] * sizes[k])
+        left[k] = 0
+        for j in range(k - 1, -1, -1):
+            while sizes[j] <= room and left[j] >= times > 0:
+                patterns[k, j] += 1
+                left[j] -= times
+                room -= int(sizes[j])
+    return patterns
+
+
 def column_generation(sizes: np.ndarray, demand: np.ndarray, width: int, gap: float = 5e-4, rounds: int = 3000) -> tuple[np.ndarray, np.ndarray]:
     """Basis patterns (rows) and how often each is used in the linear program: meet the demand with fewest sequences."""
     m = len(sizes)
-    patterns = np.diag(width // sizes).astype(np.int64)
-    inverse = np.diag(1.0 / np.diag(patterns))
-    level = inverse @ demand
+    patterns = greedy_basis(sizes, demand, width)
+    inverse = np.linalg.inv(patterns.T.astype(float))
+    level = np.maximum(inverse @ demand, 0)
     bound = 0.0
     for _ in range(rounds):
         prices = inverse.sum(0)
