@@ -46,34 +46,53 @@ def targets(sizes: DataFrame, epochs: int = 3, weights: int = 3) -> DataFrame:
     return filled.select("source", "source_size", F.least(F.col("cap").cast("double"), F.col("_level") * F.col("weight")).alias("target"))
 
 
-def mix(docs: DataFrame, seed: int = 17, epochs: int = 3) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies and taken, one row per input row."""
-    sizes = docs.select("doc_id", "source", F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
-    sizes = written(sizes.withColumn("_u", seeded(F.col("doc_id"), seed)), "mixing")
-    goal = targets(sizes, epochs)
-    bin_of = F.shiftright(F.col("_u"), 40)  # the upper 12 of 52 bits
+def _sized(docs: DataFrame, seed: int, *carried: str) -> DataFrame:
+    size = F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
+    drawn = seeded(F.col("doc_id"), seed)
+    own = docs.select(*(F.col(c).alias(f"_in_{c}") for c in carried), "doc_id", "source", size.alias("size"), drawn.alias("_u"))
+    return own.withColumn("_bin", F.shiftright(F.col("_u"), 40))  # the upper 12 of 52 bits
 
+
+def _source_plan(sizes: DataFrame, epochs: int) -> DataFrame:
+    """How often each source is taken whole, the words left to sample, and the bin in which they run out."""
+    goal = targets(sizes, epochs)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     goal = goal.withColumn("_whole", whole).withColumn("_rest", F.col("target") - F.col("_whole") * F.col("source_size"))
-
-    # The bin of each source in which the running size passes the rest, from at most BINS sums a source.
-    sums = sizes.groupBy("source", bin_of.alias("_bin")).agg(F.sum("size").alias("_sum"))
+    # From at most BINS sums a source.
+    sums = sizes.groupBy("source", "_bin").agg(F.sum("size").alias("_sum"))
     running = F.sum("_sum").over(Window.partitionBy("source").orderBy("_bin"))
     bins = sums.withColumn("_end", running).withColumnRenamed("source", "_s")
     bins = bins.join(goal.select(F.col("source").alias("_g"), "_rest"), F.col("_s").eqNullSafe(F.col("_g")))
     edge = bins.where(F.col("_end") > F.col("_rest")).groupBy("_s").agg(F.min(F.struct("_bin", (F.col("_end") - F.col("_sum")).alias("start"))).alias("_edge"))
-    plan = goal.join(edge, F.col("source").eqNullSafe(F.col("_s")), "left").select(F.col("source").alias("_p"), "source_size", "target", "_whole", "_rest", F.col("_edge._bin").alias("_cut"), F.col("_edge.start").alias("_start"))
+    return goal.join(edge, F.col("source").eqNullSafe(F.col("_s")), "left").select(F.col("source").alias("_p"), "source_size", "target", "_whole", "_rest", F.col("_edge._bin").alias("_cut"), F.col("_edge.start").alias("_start"))
 
-    told = sizes.join(plan, F.col("source").eqNullSafe(F.col("_p")), "left").withColumn("_bin", bin_of)
+
+def _copied(rows: DataFrame, plan: DataFrame, epochs: int) -> DataFrame:
+    """`rows` with `copies`, by a plan of one row per source."""
+    told = rows.join(plan, F.col("source").eqNullSafe(F.col("_p")), "left")
     at_edge = F.coalesce(F.col("_bin") == F.col("_cut"), F.lit(False))
     clear = told.where(~at_edge).withColumn("_extra", F.coalesce(F.col("_bin") < F.col("_cut"), F.lit(True)).cast("long"))
     # Only the documents of one bin in 4096 of a source need an order.
     order = Window.partitionBy("source").orderBy("_u", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     ahead = F.col("_start") + F.coalesce(F.sum("size").over(order), F.lit(0))
     tight = told.where(at_edge).withColumn("_extra", (ahead + F.col("size") / 2 <= F.col("_rest")).cast("long"))
-    both = clear.unionByName(tight)
-    copies = F.least(F.col("_whole") + F.col("_extra"), F.lit(epochs)).cast("long")
-    return both.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return clear.unionByName(tight).withColumn("copies", F.least(F.col("_whole") + F.col("_extra"), F.lit(epochs)).cast("long"))
+
+
+def mix(docs: DataFrame, seed: int = 17, epochs: int = 3) -> DataFrame:
+    """doc_id, source, size, source_size, target, copies and taken, one row per input row."""
+    sizes = written(_sized(docs, seed), "mixing")
+    plan = written(_source_plan(sizes, epochs), "mixing-plan")
+    rows = _copied(sizes, plan, epochs)
+    return rows.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def mixture(docs: DataFrame, seed: int = 17, epochs: int = 3) -> DataFrame:
+    """The input's rows, each as often as `mix` takes it; texts are not shuffled but for those of one bin a source."""
+    plan = written(_source_plan(written(_sized(docs, seed), "mixing"), epochs), "mixing-plan")
+    rows = _copied(_sized(docs, seed, *docs.columns), plan, epochs).where("copies > 0")
+    rows = rows.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    return rows.select(*(F.col(f"_in_{c}").alias(c) for c in docs.columns))
 
 
 MIX_SQL = r"""

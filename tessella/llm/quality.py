@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tessella.llm.stage import written
 from tessella.llm.textblock import SPACE, Block, blocks, counts_by_text, mix, span_hash, window_hash
@@ -135,11 +135,23 @@ def host_verdicts(failures: DataFrame, host: str, failed: list[str], max_rate: f
     return both.withColumn("host_bad", bad).drop("all_n", "all_nn", "hosts", *(f"all_{f}" for f in failed), *(f"sq_{f}" for f in failed))
 
 
+def base_rules() -> Column:
+    """True for rows of statistics that fail the base rules."""
+    return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
+
+
+def accepted(docs: DataFrame, max_rate: float = 0.5, z: float = 1.645) -> DataFrame:
+    """The input's rows that `judge` keeps, with the input's columns; texts are not shuffled."""
+    stats = text_stats(docs, "text", "source").select("source", base_rules().alias("base_failed"))
+    hosts = written(host_verdicts(stats, "source", ["base_failed"], max_rate, z).where("host_bad").select("host"), "hosts")
+    rows = text_stats(docs, "text", *docs.columns).where(~base_rules())
+    return rows.join(hosts, rows["source"].eqNullSafe(hosts["host"]), "left_anti").select(*docs.columns)
+
+
 def judge(docs: DataFrame, max_rate: float = 0.5, z: float = 1.645) -> DataFrame:
     """doc_id, the statistics, base_failed, the host's verdict and kept, one row per input row."""
     stats = text_stats(docs, "text", "doc_id", "source")
-    base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    stats = written(stats.withColumn("base_failed", base), "quality")
+    stats = written(stats.withColumn("base_failed", base_rules()), "quality")
     hosts = host_verdicts(stats, "source", ["base_failed"], max_rate, z).select("host", "host_bad")
     joined = stats.join(hosts, stats["source"].eqNullSafe(hosts["host"]), "left")
     kept = ~F.col("base_failed") & ~F.coalesce(F.col("host_bad"), F.lit(False))

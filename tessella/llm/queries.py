@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm import ann, html, langid, lm, mixing, packing, quality, suffix, urls
+from tessella.llm import ann, html, jaccard, langid, lm, mixing, packing, quality, suffix, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,11 +44,15 @@ def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(_table(spark, sf_dir, "pages"))
 
 
+def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(_table(spark, sf_dir, "documents"))
+
+
 def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(_table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_array_dedup, op2_html_extraction, op3_language_id, op4_quality_rules, op5_mixing, op6_packing, op7_lm_scoring, op8_url_filters, op10_nearest_neighbours)}
+QUERIES = {f.__name__: f for f in (op1_suffix_array_dedup, op2_html_extraction, op3_language_id, op4_quality_rules, op5_mixing, op6_packing, op7_lm_scoring, op8_url_filters, op9_ngram_jaccard_join, op10_nearest_neighbours)}
 
 ORACLE_SQL = {
     "op4_quality_rules": quality.JUDGE_SQL,
