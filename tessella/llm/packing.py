@@ -133,12 +133,23 @@ def greedy_basis(sizes: np.ndarray, demand: np.ndarray, width: int) -> np.ndarra
     return patterns
 
 
+def inverse_of_triangle(lower: np.ndarray) -> np.ndarray:
+    """Inverse of a lower triangular matrix by forward substitution; small, and free of threaded libraries."""
+    n = len(lower)
+    out = np.zeros((n, n))
+    for k in range(n):
+        out[k] = -np.einsum("j,ji->i", lower[k, :k].astype(float), out[:k])
+        out[k, k] += 1
+        out[k] /= lower[k, k]
+    return out
+
+
 def column_generation(sizes: np.ndarray, demand: np.ndarray, width: int, gap: float = 5e-4, rounds: int = 3000) -> tuple[np.ndarray, np.ndarray]:
     """Basis patterns (rows) and how often each is used in the linear program: meet the demand with fewest sequences."""
     m = len(sizes)
     patterns = greedy_basis(sizes, demand, width)
-    inverse = np.linalg.inv(patterns.T.astype(float))
-    level = np.maximum(inverse @ demand, 0)
+    inverse = inverse_of_triangle(patterns).T.copy()
+    level = np.maximum(np.einsum("ij,j->i", inverse, demand), 0)
     bound = 0.0
     for _ in range(rounds):
         prices = inverse.sum(0)
@@ -146,7 +157,7 @@ def column_generation(sizes: np.ndarray, demand: np.ndarray, width: int, gap: fl
         bound = max(bound, float(level.sum()) / max(worth, 1.0))
         if worth <= 1 + 1e-9 or level.sum() <= bound * (1 + gap):
             break
-        way = inverse @ column
+        way = np.einsum("ij,j->i", inverse, column.astype(float))
         rising = way > 1e-9
         ratio = np.full(m, np.inf)
         ratio[rising] = level[rising] / way[rising]
@@ -157,7 +168,7 @@ def column_generation(sizes: np.ndarray, demand: np.ndarray, width: int, gap: fl
         level -= step * way
         level[k] = step
         pivot = inverse[k] / way[k]
-        inverse -= np.outer(way, pivot)
+        inverse -= way[:, None] * pivot[None, :]
         inverse[k] = pivot
         patterns[k] = column
     return patterns, np.maximum(level, 0)
