@@ -32,6 +32,7 @@ from tessella.llm.textblock import LOWER, Block, blocks, mix, span_hash, window_
 WIDTH = 5
 PERCENT = 75
 PIVOT_ROUNDS = 2
+PIVOTS = 3
 #: Elements that one bucket of the first pass holds, about.
 BUCKET = 1_000_000
 
@@ -258,8 +259,12 @@ def components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, roun
 
     labels = written(members.select("id", F.col("id").alias("comp")), "labels")
     for r in range(rounds):
-        pivot = lists.groupBy("w").agg(F.min(F.struct(F.xxhash64("g", F.lit(r)).alias("_r"), "g", "n")).alias("_p"))
-        met = lists.join(pivot, "w").where((100 * F.least("n", "_p.n") >= percent * F.greatest("n", "_p.n"))).select(F.col("_p.g").alias("a"), "g").distinct()
+        # Several pivots a list, the same for lists of the same groups, so that few pairs arise.
+        ranked = [F.min(F.struct(F.xxhash64("g", F.lit(PIVOTS * r + k)).alias("_r"), "g", "n", "left")).alias(f"_p{k}") for k in range(PIVOTS)]
+        pivot = lists.groupBy("w").agg(*ranked).select("w", F.array_distinct(F.array(*(F.struct(f"_p{k}.g", f"_p{k}.n", f"_p{k}.left") for k in range(PIVOTS)))).alias("_ps"))
+        met = lists.join(pivot, "w").select("g", "n", "left", F.explode("_ps").alias("_p"))
+        fits = (100 * F.least("n", "_p.n") >= percent * F.greatest("n", "_p.n")) & ((100 + percent) * F.least("left", "_p.left") >= percent * (F.col("n") + F.col("_p.n")))
+        met = met.where(fits).select(F.col("_p.g").alias("a"), "g").distinct()
         told_members = members.join(labels, "id").select("g", F.col("id").alias("b"), F.col("comp").alias("cb"))
         pairs = met.join(told_members, "g").join(labels.select(F.col("id").alias("a"), F.col("comp").alias("ca")), "a").where("a <> b and ca <> cb")
         labels = written(contract(_links(pairs.select("a", "b", "ca", "cb"), sets, percent), labels), "labels")
@@ -271,10 +276,11 @@ def components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, roun
     minor = apart.where("comp <> _major").select("w", F.col("id").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("na"), F.col("left").alias("la"))
     other = apart.select("w", F.col("id").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb"), F.col("left").alias("lb"), (F.col("comp") == F.col("_major")).alias("_big"))
     sizes = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
-    # An overlap of o links sets of na and nb if 100 o >= percent (na + nb - o); no more than what follows the meeting place can overlap, unless they met before.
-    pairs = minor.join(other, "w").where((F.col("ca") != F.col("cb")) & sizes & (F.col("_big") | (F.col("a") < F.col("b"))))
-    pairs = pairs.groupBy("a", "b", "ca", "cb").agg(F.max(F.least("la", "lb")).alias("_most"), F.min("na").alias("na"), F.min("nb").alias("nb"))
-    pairs = pairs.where((100 + percent) * F.col("_most") >= percent * (F.col("na") + F.col("nb"))).select("a", "b", "ca", "cb")
+    # An overlap of o links sets of na and nb if 100 o >= percent (na + nb - o). Where two sets first meet, they can
+    # share no more than what stands from there on in either; a pair that fails there fails at every later place.
+    room = (100 + percent) * F.least("la", "lb") >= percent * (F.col("na") + F.col("nb"))
+    pairs = minor.join(other, (minor["w"] == other["w"]) & (F.col("ca") != F.col("cb")) & sizes & room & (F.col("_big") | (F.col("a") < F.col("b"))))
+    pairs = pairs.select("a", "b", "ca", "cb").distinct()
     labels = written(contract(_links(pairs, sets, percent), labels), "labels")
 
     named = reps.join(labels, "id", "left").select("s1", "s2", F.col("n").alias("_n"), "first", F.coalesce("comp", "id").alias("comp"))
