@@ -244,8 +244,9 @@ def _(spark, d):
 
 @register("c01_agglomerative")
 def _(spark, d):
-    points = table(spark, d, "embeddings").where("vec_id < 2000000").select("vec_id", "label", F.pmod("vec_id", F.greatest(F.lit(1), F.lit(50))).alias("part"), F.transform(F.slice("embedding", 1, 4), lambda x: x.cast("double")).alias("v"))
-    grouped = points.select(F.col("vec_id").alias("id"), (F.col("label") * 50 + F.col("part")).alias("g"), "v")
+    # Blocks of consecutive ids within a class, so that no group grows with the table.
+    block = F.concat_ws("-", F.col("label").cast("string"), F.floor(F.col("vec_id") / 500).cast("string"))
+    grouped = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), block.alias("g"), F.transform(F.slice("embedding", 1, 4), lambda x: x.cast("double")).alias("v"))
     return learning.agglomerate(grouped, "g")
 
 
