@@ -60,31 +60,30 @@ def page_blocks(page: str) -> tuple[list[str], list[int], bool]:
     lengths: list[int] = []
     own: list[bool] = []
     parts: list[str] = []
-    linked = 0
+    loose: list[str] = []  # of the parts, those outside links
     links = 0
     heading = False
     # Each open holder: its name, whether text in it is beside the main text, whether in an article, whether in comments.
     stack: list[tuple[str, bool, bool, bool]] = [("", False, False, False)]
 
     def close() -> None:
-        nonlocal linked
         if parts:
             text = " ".join(_html.unescape("".join(parts)).split())
+            free = len(text) if len(loose) == len(parts) else len(" ".join(_html.unescape("".join(loose)).split()))
             if text:
                 name, beside, article, talk = stack[-1]
                 if beside and name == "header" and heading and len(stack) > 1 and stack[-2][2] and not talk:
                     beside = False
                 texts.append(text)
-                lengths.append(0 if beside else max(len(text) - linked, 1 if article or linked < len(text) else 0))
+                lengths.append(0 if beside else max(free, 1) if article else free)
                 own.append(article and not beside)
-            parts.clear()
-        linked = 0
+        parts.clear()
+        loose.clear()
 
     def add(text: str) -> None:
-        nonlocal linked
         parts.append(text)
-        if links:
-            linked += len(text)
+        if not links:
+            loose.append(text)
 
     at, end = 0, len(page)
     while at < end:
