@@ -20,16 +20,13 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+def written(df: DataFrame, name: str) -> DataFrame:
     """Write `df` once and read it back: cuts lineage, and outlives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tessella/{name}-{uuid.uuid4().hex}"
-    writer = df.write
-    if by:
-        writer = writer.partitionBy(by)
-    writer.parquet(path)
+    df.write.parquet(path)
     _made.append((spark, path))
-    return spark.read.schema(spark.read.parquet(path).schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def forget() -> None:
