@@ -107,3 +107,16 @@ def inverted(c: Column, top: float) -> Column:
 
 def threshold(c: Column, low: float, high: float, inside: float, outside: float) -> Column:
     return F.when(c.between(low, high), F.lit(inside)).otherwise(F.lit(outside))
+
+
+def plane_angle(u: list[Column], v: list[Column], p: list[Column], q: list[Column]) -> Column:
+    """Degrees between the plane of u and v and that of p and q."""
+    return angle(normal(u, v), normal(p, q))
+
+
+def k_smallest(values: Column, k: int) -> Column:
+    return F.slice(F.array_sort(values), 1, k)
+
+
+def k_largest(values: Column, k: int) -> Column:
+    return F.slice(F.sort_array(values, asc=False), 1, k)

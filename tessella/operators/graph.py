@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
-def _kept(df: DataFrame) -> DataFrame:
+def kept(df: DataFrame) -> DataFrame:
     """Written once to the session's shared folder and read back, so that lineage stays short."""
     spark = df.sparkSession
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
@@ -17,39 +18,43 @@ def _kept(df: DataFrame) -> DataFrame:
         spark.conf.set("spark.checkpoint.dir", root)
     path = f"{root.rstrip('/')}/graph/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(spark.read.parquet(path).schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     """id and component (its smallest id) of every vertex, by contracting each vertex into its smallest neighbour."""
-    labels = _kept(vertices.select("id", F.col("id").alias("component")))
-    left = _kept(edges.select(F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b")).where("a <> b").distinct())
+    labels = kept(vertices.select("id", F.col("id").alias("component")))
+    left = kept(edges.select(F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b")).where("a <> b").distinct())
     while not left.isEmpty():
         near = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy("a").agg(F.min("b").alias("b"))
-        down = _kept(near.select(F.col("a").alias("v"), F.least("a", "b").alias("to")))
-        jump = _kept(down.alias("x").join(down.alias("y"), F.col("x.to") == F.col("y.v"), "left").select(F.col("x.v").alias("v"), F.coalesce("y.to", "x.to").alias("to")))
+        down = kept(near.select(F.col("a").alias("v"), F.least("a", "b").alias("to")))
+        jump = kept(down.alias("x").join(down.alias("y"), F.col("x.to") == F.col("y.v"), "left").select(F.col("x.v").alias("v"), F.coalesce("y.to", "x.to").alias("to")))
         a, b = jump.toDF("a", "_a"), jump.toDF("b", "_b")
-        left = _kept(left.join(a, "a").join(b, "b").select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")).where("a <> b").distinct())
-        labels = _kept(labels.join(jump, F.col("component") == F.col("v"), "left").select("id", F.coalesce("to", "component").alias("component")))
+        left = kept(left.join(a, "a").join(b, "b").select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")).where("a <> b").distinct())
+        labels = kept(labels.join(jump, F.col("component") == F.col("v"), "left").select("id", F.coalesce("to", "component").alias("component")))
     return labels
 
 
 def spanning_forest(vertices: DataFrame, edges: DataFrame) -> DataFrame:
-    """Minimum spanning forest by Boruvka: in each round every component takes its lightest edge out, ties by ends."""
-    labels = vertices.select("id", F.col("id").alias("component"))
-    unique = edges.groupBy(F.least("source", "target").alias("source"), F.greatest("source", "target").alias("target")).agg(F.min("distance").alias("distance")).where("source <> target")
-    unique = _kept(unique)
-    taken = None
-    while True:
-        at = labels.select(F.col("id").alias("source"), F.col("component").alias("_a"))
-        to = labels.select(F.col("id").alias("target"), F.col("component").alias("_b"))
-        out = unique.join(at, "source").join(to, "target").where("_a <> _b")
-        both = out.select(F.col("_a").alias("_c"), F.struct("distance", "source", "target").alias("_e")).unionByName(out.select(F.col("_b").alias("_c"), F.struct("distance", "source", "target").alias("_e")))
-        best = _kept(both.groupBy("_c").agg(F.min("_e").alias("_e")).select("_e.*").distinct())
-        if best.isEmpty():
-            return (taken if taken is not None else unique.limit(0)).select("source", "target", "distance")
-        taken = best if taken is None else _kept(taken.unionByName(best))
-        labels = components(vertices, taken)
+    """Minimum spanning forest by Boruvka: in each round every component takes its lightest edge out, ties by ends.
+
+    Edges carry the components of their ends and are dropped once these are one, so rounds shrink by half at least.
+    """
+    ends = ["source", "target"]
+    unique = edges.groupBy(F.least(*ends).alias("source"), F.greatest(*ends).alias("target")).agg(F.min("distance").alias("distance")).where("source <> target")
+    out = kept(unique.select(F.col("source").alias("_a"), F.col("target").alias("_b"), F.struct("distance", "source", "target").alias("_e")))
+    taken = []
+    while not out.isEmpty():
+        best = kept(out.select(F.col("_a").alias("_c"), "_a", "_b", "_e").unionByName(out.select(F.col("_b").alias("_c"), "_a", "_b", "_e")).groupBy("_c").agg(F.min(F.struct("_e", "_a", "_b")).alias("_m")).select("_m.*").distinct())
+        taken.append(best.select("_e.source", "_e.target", "_e.distance"))
+        both = best.select(F.explode(F.array("_a", "_b")).alias("id")).distinct()
+        place = components(both, best.select(F.col("_a").alias("source"), F.col("_b").alias("target")))
+        at, to = place.toDF("_a", "_na"), place.toDF("_b", "_nb")
+        moved = out.join(at, "_a", "left").join(to, "_b", "left").select(F.coalesce("_na", "_a").alias("_a"), F.coalesce("_nb", "_b").alias("_b"), "_e")
+        out = kept(moved.where("_a <> _b"))
+    if not taken:
+        return unique.limit(0)
+    return reduce(DataFrame.unionByName, taken)
 
 
 def hops(edges: DataFrame, start: Column | int, most: int) -> DataFrame:
@@ -59,10 +64,10 @@ def hops(edges: DataFrame, start: Column | int, most: int) -> DataFrame:
     front = seen
     for k in range(1, most + 1):
         step = both.join(front.select(F.col("id").alias("source")), "source").select(F.col("target").alias("id")).distinct()
-        front = _kept(step.join(seen, "id", "left_anti").withColumn("hops", F.lit(k)))
+        front = kept(step.join(seen, "id", "left_anti").withColumn("hops", F.lit(k)))
         if front.isEmpty():
             break
-        seen = _kept(seen.unionByName(front))
+        seen = kept(seen.unionByName(front))
     return seen
 
 
@@ -79,10 +84,10 @@ def forest_depths(nodes: DataFrame) -> DataFrame:
     Pointer jumping: each round doubles the steps that a node's pointer spans, so a chain of n nodes takes log n rounds.
     """
     rooted = F.col("parent").isNull() | (F.col("parent") < 0)
-    ptr = _kept(nodes.select("id", F.when(rooted, F.col("id")).otherwise(F.col("parent")).alias("up"), F.when(rooted, F.lit(0)).otherwise(F.lit(1)).cast("long").alias("depth")))
+    ptr = kept(nodes.select("id", F.when(rooted, F.col("id")).otherwise(F.col("parent")).alias("up"), F.when(rooted, F.lit(0)).otherwise(F.lit(1)).cast("long").alias("depth")))
     while True:
         above = ptr.select(F.col("id").alias("up"), F.col("up").alias("_up"), F.col("depth").alias("_depth"))
-        far = _kept(ptr.join(above, "up", "left").select("id", F.coalesce("_up", "up").alias("up"), (F.col("depth") + F.coalesce("_depth", F.lit(0))).alias("depth"), (F.coalesce("_up", F.col("up")) != F.col("up")).alias("_moved")))
+        far = kept(ptr.join(above, "up", "left").select("id", F.coalesce("_up", "up").alias("up"), (F.col("depth") + F.coalesce("_depth", F.lit(0))).alias("depth"), (F.coalesce("_up", F.col("up")) != F.col("up")).alias("_moved")))
         if far.where("_moved").isEmpty():
             return far.select("id", F.col("up").alias("root"), "depth")
         ptr = far.drop("_moved")
@@ -147,19 +152,94 @@ def bifurcations(nodes: DataFrame) -> DataFrame:
     )
 
 
+def subtree(nodes: DataFrame, value: Column, how: str = "sum") -> DataFrame:
+    """id and `value`, summed (or the largest) over each node and all nodes below it.
+
+    A node's pointer spans twice the steps after each round, and it hands its own result on to where it points:
+    that covers exactly the nodes one reach farther down, so a chain of n nodes takes log n rounds.
+    """
+    pick = {"sum": F.sum, "max": F.max}[how]
+    state = kept(nodes.select("id", F.when(F.col("parent") >= 0, F.col("parent")).alias("up"), value.alias("value")))
+    while not (moving := state.where("up is not null")).isEmpty():
+        handed = moving.groupBy(F.col("up").alias("id")).agg(pick("value").alias("_more"))
+        above = state.select(F.col("id").alias("up"), F.col("up").alias("_up"))
+        merged = F.col("value") + F.coalesce("_more", F.lit(0)) if how == "sum" else F.greatest("value", "_more")
+        state = kept(state.join(handed, "id", "left").join(above, "up", "left").select("id", F.col("_up").alias("up"), merged.alias("value")))
+    return state.select("id", "value")
+
+
 def leaf_counts(nodes: DataFrame) -> DataFrame:
-    """Leaves at or below every node: each leaf climbs by doubling pointers, so it meets every ancestor once."""
-    inner = nodes.where("parent >= 0").select(F.col("parent").alias("id")).distinct()
-    leaves = nodes.join(inner, "id", "left_anti").select(F.col("id").alias("leaf"))
-    up = nodes.where("parent >= 0").select("id", "parent")
-    reached = _kept(leaves.select("leaf", F.col("leaf").alias("at")))
-    front = reached
-    while True:
-        front = _kept(front.join(up, F.col("at") == F.col("id")).select("leaf", F.col("parent").alias("at")))
-        if front.isEmpty():
-            break
-        reached = reached.unionByName(front)
-    return reached.groupBy(F.col("at").alias("id")).agg(F.count(F.lit(1)).alias("leaves"))
+    """Leaves at or below every node."""
+    inner = nodes.where("parent >= 0").select(F.col("parent").alias("id")).distinct().withColumn("_inner", F.lit(1))
+    told = nodes.select("id", "parent").join(inner, "id", "left")
+    return subtree(told, F.col("_inner").isNull().cast("long")).withColumnRenamed("value", "leaves")
+
+
+def backbone(nodes: DataFrame) -> DataFrame:
+    """root and id of the nodes on the longest path of each tree, by steps; ties go to smaller ids.
+
+    The path turns at the node whose two deepest branches reach farthest together, and follows in both of them
+    the deepest child.
+    """
+    place = kept(forest_depths(nodes))
+    deepest = subtree(nodes.select("id", "parent").join(place, "id"), F.col("depth"), "max").withColumnRenamed("value", "_deepest")
+    tall = kept(nodes.select("id", "parent").join(place, "id").join(deepest, "id").withColumn("height", F.col("_deepest") - F.col("depth")).drop("_deepest"))
+    kids = tall.where("parent >= 0").select("parent", "id", F.struct("height", (-F.col("id")).alias("_i")).alias("_s"))
+    first = kids.groupBy("parent").agg(F.max("_s").alias("_1"))
+    rest = kids.join(first, "parent").where(F.col("_s._i") != F.col("_1._i"))
+    second = rest.groupBy("parent").agg(F.max("_s").alias("_2"))
+    best = first.join(second, "parent", "left").select(F.col("parent").alias("id"), (-F.col("_1._i")).alias("one"), (-F.col("_2._i")).alias("two"), (F.col("_1.height") + 1 + F.coalesce(F.col("_2.height") + 1, F.lit(0))).alias("span"))
+    told = kept(tall.join(best, "id", "left"))
+    apex = kept(told.groupBy("root").agg(F.max(F.struct(F.coalesce("span", F.lit(0)).alias("span"), (-F.col("id")).alias("_i"), "one", "two")).alias("_a")).select("root", (-F.col("_a._i")).alias("apex"), "_a.one", "_a.two"))
+    favourite = told.where("one is not null").select(F.col("id").alias("parent"), F.col("one").alias("_one"))
+    cut = told.join(favourite, "parent", "left").join(apex.select(F.col("apex").alias("parent"), F.lit(True).alias("_top")), "parent", "left")
+    chains = forest_depths(cut.select("id", F.when((F.col("_one") == F.col("id")) & F.col("_top").isNull(), F.col("parent")).otherwise(F.lit(-1)).alias("parent")))
+    tops = apex.select("root", F.explode(F.array("one", "two")).alias("_chain")).where("_chain is not null")
+    along = chains.select("id", F.col("root").alias("_chain")).join(tops, "_chain").select("root", "id")
+    return along.unionByName(apex.select("root", F.col("apex").alias("id")))
+
+
+def chords(vertices: DataFrame, edges: DataFrame) -> DataFrame:
+    """Edges outside the minimum spanning forest: each closes one independent cycle."""
+    unique = edges.groupBy(F.least("source", "target").alias("source"), F.greatest("source", "target").alias("target")).agg(F.min("distance").alias("distance")).where("source <> target")
+    return unique.join(spanning_forest(vertices, edges).select("source", "target"), ["source", "target"], "left_anti")
+
+
+def cycle_rank(vertices: DataFrame, edges: DataFrame) -> DataFrame:
+    """component, vertices, edges and number of independent cycles; a component is a tree if that is 0."""
+    place = components(vertices, edges)
+    unique = edges.select(F.least("source", "target").alias("source"), F.greatest("source", "target").alias("target")).where("source <> target").distinct()
+    lines = unique.join(place.select(F.col("id").alias("source"), "component"), "source").groupBy("component").agg(F.count(F.lit(1)).alias("edges"))
+    sizes = place.groupBy("component").agg(F.count(F.lit(1)).alias("vertices"))
+    told = sizes.join(lines, "component", "left").withColumn("edges", F.coalesce("edges", F.lit(0)))
+    return told.withColumn("cycles", F.col("edges") - F.col("vertices") + 1)
+
+
+def subgraph(edges: DataFrame, ids: DataFrame) -> DataFrame:
+    """Edges between the chosen ids."""
+    return edges.join(ids.select(F.col("id").alias("source")), "source", "left_semi").join(ids.select(F.col("id").alias("target")), "target", "left_semi").select(*edges.columns)
+
+
+def colouring(vertices: DataFrame, edges: DataFrame) -> DataFrame:
+    """id and colour (from 1), neighbours different: in each round all vertices whose hash beats those of their uncoloured neighbours take the smallest free colour."""
+    both = edges.select("source", "target").unionByName(edges.select(F.col("target").alias("source"), F.col("source").alias("target"))).where("source <> target").distinct()
+    rank = F.struct(F.xxhash64("id").alias("h"), "id")
+    done, open_ = None, kept(vertices.select("id", rank.alias("rank")))
+    both = kept(both)
+    while not open_.isEmpty():
+        near = both.join(open_.select(F.col("id").alias("target"), F.col("rank").alias("_r")), "target").groupBy(F.col("source").alias("id")).agg(F.max("_r").alias("_r"))
+        free = open_.join(near, "id", "left").where(F.col("_r").isNull() | (F.col("rank") > F.col("_r"))).select("id")
+        if done is None:
+            fresh = free.withColumn("colour", F.lit(1))
+        else:
+            # As many colours at most as there are in use.
+            taken = both.join(free.select(F.col("id").alias("source")), "source").join(done.select(F.col("id").alias("target"), "colour"), "target").groupBy(F.col("source").alias("id")).agg(F.collect_set("colour").alias("_c"))
+            smallest = F.array_min(F.array_except(F.sequence(F.lit(1), F.size("_c") + 1), F.col("_c")))
+            fresh = free.join(taken, "id", "left").select("id", F.when(F.col("_c").isNull(), F.lit(1)).otherwise(smallest).alias("colour"))
+        fresh = kept(fresh)
+        done = fresh if done is None else kept(done.unionByName(fresh))
+        open_ = kept(open_.join(fresh.select("id"), "id", "left_anti"))
+    return done if done is not None else vertices.select("id", F.lit(1).alias("colour"))
 
 
 def reroot(nodes: DataFrame, tree_root: int, new_root: int) -> DataFrame:
@@ -171,15 +251,14 @@ def reroot(nodes: DataFrame, tree_root: int, new_root: int) -> DataFrame:
 
 
 def hops_up(nodes: DataFrame, start: int) -> DataFrame:
-    """id and parent of the nodes from `start` up to its root."""
+    """id and parent of the nodes from `start` up to its root; the way doubles in each round."""
     up = nodes.select("id", "parent")
-    seen = _kept(up.where(F.col("id") == start))
-    front = seen
-    while True:
-        front = _kept(up.join(front.select(F.col("parent").alias("id")), "id"))
-        if front.isEmpty():
-            return seen
-        seen = _kept(seen.unionByName(front))
+    jump = kept(up.where("parent >= 0").select("id", F.col("parent").alias("far")))
+    seen = kept(up.where(F.col("id") == start).select("id"))
+    while not (more := kept(seen.join(jump, "id").select(F.col("far").alias("id")))).isEmpty():
+        seen = kept(seen.unionByName(more))
+        jump = kept(jump.join(jump.select(F.col("id").alias("far"), F.col("far").alias("_far")), "far").select("id", F.col("_far").alias("far")))
+    return up.join(seen, "id", "left_semi")
 
 
 def gaps(ends: DataFrame, max_gap: float) -> DataFrame:

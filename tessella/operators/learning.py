@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tessella.functions.scalar import euclidean, softmax
+from tessella.operators.graph import forest_depths
 
 
 def features(table: DataFrame, columns: list[str], key: str = "id") -> DataFrame:
@@ -216,3 +217,54 @@ def edge_accuracy(edges: DataFrame, tags: DataFrame, scope: int) -> DataFrame:
     a, b = (tags.select(F.col("id").alias(end), F.col("class").alias(f"{end}_class"), F.col("tag").alias(f"{end}_tag")) for end in ("source", "target"))
     told = edges.join(a, "source").join(b, "target").where("source_class <> target_class")
     return told.groupBy(F.col("source_class").alias("class")).agg(F.avg((F.abs(F.col("source_tag") - F.col("target_tag")) <= scope).cast("double")).alias("right_share"))
+
+
+def _tree_of_mergers(mergers: DataFrame, group: str) -> DataFrame:
+    """Mergers with `_n`, the number of points of the group, and `_base`, from which its nodes are numbered uniquely."""
+    sizes = mergers.groupBy(group).agg((F.max("step") + 2).cast("long").alias("_n"))
+    before = F.sum(2 * F.col("_n")).over(Window.orderBy(group).rowsBetween(Window.unboundedPreceding, -1))  # one row a group
+    return mergers.join(sizes.withColumn("_base", F.coalesce(before, F.lit(0))), group)
+
+
+def cut_mergers(mergers: DataFrame, group: str, clusters: int) -> DataFrame:
+    """group, member (its rank by id in the group) and cluster (its smallest member) after all but the last mergers, so that `clusters` remain."""
+    told = _tree_of_mergers(mergers, group).where(F.col("step") < F.col("_n") - clusters)
+    everyone = _tree_of_mergers(mergers, group).select(group, "_n", "_base").distinct().select(group, "_n", "_base", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)).alias("member"))
+    up = told.select((F.col("_base") + F.col("_n") + F.col("step")).alias("parent"), F.explode(F.array(F.col("_base") + F.col("first"), F.col("_base") + F.col("second"))).alias("id"))
+    inner = told.select((F.col("_base") + F.col("_n") + F.col("step")).alias("id"))
+    nodes = everyone.select((F.col("_base") + F.col("member")).alias("id")).unionByName(inner).join(up, "id", "left").select("id", F.coalesce("parent", F.lit(-1)).cast("long").alias("parent"))
+    found = everyone.join(forest_depths(nodes).select((F.col("id")).alias("_id"), "root"), F.col("_id") == F.col("_base") + F.col("member"))
+    least = found.groupBy(group, "root").agg(F.min("member").alias("cluster"))
+    return found.join(least, [group, "root"]).select(group, "member", "cluster")
+
+
+def elbow(mergers: DataFrame, group: str) -> DataFrame:
+    """group and the number of clusters before the merger whose distance rises most over the one before."""
+    order = Window.partitionBy(group).orderBy("step")
+    told = mergers.withColumns({"_rise": F.col("distance") - F.lag("distance").over(order), "_n": F.max("step").over(Window.partitionBy(group)) + 2})
+    best = told.where("_rise is not null").groupBy(group).agg(F.max(F.struct("_rise", "step")).alias("_b"), F.max("_n").alias("_n"))
+    return best.select(group, (F.col("_n") - F.col("_b.step")).cast("long").alias("clusters"), F.col("_b._rise").alias("rise"))
+
+
+def batch_query(probabilities: DataFrame, k: int) -> DataFrame:
+    """The k rows to ask labels for: smallest gap between the two likeliest classes, ties to the smaller id."""
+    return margins(probabilities).orderBy(F.col("score").desc(), "id").limit(k)
+
+
+def model_table(spark: SparkSession, mean: list[float], sd: list[float], weights: list[list[float]]) -> DataFrame:
+    """A classifier as rows: 0 the deviations, 1 the means, from 2 on each class's weights; the first value of a row is the bias."""
+    rows = [[0.0, *sd], [0.0, *mean], *weights]
+    return spark.createDataFrame([(k, [float(x) for x in r]) for k, r in enumerate(rows)], "row int, weights array<double>")
+
+
+def from_model_table(model: DataFrame) -> tuple[list[float], list[float], list[list[float]]]:
+    """Mean, deviations and weights for `classify`."""
+    rows = [r["weights"] for r in model.orderBy("row").collect()]  # one a class, and two
+    return rows[1][1:], rows[0][1:], rows[2:]
+
+
+def with_training(stored: DataFrame | None, rows: DataFrame, key: str = "id") -> DataFrame:
+    """A training set with the given rows in place of those of the same key, or added."""
+    if stored is None:
+        return rows
+    return stored.join(rows.select(key), key, "left_anti").unionByName(rows, allowMissingColumns=True)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tessella.operators.graph import kept
+
 AXES = ("x", "y", "z")
 
 
@@ -57,11 +59,11 @@ def nearest(sources: DataFrame, targets: DataFrame, k: int, cell: float | None =
         ranked = pairs.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
         if last:
             return ranked if out is None else out.unionByName(ranked)
-        done = ranked.groupBy("source").agg(F.count(F.lit(1)).alias("_n"), F.max("distance").alias("_d")).where((F.col("_n") == k) & (F.col("_d") <= size)).select("source")
-        done = done.persist()
-        settled = ranked.join(done, "source", "left_semi")
+        whole = Window.partitionBy("source")
+        sure = ranked.withColumns({"_n": F.count(F.lit(1)).over(whole), "_d": F.max("distance").over(whole)})
+        settled = kept(sure.where((F.col("_n") == k) & (F.col("_d") <= size)).drop("_n", "_d"))
         out = settled if out is None else out.unionByName(settled)
-        open_ = open_.join(done.withColumnRenamed("source", "id"), "id", "left_anti")
+        open_ = kept(open_.join(settled.select(F.col("source").alias("id")).distinct(), "id", "left_anti"))
         if open_.isEmpty():
             return out
         size *= 2
@@ -112,3 +114,65 @@ def box_overlap(a: DataFrame, b: DataFrame, on: str, axes: list[str]) -> DataFra
     for s in sides:
         hit, size = hit & (s > 0), size * s
     return x.join(y, cond & hit & (F.col("a.id") < F.col("b.id"))).select(F.col("a.id").alias("id_1"), F.col("b.id").alias("id_2"), size.alias("overlap"))
+
+
+def voronoi(cells: DataFrame, seeds: DataFrame) -> DataFrame:
+    """Each cell (id, x, y, z) with its nearest seed and the distance; ids of cells and seeds are of different kinds, so equal ones may meet."""
+    moved = seeds.select((-F.col("id") - 1).alias("id"), *AXES)
+    return nearest(cells.select("id", *AXES), moved, 1).select(F.col("source").alias("id"), (-F.col("target") - 1).alias("seed"), "distance")
+
+
+def density(points: DataFrame, k: int = 5) -> DataFrame:
+    """Adaptive Gaussian density: each point's kernel is as wide as its k-th neighbour is far, and sums its k neighbours; null where they coincide."""
+    edges = nearest(points, points, k)
+    wide = edges.groupBy("source").agg(F.max("distance").alias("width"), F.collect_list("distance").alias("_d"))  # k a point
+    weight = F.aggregate("_d", F.lit(0.0), lambda s, d: s + F.exp(-d * d / (2 * F.col("width") * F.col("width"))))
+    return wide.select(F.col("source").alias("id"), "width", F.when(F.col("width") > 0, weight / F.pow("width", F.lit(3.0))).alias("density"))
+
+
+def transformed(points: DataFrame, matrix: list[list[float]]) -> DataFrame:
+    """Points moved by an affine 3 x 4 matrix."""
+    moved = {c: sum((F.col(a) * float(w) for a, w in zip(AXES, row[:3], strict=True)), F.lit(float(row[3]))) for c, row in zip(AXES, matrix, strict=True)}
+    return points.select(*(moved[c].alias(c) if c in moved else F.col(c) for c in points.columns))
+
+
+def _times(a: Column, b: Column) -> Column:
+    """Product of 3 x 4 affine matrices held as arrays of 12."""
+    out = []
+    for i in range(3):
+        for j in range(4):
+            cell = sum((F.element_at(a, 4 * i + k + 1) * F.element_at(b, 4 * k + j + 1) for k in range(3)), F.element_at(a, 4 * i + 4) if j == 3 else F.lit(0.0))
+            out.append(cell)
+    return F.array(*out)
+
+
+def to_anchor(pairs: DataFrame, anchor: int, most: int = 64) -> DataFrame:
+    """image, matrix and steps: every image's transform to the anchor, composed along shortest ways of pairwise ones.
+
+    `pairs` has (source, target, matrix): an affine array of 12, row by row, from source to target. Among ways of
+    equal steps the one over the smallest image counts. Images that no way reaches within `most` steps are left out.
+    """
+    one = F.array(*(F.lit(1.0 if i == j else 0.0) for i in range(3) for j in range(4)))
+    seen = pairs.sparkSession.range(1).select(F.lit(anchor).cast(pairs.schema["source"].dataType).alias("image"), one.alias("matrix"), F.lit(0).alias("steps"))
+    front = seen
+    for k in range(1, most + 1):
+        reached = pairs.select("source", "target", F.col("matrix").alias("_m")).join(front.select(F.col("image").alias("target"), "matrix"), "target")
+        fresh = reached.join(seen.select(F.col("image").alias("source")), "source", "left_anti")
+        best = fresh.groupBy(F.col("source").alias("image")).agg(F.min_by(F.struct("matrix", "_m"), "target").alias("_p"))
+        front = kept(best.select("image", _times(F.col("_p.matrix"), F.col("_p._m")).alias("matrix"), F.lit(k).alias("steps")))
+        if front.isEmpty():
+            break
+        seen = kept(seen.unionByName(front))
+    return seen
+
+
+def attach(table: DataFrame, values: DataFrame, key: str = "id", default: float = 0.0) -> DataFrame:
+    """Rows with the other table's columns by key; the default where it has none."""
+    new = [c for c in values.columns if c != key]
+    return table.join(values, key, "left").withColumns({c: F.coalesce(c, F.lit(default)) for c in new})
+
+
+def nearest_of_class(points: DataFrame, of: int, reach: float) -> DataFrame:
+    """Distance of every point to the nearest point of a class, null beyond the reach."""
+    pairs = within_radius(points, points.where(F.col("class") == of), reach)
+    return points.select("id").join(pairs.groupBy(F.col("source").alias("id")).agg(F.min("distance").alias("distance")), "id", "left")

@@ -89,3 +89,42 @@ def emd(table: DataFrame, value: str, side: str, bins: int = 20) -> DataFrame:
 def approximate_share_lookup(table: DataFrame, column: str, threshold: float) -> DataFrame:
     """Share of rows at or above a positive threshold."""
     return table.agg(F.avg(((F.col(column) >= threshold) & (F.col(column) > 0)).cast("double")).alias("share"))
+
+
+def share_threshold(table: DataFrame, column: str, share: float) -> DataFrame:
+    """The value that the given share of the positive rows reaches or exceeds."""
+    return table.where(F.col(column) > 0).agg(F.percentile(column, F.lit(1.0 - share)).alias("threshold"))
+
+
+def interval_histogram(table: DataFrame, column: str, edges: list[float]) -> DataFrame:
+    """Counts between given rising edges, each bin closed below and the last one above too; rows outside are left out."""
+    place = sum((F.col(column) >= e).cast("int") for e in edges) - 1
+    last = len(edges) - 2
+    binned = table.where(F.col(column).between(edges[0], edges[-1])).select(F.least(place, F.lit(last)).alias("bin"))
+    return binned.groupBy("bin").agg(F.count(F.lit(1)).alias("n"))
+
+
+def correlations(table: DataFrame, columns: list[str]) -> DataFrame:
+    """feature_1, feature_2 and Pearson's r of every pair of columns, from one aggregation."""
+    pairs = [(a, b) for k, a in enumerate(columns) for b in columns[k + 1 :]]
+    row = table.agg(*(F.corr(a, b).alias(f"r{k}") for k, (a, b) in enumerate(pairs)))
+    told = F.array(*(F.struct(F.lit(a).alias("feature_1"), F.lit(b).alias("feature_2"), F.col(f"r{k}").alias("r")) for k, (a, b) in enumerate(pairs)))
+    return row.select(F.explode(told).alias("_p")).select("_p.*")
+
+
+def feature_modules(table: DataFrame, columns: list[str], least: float = 0.7) -> DataFrame:
+    """feature and module: the two modules whose mean scaled features correlate most are joined until none reaches `least`.
+
+    A module's mean has covariances that are sums over its members' correlations, so the table is read once.
+    """
+    found = {(r["feature_1"], r["feature_2"]): r["r"] or 0.0 for r in correlations(table, columns).collect()}  # one row a pair of columns
+    r = lambda a, b: 1.0 if a == b else found.get((a, b), found.get((b, a), 0.0))
+    modules = [[c] for c in columns]
+    inner = lambda p, q: sum(r(a, b) for a in p for b in q)
+    while len(modules) > 1:
+        score = lambda i, j: inner(modules[i], modules[j]) / max(1e-12, (inner(modules[i], modules[i]) * inner(modules[j], modules[j])) ** 0.5)
+        best, i, j = max((score(i, j), i, j) for i in range(len(modules)) for j in range(i + 1, len(modules)))
+        if best < least:
+            break
+        modules[i] = modules[i] + modules.pop(j)
+    return table.sparkSession.createDataFrame([(c, k) for k, m in enumerate(modules) for c in m], "feature string, module int")

@@ -111,3 +111,94 @@ def overlap_percent(voxels: DataFrame, target: str = "value") -> DataFrame:
     """Share of voxels inside any object whose target value is positive, in percent."""
     inside = voxels.where("label > 0")
     return inside.agg((100.0 * F.avg((F.col(target) > 0).cast("double"))).alias("percent"))
+
+
+def gradients(voxels: DataFrame) -> DataFrame:
+    """Mean gradient magnitude, by central differences, over the boundary and the inner voxels of every object; 0 without inner voxels.
+
+    A difference over the image's edge counts as 0.
+    """
+    own = voxels.where("label <> 0")
+    moves = F.array(*(F.struct(F.lit(a).alias("axis"), F.lit(s).alias("side"), *(F.lit(s if c == a else 0).alias(c) for c in ("z", "y", "x"))) for a in ("z", "y", "x") for s in (-1, 1)))
+    asked = own.select("t", "label", F.col("z").alias("oz"), F.col("y").alias("oy"), F.col("x").alias("ox"), F.explode(moves).alias("m"))
+    asked = asked.select("t", "label", "oz", "oy", "ox", "m.axis", "m.side", *((F.col(f"o{c}") + F.col(f"m.{c}")).alias(c) for c in ("z", "y", "x")))
+    there = voxels.select("t", "z", "y", "x", F.col("label").alias("near"), F.col("value").cast("double").alias("v"))
+    told = asked.join(there, ["t", "z", "y", "x"], "left")
+    edge = F.max((F.col("near").isNull() | (F.col("near") != F.col("label"))).cast("int"))
+    per = told.groupBy("label", "t", "oz", "oy", "ox").agg(edge.alias("edge"), *((F.sum(F.when(F.col("axis") == a, F.col("side") * F.col("v"))) / 2).alias(f"g{a}") for a in ("z", "y", "x")), *(F.count(F.when((F.col("axis") == a) & F.col("v").isNotNull(), 1)).alias(f"n{a}") for a in ("z", "y", "x")))
+    part = {a: F.when(F.col(f"n{a}") == 2, F.col(f"g{a}")).otherwise(F.lit(0.0)) for a in ("z", "y", "x")}
+    size = F.sqrt(sum(p * p for p in part.values()))
+    per = per.select("label", "edge", size.alias("g"))
+    mean = lambda e: F.coalesce(F.avg(F.when(F.col("edge") == e, F.col("g"))), F.lit(0.0))
+    return per.groupBy("label").agg(mean(1).alias("surface_gradient"), mean(0).alias("interior_gradient"))
+
+
+def split_by_seeds(voxels: DataFrame, label: int, seeds: list[tuple[float, float, float]]) -> DataFrame:
+    """An object's voxels go to the nearest seed (x, y, z), ties to the first; the first seed's part keeps the label, the others get the next free ones."""
+    free = voxels.agg(F.max("label").alias("_free"))
+    told = voxels.crossJoin(F.broadcast(free))  # one row
+    near = F.array_min(F.array(*(F.struct(sum((F.col(c) - v) * (F.col(c) - v) for c, v in zip("xyz", s, strict=True)).alias("d"), F.lit(k).alias("k")) for k, s in enumerate(seeds))))["k"]
+    fresh = F.when(F.col("label") != label, F.col("label")).when(near == 0, F.lit(label)).otherwise(F.col("_free") + near)
+    return told.withColumn("label", fresh.cast(voxels.schema["label"].dataType)).select(*voxels.columns)
+
+
+def split_along_z(voxels: DataFrame, label: int, at: int) -> DataFrame:
+    """An object's voxels from plane `at` on get the next free label."""
+    free = voxels.agg((F.max("label") + 1).alias("_free"))
+    told = voxels.crossJoin(F.broadcast(free))  # one row
+    moved = (F.col("label") == label) & (F.col("z") >= at)
+    return told.withColumn("label", F.when(moved, F.col("_free")).otherwise(F.col("label")).cast(voxels.schema["label"].dataType)).select(*voxels.columns)
+
+
+def roi_statistics(voxels: DataFrame, x: float, y: float, radius: float) -> DataFrame:
+    """Per time and channel: n, min, max, mean, sd and variance of the voxels in a circle of the plane, in every z."""
+    inside = (F.col("x") - x) * (F.col("x") - x) + (F.col("y") - y) * (F.col("y") - y) <= radius * radius
+    v = F.col("value").cast("double")
+    return voxels.where(inside).groupBy("t", "ch").agg(F.count(F.lit(1)).alias("n"), F.min(v).alias("low"), F.max(v).alias("high"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("sigma"), F.var_samp(v).alias("variance"))
+
+
+def touching_border(voxels: DataFrame, shape: tuple[int, int, int]) -> DataFrame:
+    """Labels with a voxel on the border in y or x of an image of shape (z, y, x); to drop in tiles that overlap."""
+    _, height, width = shape
+    edge = (F.col("y") == 0) | (F.col("y") == height - 1) | (F.col("x") == 0) | (F.col("x") == width - 1)
+    return voxels.where((F.col("label") != 0) & edge).select("label").distinct()
+
+
+def neighbourhood(voxels: DataFrame, kind: str, radius: int = 1) -> DataFrame:
+    """Values replaced by the mean, median, min or max over the cube of `radius` about each voxel, as far as the image reaches."""
+    pick = {"mean": F.avg, "median": F.median, "min": F.min, "max": F.max}[kind]
+    moved = voxels.select("t", "ch", "z", "y", "x", F.col("value").cast("double").alias("v"))
+    for c in ("z", "y", "x"):
+        moved = moved.withColumn(c, F.explode(F.sequence(F.col(c) - radius, F.col(c) + radius)))
+    spread = moved.groupBy("t", "ch", "z", "y", "x").agg(pick("v").alias("value"))
+    return voxels.drop("value").join(spread, ["t", "ch", "z", "y", "x"]).select(*voxels.columns)
+
+
+def otsu(voxels: DataFrame) -> DataFrame:
+    """The value that splits all values into two classes of largest variance between; at or below it is the lower class. Windows run over one row a value."""
+    counts = voxels.groupBy(F.col("value").cast("double").alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    order, whole = Window.orderBy("value"), Window.partitionBy()
+    told = counts.select("value", F.sum("n").over(order).alias("w"), F.sum(F.col("n") * F.col("value")).over(order).alias("s"), F.sum("n").over(whole).alias("all_n"), F.sum(F.col("n") * F.col("value")).over(whole).alias("all_s"))
+    rest = F.col("all_n") - F.col("w")
+    gap = F.col("s") / F.col("w") - (F.col("all_s") - F.col("s")) / rest
+    score = F.when(rest > 0, F.col("w") * rest * gap * gap).otherwise(F.lit(0.0))
+    return told.select("value", score.alias("_v")).agg(F.max(F.struct("_v", (-F.col("value")).alias("_n"))).alias("_b")).select((-F.col("_b._n")).alias("threshold"))
+
+
+def shell_association(voxels: DataFrame, target: DataFrame, reach: int, mode: str, threshold: float = 0.0) -> DataFrame:
+    """MIN, MAX, TOTAL or AVERAGE of target voxels (t, z, y, x, value) that lie outside an object but within `reach` of it.
+
+    The distance is that to the object's nearest voxel; only boundary voxels spread, so the work follows the
+    surface and the ball of the reach. TOTAL and AVERAGE count values of `threshold` or more; an empty shell gives 0.
+    """
+    near = _neighbours(voxels.where("label <> 0"))
+    surface = near.where(F.col("near").isNull() | (F.col("near") != F.col("label"))).select("label", "t", F.col("oz").alias("z"), F.col("oy").alias("y"), F.col("ox").alias("x")).distinct()
+    ball = [(dz, dy, dx) for dz in range(-reach, reach + 1) for dy in range(-reach, reach + 1) for dx in range(-reach, reach + 1) if 0 < dz * dz + dy * dy + dx * dx <= reach * reach]
+    moves = F.array(*(F.struct(F.lit(z).alias("z"), F.lit(y).alias("y"), F.lit(x).alias("x")) for z, y, x in ball))
+    spread = surface.withColumn("m", F.explode(moves)).select("label", "t", *((F.col(c) + F.col(f"m.{c}")).alias(c) for c in ("z", "y", "x"))).distinct()
+    outside = spread.join(voxels.where("label <> 0").select("label", "t", "z", "y", "x"), ["label", "t", "z", "y", "x"], "left_anti")
+    pairs = outside.join(target.select("t", "z", "y", "x", "value"), ["t", "z", "y", "x"])
+    counted = F.when(F.col("value") >= threshold, F.col("value"))
+    made = {"MIN": F.min("value"), "MAX": F.max("value"), "TOTAL": F.sum(counted), "AVERAGE": F.avg(counted)}[mode]
+    measured = pairs.groupBy("label").agg(made.cast("double").alias("measure"))
+    return voxels.where("label <> 0").select("label").distinct().join(measured, "label", "left").select("label", F.coalesce("measure", F.lit(0.0)).alias("measure"))

@@ -1,5 +1,5 @@
 """Imports every module that registers queries."""
 
-from tessella.plans import object_queries, structure_queries
+from tessella.plans import object_queries, structure_queries, trace_queries
 
-__all__ = ["object_queries", "structure_queries"]
+__all__ = ["object_queries", "structure_queries", "trace_queries"]

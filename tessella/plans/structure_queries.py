@@ -133,10 +133,10 @@ def _(spark, d):
     return graph.bifurcations(tree(spark, d))
 
 
-@register("g06_progression_path", "with recursive e as (select n_nationkey as s, (n_nationkey * 3 + 1) % 25 as t from nation union select (n_nationkey * 3 + 1) % 25, n_nationkey from nation), a as (select 0 as id, 0 as h union select e.t, a.h + 1 from a join e on e.s = a.id where a.h < 12), b as (select 7 as id, 0 as h union select e.t, b.h + 1 from b join e on e.s = b.id where b.h < 12), x as (select id, min(h) as h from a group by id), y as (select id, min(h) as h from b group by id) select x.id::bigint as id, x.h as from_start, y.h as to_end from x join y using (id) where x.h + y.h = (select h from x where id = 7)")
+@register("g06_progression_path", "with recursive e as (select n_nationkey as s, (n_nationkey * 3 + 1) % 25 as t from nation union select (n_nationkey * 3 + 1) % 25, n_nationkey from nation), a as (select 0 as id, 0 as h union select e.t, a.h + 1 from a join e on e.s = a.id where a.h < 8), b as (select 9 as id, 0 as h union select e.t, b.h + 1 from b join e on e.s = b.id where b.h < 8), x as (select id, min(h) as h from a group by id), y as (select id, min(h) as h from b group by id) select x.id::bigint as id, x.h as from_start, y.h as to_end from x join y using (id) where x.h + y.h = (select h from x where id = 9)")
 def _(spark, d):
     n = table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("source"), ((F.col("n_nationkey") * 3 + 1) % 25).cast("long").alias("target"))
-    return graph.between(graph.hops(n, 0, 12), graph.hops(n, 7, 12), 7)
+    return graph.between(graph.hops(n, 0, 8), graph.hops(n, 9, 8), 9)
 
 
 @register("j19_gaps")

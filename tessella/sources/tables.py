@@ -146,3 +146,63 @@ def upsert_image(stored: DataFrame | None, rows: DataFrame, location: str) -> Da
     names = {c.lower(): c for c in kept.columns}
     fresh = fresh.withColumnsRenamed({c: names[c.lower()] for c in fresh.columns if c.lower() in names and names[c.lower()] != c})
     return kept.unionByName(fresh, allowMissingColumns=True).na.fill(0.0)
+
+
+def load_with_header(spark: SparkSession, header: str, data: str) -> DataFrame:
+    """Whitespace-separated data whose column names stand in a file of their own."""
+    names = [clean_header(n) for r in spark.read.text(header).collect() for n in r["value"].split()]  # a header, not data
+    parts = spark.read.text(data).where(F.trim("value") != "").select(F.split(F.trim("value"), r"[ \t]+").alias("_p"))
+    return parts.select(*(F.expr(f"try_cast(get(_p, {k}) as double)").alias(n) for k, n in enumerate(names)))
+
+
+def load_cells(spark: SparkSession, path: str, dropped: tuple[str, ...] = ("Trace_File", "Distance_to_Device", "Soma_X", "Soma_Y", "Soma_Z")) -> DataFrame:
+    """A feature table without the columns that are no features."""
+    return load_table(spark, path).drop(*dropped)
+
+
+def load_trace_xml(spark: SparkSession, path: str, row: str = "TraceLine") -> DataFrame:
+    """line, its type and parent, and its points x, y, z in order, from XML with one element per line."""
+    point = "struct<_ID:long,_X:double,_Y:double,_Z:double>"
+    lines = spark.read.format("xml").option("rowTag", row).schema(f"_ID long, _Type long, _Parent long, TraceBit array<{point}>").load(path)
+    bits = lines.select(F.col("_ID").alias("line"), F.col("_Type").alias("type"), F.coalesce("_Parent", F.lit(-1)).alias("parent_line"), F.posexplode("TraceBit").alias("position", "_b"))
+    return bits.select("line", "type", "parent_line", "position", F.col("_b._ID").alias("id"), *(F.col(f"_b._{c.upper()}").alias(c) for c in "xyz"))
+
+
+def load_database(spark: SparkSession, url: str, table: str, **options: str) -> DataFrame:
+    """A table of a database that the session has a driver for."""
+    return spark.read.format("jdbc").options(url=url, dbtable=table, **options).load()
+
+
+def load_raw_volumes(spark: SparkSession, path: str, shape: tuple[int, int, int], kind: str = "uint8") -> DataFrame:
+    """file, z, y, x and value of raw image volumes of a known shape (z, y, x), little endian; each file is one row on the way."""
+    import numpy as np
+    import pyarrow as pa
+
+    def run(batches):
+        for batch in batches:
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                values = np.frombuffer(content.as_py(), np.dtype(kind).newbyteorder("<")).reshape(shape)
+                for z in range(shape[0]):
+                    y, x = (a.reshape(-1) for a in np.indices(shape[1:]))
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(x)), pa.array(np.full(len(x), z, np.int32)), pa.array(y.astype(np.int32)), pa.array(x.astype(np.int32)), pa.array(values[z].reshape(-1).astype(np.float64))], names=["file", "z", "y", "x", "value"])
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "file string, z int, y int, x int, value double")
+
+
+def rules_xml(rules: list[Rule]) -> str:
+    """Rules as XML text, as `load_rules` reads it."""
+    top = ElementTree.Element("ObjectAssociationRules")
+    for r in rules:
+        ElementTree.SubElement(top, "AssociationRule", {"Name": r.name, "Target_Image": r.target, "Outside_Distance": str(r.outside), "Inside_Distance": str(r.inside), "Use_Whole_Object": str(r.whole), "Association_Type": r.mode})
+    return ElementTree.tostring(top, encoding="unicode")
+
+
+def save_query(spark: SparkSession, text: str, path: str, args: dict | None = None) -> None:
+    """The rows of a query as text with a header."""
+    spark.sql(text, args=args).write.csv(path, header=True)
+
+
+def save_clustering(mergers: DataFrame, members: DataFrame, path: str) -> None:
+    """Mergers and members as one text table each."""
+    mergers.write.csv(f"{path}/mergers", header=True)
+    members.write.csv(f"{path}/members", header=True)
