@@ -329,7 +329,8 @@ def marks(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group_limit:
     """For every text with repeated windows, by (_d, _t): `_m`, its runs of repeated windows (first start, how many)."""
     keyed = _keyed(docs)
     rows = written(_all_pieces(keyed, length, gram), "pieces")
-    shared = rows.groupBy("h").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1).select("h")
+    # Written first, so that the join has nothing but plain sides, which adaptive execution can split at a hot group.
+    shared = written(rows.groupBy("h").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1).select("h"), "meeting")
     kept = written(rows.join(shared, "h", "left_semi"), "shared")
     different = written(kept.groupBy("h", "p", "n").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("_d", "_t", "a")).alias("_at")), "different")
     equal = kept.join(different.where(F.col("c") > 1).select("h", "p", "n"), ["h", "p", "n"], "left_semi").select("_d", "_t", "a", "n")
