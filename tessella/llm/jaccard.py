@@ -201,7 +201,7 @@ def contract(edges: DataFrame, labels: DataFrame) -> DataFrame:
     while not left.isEmpty():
         # Every component goes to its smallest neighbour, and on to that one's.
         near = left.select("a", "b").unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy("a").agg(F.min("b").alias("b"))
-        down = written(near.select(F.col("a").alias("v"), F.least("a", "b").alias("to")), "down")
+        down = near.select(F.col("a").alias("v"), F.least("a", "b").alias("to"))
         jump = down.alias("x").join(down.alias("y"), F.col("x.to") == F.col("y.v"), "left").select(F.col("x.v").alias("v"), F.coalesce("y.to", "x.to").alias("to"))
         jump = written(jump, "jump")
         a, b = jump.select(F.col("v").alias("a"), F.col("to").alias("_a")), jump.select(F.col("v").alias("b"), F.col("to").alias("_b"))
@@ -276,7 +276,10 @@ def components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, roun
             met = met.unionByName(alone.where("_size > 1").select("g", F.col("g").alias("a")))
         told_members = members.join(labels, "id").select("g", F.col("id").alias("b"), F.col("comp").alias("cb"))
         pairs = met.join(told_members, "g").join(labels.select(F.col("id").alias("a"), F.col("comp").alias("ca")), "a").where("a <> b and ca <> cb")
-        labels = written(contract(_links(pairs.select("a", "b", "ca", "cb"), sets, percent), labels), "labels")
+        joined = contract(_links(pairs.select("a", "b", "ca", "cb"), sets, percent), labels)
+        if joined is labels:  # nothing links any more by pivots
+            break
+        labels = written(joined, "labels")
 
     # What still lies apart: the smaller components of each list against all of it.
     spread = written(lists.join(members.select("id", "g"), "g").join(labels, "id").select("w", "id", "comp", "n", "left"), "spread")

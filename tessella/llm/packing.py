@@ -47,7 +47,8 @@ def _byte_of_symbol() -> dict[str, int]:
 def encoder(path: str):
     """Encoder of a byte-level BPE vocabulary file; one per Python worker.
 
-    The file's own vocabulary drives a faster BPE than the file's library has; both give the same ids.
+    The file's own vocabulary drives a faster BPE than the file's library has; both give the same ids. The strings
+    of special tokens in a text are ordinary text, as with the library's `encode_special_tokens`.
     """
     if path not in _encoders:
         import json
