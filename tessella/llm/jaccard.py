@@ -31,8 +31,9 @@ from tessella.llm.textblock import LOWER, Block, blocks, mix, span_hash, window_
 
 WIDTH = 5
 PERCENT = 75
-PIVOT_ROUNDS = 4
+PIVOT_ROUNDS = 6
 PIVOTS = 3
+DRAWN = 8
 #: Elements that one bucket of the first pass holds, about.
 BUCKET = 1_000_000
 
@@ -259,9 +260,11 @@ def components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, roun
 
     labels = written(members.select("id", F.col("id").alias("comp")), "labels")
     for r in range(rounds):
-        # Several pivots a list, the same for lists of the same groups. Of those that a group meets it is compared with
-        # the one of the smallest hash, which is the same for many groups, and with the one it meets most often.
-        ranked = [F.min(F.struct(F.xxhash64("g", F.lit(PIVOTS * r + k)).alias("_r"), "g", "n", "left")).alias(f"_p{k}") for k in range(PIVOTS)]
+        # Several pivots a list. In the first round they are the same for lists of the same groups, and a group is compared
+        # with the one of the smallest hash, the same for many groups, and the one that it meets most often. Later rounds,
+        # which few groups need, draw other pivots for each list and compare a group with some more of them.
+        draw = [F.xxhash64("g", F.lit(k)) if not r else F.xxhash64("g", "w", F.lit(PIVOTS * r + k)) for k in range(PIVOTS)]
+        ranked = [F.min(F.struct(h.alias("_r"), "g", "n", "left")).alias(f"_p{k}") for k, h in enumerate(draw)]
         pivot = lists.groupBy("w").agg(*ranked).select("w", F.array_distinct(F.array(*(F.struct(f"_p{k}.g", f"_p{k}.n", f"_p{k}.left") for k in range(PIVOTS)))).alias("_ps"))
         met = lists.join(pivot, "w").select("g", "n", "left", F.explode("_ps").alias("_p")).where("g <> _p.g")
         fits = (100 * F.least("n", "_p.n") >= percent * F.greatest("n", "_p.n")) & ((100 + percent) * F.least("left", "_p.left") >= percent * (F.col("n") + F.col("_p.n")))
@@ -270,8 +273,10 @@ def components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, roun
             place = labels.select("id", "comp")
             met = met.join(place.toDF("g", "_cg"), "g").join(place.toDF("a", "_ca"), "a").where("_cg <> _ca")
         hashed = F.xxhash64("a", F.lit(r))
-        best = met.groupBy("g").agg(F.min(F.struct(hashed.alias("_h"), "a")).alias("_first"), F.max(F.struct("_c", hashed.alias("_h"), "a")).alias("_most"))
-        met = best.select("g", F.explode(F.array_distinct(F.array("_first.a", "_most.a"))).alias("a"))
+        drawn = F.collect_list(F.struct(F.xxhash64("a", "g", F.lit(r)).alias("_h"), "a"))  # bounded by the text
+        best = met.groupBy("g").agg(F.min(F.struct(hashed.alias("_h"), "a")).alias("_first"), F.max(F.struct("_c", hashed.alias("_h"), "a")).alias("_most"), F.slice(F.array_sort(drawn), 1, DRAWN if r else 1).alias("_drawn"))
+        chosen = F.array("_first.a", "_most.a") if not r else F.concat(F.array("_first.a", "_most.a"), F.col("_drawn.a"))
+        met = best.select("g", F.explode(F.array_distinct(chosen)).alias("a"))
         if not r:
             met = met.unionByName(alone.where("_size > 1").select("g", F.col("g").alias("a")))
         told_members = members.join(labels, "id").select("g", F.col("id").alias("b"), F.col("comp").alias("cb"))
@@ -285,17 +290,15 @@ def components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, roun
     spread = written(lists.join(members.select("id", "g"), "g").join(labels, "id").select("w", "id", "comp", "n", "left"), "spread")
     per_list = spread.groupBy("w", "comp").agg(F.count(F.lit(1)).alias("_c")).groupBy("w").agg(F.max(F.struct("_c", "comp")).alias("_top"), F.count(F.lit(1)).alias("_k")).where("_k > 1")
     apart = spread.join(per_list.select("w", F.col("_top.comp").alias("_major")), "w")
-    # A list that holds several components is compared as it stands: sets ride along, so that only links come out.
-    apart = apart.join(sets.select("id", "e"), "id")
-    minor = apart.where("comp <> _major").select("w", F.col("id").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("na"), F.col("left").alias("la"), F.col("e").alias("ea"))
-    other = apart.select(F.col("w").alias("_w"), F.col("id").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb"), F.col("left").alias("lb"), F.col("e").alias("eb"), (F.col("comp") == F.col("_major")).alias("_big"))
+    minor = apart.where("comp <> _major").select("w", F.col("id").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("na"), F.col("left").alias("la"))
+    other = apart.select(F.col("w").alias("_w"), F.col("id").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb"), F.col("left").alias("lb"), (F.col("comp") == F.col("_major")).alias("_big"))
     near = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
     # An overlap of o links sets of na and nb if 100 o >= percent (na + nb - o). Where two sets first meet, they can
     # share no more than what stands from there on in either; a pair that fails there fails at every later place.
     room = (100 + percent) * F.least("la", "lb") >= percent * (F.col("na") + F.col("nb"))
-    linked = (100 + percent) * F.size(F.array_intersect("ea", "eb")) >= percent * (F.col("na") + F.col("nb"))
-    links = minor.join(other, (F.col("w") == F.col("_w")) & (F.col("ca") != F.col("cb")) & near & room & (F.col("_big") | (F.col("a") < F.col("b"))) & linked)
-    labels = written(contract(links.select(F.col("ca").alias("a"), F.col("cb").alias("b")), labels), "labels")
+    pairs = minor.join(other, (F.col("w") == F.col("_w")) & (F.col("ca") != F.col("cb")) & near & room & (F.col("_big") | (F.col("a") < F.col("b"))))
+    pairs = pairs.select("a", "b", "ca", "cb").distinct()
+    labels = written(contract(_links(pairs, sets, percent), labels), "labels")
 
     named = reps.join(labels, "id", "left").select("s1", "s2", F.col("n").alias("_n"), "first", F.coalesce("comp", "id").alias("comp"))
     least = named.groupBy("comp").agg(F.min("first").alias("component_id"))
