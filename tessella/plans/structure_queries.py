@@ -207,11 +207,6 @@ def _(spark, d):
     return voxels.histogram_features(voxel_rows(spark, d)).select("label", F.round("energy", 8).alias("energy"), F.round("entropy", 6).alias("entropy"))
 
 
-@register("a07_voxel_boundary")
-def _(spark, d):
-    return voxels.boundary_features(voxel_rows(spark, d))
-
-
 @register("a08_voxel_texture")
 def _(spark, d):
     return voxels.texture(voxel_rows(spark, d))

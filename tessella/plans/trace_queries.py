@@ -11,6 +11,15 @@ from tessella.registry import register, table
 _LINES = f"with recursive {_NODES}, k as (select parent, count(*) as kids from s where parent >= 0 group by parent), st as (select s.*, (s.parent < 0 or k.kids > 1) as start from s left join k on s.parent = k.parent), l as (select id, id as line, 0 as position from st where start union all select st.id, l.line, l.position + 1 from st join l on st.parent = l.id where not st.start), g as (select a.id, coalesce(sqrt((a.x - p.x) ** 2 + (a.y - p.y) ** 2 + (a.z - p.z) ** 2), 0) as step from s a left join s p on a.parent = p.id), ln as (select line, count(*) as size, sum(case when position > 0 then step else 0 end) as length, max(case when position = 0 then step end) as to_parent, arg_max(k.kids is null, position) as leaf, sqrt((arg_max(x, position) - arg_min(x, position)) ** 2 + (arg_max(y, position) - arg_min(y, position)) ** 2 + (arg_max(z, position) - arg_min(z, position)) ** 2) as euclid from l join s using (id) join g using (id) left join k on k.parent = l.id group by line), u as (select *, case when size > 1 and length > 0 then size / length else 1 end as density from ln)"
 
 
+# Every object voxel with its six face neighbours.
+_SIDES = [(c, s) for c in "xyz" for s in (1, -1)]
+_JOINS = " ".join(f"left join v n{k} on " + " and ".join(f"n{k}.{a} = a.{a}" + (f" + {s}" if a == c else "") for a in "xyz") for k, (c, s) in enumerate(_SIDES))
+_FACES = " + ".join(f"(n{k}.label is null or n{k}.label <> a.label)::int" for k in range(6))
+_TOUCH = " + ".join(f"coalesce(n{k}.label <> a.label and n{k}.label <> 0, false)::int" for k in range(6))
+_GRADIENT = " + ".join(f"coalesce((n{k}.value - n{k + 1}.value) / 2.0, 0) ** 2" for k in (0, 2, 4))
+_SIX = f"{_V}, f as (select a.label, a.value, {_FACES} as faces, {_TOUCH} as touching, sqrt({_GRADIENT}) as g from v a {_JOINS} where a.label <> 0)"
+
+
 @register("f18_line_table", f"{_LINES} select line, size, round(length, 5) as length, round(euclid, 5) as euclid, round(density, 6) as density, round(to_parent, 6) as to_parent, leaf from u")
 def _(spark, d):
     t = traces.line_table(tree(spark, d))
@@ -26,10 +35,10 @@ for _name, _sql, _pick in (
     register(_name, f"{_LINES} select line, size from u where {_sql}")(lambda spark, d, pick=_pick: pick(traces.line_table(tree(spark, d))).select("line", "size"))
 
 
-@register("g11_without_lines")
+@register("g11_without_lines", f"{_LINES} select s.id, s.parent from s join l using (id) where line not in (select line from u where size <= 1 and leaf)")
 def _(spark, d):
     t = tree(spark, d)
-    return traces.without_lines(t, traces.short_lines(traces.line_table(t), 1))
+    return traces.without_lines(t, traces.short_lines(traces.line_table(t), 1)).select("id", "parent")
 
 
 @register("g11_exploded", f"with {_NODES}, k as (select parent, count(*) as kids from s where parent >= 0 group by parent) select s.id, (case when k.kids = 1 then s.parent else -1 end)::bigint as parent from s left join k on s.parent = k.parent")
@@ -193,9 +202,16 @@ def _(spark, d):
     return voxels.otsu(voxel_rows(spark, d))
 
 
-@register("a06_gradients")
+@register("a06_gradients", f"{_SIX} select label, round(coalesce(avg(case when faces > 0 then g end), 0), 6) as surface_gradient, round(coalesce(avg(case when faces = 0 then g end), 0), 6) as interior_gradient from f group by label")
+def _(spark, d):
+    return voxels.gradients(voxel_rows(spark, d)).select("label", F.round("surface_gradient", 6).alias("surface_gradient"), F.round("interior_gradient", 6).alias("interior_gradient"))
+
+
+@register("a07_voxel_boundary", f"{_SIX}, p as (select label, count(*)::double as n, sum(faces)::bigint as surface_area, sum(touching)::double as touching, avg(case when faces > 0 then value end) as si, coalesce(avg(case when faces = 0 then value end), 0) as ii from f group by label) select label, surface_area, round(surface_area::double ** 3 / (36 * pi() * n * n), 4) as shape, round(si, 6) as surface_intensity, round(ii, 6) as interior_intensity, round(case when ii > 0 then si / ii else 0 end, 6) as intensity_ratio, round(case when surface_area > 0 then touching / surface_area else 0 end, 6) as shared_boundary from p")
 def _(spark, d):
-    return voxels.gradients(voxel_rows(spark, d))
+    t = voxels.boundary_features(voxel_rows(spark, d))
+    rounded = ("surface_intensity", "interior_intensity", "intensity_ratio", "shared_boundary")
+    return t.select("label", "surface_area", F.round("shape", 4).alias("shape"), *(F.round(c, 6).alias(c) for c in rounded))
 
 
 @register("a10_shell_total", f"{_V}, o as (select distinct b.label, a.x, a.y, a.z, a.value from v a join v b on abs(a.x - b.x) <= 2 and abs(a.y - b.y) <= 2 and a.z - b.z between -2 and 2 and (a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2 <= 4 where b.label <> 0 and a.label <> b.label) select l.label, coalesce(sum(case when value >= 20 then value end), 0)::double as measure from (select distinct label from v where label <> 0) l left join o using (label) group by l.label")
