@@ -2,23 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tessella.sources.shared import written
+
 
 def kept(df: DataFrame) -> DataFrame:
     """Written once to the session's shared folder and read back, so that lineage stays short."""
-    spark = df.sparkSession
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="tessella-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/graph/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return written(df, "graph")
 
 
 def components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
