@@ -1,44 +1,5 @@
-"""Intermediate results as Parquet in the folder that driver and executors share."""
+"""Intermediate results of the operators, in the folder that driver and executors share."""
 
-from __future__ import annotations
+from tessella.sources.shared import forget, shared_dir, written
 
-import atexit
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-_made: list = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """`spark.checkpoint.dir` of the session; a temporary folder only where none is set, as in tests."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="tessella-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write `df` once and read it back: cuts lineage, and outlives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tessella/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _made.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def forget() -> None:
-    """Delete what `written` has left; only for the end of an application, when no frame reads it any more."""
-    while _made:
-        spark, path = _made.pop()
-        try:
-            jvm = spark.sparkContext._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-        except Exception:  # noqa: BLE001  the session has ended already
-            return
-
-
-atexit.register(forget)
+__all__ = ["forget", "shared_dir", "written"]
