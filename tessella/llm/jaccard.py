@@ -10,7 +10,7 @@ their Jaccard similarity is `percent` / 100 or more.
    number of sets, then of hash, and its prefix is the shortest that any link must meet.
 3. Sets with identical prefixes and size form a group. Groups that meet in a prefix element are candidates.
    First every group is compared with two pivots of the lists it is in, round by round; links join components.
-   Then all pairs that still lie in different components and pass the size and position filters are verified.
+   Then all pairs that still lie in different components and pass the size, position and sketch filters are verified.
    Only pairs that a link could not change are left out, so the components are exact.
 
 Repeated rows are copies of each other. A null text is empty. A null doc_id never becomes a component's id
@@ -34,6 +34,8 @@ PERCENT = 75
 PIVOT_ROUNDS = 6
 PIVOTS = 3
 DRAWN = 8
+#: 64-bit words of a set's sketch; a power of two.
+SKETCH = 8
 #: Elements that one bucket of the first pass holds, about.
 BUCKET = 1_000_000
 
@@ -290,13 +292,19 @@ def components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, roun
     spread = written(lists.join(members.select("id", "g"), "g").join(labels, "id").select("w", "id", "comp", "n", "left"), "spread")
     per_list = spread.groupBy("w", "comp").agg(F.count(F.lit(1)).alias("_c")).groupBy("w").agg(F.max(F.struct("_c", "comp")).alias("_top"), F.count(F.lit(1)).alias("_k")).where("_k > 1")
     apart = spread.join(per_list.select("w", F.col("_top.comp").alias("_major")), "w")
-    minor = apart.where("comp <> _major").select("w", F.col("id").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("na"), F.col("left").alias("la"))
-    other = apart.select(F.col("w").alias("_w"), F.col("id").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb"), F.col("left").alias("lb"), (F.col("comp") == F.col("_major")).alias("_big"))
+    # Parities of the elements by hash: two sketches differ in no more bits than their sets differ in elements.
+    words = [F.expr(f"aggregate(e, 0L, (s, x) -> s ^ if((shiftright(x, 6) & {SKETCH - 1}) = {k}, shiftleft(1L, cast(x & 63 as int)), 0L))") for k in range(SKETCH)]
+    apart = apart.join(sets.select("id", (F.col("n") - F.size("e")).alias("own"), F.array(*words).alias("sketch")), "id")
+    minor = apart.where("comp <> _major").select("w", F.col("id").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("na"), F.col("left").alias("la"), F.col("own").alias("oa"), F.col("sketch").alias("sa"))
+    other = apart.select(F.col("w").alias("_w"), F.col("id").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb"), F.col("left").alias("lb"), F.col("own").alias("ob"), F.col("sketch").alias("sb"), (F.col("comp") == F.col("_major")).alias("_big"))
     near = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
     # An overlap of o links sets of na and nb if 100 o >= percent (na + nb - o). Where two sets first meet, they can
     # share no more than what stands from there on in either; a pair that fails there fails at every later place.
     room = (100 + percent) * F.least("la", "lb") >= percent * (F.col("na") + F.col("nb"))
-    pairs = minor.join(other, (F.col("w") == F.col("_w")) & (F.col("ca") != F.col("cb")) & near & room & (F.col("_big") | (F.col("a") < F.col("b"))))
+    # Sets that link differ in (100 - percent) (na + nb) / (100 + percent) elements at most.
+    differ = sum((F.bit_count(F.col("sa")[k].bitwiseXOR(F.col("sb")[k])) for k in range(SKETCH)), F.col("oa") + F.col("ob"))
+    close = (100 + percent) * differ <= (100 - percent) * (F.col("na") + F.col("nb"))
+    pairs = minor.join(other, (F.col("w") == F.col("_w")) & (F.col("ca") != F.col("cb")) & near & room & close & (F.col("_big") | (F.col("a") < F.col("b"))))
     pairs = pairs.select("a", "b", "ca", "cb").distinct()
     labels = written(contract(_links(pairs, sets, percent), labels), "labels")
 
