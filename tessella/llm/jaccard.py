@@ -231,7 +231,11 @@ def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, rounds: int = PIVOT_ROUNDS) -> DataFrame:
-    """_d, _t, n, s1, s2 and component_id of every text."""
+    """_d, _t, n, s1, s2, component_id and comp of every text.
+
+    `comp` tells components apart, which null and shared doc_ids don't: the number of the component, or the digest of
+    a set that links with no other; null for texts without words.
+    """
     keyed = _keyed(docs)
     told = written(sets_with_company(keyed, width, percent), "company")
     spare = F.floor((100 - percent) * F.col("n") / 100)
@@ -310,16 +314,18 @@ def components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, roun
 
     named = reps.join(labels, "id", "left").select("s1", "s2", F.col("n").alias("_n"), "first", F.coalesce("comp", "id").alias("comp"))
     least = named.groupBy("comp").agg(F.min("first").alias("component_id"))
-    named = named.join(least, "comp").select("s1", "s2", F.col("_n").alias("n"), "component_id")
+    named = named.join(least, "comp").select("s1", "s2", F.col("_n").alias("n"), "component_id", F.col("comp").alias("_c"))
     linked = told.where("n > 0").join(named, ["s1", "s2", "n"], "left")
-    own = told.where("n = 0").withColumn("component_id", F.col("_d"))
-    return linked.select("_d", "_t", "n", "s1", "s2", F.coalesce("component_id", "_d").alias("component_id")).unionByName(own.select("_d", "_t", "n", "s1", "s2", "component_id"))
+    key = lambda a, b, c: F.struct(a.cast("long").alias("a"), b.cast("long").alias("b"), c.cast("long").alias("c"))
+    comp = F.when(F.col("_c").isNull(), key(F.col("s1"), F.col("s2"), F.col("n"))).otherwise(key(F.col("_c"), F.lit(0), F.lit(-1)))
+    own = told.where("n = 0").withColumns({"component_id": F.col("_d"), "comp": F.when(F.lit(False), key(F.col("s1"), F.col("s2"), F.col("n")))})
+    return linked.select("_d", "_t", "n", "s1", "s2", F.coalesce("component_id", "_d").alias("component_id"), comp.alias("comp")).unionByName(own.select("_d", "_t", "n", "s1", "s2", "component_id", "comp"))
 
 
 def deduplicate(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """The input's rows without all but the first document, by doc_id and text, of each component."""
     found = components(docs, width, percent)
-    first = found.where("n > 0").groupBy("component_id").agg(F.min(F.struct("_d", "_t")).alias("_m")).select("_m.*")
+    first = found.where("n > 0").groupBy("comp").agg(F.min(F.struct("_d", "_t")).alias("_m")).select("_m.*")
     first = written(first.unionByName(found.where("n = 0").select("_d", "_t")).distinct(), "first")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.withColumns({"_rd": F.col("doc_id").cast("long"), "_rt": F.xxhash64(text)})

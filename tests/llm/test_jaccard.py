@@ -70,3 +70,15 @@ def test_deduplicate_keeps_one_of_each(docs_of):
     expected = {c for _, n, c in brute(rows) if n} | {100, 101, 102}
     kept = [r["doc_id"] for r in jaccard.deduplicate(docs_of(rows)).collect()]
     assert sorted(kept) == sorted(expected)
+
+
+def test_deduplicate_tells_components_apart_without_ids(docs_of):
+    rng = random.Random(4)
+    fresh = lambda: " ".join(f"w{rng.randrange(10**6)}" for _ in range(40))
+    a, b, c, d, e, f = (fresh() for _ in range(6))
+    # Two components of null ids only, two lone texts with null ids, and two lone texts that share an id.
+    rows = [(None, a), (None, a + " x"), (None, b), (None, b + " y"), (None, c), (None, d), (7, e), (7, f)]
+    kept = Counter(r["text"] for r in jaccard.deduplicate(docs_of(rows)).collect())
+    assert sum(kept[x] for x in (a, a + " x")) == sum(kept[x] for x in (b, b + " y")) == 1
+    assert [kept[x] for x in (c, d, e, f)] == [1] * 4 and sum(kept.values()) == 6
+    assert {r["component_id"] for r in jaccard.join(docs_of(rows)).collect()} == {None, 7}
