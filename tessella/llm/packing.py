@@ -13,6 +13,7 @@ ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -45,10 +46,10 @@ def _byte_of_symbol() -> dict[str, int]:
 
 
 def encoder(path: str):
-    """Encoder of a byte-level BPE vocabulary file; one per Python worker.
+    """Function from a text to its ids by a byte-level BPE vocabulary file; one per Python worker.
 
-    The file's own vocabulary drives a faster BPE than the file's library has; both give the same ids. The strings
-    of special tokens in a text are ordinary text, as with the library's `encode_special_tokens`.
+    The file's own vocabulary drives a faster BPE than the file's library has; both give the same ids. As in the
+    library, texts are split at the file's added tokens first, the longest of those that start together.
     """
     if path not in _encoders:
         import json
@@ -58,10 +59,23 @@ def encoder(path: str):
 
         with open(path, encoding="utf-8") as f:
             stored = json.load(f)
-        special = {t["content"] for t in stored.get("added_tokens", [])}
+        added = stored.get("added_tokens", [])
+        if any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in added):
+            raise ValueError(f"{path} has added tokens that take in or depend on what stands beside them")
+        special = {t["content"]: t["id"] for t in added}
         back = _byte_of_symbol()
         ranks = {bytes(back[c] for c in token): rank for token, rank in stored["model"]["vocab"].items() if token not in special}
-        _encoders[path] = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        plain = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        split = re.compile(f"({'|'.join(map(re.escape, sorted(special, key=len, reverse=True)))})").split if special else None
+
+        def encode(text: str) -> list[int]:
+            parts = split(text) if split else [text]
+            if len(parts) == 1:
+                return plain(text)
+            # Every second part is an added token.
+            return [i for k, part in enumerate(parts) for i in ([special[part]] if k % 2 else plain(part))]
+
+        _encoders[path] = encode
     return _encoders[path]
 
 
@@ -74,7 +88,7 @@ def pieces(docs: DataFrame, path: str, width: int = WIDTH) -> DataFrame:
     schema = f"doc_id {kept.schema['doc_id'].dataType.simpleString()}, {PIECE_SCHEMA}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path).encode_ordinary
+        encode = encoder(path)
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)

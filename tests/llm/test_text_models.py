@@ -145,6 +145,20 @@ def test_packing_is_exact_and_tight(docs_of):
     assert packing.pack(docs_of([])).collect() == []
 
 
+def test_ids_are_the_library_s_with_its_defaults(docs_of):
+    from tokenizers import Tokenizer
+
+    import numpy as np
+
+    t, rng = Tokenizer.from_file(packing.default_tokenizer()), random.Random(8)
+    parts = ["<|endoftext|>", "<|endoftext", "|>", " ", "  \n", "a", "word", "é", "<|"]
+    texts = ["a<|endoftext|>b", "<|endoftext|>", "<|endoftext|><|endoftext|> x", *("".join(rng.choices(parts, k=rng.randint(1, 40))) for _ in range(60))]
+    got = {r["doc_id"]: (r["doc_tokens"], r["ids_crc32"]) for r in packing.pieces(docs_of(list(enumerate(texts))), packing.default_tokenizer()).collect()}
+    ids = [[*t.encode(x, add_special_tokens=False).ids, 0] for x in texts]
+    assert ids[0] == [64, 50256, 65, 0]
+    assert got == {k: (len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for k, x in enumerate(ids)}
+
+
 @pytest.mark.parametrize("seed", range(5))
 def test_plan_holds_the_histogram(seed):
     rng = random.Random(seed)
