@@ -86,18 +86,27 @@ def association(objects: DataFrame, target: DataFrame, reach: float, mode: str,
 
 
 def texture(voxels: DataFrame, levels: int = 8) -> DataFrame:
-    """Grey-level co-occurrence of every object over the next voxel in x: energy, entropy, inverse difference moment, inertia, cluster shade and prominence."""
+    """Grey-level co-occurrence of every object: energy, entropy, inverse difference moment, inertia, cluster shade and prominence.
+
+    Each is the mean over the 13 directions to half of a voxel's 26 neighbours, of those in which the object has
+    neighbouring voxels; 0 for an object that has none in any.
+    """
     own = voxels.where("label <> 0")
     top = own.agg(F.max("value").alias("_top"))
     grey = own.crossJoin(F.broadcast(top)).withColumn("g", F.least(F.floor(F.col("value") * levels / (F.col("_top") + 1)), F.lit(levels - 1)).cast("int"))  # one row
-    order = Window.partitionBy("label", "t", "z", "y").orderBy("x")
-    pairs = grey.withColumns({"_x": F.lead("x").over(order), "j": F.lead("g").over(order)}).where("_x = x + 1").select("label", F.col("g").alias("i"), "j")
-    both = pairs.unionByName(pairs.select("label", F.col("j").alias("i"), F.col("i").alias("j")))
-    cells = both.groupBy("label", "i", "j").agg(F.count(F.lit(1)).alias("c"))
-    p = cells.withColumn("p", F.col("c") / F.sum("c").over(Window.partitionBy("label")))
-    p = p.withColumn("mu", F.sum(F.col("p") * F.col("i")).over(Window.partitionBy("label")))
+    ways = [(dz, dy, dx) for dz in (-1, 0, 1) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if (dz, dy, dx) > (0, 0, 0)]
+    moves = F.array(*(F.struct(*(F.lit(s).alias(c) for c, s in zip("zyx", way, strict=True))) for way in ways))
+    asked = grey.select("label", "t", "ch", "z", "y", "x", F.col("g").alias("i"), F.posexplode(moves).alias("way", "m"))
+    asked = asked.select("label", "t", "ch", "way", "i", *((F.col(c) + F.col(f"m.{c}")).alias(c) for c in "zyx"))
+    pairs = asked.join(grey.select("label", "t", "ch", "z", "y", "x", F.col("g").alias("j")), ["label", "t", "ch", "z", "y", "x"])
+    counts = pairs.groupBy("label", "way", "i", "j").agg(F.count(F.lit(1)).alias("c"))
+    both = counts.unionByName(counts.select("label", "way", F.col("j").alias("i"), F.col("i").alias("j"), "c"))
+    cells = both.groupBy("label", "way", "i", "j").agg(F.sum("c").alias("c"))
+    one = Window.partitionBy("label", "way")  # at most the square of `levels` rows
+    p = cells.withColumn("p", F.col("c") / F.sum("c").over(one))
+    p = p.withColumn("mu", F.sum(F.col("p") * F.col("i")).over(one))
     d, s = F.col("i") - F.col("j"), F.col("i") + F.col("j") - 2 * F.col("mu")
-    return p.groupBy("label").agg(
+    per = p.groupBy("label", "way").agg(
         F.sum(F.col("p") * F.col("p")).alias("t_energy"),
         (-F.sum(F.col("p") * F.log2("p"))).alias("t_entropy"),
         F.sum(F.col("p") / (1 + d * d)).alias("inverse_diff_moment"),
@@ -105,6 +114,9 @@ def texture(voxels: DataFrame, levels: int = 8) -> DataFrame:
         F.sum(F.col("p") * s * s * s).alias("cluster_shade"),
         F.sum(F.col("p") * s * s * s * s).alias("cluster_prominence"),
     )
+    names = per.columns[2:]
+    mean = per.groupBy("label").agg(*(F.avg(c).alias(c) for c in names))
+    return own.select("label").distinct().join(mean, "label", "left").na.fill(0.0, names)
 
 
 def overlap_percent(voxels: DataFrame, target: str = "value") -> DataFrame:

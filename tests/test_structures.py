@@ -157,6 +157,33 @@ def test_voxel_parts(spark):
     assert all(0 <= r["surface_gradient"] <= 2 for r in flat)
 
 
+def test_texture_is_the_mean_over_all_directions(spark):
+    rng = random.Random(11)
+    rows = [(0, 0, z, y, x, rng.randrange(64), rng.choice([0, 1, 1, 2, 2])) for z in range(3) for y in range(4) for x in range(5)]
+    rows += [(0, 0, 20, 3 * k, 0, 63, 3) for k in range(2)] + [(0, 0, 30, k, 0, 9 * k, 4) for k in range(4)]
+    df = spark.createDataFrame(rows, "t int, ch int, z int, y int, x int, value int, label int")
+    grey = {(z, y, x): (n, v * 8 // 64) for _, _, z, y, x, v, n in rows if n}
+    ways = [w for w in np.ndindex(3, 3, 3) if w > (1, 1, 1)]
+    want = {}
+    for label in (1, 2, 3, 4):
+        per = []
+        for w in ways:
+            c = np.zeros((8, 8))
+            for at, (n, i) in grey.items():
+                m, j = grey.get(tuple(a + b - 1 for a, b in zip(at, w, strict=True)), (0, 0))
+                if n == m == label:
+                    c[i, j] += 1
+                    c[j, i] += 1
+            if c.sum():
+                q = c / c.sum()
+                i, j = np.indices((8, 8))
+                s = i + j - 2 * (q * i).sum()
+                per.append([(q * q).sum(), -(q[q > 0] * np.log2(q[q > 0])).sum(), (q / (1 + (i - j) ** 2)).sum(), (q * (i - j) ** 2).sum(), (q * s**3).sum(), (q * s**4).sum()])
+        want[label] = np.mean(per, 0) if per else np.zeros(6)
+    got = {r["label"]: list(r)[1:] for r in voxels.texture(df).collect()}
+    assert set(got) == set(want) and all(np.allclose(got[k], want[k]) for k in want)
+
+
 def test_images_rules_and_traces_from_files(spark, tmp_path):
     data = np.arange(24, dtype="<u2").reshape(2, 3, 4)
     (tmp_path / "v.raw").write_bytes(data.tobytes())
