@@ -3,42 +3,59 @@
 from __future__ import annotations
 
 import atexit
+import logging
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_made: list = []
+_made: dict[str, SparkSession] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """`spark.checkpoint.dir` of the session; a temporary folder only where none is set, as in tests."""
+    """`spark.checkpoint.dir` of the session; a temporary folder only where none is set and all tasks run in this machine."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="tessella-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write `df` once and read it back: cuts lineage, and outlives lost executors."""
+def written(df: DataFrame, name: str, *done: DataFrame) -> DataFrame:
+    """Write `df` once and read it back: cuts lineage, and outlives lost executors. Then delete the tables `done`, as `dropped` does."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tessella/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _made.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    _made[path] = spark
+    back = spark.read.schema(df.schema).parquet(path)
+    back.written_to = path
+    dropped(*done)
+    return back
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete tables of `written` that no frame still to be computed reads; frames that it didn't make stay as they are."""
+    for table in tables:
+        path = table.__dict__.get("written_to")
+        if path in _made:
+            _delete(path)
+
+
+def _delete(path: str) -> None:
+    context = _made.pop(path).sparkContext
+    target = context._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def forget() -> None:
     """Delete what `written` has left; only for the end of an application, when no frame reads it any more."""
-    while _made:
-        spark, path = _made.pop()
+    for path in list(_made):
         try:
-            jvm = spark.sparkContext._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-        except Exception:  # noqa: BLE001  the session has ended already
-            return
+            _delete(path)
+        except Exception as e:  # noqa: BLE001  whatever a session that has ended raises
+            logging.getLogger(__name__).info("not deleted: %s (%s)", path, e)
 
 
 atexit.register(forget)
