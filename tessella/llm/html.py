@@ -1,27 +1,36 @@
 """Main text of web pages by line-block distribution (operator 2).
 
-Markup is stripped into blocks in page order. Each block has a length: the characters of its text outside
-links, and zero inside menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and
-reader comments. Sums of these lengths over sliding windows of blocks form a curve; it surges where the
-main text begins and dives where it ends, and the blocks between are kept. In a page that marks its article,
-only the article has lengths, and any length is a surge.
-
-A null or empty page has an empty text. Repeated rows each come back. Extra columns are ignored.
+Markup is stripped into lines, one for each block, in page order. Menus, headers, footers, sidebars, forms, dialogs,
+scripts, styles, hidden parts and reader comments - by their elements, or attributes for the last two - make empty
+lines. A line's length is the number of characters of its text outside links. Two doubts divide it by `DOUBT` each:
+that the class, id or role of what holds it names a part beside the main text, and that the page has an article and the
+line lies outside it. Lines of equal doubts form one distribution, in page order: sums of lengths over sliding windows
+of `window` lines. A run of lines surges where the sum gets to `surge` characters - or to the page's highest sum, if that is
+less - and dives where it gets to zero; the lines from the first to the last with a length before the dive are kept,
+empty ones aside. So a box of adverts is dropped because it is short for its doubts, and an article in a box with an
+odd name is kept because it is long.
+
+A null or empty page has an empty text. Repeated rows each come back. Ties don't arise: lines keep the page's order. A
+page is held whole by one task and takes time in proportion to its length. Extra columns are ignored; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
 
 import html as _html
 import re
+from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 WINDOW = 3
-#: Least window sum, in characters, of the main text of a page that marks no article.
+#: Least window sum, in characters, of main text.
 SURGE = 80
+DOUBT = 8
 
 #: Elements whose content is never text.
 RAW = frozenset("script style noscript template iframe svg math canvas object audio video head select datalist textarea button".split())
@@ -54,29 +63,35 @@ def _named(attrs: str) -> set[str]:
     return {w.lower() for m in _NAMED.finditer(attrs) for w in _WORDS.findall(m[2] or m[3] or m[4] or "")}
 
 
-def page_blocks(page: str) -> tuple[list[str], list[int], bool]:
-    """Texts of the blocks in page order, their lengths, and whether the page marks an article."""
-    texts: list[str] = []
-    lengths: list[int] = []
-    own: list[bool] = []
+class Line(NamedTuple):
+    text: str  # empty in parts that are never main text
+    length: int
+    doubts: int
+
+
+def page_lines(page: str) -> list[Line]:
+    """The lines of a page in order."""
+    made: list[tuple[str, int, bool, bool]] = []  # text, characters outside links, whether its holder's name speaks against it, whether in an article
     parts: list[str] = []
     loose: list[str] = []  # of the parts, those outside links
     links = 0
     heading = False
-    # Each open holder: its name, whether text in it is beside the main text, whether in an article, whether in comments.
-    stack: list[tuple[str, bool, bool, bool]] = [("", False, False, False)]
+    # Each open holder: its name, whether its text is never main text, whether its name speaks against it, whether in an article, whether in comments.
+    stack: list[tuple[str, bool, bool, bool, bool]] = [("", False, False, False, False)]
+    open_: Counter[str] = Counter()
 
     def close() -> None:
         if parts:
             text = " ".join(_html.unescape("".join(parts)).split())
             free = len(text) if len(loose) == len(parts) else len(" ".join(_html.unescape("".join(loose)).split()))
             if text:
-                name, beside, article, talk = stack[-1]
-                if beside and name == "header" and heading and len(stack) > 1 and stack[-2][2] and not talk:
+                name, beside, hinted, article, talk = stack[-1]
+                if beside and name == "header" and heading and len(stack) > 1 and stack[-2][3] and not talk:
                     beside = False
-                texts.append(text)
-                lengths.append(0 if beside else max(free, 1) if article else free)
-                own.append(article and not beside)
+                if not beside:
+                    made.append((text, max(free, 1) if article else free, hinted, article))
+                elif not article:
+                    made.append(("", 0, hinted, article))
         parts.clear()
         loose.clear()
 
@@ -118,15 +133,16 @@ def page_blocks(page: str) -> tuple[list[str], list[int], bool]:
                 heading = name in HEADINGS
             if name in HOLDERS:
                 words = _named(attrs)
-                _, beside, article, talk = stack[-1]
+                _, beside, hinted, article, talk = stack[-1]
                 talk = talk or bool(words & TALK)
                 if name in ("article", "main"):
-                    beside, article = talk, not talk
+                    beside, hinted, article = talk, False, not talk
                 elif name not in ("body", "html"):
-                    beside = beside or name in ASIDE or bool(words & HINTS)
+                    beside, hinted = beside or talk or name in ASIDE, hinted or bool(words & HINTS)
                 if _HIDDEN.search(attrs):
                     beside = True
-                stack.append((name, beside, article, talk))
+                stack.append((name, beside, hinted, article, talk))
+                open_[name] += 1
         else:
             if name == "a":
                 links = max(0, links - 1)
@@ -135,38 +151,47 @@ def page_blocks(page: str) -> tuple[list[str], list[int], bool]:
             if name in BLOCKS:
                 close()
                 heading = False
-            if name in HOLDERS:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] == name:
-                        del stack[k:]
-                        links = 0
+            if name in HOLDERS and open_[name]:
+                while True:
+                    last = stack.pop()[0]
+                    open_[last] -= 1
+                    if last == name:
                         break
+                links = 0
     close()
-    marked = any(own)
-    if marked:
-        lengths = [n if o else 0 for n, o in zip(lengths, own, strict=True)]
-    return texts, lengths, marked
+    marked = any(article and text for text, _, _, article in made)
+    return [Line(text, length // DOUBT ** (doubts := hinted + (marked and not article)), doubts) for text, length, hinted, article in made]
+
+
+def between_surge_and_dive(lengths: np.ndarray, window: int, surge: int) -> np.ndarray:
+    """True for the lines of a distribution that a surge and a dive enclose."""
+    n = len(lengths)
+    total = np.concatenate([[0], np.cumsum(np.concatenate([np.zeros(window - 1, np.int64), lengths, np.zeros(window - 1, np.int64)]))])
+    curve = total[window:] - total[:-window]  # curve[i] sums the window that ends at line i
+    alive = np.concatenate([[False], curve > 0, [False]])
+    starts, stops = np.flatnonzero(alive[1:] & ~alive[:-1]), np.flatnonzero(alive[:-1] & ~alive[1:])
+    kept = np.zeros(n, bool)
+    for a, b in zip(starts.tolist(), stops.tolist(), strict=True):
+        if curve[a:b].max() >= surge:
+            kept[a : b - window + 1] = True  # the last window - 1 sums of a run are of windows that end after its last length
+    return kept
 
 
 def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str:
-    """The kept blocks, joined by two line feeds."""
+    """The kept lines, joined by two line feeds."""
     if not page:
         return ""
-    texts, lengths, marked = page_blocks(page)
-    if not texts:
+    lines = page_lines(page)
+    doubts = np.array([x.doubts for x in lines], np.int64)
+    lengths = np.array([x.length for x in lines], np.int64)
+    groups = [np.flatnonzero(doubts == d) for d in sorted(set(doubts.tolist()))]
+    peak = max((int(np.convolve(lengths[g], np.ones(window, np.int64)).max()) for g in groups), default=0)
+    if not peak:
         return ""
-    sizes = np.array(lengths, np.int64)
-    least = 1 if marked else surge
-    padded = np.concatenate([np.zeros(window - 1, np.int64), sizes, np.zeros(window - 1, np.int64)])
-    curve = np.convolve(padded, np.ones(window, np.int64), "valid")  # curve[i] sums the window that ends at block i
-    high = curve >= least
-    if not high.any():
-        high = curve >= max(1, curve.max())  # a page of little text: its densest part
-    # A block lies between a surge and a dive if a window over it is high.
-    inside = np.zeros(len(texts), bool)
-    for k in range(window):
-        inside |= high[k : k + len(texts)]
-    return "\n\n".join(t for t, keep, n in zip(texts, inside, sizes, strict=True) if keep and n > 0)
+    kept = np.zeros(len(lines), bool)
+    for g in groups:
+        kept[g] = between_surge_and_dive(lengths[g], window, min(surge, peak))
+    return "\n\n".join(x.text for x, keep in zip(lines, kept, strict=True) if keep and x.text)
 
 
 def extract(pages: DataFrame, window: int = WINDOW, surge: int = SURGE) -> DataFrame:
