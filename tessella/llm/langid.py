@@ -2,13 +2,15 @@
 
 Subwords are byte n-grams of the lower-cased text with white space as one separator. A text's vector is the
 mean of its subwords' embeddings; a softmax over a linear map of it gives the languages' probabilities.
-Embeddings and map are trained by stochastic gradient descent in numpy on a bounded sample of labelled rows
-(`per_lang` rows of each language, drawn by a hash). A temperature fitted on a held-back part of that sample
-calibrates the score, and the score below which texts are rejected.
-
-A null text, or one without a letter, is `und` with score 0 and is rejected. Rows without lang are not
-learned from. A null doc_id counts as an empty text in the fold. Repeated rows each come back. With no
-labelled rows at all every text is `und`. Extra columns are ignored.
+Embeddings and map are trained by stochastic gradient descent in numpy on a bounded sample of labelled rows: at most
+`per_lang` rows, drawn by a hash, of each of the `most_langs` commonest languages (ties to the smaller name), with their
+whole texts in segments. Training ends when the loss on a held-back part of the sample stops falling, after `epochs` at
+most. A temperature fitted on that part calibrates the score, and the score below which texts are rejected.
+
+A null text, or one without a letter, is `und` with score 0 and is rejected. Rows without lang are not learned from. A
+null doc_id counts as an empty text in the fold. Repeated rows each come back; equal probabilities go to the smaller
+language. With no labelled rows at all every text is `und`. A task holds a text whole, with about 60 bytes of memory for
+each byte of the longest. Extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -88,36 +90,40 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(1, keepdims=True)
 
 
-def sample(docs: DataFrame, per_lang: int, folds: int, held: int) -> DataFrame:
-    """text and lang of at most about `per_lang` labelled rows of each language outside the held-out fold."""
+def sample(docs: DataFrame, per_lang: int, folds: int, held: int, most_langs: int) -> DataFrame:
+    """_h, lang and text of at most `per_lang` labelled rows of each of the commonest languages, outside the held-out fold."""
     own = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     own = own.where((fold(F.col("doc_id"), folds) != held) & F.col("lang").isNotNull())
-    drawn = F.xxhash64(F.col("doc_id").cast("string"), F.lit(5))
-    # Ranks need only ids; the optimiser cuts each task's rows to per_lang before the shuffle.
+    common = own.groupBy("lang").agg(F.count(F.lit(1)).alias("_n")).orderBy(F.col("_n").desc(), "lang").limit(most_langs).select("lang")
+    own = own.join(common, "lang", "left_semi").withColumn("_h", F.xxhash64(F.col("doc_id").cast("string"), "text", F.lit(5)))
+    # Ranks need only hashes; the optimiser cuts each task's rows to per_lang before the shuffle.
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("_h"))
-    cut = own.select("lang", drawn.alias("_h")).withColumn("_r", rank).where(F.col("_r") <= per_lang).groupBy("lang").agg(F.max("_h").alias("_top"))
-    found = own.withColumn("_h", drawn).join(cut.withColumnRenamed("lang", "_l"), (F.col("lang") == F.col("_l")) & (F.col("_h") <= F.col("_top")))
-    return found.select("_h", "lang", "text")
-
-
-def train(texts: list[str], labels: list[str], epochs: int = 12, rate: float = 0.5, segment: int = 240, seed: int = 11) -> Model:
-    """Fit on segments of several lengths cut from the texts, so that short texts are known too."""
+    cut = own.select("lang", "_h").withColumn("_r", rank).where(F.col("_r") <= per_lang).groupBy("lang").agg(F.max("_h").alias("_top"))
+    found = own.join(cut.withColumnRenamed("lang", "_l"), (F.col("lang") == F.col("_l")) & (F.col("_h") <= F.col("_top")))
+    # Copies of the last row drawn are cut, too.
+    return found.withColumn("_r", rank).where(F.col("_r") <= per_lang).select("_h", "lang", "text")
+
+
+def _segments(text: str, rng: np.random.Generator, shortest: int, longest: int) -> Iterator[np.ndarray]:
+    """Subwords of the consecutive parts of a whole text, of random lengths."""
+    data = np.frombuffer(text.encode(), np.uint8)
+    sizes = np.exp(rng.uniform(np.log(shortest), np.log(longest), 1 + len(data) // shortest)).astype(np.int64)
+    ends = np.cumsum(sizes)
+    for a, b in zip((ends - sizes).tolist(), ends.tolist(), strict=True):
+        if a >= len(data):
+            return
+        piece = subwords(data[a:b])
+        if piece:
+            yield np.concatenate(piece)
+
+
+def train(texts: list[str], labels: list[str], epochs: int = 12, rate: float = 0.5, shortest: int = 12, longest: int = 1000, batch: int = 64, seed: int = 11) -> Model:
+    """Fit on segments of several lengths, so that short texts are known too."""
     langs = sorted(set(labels))
     if not langs:
         return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0), 1.0, 0.0)
     rng = np.random.default_rng(seed)
-    rows: list[tuple[np.ndarray, int, bool]] = []
-    for k, (text, lang) in enumerate(zip(texts, labels, strict=True)):
-        data = np.frombuffer(text.encode(), np.uint8)
-        at = 0
-        pieces = 0
-        while at < len(data) and pieces < 8:
-            size = int(rng.integers(12, segment))
-            piece = subwords(data[at : at + size])
-            if piece:
-                rows.append((np.concatenate(piece), langs.index(lang), k % 5 == 0))
-            at += max(size, len(data) // 8)
-            pieces += 1
+    rows = [(piece, langs.index(lang), k % 5 == 0) for k, (text, lang) in enumerate(zip(texts, labels, strict=True)) for piece in _segments(text, rng, shortest, longest)]
     if not rows:
         return Model(langs, np.zeros((BUCKETS, len(langs)), np.float32), np.zeros(len(langs)), 1.0, 0.0)
     learn, check = [r for r in rows if not r[2]] or rows, [r for r in rows if r[2]] or rows
@@ -126,30 +132,41 @@ def train(texts: list[str], labels: list[str], epochs: int = 12, rate: float = 0
     embed = rng.normal(0, 1 / DIM, (BUCKETS, DIM)).astype(np.float32)
     out = np.zeros((DIM, len(langs)), np.float32)
     bias = np.zeros(len(langs), np.float32)
-    steps = max(1, epochs * len(learn) // 32)
-    done = 0
-    for _ in range(epochs):
+    check_y, check_lens = np.array([r[1] for r in check]), np.array([len(r[0]) for r in check])
+    check_ids, check_starts = np.concatenate([r[0] for r in check]), np.concatenate([[0], np.cumsum(check_lens)[:-1]])
+
+    def held_back() -> tuple[np.ndarray, float]:
+        table = embed @ out
+        logits = np.column_stack([np.add.reduceat(table[:, j][check_ids], check_starts) for j in range(len(langs))]) / check_lens[:, None] + bias
+        return logits, float(-np.log(np.maximum(_softmax(logits)[np.arange(len(check_y)), check_y], 1e-12)).mean())
+
+    best = np.inf
+    for epoch in range(epochs):
         order = rng.permutation(len(learn))
-        for at in range(0, len(order), 32):
-            batch = [learn[i] for i in order[at : at + 32]]
-            lens = np.array([len(b[0]) for b in batch])
-            ids = np.concatenate([b[0] for b in batch])
-            y = np.array([b[1] for b in batch])
+        step = rate * (1 - epoch / epochs)
+        for at in range(0, len(order), batch):
+            drawn = [learn[i] for i in order[at : at + batch]]
+            lens = np.array([len(b[0]) for b in drawn])
+            ids = np.concatenate([b[0] for b in drawn])
+            y = np.array([b[1] for b in drawn])
             starts = np.concatenate([[0], np.cumsum(lens)[:-1]])
             mean = np.add.reduceat(embed[ids], starts, axis=0) / lens[:, None]
             p = _softmax(mean @ out + bias)
             p[np.arange(len(y)), y] -= 1
             p *= weight[y][:, None]
-            step = rate * (1 - done / steps)
-            back = (p @ out.T) / lens[:, None]
-            out -= step / len(y) * (mean.T @ p)
-            bias -= step / len(y) * p.sum(0)
-            np.add.at(embed, ids, -(step * np.repeat(back, lens, axis=0)).astype(np.float32))
-            done += 1
+            back = -step * (p @ out.T) / lens[:, None]
+            out -= step / 32 * (mean.T @ p)
+            bias -= step / 32 * p.sum(0)
+            owner = np.repeat(np.arange(len(y)), lens)
+            for d in range(DIM):
+                embed[:, d] += np.bincount(ids, back[owner, d], BUCKETS)
+        loss = held_back()[1]
+        if loss > 0.98 * best:
+            break
+        best = loss
     table = (embed @ out).astype(np.float32)
     model = Model(langs, table, bias.astype(float), 1.0, 0.0)
-    logits = np.array([table[ids].sum(0) / len(ids) for ids, _, _ in check]) + model.bias
-    y = np.array([r[1] for r in check])
+    logits, y = held_back()[0], check_y
     tries = np.geomspace(0.05, 5, 60)
     loss = [-np.log(np.maximum(_softmax(logits / t)[np.arange(len(y)), y], 1e-12)).mean() for t in tries]
     model.temperature = float(tries[int(np.argmin(loss))])
@@ -158,9 +175,9 @@ def train(texts: list[str], labels: list[str], epochs: int = 12, rate: float = 0
     return model
 
 
-def fit(docs: DataFrame, per_lang: int = 400, folds: int = 4, held: int = 2) -> Model:
-    """Model from at most about `per_lang` rows of each language; rows of the held-out fold are never read for it."""
-    rows = sample(docs, per_lang, folds, held).collect()
+def fit(docs: DataFrame, per_lang: int = 400, folds: int = 4, held: int = 2, most_langs: int = 512) -> Model:
+    """Model from at most `per_lang` rows of each of at most `most_langs` languages; rows of the held-out fold are never read for it."""
+    rows = sample(docs, per_lang, folds, held, most_langs).collect()
     rows.sort(key=lambda r: (r["_h"], r["lang"], r["text"] or ""))
     return train([r["text"] or "" for r in rows], [r["lang"] for r in rows])
 
