@@ -1,18 +1,22 @@
 """Approximate nearest neighbours by multi-index hashing (operator 10).
 
-Vectors get binary codes: signs after learned orthogonal rotations (iterative quantisation on a bounded
-sample). A code is split into 16-bit substrings, each an index of its own. A code within Hamming radius r of a
-query has a substring within r // m of the query's, so probing the occupied buckets of every index at that
-distance retrieves all codes within r; these are reranked by the inner product of the original vectors.
-
-Every row is indexed. Queries and rows meet in blocks of bounded size, and each block returns its best k per
-query, for a final merge. In a block with fewer than k codes within r the radius grows until k are found, so a
-query gets k results whenever there are k candidates. Vectors of unequal norms get one more component that
-makes the norms equal, so that nearest by angle is nearest by inner product.
-
-Vectors that are null, zero, hold nulls or non-finite numbers, or differ in length from most, take no part.
-Rows with equal vec_id count as one row; a null vec_id takes no part. Extra columns are ignored; an empty
-table gives an empty result.
+Vectors get binary codes: signs after learned orthogonal rotations (iterative quantisation on a bounded sample of
+`sample_rows` vectors, which also sets the Hamming radius r at which `recall` of its neighbours lie). A code is split
+into m substrings of 16 bits, each with an index of its own. With r = m q + a, a code within r of a query has one of
+its first a + 1 substrings within q of the query's, or one of the others within q - 1. So probing every index at those
+distances retrieves all codes within r; these are reranked by the inner product of the original vectors.
+
+Every row is indexed. Rows lie in blocks, each with its m indexes; queries, in groups, visit every block, and each
+block returns its best k per query, for a final merge. Blocks and groups are bounded, and only one of the two is copied
+as long as the other fits one block. In a block with fewer than k codes within r the radius grows until k are found, so
+a query gets k results whenever there are k candidates. Vectors of unequal norms get one more component that makes the
+norms equal, so that nearest by angle is nearest by inner product.
+
+Vectors that are null, zero, or hold nulls or non-finite numbers take no part, nor does a null vec_id. A vector has an
+inner product only with vectors of its length: each length is a search of its own. Every row is a candidate of its own;
+rows with equal vec_id each answer as a query, with the others of that id among their candidates. Ties go to the smaller
+vec_id. Very long vectors count by their length only in memory: a block holds 65,536 of them at most. Extra columns are
+ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -20,12 +24,19 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
+from tessella.llm.stage import written
+
 BITS = 16
-QUERY_BLOCK = 1024
-ROW_BLOCK = 4096
+LEAST_BLOCK, MOST_BLOCK = 4096, 1 << 16
+#: Rows of all tables of this size or less lie in so many blocks, for parallel work.
+BLOCKS = 64
+_WEIGHTS = np.bitwise_count(np.arange(1 << BITS, dtype=np.uint32)).astype(np.int64)
+#: All masks of 16 bits in order of their number of ones, and how many have up to so many.
+MASKS = np.argsort(_WEIGHTS, kind="stable").astype(np.uint16)
+UP_TO = np.cumsum(np.bincount(_WEIGHTS))
 
 
 @dataclass
@@ -77,111 +88,112 @@ def hamming(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return total
 
 
-def retrieve(asked: np.ndarray, stored: np.ndarray, radius: int) -> np.ndarray:
-    """True where a stored code lies within the radius of an asked one, by pigeonhole probing of each index."""
-    m = asked.shape[1]
-    reach = radius // m
-    found = np.zeros((len(asked), len(stored)), bool)
-    for j in range(m):
-        buckets, member = np.unique(stored[:, j], return_inverse=True)
-        probed = np.bitwise_count(asked[:, None, j] ^ buckets[None, :]) <= reach
-        found |= probed[:, member]
-    a, b = np.nonzero(found)
-    for at in range(0, len(a), 1 << 20):
-        part = slice(at, at + (1 << 20))
-        distance = np.bitwise_count(asked[a[part]] ^ stored[b[part]]).sum(1, dtype=np.uint16)
-        found[a[part], b[part]] = distance <= radius
-    return found
-
-
-def search_block(coder: Coder, query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, rows: np.ndarray, k: int) -> pd.DataFrame:
-    """The k best rows of a block for each query, ties to the smaller id."""
-    asked, stored = coder.codes(queries, True), coder.codes(rows)
-    own = query_ids[:, None] == ids[None, :]
-    found = retrieve(asked, stored, coder.radius) & ~own
-    for q in np.flatnonzero(found.sum(1) < k):
-        distance = hamming(asked[q : q + 1], stored)[0].astype(np.int32)
-        distance[own[q]] = 1 << 20
-        reach = np.sort(distance)[min(k, len(ids)) - 1]
-        found[q] = (distance <= reach) & ~own[q]
-    out_q, out_r = [], []
-    for q in range(len(query_ids)):
-        near = np.flatnonzero(found[q])
+@dataclass
+class Index:
+    """One index of rows for each substring of their codes: rows in order of the substring, and where each value begins."""
+
+    codes: np.ndarray  # rows x substrings
+    rows: list[np.ndarray]
+    begins: list[np.ndarray]
+
+    @classmethod
+    def of(cls, codes: np.ndarray) -> Index:
+        columns = [codes[:, j] for j in range(codes.shape[1])]
+        begins = [np.concatenate([[0], np.cumsum(np.bincount(c, minlength=1 << BITS))]) for c in columns]
+        return cls(codes, [np.argsort(c, kind="stable") for c in columns], begins)
+
+    def within(self, code: np.ndarray, radius: int) -> np.ndarray:
+        """Rows whose codes lie within the radius of a code, by probing the buckets of every index that pigeonholes leave."""
+        q, a = divmod(radius, len(code))
+        found = np.zeros(len(self.codes), bool)
+        for j, part in enumerate(code):
+            reach = q if j <= a else q - 1
+            if reach < 0:
+                continue
+            buckets = MASKS[: UP_TO[min(reach, BITS)]] ^ part
+            first, last = self.begins[j][buckets], self.begins[j][buckets.astype(np.int64) + 1]
+            held = np.flatnonzero(last > first)
+            count = (last - first)[held]
+            ends = np.cumsum(count)
+            if len(ends):
+                found[self.rows[j][np.arange(ends[-1]) + np.repeat(first[held] - ends + count, count)]] = True
+        rows = np.flatnonzero(found)
+        return rows[np.bitwise_count(self.codes[rows] ^ code).sum(1, dtype=np.int64) <= radius]
+
+
+def search_block(coder: Coder, query_rows: np.ndarray, queries: np.ndarray, stored_rows: np.ndarray, ids: np.ndarray, stored: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best rows of a block for each query, ties to the smaller id: places of queries, places of rows, and scores."""
+    asked, index = coder.codes(queries, True), Index.of(coder.codes(stored))
+    place = dict(zip(stored_rows.tolist(), range(len(stored_rows)), strict=True))
+    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+    for q in range(len(query_rows)):
+        own = place.get(int(query_rows[q]), -1)
+        near = index.within(asked[q], coder.radius)
+        near = near[near != own]
+        if len(near) < k:
+            distance = np.bitwise_count(index.codes ^ asked[q]).sum(1, dtype=np.int64)
+            if own >= 0:
+                distance[own] = 1 << 20
+            near = np.flatnonzero(distance <= np.sort(distance)[min(k, len(ids)) - 1])
+            near = near[near != own]
         if not len(near):
             continue
-        score = rows[near] @ queries[q]
+        score = stored[near] @ queries[q]
         if len(near) > k:
             edge = np.partition(score, len(score) - k)[len(score) - k]
             near = near[score >= edge - 1e-9 * max(1.0, abs(edge))]
-        exact = (rows[near] * queries[q]).sum(1)  # the same order of summation for equal vectors
+        exact = (stored[near] * queries[q]).sum(1)  # the same order of summation for equal vectors
         best = np.lexsort((ids[near], -exact))[:k]
-        out_q.append(np.full(len(best), q))
-        out_r.append(near[best])
-    if not out_q:
-        return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
-    q, r = np.concatenate(out_q), np.concatenate(out_r)
-    return pd.DataFrame({"query_id": query_ids[q], "vec_id": ids[r], "score": (rows[r] * queries[q]).sum(1)})
+        out.append((np.full(len(best), q), near[best], exact[best]))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """vec_id, v (array of double) and norm of the vectors that take part."""
-    v = F.col("embedding").cast("array<double>")
+    """vec_id, v, its length dim, and norm of the vectors that take part; v is an array of double, or of float as it came."""
+    single = vectors.schema["embedding"].dataType.simpleString() == "array<float>"
     bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
-    kept = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).where(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & ~bad)
-    kept = kept.withColumn("norm", norm).where(F.col("norm") > 0)
-    return kept
-
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+    kept = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>" if single else "array<double>").alias("v"))
+    kept = kept.where(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & ~bad)
+    return kept.withColumns({"dim": F.size("v"), "norm": norm}).where(F.col("norm") > 0)
 
-def _packed(rows: DataFrame, group: str, ids: str, values: str) -> DataFrame:
-    """One row per group with its ids and vectors as bytes; equal ids count once."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("vec_id", kind="stable").drop_duplicates("vec_id")
-        return pd.DataFrame({group: [pdf[group].iloc[0]], ids: [pdf["vec_id"].to_numpy(np.int64).tobytes()], values: [np.stack(pdf["v"].to_numpy()).astype(np.float64).tobytes()]})
-
-    return rows.groupBy(group).applyInPandas(run, f"{group} long, {ids} binary, {values} binary")
+def _matrix(table: pa.Table, dim: int) -> np.ndarray:
+    return table["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
 
 
 def search(vectors: DataFrame, every: int = 20, k: int = 20, sample_rows: int = 4096) -> DataFrame:
     """query_id, rank, vec_id and score of the k nearest found of each row whose vec_id is divisible by `every`."""
-    spark = vectors.sparkSession
-    good = usable(vectors)
-    # One row per vector length.
-    lengths = good.groupBy(F.size("v").alias("dim")).agg(F.count(F.lit(1)).alias("n"), F.max("norm").alias("norm"), F.sum((F.col("vec_id") % every == 0).cast("long")).alias("asked"))
-    common = lengths.orderBy(F.col("n").desc(), "dim").limit(1).collect()
-    schema = "query_id long, rank int, vec_id long, score double"
-    if not common:
-        return spark.createDataFrame([], schema)
-    dim, n, asked = common[0]["dim"], common[0]["n"], common[0]["asked"]
-    good = good.where(F.size("v") == dim)
-    drawn = good.orderBy(F.xxhash64("vec_id", F.lit(9)), "vec_id").limit(sample_rows).select("v").collect()
-    coder = learn(np.array([r["v"] for r in drawn], np.float64).reshape(-1, dim), common[0]["norm"], k=k)
-
-    n_rows, n_asked = max(1, -(-n // ROW_BLOCK)), max(1, -(-asked // QUERY_BLOCK))
-    place = F.xxhash64("vec_id", F.lit(1))
-    stored = _packed(good.select(F.pmod(place, F.lit(n_rows)).alias("_r"), "vec_id", "v"), "_r", "_ids", "_rows")
-    queries = good.where(F.col("vec_id") % every == 0).select(F.pmod(place, F.lit(n_asked)).alias("_q"), "vec_id", "v")
-    queries = _packed(queries, "_q", "_query_ids", "_queries")
-    # The stated queries against all rows, block by block.
-    pairs = stored.withColumn("_q", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_asked - 1).cast("long")))).join(queries, "_q")
-    shared = spark.sparkContext.broadcast(coder)
-
-    pairs = pairs.select(F.col("_ids").alias("ids"), F.col("_rows").alias("rows"), F.col("_query_ids").alias("query_ids"), F.col("_queries").alias("queries"))
-    pairs = pairs.repartition(max(1, min(n_rows * n_asked, 100_000)), F.xxhash64("ids", "query_ids"))
-
-    def run_pairs(frames):
-        for pdf in frames:
-            for raw_ids, raw_rows, raw_query_ids, raw_queries in zip(pdf["ids"], pdf["rows"], pdf["query_ids"], pdf["queries"], strict=True):
-                yield search_block(
-                    shared.value,
-                    np.frombuffer(raw_query_ids, np.int64),
-                    np.frombuffer(raw_queries, np.float64).reshape(-1, dim),
-                    np.frombuffer(raw_ids, np.int64),
-                    np.frombuffer(raw_rows, np.float64).reshape(-1, dim),
-                    k,
-                )
-
-    found = pairs.mapInPandas(run_pairs, "query_id long, vec_id long, score double")
-    best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    # Row numbers hold from here on: the table is written once.
+    good = written(usable(vectors).withColumn("_row", F.monotonically_increasing_id()), "vectors")
+    lengths = good.groupBy("dim").agg(F.count(F.lit(1)).alias("n"), F.max("norm").alias("norm"), F.sum((F.col("vec_id") % every == 0).cast("long")).alias("asked"))
+    found = vectors.sparkSession.createDataFrame([], "query_row long, query_id long, vec_id long, score double")
+    for each in lengths.where("asked > 0").orderBy("dim").collect():  # one row a vector length
+        found = found.unionByName(_search_length(good.where(F.col("dim") == each["dim"]), each["dim"], each["n"], each["asked"], each["norm"], every, k, sample_rows))
+    best = Window.partitionBy("query_row").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
+def _search_length(good: DataFrame, dim: int, n: int, asked: int, norm: float, every: int, k: int, sample_rows: int) -> DataFrame:
+    drawn = good.orderBy(F.xxhash64("vec_id", F.lit(9)), "vec_id", "v").limit(sample_rows).select("v").collect()
+    coder = learn(np.array([r["v"] for r in drawn], np.float64).reshape(-1, dim), norm, k=k)
+    shared = good.sparkSession.sparkContext.broadcast(coder)
+
+    block = min(MOST_BLOCK, max(LEAST_BLOCK, n // BLOCKS))
+    n_blocks, n_groups = -(-n // block), -(-asked // MOST_BLOCK)
+    part = lambda count, salt: F.pmod(F.xxhash64("_row", F.lit(salt)), F.lit(count)).cast("int")
+    all_of = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
+    stored = good.select(part(n_blocks, 1).alias("b"), all_of(n_groups).alias("g"), "_row", "vec_id", "v")
+    queries = good.where(F.col("vec_id") % every == 0).select(all_of(n_blocks).alias("b"), part(n_groups, 2).alias("g"), "_row", "vec_id", "v")
+
+    def run(rows: pa.Table, asking: pa.Table) -> pa.Table:
+        ids, query_ids, query_rows = (t[c].to_numpy() for t, c in ((rows, "vec_id"), (asking, "vec_id"), (asking, "_row")))
+        if len(ids) and len(query_ids):
+            q, r, score = search_block(shared.value, query_rows, _matrix(asking, dim), rows["_row"].to_numpy(), ids, _matrix(rows, dim), k)
+        else:
+            q = r = np.zeros(0, np.int64)
+            score = np.zeros(0)
+        return pa.table({"query_row": query_rows[q], "query_id": query_ids[q], "vec_id": ids[r], "score": score})
+
+    met = stored.groupBy("b", "g").cogroup(queries.groupBy("b", "g"))
+    return met.applyInArrow(run, "query_row long, query_id long, vec_id long, score double")

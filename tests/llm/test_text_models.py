@@ -30,6 +30,64 @@ def test_odd_pages(page, text):
     assert html.main_text(page) == text
 
 
+def kept_by_rule(lines, window, surge):
+    """The documented rule, line by line."""
+    out = [False] * len(lines)
+    sums = {}
+    for d in {x.doubts for x in lines}:
+        own = [k for k, x in enumerate(lines) if x.doubts == d]
+        for at in range(len(own) + window - 1):
+            sums[d, at] = sum(lines[own[k]].length for k in range(at - window + 1, at + 1) if 0 <= k < len(own))
+    peak = max(sums.values(), default=0)
+    for d in {x.doubts for x in lines}:
+        own = [k for k, x in enumerate(lines) if x.doubts == d]
+        at = 0
+        while at < len(own):
+            stop = at
+            while sums.get((d, stop), 0) > 0:
+                stop += 1
+            if stop > at and any(sums[d, k] >= min(surge, peak) for k in range(at, stop)):
+                inside = [k for k in range(at, min(stop, len(own))) if lines[own[k]].length]
+                for k in range(inside[0], inside[-1] + 1):
+                    out[own[k]] = True
+            at = max(stop, at + 1)
+    return "\n\n".join(x.text for x, keep in zip(lines, out, strict=True) if keep and x.text)
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_kept_lines_follow_the_rule(seed):
+    rng = random.Random(seed)
+    tags = ["p", "div", "div class=ad", "div class='sidebar'", "section", "article", "nav", "footer", "li", "h2", "a href=x", "b"]
+
+    def part(depth):
+        if depth == 0 or rng.random() < 0.3:
+            return "word " * rng.choice([0, 1, 3, 12, 40])
+        tag = rng.choice(tags)
+        return f"<{tag}>{''.join(part(depth - 1) for _ in range(rng.randint(0, 5)))}</{tag.split()[0]}>"
+
+    page = "".join(part(4) for _ in range(12))
+    window, surge = rng.choice([1, 2, 3, 5]), rng.choice([20, 80, 200])
+    assert html.main_text(page, window, surge) == kept_by_rule(html.page_lines(page), window, surge)
+
+
+def test_the_window_decides():
+    long = "Plain words that go on and on for quite a while, far past any menu entry, as articles do. " * 10
+    # A long text in a box with an odd name stays, a short one goes, and so does a short line far from the text.
+    assert html.main_text(f"<div class='social'><p>{long}</p></div><div class=promo>Buy now</div>") == long.strip()
+    assert html.main_text(f"<p>Lost</p><nav><p>a</p><p>b</p><p>c</p></nav><p>{long}</p><p>Near</p>") == long.strip() + "\n\nNear"
+    # Links within the text stay, links around it go.
+    menu = "<ul>" + "<li><a href=x>Go there</a></li>" * 5 + "</ul>"
+    assert html.main_text(f"{menu}<p>{long}</p><p><a href=y>Source</a></p><p>{long}</p>{menu}") == f"{long.strip()}\n\nSource\n\n{long.strip()}"
+
+
+def test_stray_end_tags_take_constant_time():
+    import time
+
+    began = time.time()
+    assert html.main_text("<div>" * 20000 + "text" + "</ul>" * 20000) == "text"
+    assert time.time() - began < 5
+
+
 def test_extract_rows(spark):
     pages = spark.createDataFrame([(1, "u", PAGE), (1, "u", PAGE), (2, None, None)], "page_id long, url string, html string")
     got = sorted(((r["page_id"], r["n_chars"], len(r["text"])) for r in html.extract(pages).collect()))
@@ -58,6 +116,13 @@ def test_language_accuracy_on_held_out_rows(docs_of):
     assert {r["doc_id"] for r in got if r["lang_pred"] == "und"} == {1000, 1001, 1002}
 
 
+def test_sample_is_bounded(docs_of):
+    rows = [(None, f"the of number {k}", "aa") for k in range(200)] + [(7, "der die", "bb")] * 50 + [(k, "le la", f"l{k}") for k in range(100, 140)]
+    found = langid.sample(docs_of(rows), 10, 4, 2, 5).collect()
+    count = Counter(r["lang"] for r in found)
+    assert count["aa"] == 10 and count["bb"] in (0, 10) and len(count) <= 5 and max(count.values()) == 10
+
+
 def test_no_labels(docs_of, spark):
     docs = docs_of([(1, "hello")]).withColumn("lang", __import__("pyspark").sql.functions.lit(None).cast("string"))
     assert [r["lang_pred"] for r in langid.predict(docs, langid.fit(docs)).collect()] == ["und"]
@@ -66,12 +131,83 @@ def test_no_labels(docs_of, spark):
 
 
 def lm_rows():
+    """Sentences of a small grammar: what follows a word depends on up to two words before it."""
     rng = random.Random(4)
     vocabulary = ["The", "of", "and", *(f"v{k}" for k in range(60))]
-    return [(k, " ".join(rng.choice(vocabulary[: 6 + k % 50]) for _ in range(rng.randint(0, 80)))) for k in range(200)] + [(900, None), (901, "unseen words only"), (902, "")]
 
+    def text():
+        out = [rng.choice(vocabulary) for _ in range(2)]
+        for _ in range(rng.randint(0, 80)):
+            at = vocabulary.index(out[-1]) * 7 + (vocabulary.index(out[-2]) % 3 if out[-1] in vocabulary[:20] else 0) * 11
+            out.append(vocabulary[(at + rng.choice([0, 0, 0, 1, 2])) % 63] if rng.random() < 0.9 else rng.choice(vocabulary))
+        return " ".join(out)
+
+    return [(k, text()) for k in range(400)] + [(900, None), (901, "unseen words only"), (902, "")]
 
-def test_base_scores_equal_brute_force_and_model_is_better(docs_of):
+
+def brute_scores(rows, depth=lm.DEPTH):
+    """Scores by the documented rule, from dictionaries of tuples; for texts of which every word is a symbol or is seen too rarely to be one."""
+    token = [(zlib.crc32(str("" if d is None else d).encode()) % 5 == 1, [*words(lowered(t)), None]) for d, t in rows]
+    train = [w for held, w in token if not held]
+    count = Counter(x for w in train for x in w)
+    n, v = sum(count.values()), len(count)
+    symbols = {w for w, c in count.items() if c >= max(n * lm.SYMBOL_SHARE, lm.LEAST_COUNT)}
+    base = lambda w: (count[w] + 0.5) / (n + 0.5 * (v + 1))
+    top = {w: base(w) for w in symbols}
+    rest_of = 1 - sum(top.values())
+    other = object()
+    as_symbols = lambda w: [x if x in symbols else other for x in w]
+    states = {(): None}
+
+    def p(context, s):
+        if not context:
+            return top.get(s, rest_of)
+        total, entries = states[context]
+        rest = total - sum(entries.values()) + lm.STRENGTH
+        return (entries.get(s, 0) + rest * p(context[1:], s)) / (total + lm.STRENGTH)
+
+    for k in range(1, depth + 1):
+        follows = {}
+        for w in map(as_symbols, train):
+            for i in range(k, len(w)):
+                context = tuple(w[i - k : i])
+                if other not in context and context[1:] in states:
+                    follows.setdefault(context, Counter())[w[i]] += 1
+        made = {}
+        for context, after in follows.items():
+            total = sum(after.values())
+            if total < max(n * lm.CONTEXT_SHARE, lm.LEAST_COUNT):
+                continue
+            least = max(n * lm.ENTRY_SHARE, lm.LEAST_COUNT)
+            entries = {s: c for s, c in after.items() if c >= least}
+            pooled = total - sum(entries.values())
+            gains = []
+            for s, c in after.items():
+                q = p(context[1:], s)
+                if s in entries and c - 1 >= least:
+                    x = ((c - 1) + (pooled + lm.STRENGTH) * q) / (total - 1 + lm.STRENGTH) / q
+                elif s in entries:
+                    x = (pooled + c - 1 + lm.STRENGTH) / (total - 1 + lm.STRENGTH)
+                else:
+                    x = (pooled - 1 + lm.STRENGTH) / (total - 1 + lm.STRENGTH)
+                gains.append((c, math.log(x)))
+            if entries and sum(c * x for c, x in gains) > lm.SIGNIFICANCE * math.sqrt(sum(c * x * x for c, x in gains)):
+                made[context] = (total, entries)
+        if not made:
+            break
+        states |= made
+    out = []
+    for _, w in token:
+        s = as_symbols(w)
+        total = 0.0
+        for i, x in enumerate(s):
+            context = next(c for k in range(min(depth, i), -1, -1) if (c := tuple(s[i - k : i])) in states)
+            total += math.log10(base(w[i])) + math.log10(p(context, x) / top.get(x, rest_of))
+        out.append(total)
+    return out, states
+
+
+def test_scores_equal_brute_force_and_model_is_better(docs_of):
     rows = lm_rows()
     token = {d: [*words(lowered(t)), None] for d, t in rows}
     count = Counter()
@@ -79,23 +215,41 @@ def test_base_scores_equal_brute_force_and_model_is_better(docs_of):
         if zlib.crc32(str(d).encode()) % 5 != 1:
             count.update(w)
     n, v = sum(count.values()), len(count)
-    got = lm.score(docs_of(rows, extra=True)).collect()
+    got = {r["doc_id"]: r for r in lm.score(docs_of(rows, extra=True)).collect()}
     assert len(got) == len(rows)
+    expected, states = brute_scores(rows)
+    assert {len(c) for c in states} >= {0, 1, 2}
     held = [0.0, 0.0]
-    for r in got:
-        w = token[r["doc_id"]]
+    for (d, _), score in zip(rows, expected, strict=True):
+        r, w = got[d], token[d]
         base = sum(math.log10((count[x] + 0.5) / (n + 0.5 * (v + 1))) for x in w)
-        assert r["base_score"] == pytest.approx(base) and math.isfinite(r["score"])
+        assert r["base_score"] == pytest.approx(base) and r["score"] == pytest.approx(score)
         assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(w), sum(count[x] > 0 for x in w), n)
         if r["held_out"]:
             held[0] += r["base_score"]
             held[1] += r["score"]
-    assert held[1] > held[0]
+    assert held[1] > held[0] + 0.2 * abs(held[0])
+    gibberish = got[901]
+    assert gibberish["score"] / gibberish["n_tokens"] < held[1] / sum(got[d]["n_tokens"] for d in got if got[d]["held_out"])
+
+
+def trained(docs):
+    model, _ = lm.count_words(docs.select("text"))
+    root = docs.sparkSession.sparkContext.broadcast(model)
+    parts = docs.select("doc_id", "n_chars", "text").mapInArrow(lambda b: lm.tell_batches(root.value, b), "doc_id long, held_out long, n_tokens long, _known long, _base double, _rare array<long>, _symbols binary")
+    return lm.grow(parts.select("_symbols"), model)
+
+
+def test_words_drawn_by_chance_make_no_states(docs_of):
+    rng = random.Random(1)
+    vocabulary = [f"v{k}" for k in range(60)]
+    rows = [(k, " ".join(rng.choice(vocabulary) for _ in range(100))) for k in range(300)]
+    assert not [x for x in trained(docs_of(rows)).levels if len(x.total) > 1]
 
 
 def test_model_is_a_distribution(docs_of):
     rows = [(k, "a b a c " * 30 + "b c " * (k % 5)) for k in range(60)]
-    model, _ = lm.learn(docs_of(rows).select("text"))
+    model = trained(docs_of(rows))
     assert model.levels
     import numpy as np
 
@@ -115,7 +269,6 @@ def check_packing(rows, got, width=1024):
     import numpy as np
 
     t = Tokenizer.from_file(packing.default_tokenizer())
-    t.encode_special_tokens = True
     text = dict(rows)
     ids = {d: [*t.encode(x or "", add_special_tokens=False).ids, 0] for d, x in text.items()}
     seen, sequences = Counter(), {}
@@ -174,7 +327,7 @@ def test_plan_holds_the_histogram(seed):
     assert sum(t for _, t in made) <= 1.05 * total / 64 + 12
 
 
-def test_neighbours_recall_and_odd_rows(spark):
+def test_neighbours_recall_and_odd_rows(spark, monkeypatch):
     import numpy as np
 
     rng = np.random.default_rng(1)
@@ -182,7 +335,8 @@ def test_neighbours_recall_and_odd_rows(spark):
     x[500:900] = x[500]
     rows = [(k, v.tolist()) for k, v in enumerate(x.astype(np.float32).astype(float))]
     odd = [(20000, None), (20020, [0.0] * 16), (20040, [float("nan")] * 16), (20060, [1.0] * 3), (None, [1.0] * 16), (20080, [None] * 16)]
-    table = spark.createDataFrame([*rows, *odd, rows[40]], "vec_id long, embedding array<double>")
+    table = spark.createDataFrame([*rows, *odd], "vec_id long, embedding array<double>").selectExpr("*", "1 as v", "2 as b", "3 as g", "4 as _row", "5 as dim", "6 as rank")
+    monkeypatch.setattr(ann, "LEAST_BLOCK", 1000)
     got = ann.search(table, sample_rows=1000).collect()
     x = np.array([v for _, v in rows])
     by = {}
@@ -199,10 +353,29 @@ def test_neighbours_recall_and_odd_rows(spark):
         assert [r["rank"] for r in found] == list(range(1, 21)) and q not in {r["vec_id"] for r in found}
         assert all(r["score"] == pytest.approx(float(x[q] @ x[r["vec_id"]]), abs=1e-9) for r in found)
         assert all((-a["score"], a["vec_id"]) < (-b["score"], b["vec_id"]) for a, b in zip(found, found[1:], strict=False))
-    assert hits >= 0.9 * 20 * len(by)
+    assert hits >= 0.95 * 20 * len(by)
 
 
 def test_few_neighbours(spark):
     table = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, [-1.0, 0.0])], "vec_id long, embedding array<double>")
     assert [(r["rank"], r["vec_id"], r["score"]) for r in sorted(ann.search(table).collect(), key=lambda r: r["rank"])] == [(1, 1, 0.5), (2, 2, -1.0)]
     assert ann.search(table.limit(0)).collect() == []
+
+
+def test_rows_of_one_id_and_other_lengths(spark):
+    rows = [(0, [1.0, 0.0]), (1, [0.9, 0.1]), (1, [-1.0, 0.5]), (20, [0.0, 1.0, 0.0]), (3, [0.5, 0.5, 0.5]), (20, [0.0, 1.0, 0.0])]
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], round(r["score"], 9)) for r in ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())
+    assert got == [(0, 1, 1, 0.9), (0, 2, 1, -1.0), *[(20, 1, 20, 1.0)] * 2, *[(20, 2, 3, 0.5)] * 2]
+
+
+@pytest.mark.parametrize("radius", [0, 1, 5, 17, 40, 64])
+def test_probing_finds_every_code_within_the_radius(radius):
+    import numpy as np
+
+    rng = np.random.default_rng(radius)
+    codes = rng.integers(0, 1 << 16, (500, 4)).astype(np.uint16)
+    codes[100:200] = codes[0] ^ (1 << rng.integers(0, 16, (100, 4))).astype(np.uint16)
+    index = ann.Index.of(codes)
+    for q in (codes[0], codes[150], rng.integers(0, 1 << 16, 4).astype(np.uint16)):
+        expected = np.flatnonzero(np.bitwise_count(codes ^ q).sum(1) <= radius)
+        assert index.within(q, radius).tolist() == expected.tolist()
