@@ -1,5 +1,5 @@
 """Intermediate results of the operators, in the folder that driver and executors share."""
 
-from tessella.sources.shared import forget, shared_dir, written
+from tessella.sources.shared import dropped, forget, shared_dir, written
 
-__all__ = ["forget", "shared_dir", "written"]
+__all__ = ["dropped", "forget", "shared_dir", "written"]

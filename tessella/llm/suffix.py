@@ -6,16 +6,18 @@ A byte goes if a string of `length` bytes that covers it also starts anywhere el
    such, if several). Equal windows have equal hashes, so they meet in one group. Consecutive windows with
    the same smallest substring form a piece: one row with the group, a hash of the piece's bytes, and its place.
 2. Groups of one piece hold nothing repeated. Pieces with equal bytes are collapsed: all their windows repeat.
-3. The bytes of what is left - different pieces of one group - are fetched and sorted by suffix. Suffixes
-   smaller than their successors are sorted directly, all others follow by scans over the buckets of first
-   bytes. Adjacent suffixes with a common prefix of `length` bytes or more repeat.
+3. The bytes of what is left - different pieces of one group - are fetched. Windows whose hash no other has can't
+   repeat; the rest is sorted by suffix. Suffixes smaller than their successors are sorted directly, all others
+   follow by scans over the buckets of first bytes. Adjacent suffixes with a common prefix of `length` bytes or
+   more repeat.
 4. A group of more than `group_limit` different pieces is not sorted in one task: its windows are dealt out
    singly by hash and counted. No string is lost either way.
 
 Texts are whole UTF-8 texts; a null is empty. Texts shorter than `length` keep everything. Repeated rows
 count as different places, so copies remove each other; rows with equal doc_id and text come back once each
-with the same result. A null doc_id is a document like any other. Extra columns are ignored; an empty table
-gives an empty result.
+with the same result. A null doc_id is a document like any other. Ties don't arise: every occurrence of a
+repeated string goes. A task holds a text whole, with about 60 bytes of memory for each byte of the longest.
+`cut` returns extra columns, whatever their names; `digest` ignores them. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tessella.llm.stage import written
 from tessella.llm.textblock import Block, blocks, span_hash
@@ -33,7 +35,7 @@ from tessella.llm.textblock import Block, blocks, span_hash
 LENGTH = 400
 GRAM = 100
 GROUP_LIMIT = 4096
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 20
 
 
 def _slide(x: np.ndarray, width: int, pick: np.ufunc) -> np.ndarray:
@@ -213,6 +215,34 @@ def repeated_starts(pieces: list[bytes], counts: np.ndarray, length: int) -> np.
     return flags[owned]
 
 
+def repeated_windows(pieces: list[bytes], counts: np.ndarray, length: int) -> np.ndarray:
+    """As `repeated_starts`, which gets only the parts of the pieces with windows whose hash another one has."""
+    sizes = np.array([len(p) for p in pieces])
+    data = np.frombuffer(b"".join(pieces), np.uint8)
+    begins = np.cumsum(sizes) - sizes
+    bounds = np.concatenate([[0], np.cumsum(counts)])
+    owner = np.repeat(np.arange(len(pieces)), counts)
+    at = begins[owner] + np.arange(bounds[-1]) - bounds[owner]
+    total = Block(0, data, np.array([0, len(data)])).prefix_hash()
+    hashes = span_hash(total, at, at + length)
+    slot = (hashes >> np.uint64(64 - max(10, 1 + int(bounds[-1]).bit_length()))).astype(np.int64)
+    likely = np.flatnonzero(np.bincount(slot)[slot] > 1)  # equal hashes share a slot; the rest needs no sort
+    _, place, often = np.unique(hashes[likely], return_inverse=True, return_counts=True)
+    hit = likely[often[place] > 1]
+    flags = np.zeros(len(at), bool)
+    if not len(hit):
+        return flags
+    # Windows that overlap go together, so that no byte is sorted twice.
+    cut = np.flatnonzero((np.diff(hit) >= length) | (np.diff(owner[hit]) != 0))
+    first, last = hit[np.concatenate([[0], cut + 1])], hit[np.concatenate([cut, [len(hit) - 1]])]
+    parts = [data[a:b].tobytes() for a, b in zip(at[first].tolist(), (at[last] + length).tolist(), strict=True)]
+    inside = np.zeros(len(at) + 1, np.int64)
+    inside[first] += 1
+    inside[last + 1] -= 1
+    flags[np.cumsum(inside[:-1]) > 0] = repeated_starts(parts, last - first + 1, length)
+    return flags
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     return docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("_d"), F.xxhash64(text).alias("_t"), text.alias("_text"))
@@ -258,7 +288,7 @@ def _sorted_marks(pieces: DataFrame, length: int, chunk: int) -> DataFrame:
 
     def solve(group: pa.Table) -> pa.RecordBatch:
         count = group["n"].to_numpy()
-        flags = repeated_starts(group["bytes"].to_pylist(), count, length)
+        flags = repeated_windows(group["bytes"].to_pylist(), count, length)
         single = np.repeat(group["c"].to_numpy() == 1, count)
         bounds = np.concatenate([[0], np.cumsum(count)])
         edge = np.zeros(len(flags), bool)
@@ -331,7 +361,7 @@ def marks(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group_limit:
     rows = written(_all_pieces(keyed, length, gram), "pieces")
     # Written first, so that the join has nothing but plain sides, which adaptive execution can split at a hot group.
     shared = written(rows.groupBy("h").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1).select("h"), "meeting")
-    kept = written(rows.join(shared, "h", "left_semi"), "shared")
+    kept = written(rows.join(shared, "h", "left_semi"), "shared", rows, shared)
     different = written(kept.groupBy("h", "p", "n").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("_d", "_t", "a")).alias("_at")), "different")
     equal = kept.join(different.where(F.col("c") > 1).select("h", "p", "n"), ["h", "p", "n"], "left_semi").select("_d", "_t", "a", "n")
     groups = different.groupBy("h").agg(F.count(F.lit(1)).alias("_k"), F.min("c").alias("_least")).where((F.col("_k") > 1) & (F.col("_least") == 1))
@@ -342,6 +372,7 @@ def marks(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group_limit:
     usual = fetched.join(large, "h", "left_anti")
     rest = fetched.join(large, "h", "left_semi")
     found = equal.unionByName(_sorted_marks(usual, length, chunk)).unionByName(_counted_marks(rest, length))
+    found = written(found, "marks", kept, different, fetched)
     return found.groupBy("_d", "_t").agg(F.collect_list(F.struct("a", "n")).alias("_m"))  # bounded by the text
 
 
@@ -353,10 +384,11 @@ def _removed(size: int, a: np.ndarray, n: np.ndarray, length: int) -> tuple[np.n
     return begin[fresh], end[np.concatenate([np.flatnonzero(fresh)[1:] - 1, [len(end) - 1]])]
 
 
-def _with_marks(docs: DataFrame, extra: list[str], length: int, **how) -> DataFrame:
+def _with_marks(docs: DataFrame, carried: Column, length: int, **how) -> DataFrame:
+    """`carried`, and _text and _m of every row."""
     found = marks(docs, length, **how)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    base = docs.select(*extra, text.cast("binary").alias("_text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("_d"), F.xxhash64(text).alias("_t"))
+    base = docs.select(carried, text.cast("binary").alias("_text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("_d"), F.xxhash64(text).alias("_t"))
     return base.join(found, ["_d", "_t"], "left").drop("_d", "_t")
 
 
@@ -392,22 +424,22 @@ def digest(docs: DataFrame, length: int = LENGTH, **how) -> DataFrame:
                 sha.append(left.hexdigest())
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(size, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, pa.int64()), pa.array(sha, pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return _with_marks(docs, ["doc_id"], length, **how).mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return _with_marks(docs, F.col("doc_id"), length, **how).mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def cut(docs: DataFrame, length: int = LENGTH, **how) -> DataFrame:
     """The input's columns with the repeated strings cut out of `text`; a character cut in two goes whole."""
-    names = docs.columns
-    told = _with_marks(docs, names, length, **how)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    places = {name: k for k, name in enumerate(names)}
+    # One struct carries the row, so that no name of a column meets those used here.
+    told = _with_marks(docs, F.struct(*(F.col(f"`{name}`") for name in docs.columns)).alias("_row"), length, **how)
+    place = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            columns = batch["_row"].flatten()
             texts = []
             for k, (text, begin, end) in enumerate(_spans_of(batch, length)):
                 if not len(begin):
-                    texts.append(batch.column(places["text"])[k].as_py())
+                    texts.append(columns[place][k].as_py())
                     continue
                 parts, at = [], 0
                 for b, e in zip(begin.tolist(), end.tolist(), strict=True):
@@ -415,8 +447,8 @@ def cut(docs: DataFrame, length: int = LENGTH, **how) -> DataFrame:
                     at = e
                 parts.append(text[at:])
                 texts.append(b"".join(parts).decode("utf-8", "ignore"))
-            columns = [batch.column(k) for k in range(len(names))]
-            columns[places["text"]] = pa.array(texts, columns[places["text"]].type)
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+            columns[place] = pa.array(texts, columns[place].type)
+            yield pa.RecordBatch.from_arrays(columns, names=docs_names)
 
-    return told.select(*names, "_text", "_m").mapInArrow(run, schema)
+    docs_names = docs.columns
+    return told.select("_row", "_text", "_m").mapInArrow(run, docs.schema)

@@ -84,6 +84,19 @@ def test_null_ids_repeated_rows_and_empty(docs_of):
 
 def test_cut_keeps_columns_and_rest(docs_of):
     common = "the quick brown fox jumps over the lazy dog again and again"
-    docs = docs_of([(1, "one " + common + " end"), (2, "two " + common + " fin"), (3, None)])
-    got = {r["doc_id"]: r["text"] for r in suffix.cut(docs, LENGTH, gram=GRAM).select(*docs.columns).collect()}
-    assert got == {1: "oneend", 2: "twofin", 3: None} or got == {1: "one" + "end", 2: "two" + "fin", 3: None} or {k: (v or "").replace(" ", "") for k, v in got.items()} == {1: "oneend", 2: "twofin", 3: ""}
+    docs = docs_of([(1, "one-" + common + "-end"), (2, "two+" + common + "+fin"), (3, None)], extra=True)
+    got = suffix.cut(docs, LENGTH, gram=GRAM)
+    assert got.columns == docs.columns
+    assert {r["doc_id"]: r["text"] for r in got.collect()} == {1: "one--end", 2: "two++fin", 3: None}
+    rest = [x for x in docs.columns if x != "text"]
+    assert sorted(map(tuple, got.select(rest).collect())) == sorted(map(tuple, docs.select(rest).collect()))
+
+
+@pytest.mark.parametrize("seed", range(10))
+def test_windows_left_out_by_hash_don_t_repeat(seed):
+    rng = random.Random(seed)
+    texts = [t for t in corpus(seed, "ab" if seed % 2 else "abcdefgh") if t and len(t) >= LENGTH]
+    pieces = [t.encode() for t in rng.sample(texts, min(len(texts), 8))]
+    counts = np.array([rng.randint(1, len(p) - LENGTH + 1) for p in pieces])
+    expected = suffix.repeated_starts(pieces, counts, LENGTH)
+    assert suffix.repeated_windows(pieces, counts, LENGTH).tolist() == expected.tolist()
