@@ -5,7 +5,9 @@ aggregated, its rate is shrunk by a beta prior fitted to all hosts by moments, a
 surely too high rejects all its documents.
 
 Nulls and empty texts have no words and fail the base rules. A null host is a host of its own. Repeated
-rows count each time and each come back. Extra columns are ignored; an empty table gives an empty result.
+rows count each time and each come back. Ties don't arise: nothing is ranked. A task holds a text whole, with
+about 60 bytes of memory for each byte of the longest. `accepted` returns extra columns, whatever their names;
+`judge` ignores them. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -142,10 +144,12 @@ def base_rules() -> Column:
 
 def accepted(docs: DataFrame, max_rate: float = 0.5, z: float = 1.645) -> DataFrame:
     """The input's rows that `judge` keeps, with the input's columns; texts are not shuffled."""
-    stats = text_stats(docs, "text", "source").select("source", base_rules().alias("base_failed"))
-    hosts = written(host_verdicts(stats, "source", ["base_failed"], max_rate, z).where("host_bad").select("host"), "hosts")
-    rows = text_stats(docs, "text", *docs.columns).where(~base_rules())
-    return rows.join(hosts, rows["source"].eqNullSafe(hosts["host"]), "left_anti").select(*docs.columns)
+    own = docs.select(F.col("source").alias("_host"), F.col("text").alias("_told"), F.struct(*(F.col(f"`{name}`") for name in docs.columns)).alias("_row"))
+    stats = text_stats(own, "_told", "_host").select("_host", base_rules().alias("base_failed"))
+    hosts = written(host_verdicts(stats, "_host", ["base_failed"], max_rate, z).where("host_bad").select("host"), "hosts")
+    # One struct carries the row, so that no name of a column meets those used here.
+    rows = text_stats(own, "_told", "_host", "_row").where(~base_rules())
+    return rows.join(hosts, F.col("_host").eqNullSafe(F.col("host")), "left_anti").select(*(F.col("_row").getField(name).alias(name) for name in docs.columns))
 
 
 def judge(docs: DataFrame, max_rate: float = 0.5, z: float = 1.645) -> DataFrame:

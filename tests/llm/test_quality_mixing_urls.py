@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from tessella.llm import mixing, quality, urls
 from tests.llm.conftest import words
@@ -26,7 +27,8 @@ def test_host_verdict_rejects_all_of_a_bad_host_only(docs_of):
     rows = [(k, good, "en", "good") for k in range(40)] + [(100 + k, "bad", "en", "bad") for k in range(80)] + [(300, good, "en", "bad"), (301, good, "en", None)]
     got = {r["doc_id"]: r["kept"] for r in quality.judge(docs_of(rows)).collect()}
     assert all(got[k] for k in range(40)) and not got[300] and got[301]
-    assert {r["doc_id"] for r in quality.accepted(docs_of(rows)).collect()} == {k for k, v in got.items() if v}
+    docs = docs_of(rows, extra=True)
+    assert sorted(map(str, quality.accepted(docs).collect())) == sorted(map(str, docs.where(F.col("doc_id").isin([k for k, v in got.items() if v])).collect()))
 
 
 def test_empty_tables(docs_of, spark):
