@@ -5,8 +5,10 @@ goes to the others by weight until none is above its cap. The common level is fo
 running sums over the sources in the order in which they reach their caps. A source is then taken a whole
 number of times, plus a seeded sample of whole documents for the fraction.
 
-Null texts have size 0 and are taken 0 times. A null source is a source of its own, last in order. Repeated
-rows are separate documents. Extra columns are ignored; an empty table gives an empty result.
+Null texts have size 0; taking them or not changes nothing. A null source is a source of its own, last in order.
+Repeated rows are separate documents, drawn by a hash of id and text; only rows equal in both tie, and those that tie at
+the edge of a sample are taken in order of size. Texts of any length are counted where they lie. `mixture` returns extra
+columns, whatever their names; `mix` ignores them. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -19,9 +21,9 @@ WORD = "[^\\x20\\x09-\\x0D]+"
 BINS = 4096
 
 
-def seeded(key: Column, seed: int) -> Column:
-    """A 52-bit number drawn from the key; the same on every run."""
-    text = F.concat(F.coalesce(key.cast("string"), F.lit("")), F.lit(f":{seed}"))
+def seeded(key: Column, text: Column, seed: int) -> Column:
+    """A 52-bit number drawn from the key and the text, so that rows without a key don't share one; the same on every run."""
+    text = F.concat(F.coalesce(key.cast("string"), F.lit("")), F.lit(f":{seed}:"), F.md5(F.coalesce(text.cast("string"), F.lit("")).cast("binary")))
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("long")
 
 
@@ -48,7 +50,7 @@ def targets(sizes: DataFrame, epochs: int = 3, weights: int = 3) -> DataFrame:
 
 def _sized(docs: DataFrame, seed: int, *carried: str) -> DataFrame:
     size = F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
-    drawn = seeded(F.col("doc_id"), seed)
+    drawn = seeded(F.col("doc_id"), F.col("text"), seed)
     own = docs.select(*(F.col(c).alias(f"_in_{c}") for c in carried), "doc_id", "source", size.alias("size"), drawn.alias("_u"))
     return own.withColumn("_bin", F.shiftright(F.col("_u"), 40))  # the upper 12 of 52 bits
 
@@ -98,7 +100,7 @@ def mixture(docs: DataFrame, seed: int = 17, epochs: int = 3) -> DataFrame:
 MIX_SQL = r"""
 with sizes as (
   select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size,
-    ('0x' || substr(md5(coalesce(doc_id::varchar, '') || ':17'), 1, 13))::bigint as u
+    ('0x' || substr(md5(coalesce(doc_id::varchar, '') || ':17:' || md5(coalesce(text, ''))), 1, 13))::bigint as u
   from documents
 ), per_source as (
   select source, sum(size)::bigint as source_size from sizes group by source
