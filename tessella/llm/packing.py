@@ -7,8 +7,10 @@ knapsack dynamic program; Farley's bound ends the search. The rounded-down patte
 what rounding leaves, are laid out in order, and each document's piece takes the slot of its rank among the
 pieces of its length. Offsets are then running sums within a sequence.
 
-A null text is empty and becomes the single id 0. Repeated rows are packed once each. Extra columns are
-ignored; an empty table gives an empty result.
+A null text is empty and becomes the single id 0. Repeated rows are packed once each. Pieces of one length are ranked by
+doc_id, start and checksum within groups drawn by a hash; those equal in all are alike, so it does not matter which takes
+which slot. A task holds the ids of one text at a time, about 40 bytes each. Extra columns are ignored; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations

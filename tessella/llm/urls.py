@@ -6,7 +6,9 @@ strength fitted by moments. A page without a rule is blocked if the lower bound
 blocking rate exceeds one half.
 
 A null url, or one without `://`, has an empty host and path and falls to the reputation of the empty host.
-Repeated rows count each time and each come back. Extra columns are ignored; an empty table gives an empty
+The registered domain is a host's last two labels, the suffix its last one; no list of public suffixes is read. Of rules
+that fit, the longest decides; two of one length that fit the same url are the same rule. Repeated rows count each time
+and each come back. Urls of any length are cut where they lie. Extra columns are ignored; an empty table gives an empty
 result.
 """
 
@@ -16,6 +18,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tessella.llm.stage import written
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -73,10 +77,11 @@ def reputations(outcomes: DataFrame, z: float = 1.645, floor: float = 1.0, ceili
     labelled = F.col("action").isNotNull().cast("long")
     blocked = F.coalesce((F.col("action") == "block").cast("long"), F.lit(0))
     hosts = outcomes.groupBy("host").agg(F.sum(labelled).alias("n"), F.sum(blocked).alias("k"))
-    hosts = hosts.withColumns({"domain": F.substring_index("host", ".", -2), "suffix": F.substring_index("host", ".", -1)})
+    # Each level is written once: its moments and its rates both read it.
+    hosts = written(hosts.withColumns({"domain": F.substring_index("host", ".", -2), "suffix": F.substring_index("host", ".", -1)}), "hosts")
     overall = hosts.agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
     prior = overall.select(((F.coalesce("k", F.lit(0)) + 0.5) / (F.coalesce("n", F.lit(0)) + 1)).alias("mu"))
-    suffixes = _level(hosts.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k")).crossJoin(F.broadcast(prior)), floor, ceiling)
+    suffixes = _level(hosts.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k")).crossJoin(F.broadcast(prior)), floor, ceiling)  # one row
     domains = hosts.groupBy("suffix", "domain").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
     domains = _level(domains.join(suffixes.select("suffix", F.col("rate").alias("mu")), "suffix"), floor, ceiling)
     told = _level(hosts.join(domains.select("domain", F.col("rate").alias("mu")), "domain"), floor, ceiling)
@@ -86,6 +91,7 @@ def reputations(outcomes: DataFrame, z: float = 1.645, floor: float = 1.0, ceili
 
 def _level(groups: DataFrame, floor: float, ceiling: float) -> DataFrame:
     """Posterior rate and weight of groups with counts n and k and prior mean mu."""
+    groups = written(groups, "reputations")
     off = F.col("k") - F.col("n") * F.col("mu")
     spread = F.col("mu") * (1 - F.col("mu"))
     # E[(k - n mu)^2] = n spread (1 + (n - 1) rho), so rho comes from two sums over all groups.
