@@ -120,3 +120,18 @@ def k_smallest(values: Column, k: int) -> Column:
 
 def k_largest(values: Column, k: int) -> Column:
     return F.slice(F.sort_array(values, asc=False), 1, k)
+
+
+def time_stamp(c: Column) -> Column:
+    """A time as text that sorts and may stand in file names."""
+    return F.date_format(c, "yyyy_MM_dd_HH_mm_ss")
+
+
+def parts_of(c: Column, delimiter: str) -> Column:
+    """Pieces of a text between a delimiter, empty ones left out."""
+    return F.filter(F.split(c, "\\Q" + delimiter + "\\E"), lambda x: x != "")
+
+
+def gaussian_noise(mean: float, sd: float, seed: int) -> Column:
+    """A normal random number for each row."""
+    return mean + sd * F.randn(seed)

@@ -97,3 +97,8 @@ def mask_attribute(table: DataFrame, mask: DataFrame, x: str, y: str, value: str
     cells = mask.select(F.col(x).cast("long").alias("_x"), F.col(y).cast("long").alias("_y"), F.col(value).alias(name))
     placed = table.join(cells, (F.floor(x) == F.col("_x")) & (F.floor(y) == F.col("_y")), "left")
     return placed.withColumn(name, F.coalesce(name, F.lit(0))).drop("_x", "_y")
+
+
+def sorted_rows(table: DataFrame, column: str, *ties: str) -> DataFrame:
+    """Rows in rising order of a column, nulls last, ties by further columns; a range shuffle, no single task."""
+    return table.orderBy(F.col(column).asc_nulls_last(), *(F.col(c).asc_nulls_last() for c in ties))

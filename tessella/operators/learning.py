@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tessella.functions.scalar import euclidean, softmax
-from tessella.operators.graph import forest_depths
+from tessella.operators.graph import forest_depths, kept
 
 
 def features(table: DataFrame, columns: list[str], key: str = "id") -> DataFrame:
@@ -15,18 +15,34 @@ def features(table: DataFrame, columns: list[str], key: str = "id") -> DataFrame
     return table.select(F.col(key).alias("id"), F.array(*(F.col(c).cast("double") for c in columns)).alias("v"))
 
 
-def kmeans(points: DataFrame, k: int, rounds: int) -> DataFrame:
-    """id and cluster (0 .. k-1) by Lloyd's rounds from the first assignment id modulo k.
+def centres_of(assigned: DataFrame, dim: int) -> list[tuple[int, int, list[float]]]:
+    """cluster, size and mean of every cluster of (cluster, v); as many rows as there are clusters."""
+    row = assigned.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.array(*(F.avg(F.col("v")[d]) for d in range(dim))).alias("c"))
+    return sorted((r["cluster"], r["n"], r["c"]) for r in row.collect())
 
-    A round is one aggregation; the k centres travel as a literal. A cluster that loses all points keeps none.
+
+def nearest_centre(points: DataFrame, centres: list[tuple[int, int, list[float]]]) -> DataFrame:
+    """`points` with the cluster of the nearest centre, ties to the smaller cluster."""
+    table = points.sparkSession.createDataFrame([([(c, k) for k, _, c in centres],)], "_centres array<struct<c: array<double>, cluster: int>>")
+    told = points.crossJoin(F.broadcast(table))  # one row, of as many centres as were asked for
+    best = F.array_min(F.transform("_centres", lambda x: F.struct(euclidean(F.col("v"), x["c"]).alias("d"), x["cluster"].alias("cluster"))))
+    return told.withColumn("cluster", best["cluster"]).drop("_centres")
+
+
+def kmeans(points: DataFrame, k: int, rounds: int = 50) -> DataFrame:
+    """id and cluster (0 .. k-1) by Lloyd's rounds from k points drawn by a hash of their ids, until no centre moves or `rounds` are over.
+
+    A round is one aggregation of the points, whatever came before. A cluster that loses all points keeps none.
     """
-    assigned = points.withColumn("cluster", F.pmod("id", F.lit(k)).cast("int"))
+    drawn = points.orderBy(F.xxhash64("id"), "id").limit(k).select("v").collect()  # as many as were asked for
+    if not drawn:
+        return points.select("id", F.lit(0).alias("cluster"))
+    centres = [(n, 0, list(r["v"])) for n, r in enumerate(drawn)]
     for _ in range(rounds):
-        long = assigned.select("cluster", F.posexplode("v").alias("d", "x"))
-        centres = long.groupBy("cluster", "d").agg(F.avg("x").alias("m")).groupBy("cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "m"))), lambda s: s["m"]).alias("c"))
-        rows = sorted((r["cluster"], r["c"]) for r in centres.collect())  # k rows
-        candidates = [F.struct(euclidean(F.col("v"), F.array(*map(F.lit, c))).alias("d"), F.lit(n).alias("cluster")) for n, c in rows]
-        assigned = points.withColumn("cluster", F.array_min(F.array(*candidates))["cluster"])
+        assigned, before = nearest_centre(points, centres), centres
+        centres = centres_of(assigned, len(before[0][2]))
+        if [c[0] for c in before] == [c[0] for c in centres] and np.allclose([c[2] for c in before], [c[2] for c in centres], rtol=0, atol=1e-9):
+            break
     return assigned.select("id", "cluster")
 
 
@@ -78,11 +94,11 @@ def allocation(table: DataFrame, stratum: str, rate: Column, share: float = 0.15
     return per.select(stratum, "N", F.ceil(share * F.col("N") * z * F.sqrt(F.col("p") * (1 - F.col("p")))).cast("long").alias("draw"))
 
 
-def _agglomerate(v: np.ndarray, linkage: str) -> list[tuple[int, int, float]]:
+def _agglomerate(v: np.ndarray, linkage: str, weight: np.ndarray | None = None) -> list[tuple[int, int, float]]:
     n = len(v)
     d = np.sqrt(((v[:, None] - v[None]) ** 2).sum(2))
     np.fill_diagonal(d, np.inf)
-    name, size, out = list(range(n)), np.ones(n), []
+    name, size, out = list(range(n)), np.ones(n) if weight is None else weight.astype(float), []
     alive = np.ones(n, bool)
     for step in range(n - 1):
         i, j = divmod(int(np.argmin(d)), n)
@@ -122,6 +138,22 @@ def agglomerate(points: DataFrame, group: str, linkage: str = "average", most: i
     return points.groupBy(group).applyInPandas(run, f"{group} {kind}, step int, first long, second long, distance double")
 
 
+def cell_mergers(points: DataFrame, cells: int = 64, linkage: str = "average", rounds: int = 50) -> tuple[DataFrame, DataFrame]:
+    """Agglomerative clustering of a table of any size: k-means cells first, then mergers of their centres, closest first.
+
+    Returns (id, member), each point's cell by rank among the cells that hold points, and the mergers (g, step, first, second,
+    distance) as `agglomerate` gives them, g being 0; average linkage weighs cells by their points. With as many cells as
+    points it is the clustering of the points themselves. Only the centres, `cells` at most, leave the executors.
+    """
+    found = kept(kmeans(points, cells, rounds))
+    dim = points.select(F.size("v")).first()
+    centres = centres_of(found.join(points, "id"), dim[0]) if dim else []
+    made = _agglomerate(np.array([c[2] for c in centres], float), linkage, np.array([c[1] for c in centres])) if len(centres) > 1 else []
+    mergers = points.sparkSession.createDataFrame([(0, k, *m) for k, m in enumerate(made)], "g int, step int, first long, second long, distance double")
+    rank = F.create_map(*(F.lit(x) for k, c in enumerate(centres) for x in (c[0], k))) if centres else F.lit(None)
+    return found.select("id", rank[F.col("cluster")].cast("long").alias("member")), mergers
+
+
 def fuzzy_memberships(points: DataFrame, centres: list[list[float]], fuzziness: float = 2.0) -> DataFrame:
     """Membership of each row in each centre, by inverse distances to the power 2 / (m - 1); rows on a centre belong to it."""
     d = F.array(*(euclidean(F.col("v"), F.array(*map(F.lit, c))) for c in centres))

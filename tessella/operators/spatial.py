@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tessella.operators.graph import kept
+from tessella.sources.shared import dropped
 
 AXES = ("x", "y", "z")
 
@@ -34,18 +37,36 @@ def within_radius(sources: DataFrame, targets: DataFrame, radius: float) -> Data
     return pairs.select(F.col("s.id").alias("source"), F.col("t.id").alias("target"), F.sqrt(squared_distance("s", "t")).alias("distance"))
 
 
-def nearest(sources: DataFrame, targets: DataFrame, k: int, cell: float | None = None) -> DataFrame:
+def _placed(points: DataFrame, by: str | None) -> DataFrame:
+    """Points whose coordinates are numbers, with `_by`, what must be equal of a pair; nulls are equal."""
+    real = points.where(sum((F.col(c).isNull() | F.isnan(F.col(c).cast("double"))).cast("int") for c in AXES) == 0)
+    return real.withColumn("_by", F.struct(F.lit(0).alias("null"), F.lit(0).alias("value")) if by is None else F.struct(F.col(by).isNull().cast("int").alias("null"), F.coalesce(F.col(by).cast("string"), F.lit("")).alias("value")))
+
+
+def nearest(sources: DataFrame, targets: DataFrame, k: int, cell: float | None = None, by: str | None = None) -> DataFrame:
     """source, target, distance and rank of each source's k nearest targets, itself excluded, ties to the smaller id.
 
-    Exact: a source is settled once k targets lie within the cell size of it; the cell doubles for the
-    others. A source with fewer than k targets in all gets those there are.
+    With `by`, only targets with the source's value of that column count; nulls are equal. Points with a missing
+    coordinate take no part. Exact: a source is settled once k targets lie within the cell size of it; the cell doubles
+    for the others. The first cell is so small that few targets share one where most targets are, however uneven
+    they lie; the far ones settle in later rounds. Of targets at one place only the first k + 1 by id can be among
+    the nearest. A source with fewer than k targets in all gets those there are.
     """
+    sources = _placed(sources, by)
+    here = Window.partitionBy("_by", *AXES).orderBy("id")
+    targets = kept(_placed(targets, by).select("id", *AXES, "_by").withColumn("_r", F.row_number().over(here)).where(F.col("_r") <= k + 1).drop("_r"))
     extent = targets.agg(F.count(F.lit(1)).alias("n"), *(f(c).alias(f"{k_}{c}") for c in AXES for k_, f in (("lo", F.min), ("hi", F.max)))).first()
     n = extent["n"]
     if not n:
         return sources.select(F.col("id").alias("source"), F.col("id").alias("target"), F.lit(0.0).alias("distance"), F.lit(0).alias("rank")).limit(0)
     width = max(max(extent[f"hi{c}"] - extent[f"lo{c}"] for c in AXES), 1e-9)
     size = cell or width * min(1.0, (max(k, 4) / n)) ** (1 / 3)
+    while cell is None and size > width * 1e-12:
+        # How many targets share a cell with a target, on average: cells with many count more.
+        shared = _cells(targets, size).groupBy("_by", "_cell").agg(F.count(F.lit(1)).alias("c")).agg((F.sum(F.col("c").cast("double") * F.col("c")) / F.sum("c")).alias("m")).first()["m"]
+        if shared <= 16 * max(k, 4):
+            break
+        size /= min(16.0, max(2.0, (shared / (8 * max(k, 4))) ** (1 / 2)))
     best = Window.partitionBy("source").orderBy("distance", "target")
     out, open_ = None, sources
     while True:
@@ -54,7 +75,7 @@ def nearest(sources: DataFrame, targets: DataFrame, k: int, cell: float | None =
             far = sources.agg(*(f(c).alias(f"{k_}{c}") for c in AXES for k_, f in (("lo", F.min), ("hi", F.max)))).first()
             size = 2 * max(width, *(max(abs((far[f"hi{c}"] or 0) - extent[f"lo{c}"]), abs((far[f"lo{c}"] or 0) - extent[f"hi{c}"])) for c in AXES))
         s, t = _around(open_, size).alias("s"), _cells(targets, size).alias("t")
-        pairs = s.join(t, F.col("s._cell") == F.col("t._cell")).where(F.col("s.id") != F.col("t.id"))
+        pairs = s.join(t, (F.col("s._by") == F.col("t._by")) & (F.col("s._cell") == F.col("t._cell"))).where(F.col("s.id") != F.col("t.id"))
         pairs = pairs.select(F.col("s.id").alias("source"), F.col("t.id").alias("target"), F.sqrt(squared_distance("s", "t")).alias("distance"))
         ranked = pairs.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
         if last:
@@ -63,7 +84,8 @@ def nearest(sources: DataFrame, targets: DataFrame, k: int, cell: float | None =
         sure = ranked.withColumns({"_n": F.count(F.lit(1)).over(whole), "_d": F.max("distance").over(whole)})
         settled = kept(sure.where((F.col("_n") == k) & (F.col("_d") <= size)).drop("_n", "_d"))
         out = settled if out is None else out.unionByName(settled)
-        open_ = kept(open_.join(settled.select(F.col("source").alias("id")).distinct(), "id", "left_anti"))
+        before, open_ = open_, kept(open_.join(settled.select(F.col("source").alias("id")).distinct(), "id", "left_anti"))
+        dropped(before)
         if open_.isEmpty():
             return out
         size *= 2
@@ -92,12 +114,8 @@ def neighbour_count(points: DataFrame, edges: DataFrame, name: str = "neighbours
 
 
 def within_class_nearest(points: DataFrame, k: int) -> DataFrame:
-    """Like `nearest`, among points of the same class: classes are moved so far apart that they can't meet."""
-    span = points.agg(*(F.max(F.abs(c)).alias(c) for c in AXES)).first()
-    gap = 8 * max(*(span[c] or 0.0 for c in AXES), 1.0)
-    apart = points.withColumn("x", F.col("x") + F.col("class") * F.lit(gap))
-    found = nearest(apart, apart, k, cell=None)
-    return found.join(points.select(F.col("id").alias("source"), F.col("class").alias("_a")), "source").join(points.select(F.col("id").alias("target"), F.col("class").alias("_b")), "target").where("_a = _b").select("source", "target", "distance", "rank")
+    """Like `nearest`, among points of the same class; those without one are a class."""
+    return nearest(points, points, k, by="class")
 
 
 def reference_distances(points: DataFrame, references: list[tuple[int, float, float, float]]) -> DataFrame:
@@ -106,14 +124,23 @@ def reference_distances(points: DataFrame, references: list[tuple[int, float, fl
 
 
 def box_overlap(a: DataFrame, b: DataFrame, on: str, axes: list[str]) -> DataFrame:
-    """Pairs of boxes (lo_<axis>, hi_<axis>) that share the key and overlap on every axis, with the overlap's size."""
-    x, y = a.alias("a"), b.alias("b")
+    """Pairs of boxes (lo_<axis>, hi_<axis>) that share the key and overlap on every axis, with the overlap's size.
+
+    Boxes meet in bins of the first axis, twice as wide as an average box, so that a box lies in less than two of them on
+    average; a pair counts in the first bin that both reach.
+    """
+    lo, hi = f"lo_{axes[0]}", f"hi_{axes[0]}"
+    width = a.select(lo, hi).unionByName(b.select(lo, hi)).agg(F.avg(F.col(hi) - F.col(lo)).alias("w")).first()["w"]
+    size = F.lit(float(2 * width) if width and width > 0 else 1.0)
+    bin_of = lambda c: F.floor(c / size).cast("long")
+    x, y = (t.where(F.col(hi) >= F.col(lo)).withColumn("_bin", F.explode(F.sequence(bin_of(F.col(lo)), bin_of(F.col(hi))))).alias(n) for t, n in ((a, "a"), (b, "b")))
     sides = [F.least(f"a.hi_{c}", f"b.hi_{c}") - F.greatest(f"a.lo_{c}", f"b.lo_{c}") for c in axes]
-    cond = F.col(f"a.{on}") == F.col(f"b.{on}")
-    hit, size = F.lit(True), F.lit(1.0)
+    hit, overlap = F.lit(True), F.lit(1.0)
     for s in sides:
-        hit, size = hit & (s > 0), size * s
-    return x.join(y, cond & hit & (F.col("a.id") < F.col("b.id"))).select(F.col("a.id").alias("id_1"), F.col("b.id").alias("id_2"), size.alias("overlap"))
+        hit, overlap = hit & (s > 0), overlap * s
+    once = F.col("a._bin") == bin_of(F.greatest(f"a.{lo}", f"b.{lo}"))
+    met = x.join(y, (F.col(f"a.{on}") == F.col(f"b.{on}")) & (F.col("a._bin") == F.col("b._bin")) & once & hit & (F.col("a.id") < F.col("b.id")))
+    return met.select(F.col("a.id").alias("id_1"), F.col("b.id").alias("id_2"), overlap.alias("overlap"))
 
 
 def voronoi(cells: DataFrame, seeds: DataFrame) -> DataFrame:
@@ -146,16 +173,16 @@ def _times(a: Column, b: Column) -> Column:
     return F.array(*out)
 
 
-def to_anchor(pairs: DataFrame, anchor: int, most: int = 64) -> DataFrame:
+def to_anchor(pairs: DataFrame, anchor: int) -> DataFrame:
     """image, matrix and steps: every image's transform to the anchor, composed along shortest ways of pairwise ones.
 
     `pairs` has (source, target, matrix): an affine array of 12, row by row, from source to target. Among ways of
-    equal steps the one over the smallest image counts. Images that no way reaches within `most` steps are left out.
+    equal steps the one over the smallest image counts. Images that no way reaches are left out.
     """
     one = F.array(*(F.lit(1.0 if i == j else 0.0) for i in range(3) for j in range(4)))
     seen = pairs.sparkSession.range(1).select(F.lit(anchor).cast(pairs.schema["source"].dataType).alias("image"), one.alias("matrix"), F.lit(0).alias("steps"))
     front = seen
-    for k in range(1, most + 1):
+    for k in itertools.count(1):
         reached = pairs.select("source", "target", F.col("matrix").alias("_m")).join(front.select(F.col("image").alias("target"), "matrix"), "target")
         fresh = reached.join(seen.select(F.col("image").alias("source")), "source", "left_anti")
         best = fresh.groupBy(F.col("source").alias("image")).agg(F.min_by(F.struct("matrix", "_m"), "target").alias("_p"))
@@ -176,3 +203,24 @@ def nearest_of_class(points: DataFrame, of: int, reach: float) -> DataFrame:
     """Distance of every point to the nearest point of a class, null beyond the reach."""
     pairs = within_radius(points, points.where(F.col("class") == of), reach)
     return points.select("id").join(pairs.groupBy(F.col("source").alias("id")).agg(F.min("distance").alias("distance")), "id", "left")
+
+
+def region_distance(points: DataFrame, region: DataFrame) -> DataFrame:
+    """Distance of every point to the nearest boundary voxel of a region, a voxel table in which it has a label."""
+    from tessella.operators.voxels import surface
+
+    # Voxels are numbered below the points, so that none is taken for its own source.
+    there = surface(region).select((-1 - F.monotonically_increasing_id()).alias("id"), *(F.col(c).cast("double").alias(c) for c in AXES))
+    return nearest(points, there, 1).select(F.col("source").alias("id"), "distance")
+
+
+def cell_graph(cells: DataFrame, k: int = 4) -> DataFrame:
+    """Edges between each cell (root, soma_x, soma_y, soma_z) and its k nearest ones, once each."""
+    placed = cells.select(F.col("root").alias("id"), *(F.col(f"soma_{c}").alias(c) for c in AXES))
+    return undirected(nearest(placed, placed, k))
+
+
+def graph_table(points: DataFrame, edges: DataFrame) -> DataFrame:
+    """Edges with the places of both ends."""
+    a, b = (points.select(F.col("id").alias(end), *(F.col(c).alias(f"{end}_{c}") for c in AXES)) for end in ("source", "target"))
+    return edges.join(a, "source").join(b, "target")

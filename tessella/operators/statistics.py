@@ -128,3 +128,29 @@ def feature_modules(table: DataFrame, columns: list[str], least: float = 0.7) ->
             break
         modules[i] = modules[i] + modules.pop(j)
     return table.sparkSession.createDataFrame([(c, k) for k, m in enumerate(modules) for c in m], "feature string, module int")
+
+
+def module_means(table: DataFrame, key: str, modules: dict[str, list[str]]) -> DataFrame:
+    """Key and, for each module of columns, the mean of their z-scores."""
+    columns = sorted({c for m in modules.values() for c in m})
+    scaled = zscores(table.select(key, *(F.col(c).cast("double").alias(c) for c in columns)), columns)
+    return scaled.select(key, *((sum(F.col(c) for c in m) / len(m)).alias(name) for name, m in modules.items()))
+
+
+def group_order(table: DataFrame, by: str, column: str) -> DataFrame:
+    """Groups with their size, mean, and rank by the mean, ties by name; the window runs over one row a group."""
+    per = table.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.avg(column).alias("mean"))
+    return per.withColumn("rank", F.row_number().over(Window.orderBy("mean", by)))
+
+
+def average_histogram(table: DataFrame, column: str, by: str, bins: int = 10) -> DataFrame:
+    """Mean over groups of each group's share of rows in every bin, the bins being those of all rows."""
+    edge = table.agg(F.min(column).cast("double").alias("_lo"), F.max(column).cast("double").alias("_hi"))
+    rows = table.where(F.col(column).isNotNull()).crossJoin(F.broadcast(edge))  # one row
+    width = (F.col("_hi") - F.col("_lo")) / bins
+    bin_of = F.when(width > 0, F.least(F.floor((F.col(column) - F.col("_lo")) / width), F.lit(bins - 1))).otherwise(F.lit(0)).cast("int")
+    counts = rows.groupBy(F.col(by).alias("g"), bin_of.alias("bin")).agg(F.count(F.lit(1)).alias("c"))
+    whole = counts.groupBy("g").agg(F.sum("c").alias("n"))
+    groups = whole.agg(F.count(F.lit(1)).alias("k"))
+    shares = counts.join(whole, "g").groupBy("bin").agg(F.sum(F.col("c") / F.col("n")).alias("s"))
+    return shares.crossJoin(F.broadcast(groups)).select("bin", (F.col("s") / F.col("k")).alias("share"))  # one row

@@ -110,3 +110,19 @@ def associate(frames: DataFrame, max_distance: float, window: int = 1) -> DataFr
     out = Window.partitionBy("t", "t2", "id").orderBy("cost", "id2")
     back = Window.partitionBy("t", "t2", "id2").orderBy("cost", "id")
     return pairs.withColumns({"_o": F.row_number().over(out), "_b": F.row_number().over(back)}).where("_o = 1 and _b = 1").drop("_o", "_b")
+
+
+def with_track_features(rows: DataFrame, features: DataFrame) -> DataFrame:
+    """Every point of every time with its track's features, as columns `track_<name>`."""
+    named = features.select("track", *(F.col(c).alias(f"track_{c}") for c in features.columns if c != "track"))
+    return rows.join(named, "track", "left")
+
+
+def per_time(rows: DataFrame) -> DataFrame:
+    """One row per time: how many tracks it shows, begin and end there, and the mean step that led there; the first time begins nothing, the last ends nothing."""
+    span = rows.groupBy("track").agg(F.min("t").alias("first"), F.max("t").alias("last"))
+    ends = rows.agg(F.min("t").alias("_lo"), F.max("t").alias("_hi"))
+    told = steps(rows).join(span, "track").crossJoin(F.broadcast(ends))  # one row
+    begins = (F.col("t") == F.col("first")) & (F.col("t") > F.col("_lo"))
+    stops = (F.col("t") == F.col("last")) & (F.col("t") < F.col("_hi"))
+    return told.groupBy("t").agg(F.count_distinct("track").alias("tracks"), F.sum(begins.cast("int")).alias("appear"), F.sum(stops.cast("int")).alias("disappear"), F.avg("step").alias("mean_step"))

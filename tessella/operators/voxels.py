@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window, functions as F
 
 
@@ -186,9 +188,18 @@ def neighbourhood(voxels: DataFrame, kind: str, radius: int = 1) -> DataFrame:
     return voxels.drop("value").join(spread, ["t", "ch", "z", "y", "x"]).select(*voxels.columns)
 
 
-def otsu(voxels: DataFrame) -> DataFrame:
-    """The value that splits all values into two classes of largest variance between; at or below it is the lower class. Windows run over one row a value."""
-    counts = voxels.groupBy(F.col("value").cast("double").alias("value")).agg(F.count(F.lit(1)).alias("n"))
+def otsu(voxels: DataFrame, most: int = 65536) -> DataFrame:
+    """The value that splits all values into two classes of largest variance between; at or below it is the lower class.
+
+    Values count one by one if there are at most `most` different ones, otherwise by the upper ends of as many equal
+    bins, over which the windows run.
+    """
+    v = F.col("value").cast("double")
+    ends = voxels.agg(F.approx_count_distinct(v, 0.01).alias("_k"), F.min(v).alias("_lo"), F.max(v).alias("_hi"))
+    width = (F.col("_hi") - F.col("_lo")) / most
+    told = voxels.select(v.alias("value")).crossJoin(F.broadcast(ends))  # one row
+    told = told.select(F.when((F.col("_k") <= 0.9 * most) | (width <= 0), F.col("value")).otherwise(F.col("_lo") + width * F.ceil((F.col("value") - F.col("_lo")) / width)).alias("value"))
+    counts = told.groupBy("value").agg(F.count(F.lit(1)).alias("n"))
     order, whole = Window.orderBy("value"), Window.partitionBy()
     told = counts.select("value", F.sum("n").over(order).alias("w"), F.sum(F.col("n") * F.col("value")).over(order).alias("s"), F.sum("n").over(whole).alias("all_n"), F.sum(F.col("n") * F.col("value")).over(whole).alias("all_s"))
     rest = F.col("all_n") - F.col("w")
@@ -197,20 +208,132 @@ def otsu(voxels: DataFrame) -> DataFrame:
     return told.select("value", score.alias("_v")).agg(F.max(F.struct("_v", (-F.col("value")).alias("_n"))).alias("_b")).select((-F.col("_b._n")).alias("threshold"))
 
 
-def shell_association(voxels: DataFrame, target: DataFrame, reach: int, mode: str, threshold: float = 0.0) -> DataFrame:
-    """MIN, MAX, TOTAL or AVERAGE of target voxels (t, z, y, x, value) that lie outside an object but within `reach` of it.
+def _shell(voxels: DataFrame, target: DataFrame, reach: int) -> DataFrame:
+    """label and target voxel (t, z, y, x, value) for all target voxels outside an object but within `reach` of its nearest voxel.
 
-    The distance is that to the object's nearest voxel; only boundary voxels spread, so the work follows the
-    surface and the ball of the reach. TOTAL and AVERAGE count values of `threshold` or more; an empty shell gives 0.
+    Only boundary voxels spread, so the work follows the surface and the ball of the reach.
     """
-    near = _neighbours(voxels.where("label <> 0"))
-    surface = near.where(F.col("near").isNull() | (F.col("near") != F.col("label"))).select("label", "t", F.col("oz").alias("z"), F.col("oy").alias("y"), F.col("ox").alias("x")).distinct()
     ball = [(dz, dy, dx) for dz in range(-reach, reach + 1) for dy in range(-reach, reach + 1) for dx in range(-reach, reach + 1) if 0 < dz * dz + dy * dy + dx * dx <= reach * reach]
     moves = F.array(*(F.struct(F.lit(z).alias("z"), F.lit(y).alias("y"), F.lit(x).alias("x")) for z, y, x in ball))
-    spread = surface.withColumn("m", F.explode(moves)).select("label", "t", *((F.col(c) + F.col(f"m.{c}")).alias(c) for c in ("z", "y", "x"))).distinct()
+    spread = surface(voxels).withColumn("m", F.explode(moves)).select("label", "t", *((F.col(c) + F.col(f"m.{c}")).alias(c) for c in ("z", "y", "x"))).distinct()
     outside = spread.join(voxels.where("label <> 0").select("label", "t", "z", "y", "x"), ["label", "t", "z", "y", "x"], "left_anti")
-    pairs = outside.join(target.select("t", "z", "y", "x", "value"), ["t", "z", "y", "x"])
+    return outside.join(target.select("t", "z", "y", "x", "value"), ["t", "z", "y", "x"])
+
+
+def shell_association(voxels: DataFrame, target: DataFrame, reach: int, mode: str, threshold: float = 0.0) -> DataFrame:
+    """MIN, MAX, TOTAL or AVERAGE of target voxels (t, z, y, x, value) in the shell of `reach` around each object.
+
+    TOTAL and AVERAGE count values of `threshold` or more; an empty shell gives 0.
+    """
     counted = F.when(F.col("value") >= threshold, F.col("value"))
     made = {"MIN": F.min("value"), "MAX": F.max("value"), "TOTAL": F.sum(counted), "AVERAGE": F.avg(counted)}[mode]
-    measured = pairs.groupBy("label").agg(made.cast("double").alias("measure"))
+    measured = _shell(voxels, target, reach).groupBy("label").agg(made.cast("double").alias("measure"))
     return voxels.where("label <> 0").select("label").distinct().join(measured, "label", "left").select("label", F.coalesce("measure", F.lit(0.0)).alias("measure"))
+
+
+def surface(voxels: DataFrame) -> DataFrame:
+    """label, t, z, y and x of every object voxel with a face towards anything else."""
+    near = _neighbours(voxels.where("label <> 0"))
+    return near.where(F.col("near").isNull() | (F.col("near") != F.col("label"))).select("label", "t", F.col("oz").alias("z"), F.col("oy").alias("y"), F.col("ox").alias("x")).distinct()
+
+
+def surroundedness(voxels: DataFrame, target: DataFrame, reach: int, threshold: float, sectors: int = 8) -> DataFrame:
+    """In how many of the directions around each object the shell's target values sum up to more than `threshold`.
+
+    Directions are `sectors` equal angles about the object's centroid in the plane, above it and below it.
+    """
+    centre = voxels.where("label <> 0").groupBy("label").agg(*(F.avg(c).alias(f"c{c}") for c in ("x", "y", "z")))
+    told = _shell(voxels, target, reach).join(centre, "label")
+    angle = F.atan2(F.col("y") - F.col("cy"), F.col("x") - F.col("cx"))
+    sector = F.least(F.floor(F.when(angle < 0, angle + 2 * math.pi).otherwise(angle) * sectors / (2 * math.pi)), F.lit(sectors - 1))
+    per = told.groupBy("label", sector.alias("sector"), (F.col("z") < F.col("cz")).alias("below")).agg(F.sum("value").alias("v")).where(F.col("v") > threshold)
+    return centre.select("label").join(per.groupBy("label").agg(F.count(F.lit(1)).alias("directions")), "label", "left").select("label", F.coalesce("directions", F.lit(0)).alias("directions"))
+
+
+def target_distance(voxels: DataFrame, target: DataFrame, threshold: float) -> DataFrame:
+    """Distance from each object's centroid to the nearest target voxel of `threshold` or more; objects have none if there is no such voxel."""
+    from tessella.operators.spatial import nearest
+
+    centre = voxels.where("label <> 0").groupBy(F.col("label").cast("long").alias("id")).agg(*(F.avg(c).alias(c) for c in ("x", "y", "z")))
+    # Targets are numbered below the labels, so that none is taken for its own source.
+    there = target.where(F.col("value") >= threshold).select((-1 - F.monotonically_increasing_id()).alias("id"), *(F.col(c).cast("double").alias(c) for c in ("x", "y", "z")))
+    return nearest(centre, there, 1).select(F.col("source").alias("label"), "distance")
+
+
+def moments(voxels: DataFrame) -> DataFrame:
+    """Axis lengths of the ellipsoid of equal second moments, eccentricity, elongation (0 for a flat object) and orientation in degrees of every object.
+
+    The principal variances are the eigenvalues of the symmetric 3 x 3 covariance, by the cosine formula.
+    """
+    own = voxels.where("label <> 0")
+    per = own.groupBy("label").agg(*(F.covar_pop(a, b).alias(f"{a}{b}") for a, b in ("xx", "yy", "zz", "xy", "xz", "yz")))
+    c = F.col
+    mean = (c("xx") + c("yy") + c("zz")) / 3
+    spread = (c("xx") - mean) * (c("xx") - mean) + (c("yy") - mean) * (c("yy") - mean) + (c("zz") - mean) * (c("zz") - mean) + 2 * (c("xy") * c("xy") + c("xz") * c("xz") + c("yz") * c("yz"))
+    told = per.withColumns({"_q": mean, "_p": F.sqrt(spread / 6)})
+    a, b, d = (c(n) - c("_q") for n in ("xx", "yy", "zz"))
+    determinant = a * (b * d - c("yz") * c("yz")) - c("xy") * (c("xy") * d - c("yz") * c("xz")) + c("xz") * (c("xy") * c("yz") - b * c("xz"))
+    ratio = F.when(c("_p") > 0, determinant / (2 * c("_p") * c("_p") * c("_p"))).otherwise(F.lit(0.0))
+    told = told.withColumn("_f", F.acos(F.least(F.greatest(ratio, F.lit(-1.0)), F.lit(1.0))) / 3)
+    high, low = c("_q") + 2 * c("_p") * F.cos("_f"), c("_q") + 2 * c("_p") * F.cos(c("_f") + 2 * math.pi / 3)
+    told = told.withColumns({"_1": F.greatest(high, F.lit(0.0)), "_3": F.greatest(low, F.lit(0.0))}).withColumn("_2", F.greatest(3 * c("_q") - c("_1") - c("_3"), F.lit(0.0)))
+    return told.select(
+        "label",
+        (4 * F.sqrt("_1")).alias("major_axis"),
+        (4 * F.sqrt("_2")).alias("middle_axis"),
+        (4 * F.sqrt("_3")).alias("minor_axis"),
+        F.when(c("_1") > 0, F.sqrt((c("_1") - c("_3")) / c("_1"))).otherwise(F.lit(0.0)).alias("eccentricity"),
+        F.when(c("_3") > 1e-9, F.sqrt(c("_1") / c("_3"))).otherwise(F.lit(0.0)).alias("elongation"),
+        F.degrees(F.atan2(2 * c("xy"), c("xx") - c("yy")) / 2).alias("orientation"),
+    )
+
+
+def radius_variation(voxels: DataFrame) -> DataFrame:
+    """Mean and standard deviation of the distances of every object's boundary voxels to its centroid."""
+    centre = voxels.where("label <> 0").groupBy("label").agg(*(F.avg(c).alias(f"c{c}") for c in ("x", "y", "z")))
+    r = F.sqrt(sum((F.col(c) - F.col(f"c{c}")) * (F.col(c) - F.col(f"c{c}")) for c in ("x", "y", "z")))
+    return surface(voxels).join(centre, "label").groupBy("label").agg(F.avg(r).alias("radius"), F.stddev_pop(r).alias("radius_variation"))
+
+
+def crop(voxels: DataFrame, low: tuple[int, int, int], high: tuple[int, int, int]) -> DataFrame:
+    """The box between two corners (z, y, x), both included, moved to the origin."""
+    inside = voxels
+    for c, a, b in zip("zyx", low, high, strict=True):
+        inside = inside.where(F.col(c).between(a, b))
+    return inside.withColumns({c: F.col(c) - a for c, a in zip("zyx", low, strict=True)})
+
+
+def masked(voxels: DataFrame, mask: DataFrame) -> DataFrame:
+    """Values outside the mask's positive places (t, z, y, x, value) become 0."""
+    on = mask.where("value > 0").select("t", "z", "y", "x", F.lit(True).alias("_on")).distinct()
+    return voxels.join(on, ["t", "z", "y", "x"], "left").withColumn("value", F.when(F.col("_on"), F.col("value")).otherwise(F.lit(0)).cast(voxels.schema["value"].dataType)).select(*voxels.columns)
+
+
+def appended(voxels: DataFrame, more: DataFrame, along: str) -> DataFrame:
+    """Another image's voxels after those there, along `t` or `ch`."""
+    top = voxels.agg((F.coalesce(F.max(along), F.lit(-1)) + 1).alias("_top"))
+    return voxels.unionByName(more.crossJoin(F.broadcast(top)).withColumn(along, F.col(along) + F.col("_top")).select(*voxels.columns))  # one row
+
+
+def tiles(voxels: DataFrame, size: int, halo: int) -> DataFrame:
+    """Each voxel in the tile (tile_y, tile_x) that owns it and in those whose halo reaches it; `own` tells the first."""
+    told = voxels
+    for c in ("y", "x"):
+        first, last = F.floor((F.col(c) - halo) / size), F.floor((F.col(c) + halo) / size)
+        told = told.withColumn(f"tile_{c}", F.explode(F.sequence(F.greatest(first, F.lit(0)).cast("long"), last.cast("long"))))
+    return told.withColumn("own", (F.col("tile_y") == F.floor(F.col("y") / size)) & (F.col("tile_x") == F.floor(F.col("x") / size)))
+
+
+def stitched(tiled: DataFrame) -> DataFrame:
+    """One image of tiles with labels of their own: labels stay unique by tile, each voxel counts in the tile that owns it."""
+    order = ["tile_y", "tile_x"]
+    top = tiled.where("own").groupBy(*order).agg(F.max("label").alias("_top"))
+    before = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)  # one row a tile
+    offset = top.select(*order, F.coalesce(F.sum("_top").over(before), F.lit(0)).alias("_before"))
+    moved = tiled.where("own").join(offset, order)
+    return moved.withColumn("label", F.when(F.col("label") > 0, F.col("label") + F.col("_before")).otherwise(F.lit(0))).drop(*order, "own", "_before")
+
+
+def neighbours_of(contacts: DataFrame, label: int) -> DataFrame:
+    """Labels in contact with one object, from `adjacency`."""
+    return contacts.where((F.col("source") == label) | (F.col("target") == label)).select(F.when(F.col("source") == label, F.col("target")).otherwise(F.col("source")).alias("label"))

@@ -218,10 +218,14 @@ def _(spark, d):
     return learning.classify(points, [0.0, 0.01], [0.1, 0.2], [[0.1, 1.0, -1.0], [0.0, 0.0, 0.5], [-0.2, -1.0, 0.0]], 0.5).select("id", "prediction", *r6("confidence"))
 
 
-@register("c04_kmeans", "with p as (select vec_id as id, list_transform(embedding[1:4], lambda x: x::double) as v, vec_id % 3 as c from embeddings), m as (select c, [avg(v[1]), avg(v[2]), avg(v[3]), avg(v[4])] as m from p group by c), d as (select id, c.c, sqrt(list_sum(list_transform(range(1, 5), lambda i: (v[i] - m[i]) * (v[i] - m[i])))) as d from p, m c) select id, arg_min(c, d)::int as cluster from d group by id")
+def vectors(spark, d, dims=64):
+    """id and embedding of every row, as doubles."""
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.transform(F.slice("embedding", 1, dims), lambda x: x.cast("double")).alias("v"))
+
+
+@register("c04_kmeans")
 def _(spark, d):
-    points = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.transform(F.slice("embedding", 1, 4), lambda x: x.cast("double")).alias("v"))
-    return learning.kmeans(points, 3, 1)
+    return learning.kmeans(vectors(spark, d), 10)
 
 
 @register("c07_fuzzy_memberships", "with d as (select vec_id as id, [sqrt((embedding[1]::double - 0.1) * (embedding[1]::double - 0.1) + embedding[2]::double * embedding[2]::double), sqrt(embedding[1]::double * embedding[1]::double + (embedding[2]::double + 0.1) * (embedding[2]::double + 0.1))] as d from embeddings) select id, round(d[1] ** -2 / (d[1] ** -2 + d[2] ** -2), 6) as first, round(d[2] ** -2 / (d[1] ** -2 + d[2] ** -2), 6) as second from d")
@@ -244,10 +248,7 @@ def _(spark, d):
 
 @register("c01_agglomerative")
 def _(spark, d):
-    # Blocks of consecutive ids within a class, so that no group grows with the table.
-    block = F.concat_ws("-", F.col("label").cast("string"), F.floor(F.col("vec_id") / 500).cast("string"))
-    grouped = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), block.alias("g"), F.transform(F.slice("embedding", 1, 4), lambda x: x.cast("double")).alias("v"))
-    return learning.agglomerate(grouped, "g")
+    return learning.cell_mergers(vectors(spark, d))[1]
 
 
 @register("c19_outliers")

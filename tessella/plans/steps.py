@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import xml.etree.ElementTree as ElementTree
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tessella.sources.tables import Rule, load_rules
+
 Step = Callable[..., DataFrame]
 STEPS: dict[str, Step] = {}
 
@@ -38,6 +41,31 @@ class Plan:
         return table
 
 
+def from_project(text: str) -> tuple[dict[str, str], Plan, list[Rule]]:
+    """Inputs by channel, steps and association rules of a project's XML text.
+
+    A step `<step name=".." key="value"/>` takes its attributes as parameters: those with commas as lists, and numbers as
+    numbers; a query's text becomes an sql step.
+    """
+
+    def value(raw: str):
+        if "," in raw:
+            return [value(x.strip()) for x in raw.split(",")]
+        try:
+            return int(raw)
+        except ValueError:
+            return raw
+
+    top = ElementTree.fromstring(text)
+    inputs = {e.attrib.get("chname", e.attrib.get("type", e.tag)): (e.text or "").strip() for e in top.iter("file")}
+    plan = Plan()
+    for e in top.iter("step"):
+        plan = plan.then(e.attrib["name"].lower(), **{k: value(v) for k, v in e.attrib.items() if k != "name"})
+    for e in top.iter("SqlQuery"):
+        plan = plan.then("sql", text=(e.text or "").strip())
+    return inputs, plan, load_rules(text)
+
+
 @step("zscore")
 def _zscore(table: DataFrame, columns: list[str]) -> DataFrame:
     from tessella.operators.statistics import zscores

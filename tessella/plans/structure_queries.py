@@ -154,20 +154,20 @@ def track_rows(spark, d):
     return table(spark, d, "events").select(F.col("user_id").alias("track"), F.col("event_id").alias("t"), F.col("value").alias("x"), (F.col("value") / 2).alias("y"), F.lit(0.0).alias("z"))
 
 
-@register("w01_track_steps", f"{_TR} select track, t, round(dx, 6) as dx, round(step, 6) as step, round(speed, 8) as speed from u")
+@register("w01_track_steps", f"{_TR} select track, t, round(dx, 6) as dx, round(dy, 6) as dy, 0.0::double as dz, dt::bigint as dt, round(step, 6) as step, round(speed, 8) as speed from u")
 def _(spark, d):
-    return tracks.steps(track_rows(spark, d)).select("track", "t", F.round("dx", 6).alias("dx"), F.round("step", 6).alias("step"), F.round("speed", 8).alias("speed"))
+    return tracks.steps(track_rows(spark, d)).select("track", "t", F.round("dx", 6).alias("dx"), F.round("dy", 6).alias("dy"), F.round("dz", 6).alias("dz"), F.col("dt").cast("long").alias("dt"), F.round("step", 6).alias("step"), F.round("speed", 8).alias("speed"))
 
 
-@register("a24_track_summary", f"{_TR} select track, count(*) as points, round(coalesce(avg(case when dt > 0 then speed end), 0), 8) as avg_speed, round(coalesce(max(case when dt > 0 then speed end), 0), 8) as max_speed, round(sum(step), 4) as path, round(arg_max(x, t) - arg_min(x, t), 6) as net_x from u group by track")
+@register("a24_track_summary", f"{_TR} select track, count(*) as points, round(coalesce(avg(case when dt > 0 then speed end), 0), 8) as avg_speed, round(coalesce(max(case when dt > 0 then speed end), 0), 8) as max_speed, round(coalesce(min(case when dt > 0 then speed end), 0), 8) as min_speed, round(sum(step), 4) as path, round(arg_max(x, t) - arg_min(x, t), 6) as net_x, round(arg_max(y, t) - arg_min(y, t), 6) as net_y, round(sqrt((arg_max(x, t) - arg_min(x, t)) ** 2 + (arg_max(y, t) - arg_min(y, t)) ** 2), 6) as net from u group by track")
 def _(spark, d):
     t = tracks.summary(track_rows(spark, d))
-    return t.select("track", "points", F.round("avg_speed", 8).alias("avg_speed"), F.round("max_speed", 8).alias("max_speed"), F.round("path", 4).alias("path"), F.round("net_x", 6).alias("net_x"))
+    return t.select("track", "points", F.round("avg_speed", 8).alias("avg_speed"), F.round("max_speed", 8).alias("max_speed"), F.round("min_speed", 8).alias("min_speed"), F.round("path", 4).alias("path"), *(F.round(c, 6).alias(c) for c in ("net_x", "net_y", "net")))
 
 
-@register("w02_subtrack_directions", f"{_TR}, v as (select *, sum(dx) over (partition by track) as wx, sum(dy) over (partition by track) as wy, row_number() over (partition by track order by t) as k from s) select track, t, round(sqrt(dx * dx + dy * dy), 6) as step, round(case when sqrt(dx * dx + dy * dy) * sqrt(wx * wx + wy * wy) > 0 then (dx * wx + dy * wy) / (sqrt(dx * dx + dy * dy) * sqrt(wx * wx + wy * wy)) end, 5) as path_cosine from v where k > 1")
+@register("w02_subtrack_directions", f"{_TR}, v as (select *, sum(dx) over (partition by track) as wx, sum(dy) over (partition by track) as wy, row_number() over (partition by track order by t) as k from s) select track, t, round(sqrt(dx * dx + dy * dy), 6) as step, round(case when sqrt(dx * dx + dy * dy) * sqrt(wx * wx + wy * wy) > 0 then (dx * wx + dy * wy) / (sqrt(dx * dx + dy * dy) * sqrt(wx * wx + wy * wy)) end, 5) as path_cosine, round(dx, 6) as dx, round(dy, 6) as dy from v where k > 1")
 def _(spark, d):
-    return tracks.directions(track_rows(spark, d)).select("track", "t", F.round("step", 6).alias("step"), F.round("path_cosine", 5).alias("path_cosine"))
+    return tracks.directions(track_rows(spark, d)).select("track", "t", F.round("dx", 6).alias("dx"), F.round("dy", 6).alias("dy"), F.round("step", 6).alias("step"), F.round("path_cosine", 5).alias("path_cosine"))
 
 
 @register("w05_path_length", "with g as (select label, embedding[1]::double - lag(embedding[1]::double) over w as dx, embedding[2]::double - lag(embedding[2]::double) over w as dy from embeddings window w as (partition by label order by vec_id)) select label, round(coalesce(sum(sqrt(dx * dx + dy * dy)), 0), 5) as length from g group by label")
@@ -196,15 +196,15 @@ def voxel_rows(spark, d):
     return per.select(F.lit(0).alias("t"), F.lit(0).alias("ch"), F.floor(k / 400).alias("z"), F.pmod(F.floor(k / 20), F.lit(20)).alias("y"), F.pmod(k, F.lit(20)).alias("x"), F.pmod(F.col("q").cast("int"), F.lit(64)).alias("value"), F.pmod(F.floor(k / 40), F.lit(7)).alias("label"))
 
 
-@register("a02_voxel_intrinsic", f"{_V} select label, count(*) as volume, sum(value)::double as integrated_intensity, round(avg(x), 6) as centroid_x, round(avg(value), 6) as mean, median(value)::double as median, min(value)::double as minimum, max(value)::double as maximum, round(stddev_samp(value), 6) as sigma from v where label <> 0 group by label")
+@register("a02_voxel_intrinsic", f"{_V} select label, count(*) as volume, sum(value)::double as integrated_intensity, round(avg(x), 6) as centroid_x, round(avg(y), 6) as centroid_y, round(avg(z), 6) as centroid_z, max(x) - min(x) + 1 as box_x, max(y) - min(y) + 1 as box_y, max(z) - min(z) + 1 as box_z, round(avg(value), 6) as mean, median(value)::double as median, min(value)::double as minimum, max(value)::double as maximum, round(stddev_samp(value), 6) as sigma from v where label <> 0 group by label")
 def _(spark, d):
     t = voxels.intrinsic(voxel_rows(spark, d))
-    return t.select("label", "volume", "integrated_intensity", F.round("centroid_x", 6).alias("centroid_x"), F.round("mean", 6).alias("mean"), "median", "minimum", "maximum", F.round("sigma", 6).alias("sigma"))
+    return t.select("label", "volume", "integrated_intensity", *(F.round(f"centroid_{c}", 6).alias(f"centroid_{c}") for c in "xyz"), *(f"box_{c}" for c in "xyz"), F.round("mean", 6).alias("mean"), "median", "minimum", "maximum", F.round("sigma", 6).alias("sigma"))
 
 
-@register("a04_voxel_histogram_features", f"{_V}, c as (select label, value, count(*)::double as c from v where label <> 0 group by label, value), p as (select label, value, c / sum(c) over (partition by label) as p from c) select label, round(sum(p * p), 8) as energy, round(-sum(p * log2(p)), 6) as entropy from p group by label")
+@register("a04_voxel_histogram_features", f"{_V}, c as (select label, value, count(*)::double as c from v where label <> 0 group by label, value), p as (select label, value, c / sum(c) over (partition by label) as p from c) select label, round(sum(p * p), 8) as energy, round(-sum(p * log2(p)), 6) as entropy, round((sum(p * value ** 3) - 3 * sum(p * value) * sum(p * value ** 2) + 2 * sum(p * value) ** 3) / (sum(p * value ** 2) - sum(p * value) ** 2) ** 1.5, 5) as skew from p group by label")
 def _(spark, d):
-    return voxels.histogram_features(voxel_rows(spark, d)).select("label", F.round("energy", 8).alias("energy"), F.round("entropy", 6).alias("entropy"))
+    return voxels.histogram_features(voxel_rows(spark, d)).select("label", F.round("energy", 8).alias("energy"), F.round("entropy", 6).alias("entropy"), F.round("skew", 5).alias("skew"))
 
 
 @register("a08_voxel_texture")

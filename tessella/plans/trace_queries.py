@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessella.operators import graph, learning, spatial, statistics, traces, voxels
+from tessella.plans.object_queries import vectors
 from tessella.plans.structure_queries import _D, _KE, _NODES, _P, _TREE, _V, _knn, points, tree, voxel_rows
 from tessella.registry import register, table
 
@@ -142,20 +143,15 @@ def _(spark, d):
     return statistics.feature_modules(t, ["l_quantity", "l_extendedprice", "net", "l_tax"], 0.8)
 
 
-def _mergers(spark, d):
-    block = F.concat_ws("-", F.col("label").cast("string"), F.floor(F.col("vec_id") / 500).cast("string"))
-    grouped = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), block.alias("g"), F.transform(F.slice("embedding", 1, 4), lambda x: x.cast("double")).alias("v"))
-    return graph.kept(learning.agglomerate(grouped, "g", "complete"))
-
-
 @register("c02_cut_mergers")
 def _(spark, d):
-    return learning.cut_mergers(_mergers(spark, d), "g", 4)
+    cells, mergers = learning.cell_mergers(vectors(spark, d), linkage="complete")
+    return cells.join(learning.cut_mergers(mergers, "g", 4), "member").select("id", "cluster")
 
 
 @register("c03_elbow")
 def _(spark, d):
-    return learning.elbow(_mergers(spark, d), "g")
+    return learning.elbow(learning.cell_mergers(vectors(spark, d), linkage="complete")[1], "g")
 
 
 @register("c17_batch_query", "select p_partkey as id, round(1 / abs(2 * p_retailprice / 3000 - 1), 6) as score from part order by 1 / abs(2 * p_retailprice / 3000 - 1) desc, p_partkey limit 20")

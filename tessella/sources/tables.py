@@ -19,11 +19,18 @@ def _number(c, bad_as_zero: bool):
 
 
 def load_table(spark: SparkSession, path: str, bad_as_zero: bool = False) -> DataFrame:
-    """Whitespace-separated text with a header line; all columns double, text that is no number null (or 0)."""
-    lines = spark.read.text(path)
-    head = lines.where(F.trim("value") != "").first()
-    names = [clean_header(n) for n in head["value"].split()]
-    parts = lines.where((F.col("value") != head["value"]) & (F.trim("value") != "")).select(F.split(F.trim("value"), r"[ \t]+").alias("_p"))
+    """Whitespace-separated text with a header line; all columns double, text that is no number null (or 0).
+
+    Only a file's first line with text is its header. Files of one path must have the same header.
+    """
+    lines = spark.read.text(path).where(F.trim("value") != "").select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_line"))
+    first = lines.groupBy("_file").agg(F.min_by(F.struct("_block", "_line", "value"), F.struct("_block", "_line")).alias("_head"))
+    heads = [r["value"] for r in first.select("_head.value").distinct().limit(2).collect()]
+    if len(heads) != 1:
+        raise ValueError(f"{path} has {'files of different headers' if heads else 'no header'}")
+    names = [clean_header(n) for n in heads[0].split()]
+    body = lines.where(F.col("value") != heads[0]).select("value").unionByName(lines.where(F.col("value") == heads[0]).join(F.broadcast(first.select("_file", F.col("_head._line").alias("_first"))), "_file").where("_line <> _first").select("value"))  # one row a file
+    parts = body.select(F.split(F.trim("value"), r"[ \t]+").alias("_p"))
     cells = parts.select(*(F.get("_p", F.lit(k)).alias(n) for k, n in enumerate(names)))
     return cells.select(*(_number(f"`{n}`", bad_as_zero).alias(n) for n in names))
 
@@ -206,3 +213,39 @@ def save_clustering(mergers: DataFrame, members: DataFrame, path: str) -> None:
     """Mergers and members as one text table each."""
     mergers.write.csv(f"{path}/mergers", header=True)
     members.write.csv(f"{path}/members", header=True)
+
+
+def save_ids(table: DataFrame, path: str, key: str = "id") -> None:
+    """The keys of selected rows, one a line."""
+    table.select(F.col(key).cast("string")).write.text(path)
+
+
+def save_by_class(voxels: DataFrame, classes: DataFrame, path: str) -> None:
+    """Object voxels in one folder per class of their labels (label, class)."""
+    voxels.where("label <> 0").join(classes.select("label", "class"), "label").write.partitionBy("class").parquet(path)
+
+
+def save_selected_features(table: DataFrame, features: list[str], path: str, key: str = "id") -> None:
+    """z-scores of the selected features as a text table, and their names, one a line."""
+    from tessella.operators.statistics import zscores
+
+    save_table(zscores(table.select(key, *features), features), f"{path}/table")
+    table.sparkSession.createDataFrame([(f,) for f in features], "value string").coalesce(1).write.text(f"{path}/names")
+
+
+def save_track_features(rows: DataFrame, path: str) -> None:
+    """The summary of every track as a text table."""
+    from tessella.operators.tracks import summary
+
+    save_table(summary(rows), path)
+
+
+def load_vtk_lines(spark: SparkSession, path: str) -> DataFrame:
+    """line, position, id, x, y and z of a legacy text polydata file's lines; point ids count from 0."""
+    text = spark.read.text(path, wholetext=True).select(F.regexp_extract("value", r"(?s)POINTS\s+\d+\s+\w+\s+(.*?)LINES", 1).alias("p"), F.regexp_extract("value", r"(?s)LINES\s+\d+\s+\d+\s+([\d\s]+)", 1).alias("l"))
+    number = text.select(F.posexplode(F.split(F.trim(F.regexp_replace("p", r"\s+", " ")), " ")).alias("k", "v"))
+    places = number.groupBy(F.floor(F.col("k") / 3).alias("id")).agg(*(F.max(F.when(F.col("k") % 3 == j, F.col("v").cast("double"))).alias(c) for j, c in enumerate("xyz")))
+    rows = text.select(F.explode(F.split(F.trim("l"), r"\s*\n\s*")).alias("row")).withColumn("line", F.monotonically_increasing_id())
+    bits = rows.select("line", F.posexplode(F.split(F.trim("row"), r"\s+")).alias("position", "v")).where("position > 0")
+    return bits.select("line", (F.col("position") - 1).alias("position"), F.col("v").cast("long").alias("id")).join(places, "id").select("line", "position", "id", "x", "y", "z")
+
