@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tessella.functions.scalar import euclidean, softmax
 from tessella.operators.graph import forest_depths, kept
+from tessella.sources.shared import dropped
 
 
 def features(table: DataFrame, columns: list[str], key: str = "id") -> DataFrame:
@@ -120,30 +120,13 @@ def _agglomerate(v: np.ndarray, linkage: str, weight: np.ndarray | None = None)
     return out
 
 
-def agglomerate(points: DataFrame, group: str, linkage: str = "average", most: int = 4000) -> DataFrame:
-    """Mergers of each group's points, closest first: (group, step, first, second, distance).
-
-    Groups are clustered side by side, one per task; a group above `most` rows fails, for the distances of
-    a group are held at once. New clusters are numbered from the group's size on.
-    """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) > most:
-            raise ValueError(f"a group of {len(pdf)} rows is above the limit of {most}; split it by k-means first")
-        pdf = pdf.sort_values("id")
-        made = _agglomerate(np.stack(pdf["v"].to_numpy()).astype(float), linkage)
-        return pd.DataFrame({group: pdf[group].iloc[0], "step": range(len(made)), "first": [m[0] for m in made], "second": [m[1] for m in made], "distance": [m[2] for m in made]})
-
-    kind = points.schema[group].dataType.simpleString()
-    return points.groupBy(group).applyInPandas(run, f"{group} {kind}, step int, first long, second long, distance double")
-
-
 def cell_mergers(points: DataFrame, cells: int = 64, linkage: str = "average", rounds: int = 50) -> tuple[DataFrame, DataFrame]:
     """Agglomerative clustering of a table of any size: k-means cells first, then mergers of their centres, closest first.
 
     Returns (id, member), each point's cell by rank among the cells that hold points, and the mergers (g, step, first, second,
-    distance) as `agglomerate` gives them, g being 0; average linkage weighs cells by their points. With as many cells as
-    points it is the clustering of the points themselves. Only the centres, `cells` at most, leave the executors.
+    distance), g being 0; new clusters are numbered from the number of cells on, and average linkage weighs cells by their
+    points. With as many cells as points it is the clustering of the points themselves. Only the centres, `cells` at most,
+    leave the executors.
     """
     found = kept(kmeans(points, cells, rounds))
     dim = points.select(F.size("v")).first()
@@ -176,53 +159,90 @@ def fuzzy_cmeans(points: DataFrame, centres: list[list[float]], rounds: int, fuz
     return fuzzy_memberships(points, centres, fuzziness).select("id", "membership")
 
 
-def diffusion_map(points: DataFrame, group: str, components: int = 3, sigma: float = 2.0, most: int = 2000) -> DataFrame:
-    """Leading coordinates of each group's diffusion map: row-normalised Gaussian similarities of z-scores, by eigenvalue."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) > most:
-            raise ValueError(f"a group of {len(pdf)} rows is above the limit of {most}")
-        pdf = pdf.sort_values("id")
-        v = np.stack(pdf["v"].to_numpy()).astype(float)
-        sd = v.std(0, ddof=1) if len(v) > 1 else np.ones(v.shape[1])
-        v = (v - v.mean(0)) / np.where(sd > 0, sd, 1)
-        k = np.exp(-((v[:, None] - v[None]) ** 2).sum(2) / (2 * sigma**2))
-        scale = 1 / np.sqrt(k.sum(1))
-        values, vectors = np.linalg.eigh(k * scale[:, None] * scale[None])
-        order = np.argsort(-values)[1 : components + 1]
-        out = vectors[:, order] * scale[:, None] * values[order]
-        out *= np.where(out[np.abs(out).argmax(0), np.arange(out.shape[1])] < 0, -1, 1)
-        return pd.DataFrame({group: pdf[group].to_numpy(), "id": pdf["id"].to_numpy(), "coordinates": list(out)})
-
-    kind = points.schema[group].dataType.simpleString()
-    return points.groupBy(group).applyInPandas(run, f"{group} {kind}, id long, coordinates array<double>")
-
-
-def replicator(points: DataFrame, group: str, alpha: float = 1.0, rounds: int = 200, keep: float = 0.1, most: int = 2000) -> DataFrame:
-    """Game-theoretic clusters: per group, the members that survive replicator dynamics over similarities exp(-alpha distance), from equal shares."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) > most:
-            raise ValueError(f"a group of {len(pdf)} rows is above the limit of {most}")
-        pdf = pdf.sort_values("id")
-        v = np.stack(pdf["v"].to_numpy()).astype(float)
-        sd = v.std(0)
-        v = (v - v.mean(0)) / np.where(sd > 0, sd, 1)
-        c = np.exp(-alpha * np.sqrt(((v[:, None] - v[None]) ** 2).sum(2)))
-        np.fill_diagonal(c, 0)
-        x = np.full(len(v), 1 / len(v))
-        for _ in range(rounds):
-            y = x * (c @ x)
-            if y.sum() <= 0:
-                break
-            y /= y.sum()
-            if np.abs(y - x).sum() < 1e-9:
-                break
-            x = y
-        return pd.DataFrame({group: pdf[group].to_numpy(), "id": pdf["id"].to_numpy(), "share": x, "survives": x >= keep * x.max()})
-
-    kind = points.schema[group].dataType.simpleString()
-    return points.groupBy(group).applyInPandas(run, f"{group} {kind}, id long, share double, survives boolean")
+def _both_ways(edges: DataFrame) -> DataFrame:
+    """Edges (source, target, weight) in both directions, the largest weight of repeated ones, no loops."""
+    both = edges.select("source", "target", "weight").unionByName(edges.select(F.col("target").alias("source"), F.col("source").alias("target"), "weight"))
+    return both.where("source <> target").groupBy("source", "target").agg(F.max("weight").alias("weight"))
+
+
+def similarities(edges: DataFrame, alpha: float = 1.0) -> DataFrame:
+    """Edges with the weight exp(-alpha distance)."""
+    return edges.select("source", "target", F.exp(-alpha * F.col("distance")).alias("weight"))
+
+
+def replicator(edges: DataFrame, rounds: int = 50, keep: float = 0.1, tolerance: float = 1e-9) -> DataFrame:
+    """Game-theoretic cluster: id, share and whether it survives replicator dynamics over similarity edges, from equal shares.
+
+    A round is a join of the edges with the shares and a sum: x_i goes to x_i (sum of w_ij x_j), scaled to a total of 1.
+    """
+    both = kept(_both_ways(edges))
+    shares = both.select(F.col("source").alias("id")).distinct()
+    n = shares.count()
+    shares = kept(shares.withColumn("share", F.lit(1.0 / max(n, 1))))
+    for _ in range(rounds):
+        pull = both.join(shares.select(F.col("id").alias("target"), F.col("share").alias("_x")), "target").groupBy(F.col("source").alias("id")).agg(F.sum(F.col("weight") * F.col("_x")).alias("_p"))
+        raw = kept(shares.join(pull, "id").select("id", F.col("share").alias("_before"), (F.col("share") * F.col("_p")).alias("share")))
+        total = raw.agg(F.sum("share").alias("s")).first()["s"] or 0.0
+        if total <= 0:
+            dropped(raw)
+            break
+        moved = raw.agg(F.sum(F.abs(F.col("share") / total - F.col("_before"))).alias("m")).first()["m"]
+        before, shares = shares, kept(raw.select("id", (F.col("share") / total).alias("share")))
+        dropped(before, raw)
+        if moved < tolerance:
+            break
+    top = shares.agg(F.max("share").alias("_top"))
+    return shares.crossJoin(F.broadcast(top)).select("id", "share", (F.col("share") >= keep * F.col("_top")).alias("survives"))  # one row
+
+
+def diffusion_map(edges: DataFrame, components: int = 3, rounds: int = 40, tolerance: float = 1e-6) -> DataFrame:
+    """id and its leading diffusion coordinates over similarity edges, each vertex similar to itself by 1.
+
+    Orthogonal iteration: a round is a join of the normalised edges with the coordinates and sums for all components at
+    once; only the products of the components with each other reach the driver. The first, constant one is left out.
+    """
+    both = _both_ways(edges)
+    both = both.unionByName(both.select("source", F.col("source").alias("target"), F.lit(1.0).alias("weight")).distinct())
+    degree = kept(both.groupBy(F.col("source").alias("id")).agg(F.sum("weight").alias("_d")))
+    a, b = degree.toDF("source", "_ds"), degree.toDF("target", "_dt")
+    both = kept(both.join(a, "source").join(b, "target").select("source", "target", (F.col("weight") / F.sqrt(F.col("_ds") * F.col("_dt"))).alias("weight")))
+    names = [f"u{k}" for k in range(components + 1)]
+    # The first vector is known; the others begin as hashes.
+    start = [F.sqrt("_d").alias("u0"), *((F.pmod(F.xxhash64("id", F.lit(k)), F.lit(2000003)) / 1000001.5 - 1).alias(f"u{k}") for k in range(1, components + 1))]
+    state, values = kept(degree.select("id", *start)), np.zeros(components + 1)
+
+    def products(table: DataFrame, other: list[str]) -> np.ndarray:
+        row = table.agg(*(F.sum(F.col(p) * F.col(q)).alias(f"{p}_{q}") for p in names for q in other)).first()
+        return np.array([[row[f"{p}_{q}"] or 0.0 for q in other] for p in names])
+
+    def turned(table: DataFrame, turn: np.ndarray) -> DataFrame:
+        return table.select("id", *(sum((F.col(p) * float(turn[i, j]) for i, p in enumerate(names)), F.lit(0.0)).alias(q) for j, q in enumerate(names)))
+
+    def orthonormal(table: DataFrame) -> DataFrame:
+        lower = np.linalg.cholesky(products(table, names) + 1e-14 * np.eye(len(names)))
+        return kept(turned(table, np.linalg.inv(lower).T))
+
+    if state.isEmpty():
+        return state.select("id", F.array(*map(F.col, names[1:])).alias("coordinates"))
+    state = orthonormal(state)
+    for _ in range(rounds):
+        moved = both.join(state.withColumnRenamed("id", "target"), "target").groupBy(F.col("source").alias("id")).agg(*(F.sum(F.col("weight") * F.col(u)).alias(u) for u in names))
+        moved = kept(moved)
+        told = state.join(moved.toDF("id", *(f"w{u}" for u in names)), "id")
+        found, turn = np.linalg.eigh(products(told, [f"w{u}" for u in names]))
+        found, turn = found[::-1], turn[:, ::-1]
+        before, state = state, orthonormal(turned(moved, turn))
+        dropped(before, moved)
+        if np.abs(found - values).max() < tolerance:
+            values = found
+            break
+        values = found
+    place = state.join(degree, "id")
+    scaled = {u: F.col(u) * float(values[k]) / F.sqrt("_d") for k, u in enumerate(names) if k}
+    told = place.select("id", *(c.alias(u) for u, c in scaled.items()))
+    # The sign is that which makes the value of largest size positive, ties to the smaller id.
+    far = told.agg(*(F.max(F.struct(F.abs(u).alias("s"), (-F.col("id")).alias("i"), F.col(u).alias("v"))).alias(u) for u in names[1:])).first()
+    return told.select("id", F.array(*(F.col(u) * (-1.0 if far[u]["v"] < 0 else 1.0) for u in names[1:])).alias("coordinates"))
 
 
 def isolation(points: DataFrame, share: float = 0.1) -> DataFrame:

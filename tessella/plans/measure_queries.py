@@ -243,3 +243,25 @@ def _(spark, d):
 def _(spark, d):
     t = filters.sorted_rows(table(spark, d, "part").select("p_partkey", "p_retailprice"), "p_retailprice", "p_partkey").limit(50)
     return t.select(F.row_number().over(Window.orderBy("p_retailprice", "p_partkey")).alias("place"), "p_partkey", "p_retailprice")
+
+
+def _similar(spark, d):
+    p = points(spark, d)
+    return learning.similarities(spatial.nearest(p, p, 5))
+
+
+@register("c08_replicator")
+def _(spark, d):
+    return learning.replicator(_similar(spark, d))
+
+
+@register("c10_diffusion_map")
+def _(spark, d):
+    return learning.diffusion_map(_similar(spark, d))
+
+
+@register("j12_diffusion_neighbours")
+def _(spark, d):
+    c = F.col("coordinates")
+    placed = learning.diffusion_map(_similar(spark, d)).select("id", *(c[k].alias(a) for k, a in enumerate("xyz")))
+    return spatial.nearest(placed, placed, 3)

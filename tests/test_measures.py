@@ -112,6 +112,36 @@ def test_clusters_of_cells_cover_all_points(spark):
     assert learning.elbow(mergers, "g").first()["clusters"] == 2
 
 
+def edges_of(spark, seed, n=30):
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(n, 2)) + np.repeat([[0, 0], [4, 0]], n // 2, axis=0)
+    w = np.exp(-np.linalg.norm(x[:, None] - x[None], axis=2))
+    rows = [(i, j, float(w[i, j])) for i in range(n) for j in range(i + 1, n)]
+    return w, spark.createDataFrame(rows, "source long, target long, weight double")
+
+
+def test_replicator_shares(spark):
+    w, edges = edges_of(spark, 10)
+    np.fill_diagonal(w, 0)
+    x = np.full(len(w), 1 / len(w))
+    for _ in range(8):
+        x = x * (w @ x)
+        x /= x.sum()
+    got = {r["id"]: (r["share"], r["survives"]) for r in learning.replicator(edges, 8).collect()}
+    assert [got[k][0] for k in range(len(w))] == pytest.approx(x.tolist())
+    assert [got[k][1] for k in range(len(w))] == (x >= 0.1 * x.max()).tolist()
+
+
+def test_diffusion_coordinates(spark):
+    w, edges = edges_of(spark, 11)
+    d = w.sum(1)
+    values, vectors = np.linalg.eigh(w / np.sqrt(d[:, None] * d[None]))
+    expected = np.abs(vectors[:, -2] * values[-2] / np.sqrt(d))
+    got = {r["id"]: r["coordinates"] for r in learning.diffusion_map(edges, 2, 25).collect()}
+    assert np.abs([got[k][0] for k in range(len(w))]) == pytest.approx(expected, abs=1e-4)
+    assert learning.diffusion_map(edges.limit(0)).collect() == []
+
+
 def test_fuzzy_centres_move_to_the_groups(spark):
     v = np.random.default_rng(8).normal(size=(100, 2)) * 0.1 + np.repeat([[0, 0], [5, 5]], 50, axis=0)
     df = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)], "id long, v array<double>")

@@ -163,9 +163,11 @@ def test_scalars(spark):
 
 
 def test_agglomeration_merges_the_closest_first(spark):
-    df = spark.createDataFrame([("g", k, [v]) for k, v in enumerate([0.0, 1.0, 10.0, 10.5])], "g string, id long, v array<double>")
-    got = learning.agglomerate(df, "g", "single").orderBy("step").collect()
-    assert [(r["first"], r["second"], r["distance"]) for r in got] == [(2, 3, 0.5), (0, 1, 1.0), (5, 4, 9.0)]
+    df = spark.createDataFrame([(k, [v]) for k, v in enumerate([0.0, 1.0, 10.0, 10.5])], "id long, v array<double>")
+    cells, mergers = learning.cell_mergers(df, 4, "single")
+    rank = {r["id"]: r["member"] for r in cells.collect()}
+    got = [({r["first"], r["second"]}, r["distance"]) for r in mergers.orderBy("step").collect()]
+    assert got == [({rank[2], rank[3]}, 0.5), ({rank[0], rank[1]}, 1.0), ({4, 5}, 9.0)]
 
 
 def test_classifier_learns(spark):

@@ -120,8 +120,9 @@ def test_transforms_compose(spark):
 
 
 def test_cut_mergers_leave_so_many_clusters(spark):
-    rows = [(g, 100 * i + k, [v]) for i, g in enumerate("gh") for k, v in enumerate([0.0, 0.1, 5.0, 5.1, 20.0])]
-    mergers = graph.kept(learning.agglomerate(spark.createDataFrame(rows, "g string, id long, v array<double>"), "g", "single"))
+    # 0.0, 0.1, 5.0, 5.1 and 20.0 by single linkage, in two groups.
+    steps = [(0, 0, 1, 0.1), (1, 2, 3, 0.1), (2, 5, 6, 4.9), (3, 7, 4, 14.9)]
+    mergers = spark.createDataFrame([(g, *s) for g in "gh" for s in steps], "g string, step int, first long, second long, distance double")
     got = defaultdict(set)
     for r in learning.cut_mergers(mergers, "g", 3).collect():
         got[r["g"], r["cluster"]].add(r["member"])
