@@ -6,7 +6,7 @@ surely too high rejects all its documents.
 
 Nulls and empty texts have no words and fail the base rules. A null host is a host of its own. Repeated
 rows count each time and each come back. Ties don't arise: nothing is ranked. A task holds a text whole, with
-about 60 bytes of memory for each byte of the longest. `accepted` returns extra columns, whatever their names;
+about 10 bytes of memory for each byte of the longest and 60 for each of its words and lines. `accepted` returns extra columns, whatever their names;
 `judge` ignores them. An empty table gives an empty result.
 """
 
@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tessella.llm.stage import written
-from tessella.llm.textblock import SPACE, Block, blocks, counts_by_text, mix, span_hash, window_hash
+from tessella.llm.textblock import SPACE, Block, blocks, counts_by_text, mix, spans_hash, window_hash
 
 #: Fixed values of the contract.
 SYMBOLS = b"#*$%&|<>"
@@ -49,13 +49,12 @@ def block_stats(block: Block) -> dict[str, np.ndarray]:
     """The statistics of every text of a block."""
     data, offsets = block.data, block.offsets
     n = len(block)
-    total = block.prefix_hash()
     starts, ends, bounds = block.words()
     word_of = np.repeat(np.arange(n), np.diff(bounds))
 
     salt = mix(np.arange(n, dtype=np.uint64) + np.uint64(7))
     covered = np.zeros(len(starts), bool)
-    windows = window_hash(span_hash(total, starts, ends), 3)
+    windows = window_hash(spans_hash(data, starts, ends), 3)
     inside = word_of[: len(windows)] == word_of[2:] if len(windows) else np.zeros(0, bool)
     at = np.flatnonzero(inside)
     hit = at[_repeated(windows[at] ^ salt[word_of[at]])]
@@ -72,7 +71,7 @@ def block_stats(block: Block) -> dict[str, np.ndarray]:
     full = dark[stops] > dark[cuts]
     cuts, stops = cuts[full], stops[full]
     line_of = np.searchsorted(offsets, cuts, "right") - 1
-    again = _later_equal(span_hash(total, cuts, stops) ^ salt[line_of])
+    again = _later_equal(spans_hash(data, cuts, stops) ^ salt[line_of])
 
     return {
         "n_words": np.diff(bounds),

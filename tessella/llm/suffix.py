@@ -16,7 +16,7 @@ A byte goes if a string of `length` bytes that covers it also starts anywhere el
 Texts are whole UTF-8 texts; a null is empty. Texts shorter than `length` keep everything. Repeated rows
 count as different places, so copies remove each other; rows with equal doc_id and text come back once each
 with the same result. A null doc_id is a document like any other. Ties don't arise: every occurrence of a
-repeated string goes. A task holds a text whole, with about 60 bytes of memory for each byte of the longest.
+repeated string goes. A task holds a text whole as bytes; all work on it is in parts of bounded size.
 `cut` returns extra columns, whatever their names; `digest` ignores them. An empty table gives an empty result.
 """
 
@@ -36,6 +36,7 @@ LENGTH = 400
 GRAM = 100
 GROUP_LIMIT = 4096
 CHUNK_BYTES = 1 << 20
+PART_BYTES = 1 << 22
 
 
 def _slide(x: np.ndarray, width: int, pick: np.ufunc) -> np.ndarray:
@@ -251,11 +252,24 @@ def _keyed(docs: DataFrame) -> DataFrame:
 _KEY = "_d long, _t long"
 
 
+def _parts(whole: Iterator[Block], length: int, limit: int = PART_BYTES) -> Iterator[tuple[Block, int]]:
+    """Blocks, with long texts in parts that own `limit` windows each, and how many bytes of the text stand before a part."""
+    for block in whole:
+        n = len(block.data)
+        if len(block) > 1 or n <= limit + length:
+            yield block, 0
+            continue
+        for at in range(0, n - length + 1, limit):
+            part = block.data[at : at + limit + length - 1]
+            yield Block(block.first, part, np.array([0, len(part)])), at
+
+
 def _all_pieces(keyed: DataFrame, length: int, gram: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block in blocks(batch.column(2)):
+            for block, skipped in _parts(blocks(batch.column(2)), length):
                 group, piece, text, start, count = pieces_of(block, length, gram)
+                start = start + skipped
                 if len(start):
                     row = pa.array(block.first + text)
                     yield pa.RecordBatch.from_arrays(

@@ -11,8 +11,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 BLOCK_BYTES = 1 << 20
+SEGMENT_BYTES = 1 << 22
 
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -84,6 +86,31 @@ def span_hash(total: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return mix((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
 
 
+def spans_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, limit: int = SEGMENT_BYTES) -> np.ndarray:
+    """`span_hash` of spans in order that don't overlap, from running sums over `limit` bytes at a time, so that memory follows the spans."""
+    out = np.zeros(len(starts), np.uint64)
+    at = 0
+    while at < len(starts):
+        a = int(starts[at])
+        stop = int(np.searchsorted(ends, a + limit, "right"))
+        if stop > at:
+            b = int(ends[stop - 1])
+            total = Block(0, data[a:b], np.array([0, b - a])).prefix_hash()
+            out[at:stop] = span_hash(total, starts[at:stop] - a, ends[at:stop] - a)
+            at = stop
+            continue
+        # One span of more than the limit: the sum of its parts, each moved to its place.
+        whole, b, move = np.uint64(0), int(ends[at]), np.uint64(1)
+        with np.errstate(over="ignore"):
+            for c in range(a, b, limit):
+                part = data[c : min(c + limit, b)]
+                whole += move * (BYTE_VALUE[part] * powers(limit)[0][: len(part)]).sum(dtype=np.uint64)
+                move *= np.uint64(pow(int(BASE), limit, 2**64))
+            out[at : at + 1] = mix(np.array([whole + np.uint64(b - a)]))
+        at += 1
+    return out
+
+
 def window_hash(parts: np.ndarray, width: int) -> np.ndarray:
     """Hashes of all runs of `width` consecutive values."""
     n = len(parts) - width + 1
@@ -117,6 +144,17 @@ def blocks(column: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[Block]:
         at = end
 
 
+def slices(batch: pa.RecordBatch, column: int, limit: int) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of whole rows with about `limit` bytes of text each."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    part = np.cumsum(sizes, dtype=np.int64) // limit
+    at = 0
+    for stop in [*(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]:
+        if stop > at:
+            yield batch.slice(at, stop - at)
+        at = stop
+
+
 def counts_by_text(flags: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """Sum of `flags` between consecutive bounds."""
     total = np.zeros(len(flags) + 1, np.int64)

@@ -100,3 +100,35 @@ def test_windows_left_out_by_hash_don_t_repeat(seed):
     counts = np.array([rng.randint(1, len(p) - LENGTH + 1) for p in pieces])
     expected = suffix.repeated_starts(pieces, counts, LENGTH)
     assert suffix.repeated_windows(pieces, counts, LENGTH).tolist() == expected.tolist()
+
+
+def test_long_texts_in_parts_have_the_same_windows():
+    rng = random.Random(3)
+    text = "".join(rng.choice("abc") for _ in range(1000))
+    found = set()
+    for block, skipped in suffix._parts(blocks(pa.array([text])), LENGTH, 130):
+        for _, _, t, a, n in zip(*(x.tolist() for x in suffix.pieces_of(block, LENGTH, GRAM)), strict=True):
+            assert t == 0
+            found |= {(skipped + a + i) for i in range(n)}
+    assert found == set(range(1000 - LENGTH + 1))
+
+
+def test_slices_hold_all_rows():
+    from tessella.llm.textblock import slices
+
+    texts = ["abc", None, "", "x" * 50, "de", "fghij"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(6)), pa.array(texts)], names=["k", "t"])
+    for limit in (1, 4, 10, 1000):
+        parts = list(slices(batch, 1, limit))
+        assert [x for p in parts for x in p.column(1).to_pylist()] == texts
+    assert list(slices(batch.slice(0, 0), 1, 4)) == []
+
+
+@pytest.mark.parametrize("limit", [1, 7, 40, 1000])
+def test_hashes_of_spans_do_not_depend_on_segments(limit):
+    from tessella.llm.textblock import Block, span_hash, spans_hash
+
+    data = np.frombuffer(("word " * 5 + "x" * 90 + " end of it").encode(), np.uint8)
+    starts, ends, _ = Block(0, data, np.array([0, len(data)])).words()
+    whole = span_hash(Block(0, data, np.array([0, len(data)])).prefix_hash(), starts, ends)
+    assert spans_hash(data, starts, ends, limit).tolist() == whole.tolist()
