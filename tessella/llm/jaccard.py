@@ -14,7 +14,10 @@ their Jaccard similarity is `percent` / 100 or more.
    Only pairs that a link could not change are left out, so the components are exact.
 
 Repeated rows are copies of each other. A null text is empty. A null doc_id never becomes a component's id
-unless the component has no other. Extra columns are ignored; an empty table gives an empty result.
+unless the component has no other. Of equal sets or equal doc_ids none is preferred: only the smallest doc_id names a
+component, and of rows with that doc_id `deduplicate` keeps the one of the smallest text hash. A task holds a text
+whole, with about 10 bytes of memory for each byte of the longest and 60 for each of its words. `deduplicate` returns extra columns, whatever their
+names; `join` ignores them. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,18 +27,24 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from tessella.llm.stage import written
-from tessella.llm.textblock import LOWER, Block, blocks, mix, span_hash, window_hash
+from tessella.llm.stage import dropped, written
+from tessella.llm.textblock import LOWER, Block, blocks, mix, slices, spans_hash, window_hash
 
 WIDTH = 5
 PERCENT = 75
 PIVOT_ROUNDS = 6
 PIVOTS = 3
 DRAWN = 8
-#: 64-bit words of a set's sketch; a power of two.
+#: 64-bit words of a set's sketch, and of the short one that candidate joins carry; powers of two.
 SKETCH = 8
+SHORT = 2
+#: Pivot rounds end when one links less than this share of the sets.
+WORTH = 0.01
+SLOTS = 1 << 24
+#: Bytes of the texts whose elements a task of the first pass compares at once.
+BATCH_BYTES = 12 << 20
 #: Elements that one bucket of the first pass holds, about.
 BUCKET = 1_000_000
 
@@ -43,7 +52,7 @@ BUCKET = 1_000_000
 def shingles(block: Block, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
     """Elements of all sets of a block, text by text and in order within, and the bounds of each text's."""
     starts, ends, bounds = block.words()
-    words = span_hash(block.prefix_hash(LOWER[block.data]), starts, ends)
+    words = spans_hash(LOWER[block.data], starts, ends)
     runs = window_hash(words, width)
     counts = np.diff(bounds)
     short = {d: None for d in np.flatnonzero((counts > 0) & (counts < width)).tolist()}
@@ -101,7 +110,7 @@ def sets_with_company(keyed: DataFrame, width: int, percent: int) -> DataFrame:
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 2, BATCH_BYTES)):
             found, sizes = [np.zeros(0, np.uint64)], []
             for block in blocks(batch.column(2)):
                 elements, bounds = shingles(block, width)
@@ -197,10 +206,11 @@ def _elements(texts: DataFrame, width: int) -> DataFrame:
     return texts.select("id", "_text").mapInArrow(run, "id long, n long, e array<long>")
 
 
-def contract(edges: DataFrame, labels: DataFrame) -> DataFrame:
-    """Labels (id, comp) after joining the components that edges (a, b) between components connect."""
+def contract(edges: DataFrame, labels: DataFrame) -> tuple[DataFrame, int]:
+    """Labels (id, comp), a table, after joining the components that edges (a, b) between components connect, and the number of edges; replaces the table given."""
     mapping = None
     left = written(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "edges")
+    linked = left.count()
     while not left.isEmpty():
         # Every component goes to its smallest neighbour, and on to that one's.
         near = left.select("a", "b").unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy("a").agg(F.min("b").alias("b"))
@@ -209,25 +219,56 @@ def contract(edges: DataFrame, labels: DataFrame) -> DataFrame:
         jump = written(jump, "jump")
         a, b = jump.select(F.col("v").alias("a"), F.col("to").alias("_a")), jump.select(F.col("v").alias("b"), F.col("to").alias("_b"))
         moved = left.join(a, "a").join(b, "b").select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b"))
-        left = written(moved.where("a <> b").distinct(), "edges")
+        left = written(moved.where("a <> b").distinct(), "edges", left)
         if mapping is None:
             mapping = jump
         else:
             both = mapping.alias("m").join(jump.alias("j"), F.col("m.to") == F.col("j.v"), "left").select(F.col("m.v").alias("v"), F.coalesce("j.to", "m.to").alias("to"))
             fresh = jump.join(mapping.select("v"), "v", "left_anti")
-            mapping = written(both.unionByName(fresh), "mapping")
+            mapping = written(both.unionByName(fresh), "mapping", mapping, jump)
+    dropped(left)
     if mapping is None:
-        return labels
-    return labels.join(mapping, labels["comp"] == mapping["v"], "left").select("id", F.coalesce("to", "comp").alias("comp"))
+        return labels, 0
+    moved = labels.join(mapping, labels["comp"] == mapping["v"], "left").select("id", F.coalesce("to", "comp").alias("comp"))
+    return written(moved, "labels", labels, mapping), linked
+
+
+def _parities(words: int) -> list[Column]:
+    """The sketch of `e`: parities of its elements by hash. Two sketches differ in no more bits than their sets differ in elements."""
+    return [F.expr(f"aggregate(e, 0L, (s, x) -> s ^ if((shiftright(x, 6) & {words - 1}) = {k}, shiftleft(1L, cast(x & 63 as int)), 0L))") for k in range(words)]
+
+
+def _close(differ: Column, na: str, nb: str, percent: int) -> Column:
+    """False for sets that surely don't link: those that do differ in (100 - percent) (na + nb) / (100 + percent) elements at most."""
+    return (100 + percent) * differ <= (100 - percent) * (F.col(na) + F.col(nb))
 
 
-def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of pairs (a, b, ca, cb) of sets and their components, the components of those that link."""
-    x = sets.select(F.col("id").alias("a"), F.col("n").alias("_na"), F.col("e").alias("_ea"))
-    y = sets.select(F.col("id").alias("b"), F.col("n").alias("_nb"), F.col("e").alias("_eb"))
-    both = pairs.join(x, "a").join(y, "b")
+def _side(table: DataFrame, key: str, *names: str) -> DataFrame:
+    return table.select(F.col("id").alias(key), *(F.col(n).alias(f"_{n}{key}") for n in names))
+
+
+def _joined_by_links(pairs: DataFrame, sets: DataFrame, sketches: DataFrame, percent: int, labels: DataFrame) -> tuple[DataFrame, int]:
+    """`contract` by those of the pairs (a, b, ca, cb) of sets and their components that link."""
+    both = pairs.join(_side(sketches, "a", "n", "own", "sketch"), "a").join(_side(sketches, "b", "n", "own", "sketch"), "b")
+    differ = sum((F.bit_count(F.col("_sketcha")[k].bitwiseXOR(F.col("_sketchb")[k])) for k in range(SKETCH)), F.col("_owna") + F.col("_ownb"))
+    # Written, so that its size is known before the sets are dealt out to meet it.
+    likely = written(both.where(_close(differ, "_na", "_nb", percent)).select("a", "b", "ca", "cb", "_na", "_nb"), "likely")
+    both = likely.join(_side(sets, "a", "e"), "a").join(_side(sets, "b", "e"), "b")
     common = F.size(F.array_intersect("_ea", "_eb"))
-    return both.where(100 * common >= percent * (F.col("_na") + F.col("_nb") - common)).select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+    links = both.where(100 * common >= percent * (F.col("_na") + F.col("_nb") - common)).select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+    told = contract(links, labels)
+    dropped(likely)
+    return told
+
+
+def _among(rows: DataFrame, key: Column, chosen: DataFrame, chosen_key: Column) -> DataFrame:
+    """Rows whose key may be among the chosen ones, by a bitmap of `SLOTS` hashed slots: 2 MB at most, whatever the input, and only a filter before a join."""
+    slot = lambda k: F.pmod(F.xxhash64(k, F.lit(11)), F.lit(SLOTS))
+    bits = chosen.select(slot(chosen_key).alias("_slot")).groupBy(F.bitmap_bucket_number("_slot").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_slot")).alias("_bits"))
+    told = rows.withColumn("_slot", slot(key)).join(F.broadcast(bits), F.bitmap_bucket_number("_slot") == F.col("_bucket"))
+    at = F.bitmap_bit_position(F.col("_slot"))
+    byte = F.conv(F.hex(F.substring("_bits", F.floor(at / 8).cast("int") + 1, 1)), 16, 10).cast("int")
+    return told.where(byte.bitwiseAND(F.pow(F.lit(2), at % 8).cast("int")) > 0).drop("_slot", "_bucket", "_bits")
 
 
 def components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, rounds: int = PIVOT_ROUNDS) -> DataFrame:
@@ -243,7 +284,7 @@ def components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, roun
     reps = open_.groupBy("s1", "s2", "n").agg(F.min(F.struct("_d", "_t")).alias("_m"), F.min("_d").alias("first"))
     # Numbers hold from here on: the table is written once.
     reps = written(reps.select(F.monotonically_increasing_id().alias("id"), "s1", "s2", "n", "first", F.col("_m._d").alias("_d"), F.col("_m._t").alias("_t")), "sets")
-    texts = keyed.alias("k").join(reps.select("id", "_d", "_t").alias("r"), F.col("k._d").eqNullSafe(F.col("r._d")) & (F.col("k._t") == F.col("r._t"))).select("r.id", "k._text")
+    texts = _among(keyed, F.col("_t"), reps, F.col("_t")).alias("k").join(reps.select("id", "_d", "_t").alias("r"), F.col("k._d").eqNullSafe(F.col("r._d")) & (F.col("k._t") == F.col("r._t"))).select("r.id", "k._text")
     full = written(_elements(texts, width).dropDuplicates(["id"]), "elements")
 
     # Elements that two sets have, in order of how many have them.
@@ -253,7 +294,8 @@ def components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, roun
     ordered = ordered.select("id", F.col("_o.w").alias("e")).join(reps.select("id", "n"), "id")
     need = F.ceil(percent * F.col("n") / 100)
     reach = F.size("e") - need + 1  # of the prefix, what others have too
-    sets = written(ordered.withColumn("k", reach.cast("int")).where("k > 0").withColumn("p", F.slice("e", 1, F.col("k"))), "prefixes")
+    sets = written(ordered.withColumn("k", reach.cast("int")).where("k > 0").withColumn("p", F.slice("e", 1, F.col("k"))), "prefixes", full)
+    sketches = written(sets.select("id", "n", (F.col("n") - F.size("e")).alias("own"), F.array(*_parities(SKETCH)).alias("sketch"), *(x.alias(f"short{k}") for k, x in enumerate(_parities(SHORT)))), "sketches")
 
     groups = sets.groupBy("n", "k", F.xxhash64("p").alias("_h"), "p").agg(F.min("id").alias("g")).select("n", "k", "p", "g")
     groups = written(groups, "groups")
@@ -262,9 +304,11 @@ def components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, roun
     lists = groups.select("g", "n", "k", F.posexplode("p").alias("pos", "w"))
     shared = lists.groupBy("w").agg(F.count(F.lit(1)).alias("_c"))
     alone = members.groupBy("g").agg(F.count(F.lit(1)).alias("_size"))
-    lists = written(lists.join(alone, "g").join(shared, "w").where("_c > 1 or _size > 1").select("w", "g", "n", (F.col("k") - 1 + need - F.col("pos")).alias("left")), "lists")
+    alone = written(alone, "sizes")
+    lists = written(lists.join(alone, "g").join(shared, "w").where("_c > 1 or _size > 1").select("w", "g", "n", (F.col("k") - 1 + need - F.col("pos")).alias("left")), "lists", groups)
 
     labels = written(members.select("id", F.col("id").alias("comp")), "labels")
+    many = members.count()
     for r in range(rounds):
         # Several pivots a list. In the first round they are the same for lists of the same groups, and a group is compared
         # with the one of the smallest hash, the same for many groups, and the one that it meets most often. Later rounds,
@@ -287,30 +331,28 @@ def components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, roun
             met = met.unionByName(alone.where("_size > 1").select("g", F.col("g").alias("a")))
         told_members = members.join(labels, "id").select("g", F.col("id").alias("b"), F.col("comp").alias("cb"))
         pairs = met.join(told_members, "g").join(labels.select(F.col("id").alias("a"), F.col("comp").alias("ca")), "a").where("a <> b and ca <> cb")
-        joined = contract(_links(pairs.select("a", "b", "ca", "cb"), sets, percent), labels)
-        if joined is labels:  # nothing links any more by pivots
+        labels, linked = _joined_by_links(pairs.select("a", "b", "ca", "cb"), sets, sketches, percent, labels)
+        if linked < WORTH * many:
             break
-        labels = written(joined, "labels")
 
     # What still lies apart: the smaller components of each list against all of it.
-    spread = written(lists.join(members.select("id", "g"), "g").join(labels, "id").select("w", "id", "comp", "n", "left"), "spread")
+    spread = written(lists.join(members.select("id", "g"), "g").join(labels, "id").select("w", "id", "comp", "n", "left"), "spread", lists, alone, members)
     per_list = spread.groupBy("w", "comp").agg(F.count(F.lit(1)).alias("_c")).groupBy("w").agg(F.max(F.struct("_c", "comp")).alias("_top"), F.count(F.lit(1)).alias("_k")).where("_k > 1")
     apart = spread.join(per_list.select("w", F.col("_top.comp").alias("_major")), "w")
-    # Parities of the elements by hash: two sketches differ in no more bits than their sets differ in elements.
-    words = [F.expr(f"aggregate(e, 0L, (s, x) -> s ^ if((shiftright(x, 6) & {SKETCH - 1}) = {k}, shiftleft(1L, cast(x & 63 as int)), 0L))") for k in range(SKETCH)]
-    apart = apart.join(sets.select("id", (F.col("n") - F.size("e")).alias("own"), F.array(*words).alias("sketch")), "id")
-    minor = apart.where("comp <> _major").select("w", F.col("id").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("na"), F.col("left").alias("la"), F.col("own").alias("oa"), F.col("sketch").alias("sa"))
-    other = apart.select(F.col("w").alias("_w"), F.col("id").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb"), F.col("left").alias("lb"), F.col("own").alias("ob"), F.col("sketch").alias("sb"), (F.col("comp") == F.col("_major")).alias("_big"))
-    near = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
+    apart = apart.join(sketches.select("id", "own", *(f"short{k}" for k in range(SHORT))), "id")
+    side = lambda key: [F.col(n).alias(f"{n}_{key}") for n in ("id", "comp", "n", "left", "own", *(f"short{k}" for k in range(SHORT)))]
+    minor = apart.where("comp <> _major").select("w", *side("a"))
+    other = apart.select(F.col("w").alias("_w"), *side("b"), (F.col("comp") == F.col("_major")).alias("_big"))
+    near = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
     # An overlap of o links sets of na and nb if 100 o >= percent (na + nb - o). Where two sets first meet, they can
     # share no more than what stands from there on in either; a pair that fails there fails at every later place.
-    room = (100 + percent) * F.least("la", "lb") >= percent * (F.col("na") + F.col("nb"))
-    # Sets that link differ in (100 - percent) (na + nb) / (100 + percent) elements at most.
-    differ = sum((F.bit_count(F.col("sa")[k].bitwiseXOR(F.col("sb")[k])) for k in range(SKETCH)), F.col("oa") + F.col("ob"))
-    close = (100 + percent) * differ <= (100 - percent) * (F.col("na") + F.col("nb"))
-    pairs = minor.join(other, (F.col("w") == F.col("_w")) & (F.col("ca") != F.col("cb")) & near & room & close & (F.col("_big") | (F.col("a") < F.col("b"))))
-    pairs = pairs.select("a", "b", "ca", "cb").distinct()
-    labels = written(contract(_links(pairs, sets, percent), labels), "labels")
+    room = (100 + percent) * F.least("left_a", "left_b") >= percent * (F.col("n_a") + F.col("n_b"))
+    differ = sum((F.bit_count(F.col(f"short{k}_a").bitwiseXOR(F.col(f"short{k}_b"))) for k in range(SHORT)), F.col("own_a") + F.col("own_b"))
+    once = F.col("_big") | (F.col("id_a") < F.col("id_b"))
+    pairs = minor.join(other, (F.col("w") == F.col("_w")) & (F.col("comp_a") != F.col("comp_b")) & near & room & _close(differ, "n_a", "n_b", percent) & once)
+    pairs = pairs.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), F.col("comp_a").alias("ca"), F.col("comp_b").alias("cb")).distinct()
+    labels, _ = _joined_by_links(pairs, sets, sketches, percent, labels)
+    dropped(spread, sets, sketches)
 
     named = reps.join(labels, "id", "left").select("s1", "s2", F.col("n").alias("_n"), "first", F.coalesce("comp", "id").alias("comp"))
     least = named.groupBy("comp").agg(F.min("first").alias("component_id"))
@@ -328,12 +370,12 @@ def deduplicate(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) ->
     first = found.where("n > 0").groupBy("comp").agg(F.min(F.struct("_d", "_t")).alias("_m")).select("_m.*")
     first = written(first.unionByName(found.where("n = 0").select("_d", "_t")).distinct(), "first")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.withColumns({"_rd": F.col("doc_id").cast("long"), "_rt": F.xxhash64(text)})
+    # One struct carries the row, so that no name of a column meets those used here.
+    rows = docs.select(F.struct(*(F.col(f"`{name}`") for name in docs.columns)).alias("_row"), F.col("doc_id").cast("long").alias("_rd"), F.xxhash64(text).alias("_rt"), text.rlike("[^\\x20\\x09-\\x0D]").alias("_worded"))
     kept = rows.join(first, rows["_rd"].eqNullSafe(first["_d"]) & (rows["_rt"] == first["_t"]), "left_semi")
     # Rows without words link with nothing, not even their copies.
-    wordless = ~F.coalesce(F.col("text").cast("string"), F.lit("")).rlike("[^\\x20\\x09-\\x0D]")
-    once = kept.where(~wordless).dropDuplicates(["_rd", "_rt"])
-    return once.unionByName(kept.where(wordless)).select(*docs.columns)
+    once = kept.where("_worded").dropDuplicates(["_rd", "_rt"])
+    return once.unionByName(kept.where("not _worded")).select(*(F.col("_row").getField(name).alias(name) for name in docs.columns))
 
 
 def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
