@@ -224,3 +224,11 @@ def graph_table(points: DataFrame, edges: DataFrame) -> DataFrame:
     """Edges with the places of both ends."""
     a, b = (points.select(F.col("id").alias(end), *(F.col(c).alias(f"{end}_{c}") for c in AXES)) for end in ("source", "target"))
     return edges.join(a, "source").join(b, "target")
+
+
+def angles_to(points: DataFrame, place: tuple[float, float, float]) -> DataFrame:
+    """Azimuth, elevation and distance from every point to a place, in degrees."""
+    from tessella.functions import scalar
+
+    dx, dy, dz = (F.lit(float(v)) - F.col(c) for c, v in zip(AXES, place, strict=True))
+    return points.select("id", scalar.azimuth(dx, dy).alias("azimuth"), scalar.elevation(dx, dy, dz).alias("elevation"), F.sqrt(dx * dx + dy * dy + dz * dz).alias("distance"))

@@ -188,6 +188,36 @@ def neighbourhood(voxels: DataFrame, kind: str, radius: int = 1) -> DataFrame:
     return voxels.drop("value").join(spread, ["t", "ch", "z", "y", "x"]).select(*voxels.columns)
 
 
+def laplacian(voxels: DataFrame) -> DataFrame:
+    """Values replaced by the sum of the differences of the six face neighbours to them, as far as the image reaches."""
+    moves = F.array(*(F.struct(*(F.lit(s if a == c else 0).alias(c) for c in "zyx")) for a in "zyx" for s in (-1, 1)))
+    near = voxels.select("t", "ch", F.col("value").cast("double").alias("_v"), "z", "y", "x", F.explode(moves).alias("m"))
+    near = near.select("t", "ch", "_v", *((F.col(c) + F.col(f"m.{c}")).alias(c) for c in "zyx"))
+    place = ["t", "ch", "z", "y", "x"]
+    sums = near.groupBy(*place).agg(F.sum("_v").alias("_s"), F.count(F.lit(1)).alias("_n"))
+    told = voxels.join(sums, place, "left")
+    return told.withColumn("value", F.coalesce(F.col("_s") - F.col("_n") * F.col("value"), F.lit(0.0))).select(*voxels.columns)
+
+
+def gaussian(voxels: DataFrame, sigma: float, radius: int = 1) -> DataFrame:
+    """Values replaced by the Gaussian mean over the cube of `radius`, as far as the image reaches."""
+    place = ["t", "ch", "z", "y", "x"]
+    moved = voxels.select("t", "ch", "z", "y", "x", F.col("value").cast("double").alias("_v"), F.lit(0).alias("_d"))
+    for c in ("z", "y", "x"):
+        moved = moved.withColumn("_m", F.explode(F.sequence(F.lit(-radius), F.lit(radius)))).withColumns({c: F.col(c) + F.col("_m"), "_d": F.col("_d") + F.col("_m") * F.col("_m")})
+    w = F.exp(-F.col("_d") / (2 * sigma * sigma))
+    spread = moved.groupBy(*place).agg((F.sum(w * F.col("_v")) / F.sum(w)).alias("value"))
+    return voxels.drop("value").join(spread, place).select(*voxels.columns)
+
+
+def add_object(voxels: DataFrame, centre: tuple[float, float, float], radius: float) -> DataFrame:
+    """Background voxels of the ball about a place (x, y, z) get the next free label."""
+    free = voxels.agg((F.max("label") + 1).alias("_free"))
+    inside = sum((F.col(c) - v) * (F.col(c) - v) for c, v in zip("xyz", centre, strict=True)) <= radius * radius
+    told = voxels.crossJoin(F.broadcast(free))  # one row
+    return told.withColumn("label", F.when((F.col("label") == 0) & inside, F.col("_free")).otherwise(F.col("label")).cast(voxels.schema["label"].dataType)).select(*voxels.columns)
+
+
 def otsu(voxels: DataFrame, most: int = 65536) -> DataFrame:
     """The value that splits all values into two classes of largest variance between; at or below it is the lower class.
 

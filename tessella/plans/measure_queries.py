@@ -265,3 +265,34 @@ def _(spark, d):
     c = F.col("coordinates")
     placed = learning.diffusion_map(_similar(spark, d)).select("id", *(c[k].alias(a) for k, a in enumerate("xyz")))
     return spatial.nearest(placed, placed, 3)
+
+
+@register("i01_laplacian", f"{_V} select a.x, a.y, a.z, round({' + '.join(f'coalesce(n{k}.value - a.value, 0)' for k in range(6))}, 6)::double as value from v a {_JOINS}")
+def _(spark, d):
+    return voxels.laplacian(voxel_rows(spark, d).withColumn("value", F.col("value").cast("double"))).select("x", "y", "z", *r6("value"))
+
+
+@register("i01_gaussian", f"{_V} select a.x, a.y, a.z, round(sum(exp(-((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2) / 2.0) * b.value) / sum(exp(-((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2) / 2.0)), 6) as value from v a join v b on b.x between a.x - 1 and a.x + 1 and b.y between a.y - 1 and a.y + 1 and b.z between a.z - 1 and a.z + 1 group by 1, 2, 3")
+def _(spark, d):
+    return voxels.gaussian(voxel_rows(spark, d), 1.0).select("x", "y", "z", *r6("value"))
+
+
+@register("f13_added_object", f"{_V}, m as (select max(label) + 1 as free from v) select x, y, z, (case when label = 0 and (x - 8) ** 2 + (y - 8) ** 2 + (z - 3) ** 2 <= 25 then free else label end)::bigint as label from v, m")
+def _(spark, d):
+    return voxels.add_object(voxel_rows(spark, d), (8.0, 8.0, 3.0), 5.0).select("x", "y", "z", F.col("label").cast("long").alias("label"))
+
+
+@register("z07_angles_to_device", f"{_P} select id, round(degrees(atan2(2 - y, 1 - x)), 5) as azimuth, round(degrees(atan2(-1 - z, sqrt((1 - x) ** 2 + (2 - y) ** 2))), 5) as elevation, round(sqrt((1 - x) ** 2 + (2 - y) ** 2 + (-1 - z) ** 2), 6) as distance from p")
+def _(spark, d):
+    t = spatial.angles_to(points(spark, d), (1.0, 2.0, -1.0))
+    return t.select("id", F.round("azimuth", 5).alias("azimuth"), F.round("elevation", 5).alias("elevation"), *r6("distance"))
+
+
+@register("x22_scaled_steps", f"{_TR} select track, t, round(sqrt(4 * dx * dx + dy * dy), 6) as step from s")
+def _(spark, d):
+    return tracks.steps(track_rows(spark, d), (2.0, 1.0, 3.0)).select("track", "t", *r6("step"))
+
+
+@register("x07_letters", "with p as (select p_partkey, upper(substr(p_name, 1, 2)) as w from part) select p_partkey, ((ascii(w) - 64) * 26 + ascii(substr(w, 2)) - 64)::bigint as number from p")
+def _(spark, d):
+    return table(spark, d, "part").select("p_partkey", scalar.letters_to_number(F.substring("p_name", 1, 2)).alias("number"))

@@ -251,10 +251,9 @@ def _(spark, d):
     return learning.cell_mergers(vectors(spark, d))[1]
 
 
-@register("c19_outliers")
+@register("c19_outliers", "with l as (select vec_id as id, unnest(range(1, 65)) as d, unnest(embedding)::double as x from embeddings), m as (select d, quantile_disc(x, 0.5) as m, stddev_pop(x) as s from l group by d), s as (select id, sqrt(sum(case when s > 0 then ((x - m) / s) ** 2 else 0 end)) as score from l join m on l.d = m.d group by id) select id, round(score, 5) as score, (score > (select quantile_disc(score, 0.9) from s))::int as outlier from s")
 def _(spark, d):
-    points = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.transform(F.slice("embedding", 1, 8), lambda x: x.cast("double")).alias("v"))
-    return learning.isolation(points)
+    return learning.isolation(vectors(spark, d)).select("id", F.round("score", 5).alias("score"), "outlier")
 
 
 @register("x03_paths", "select page_id, regexp_extract(url, '\\.([^./\\\\]*)$', 1) as ext, regexp_extract(url, '^(.*)[/\\\\][^/\\\\]*$', 1) as folder, regexp_extract(url, '([^/\\\\]*)$', 1) as file from pages")

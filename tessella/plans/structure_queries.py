@@ -93,10 +93,15 @@ def _(spark, d):
     return graph.components(p, spatial.nearest(p, p, 2))
 
 
-@register("g01_spanning_forest")
+# An edge belongs to the forest if no path of lighter edges joins its ends.
+def _forest(k):
+    return f"with recursive k as (select least(source, target) as s, greatest(source, target) as t, min(distance) as w from ({_knn(k=k)}) group by 1, 2), e as (select *, row_number() over (order by w, s, t) as r from k), b as (select s as a, t as z, r from e union all select t, s, r from e), h as (select r, s as node from e union select h.r, b.z from h join b on b.a = h.node and b.r < h.r)"
+
+
+@register("g01_spanning_forest", f"{_forest(4)} select s as source, t as target, round(w, 6) as distance from e where not exists (select 1 from h where h.r = e.r and h.node = e.t)")
 def _(spark, d):
     p = points(spark, d)
-    return graph.spanning_forest(p, spatial.nearest(p, p, 4))
+    return _edges(graph.spanning_forest(p, spatial.nearest(p, p, 4)))
 
 
 _TREE = "t as (select o_orderkey as id, case when o_orderkey < 8 then -1 else o_orderkey // 2 end as parent from orders), n as (select t.id, case when p.id is null then -1 else t.parent end as parent from t left join t p on t.parent = p.id)"
@@ -128,9 +133,13 @@ def _(spark, d):
     return graph.cell_table(tree(spark, d)).select("root", "nodes", "leaves", "branch_points", "max_depth", F.round("total_length", 4).alias("total_length"), F.round("max_length", 6).alias("max_length"))
 
 
-@register("x16_bifurcations")
+_PAIR = f"with recursive {_NODES}, a as (select id as node from s where id not in (select parent from s) union all select s.parent from a join s on a.node = s.id where s.parent >= 0), l as (select node as id, count(*) as leaves from a group by node), k as (select parent as id, min(id) as a, max(id) as b from s where parent >= 0 group by parent having count(*) = 2), g as (select p.id, p.r, a.r as ra, b.r as rb, la.leaves as la, lb.leaves as lb, (a.x - p.x) * (b.x - p.x) + (a.y - p.y) * (b.y - p.y) + (a.z - p.z) * (b.z - p.z) as dot, sqrt((a.x - p.x) ** 2 + (a.y - p.y) ** 2 + (a.z - p.z) ** 2) * sqrt((b.x - p.x) ** 2 + (b.y - p.y) ** 2 + (b.z - p.z) ** 2) as size from k join s p on p.id = k.id join s a on a.id = k.a join s b on b.id = k.b join l la on la.id = k.a join l lb on lb.id = k.b)"
+
+
+@register("x16_bifurcations", f"{_PAIR} select id, round(greatest(ra, rb) / least(ra, rb), 6) as daughter_ratio, round(case when size > 0 then degrees(acos(least(greatest(dot / size, -1.0), 1.0))) end, 3) as amplitude, round((ra ** 1.5 + rb ** 1.5) / r ** 1.5, 6) as pk_classic, round((ra ** 2 + rb ** 2) / r ** 2, 6) as pk_2, round(0.5 * r + 0.25 * ra + 0.25 * rb, 6) as hillman_threshold, round(case when la + lb > 2 then abs(la - lb)::double / (la + lb - 2) else 1 end, 6) as partition_asymmetry from g")
 def _(spark, d):
-    return graph.bifurcations(tree(spark, d))
+    t = graph.bifurcations(tree(spark, d))
+    return t.select("id", F.round("amplitude", 3).alias("amplitude"), *(F.round(c, 6).alias(c) for c in ("daughter_ratio", "pk_classic", "pk_2", "hillman_threshold", "partition_asymmetry")))
 
 
 @register("g06_progression_path", "with recursive e as (select n_nationkey as s, (n_nationkey * 3 + 1) % 25 as t from nation union select (n_nationkey * 3 + 1) % 25, n_nationkey from nation), a as (select 0 as id, 0 as h union select e.t, a.h + 1 from a join e on e.s = a.id where a.h < 8), b as (select 9 as id, 0 as h union select e.t, b.h + 1 from b join e on e.s = b.id where b.h < 8), x as (select id, min(h) as h from a group by id), y as (select id, min(h) as h from b group by id) select x.id::bigint as id, x.h as from_start, y.h as to_end from x join y using (id) where x.h + y.h = (select h from x where id = 9)")
@@ -139,7 +148,10 @@ def _(spark, d):
     return graph.between(graph.hops(n, 0, 8), graph.hops(n, 9, 8), 9)
 
 
-@register("j19_gaps")
+_GAPS = f"with recursive {_NODES}, w as (select id, id as root, 0 as depth from s where parent < 0 union all select s.id, w.root, w.depth + 1 from s join w on s.parent = w.id), e as (select s.id as line, root, x, y, z, depth::double as length from s join w on s.id = w.id where s.id not in (select parent from s)), q as (select a.line, b.line as line2, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2) as gap, a.length as la, b.length as lb from e a join e b on a.line < b.line and a.root <> b.root and sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2) <= 0.5), c as (select line, line2, gap, gap / 0.5 * (gap / (gap + la + lb)) as cost from q), f as (select *, row_number() over (partition by line order by cost, line2) as o, row_number() over (partition by line2 order by cost, line) as b from c)"
+
+
+@register("j19_gaps", f"{_GAPS} select line, line2, gap, cost from f where o = 1 and b = 1")
 def _(spark, d):
     t = tree(spark, d)
     place = graph.forest_depths(t)
@@ -181,7 +193,10 @@ def _(spark, d):
     return tracks.tile_offsets(table(spark, d, "orders").select((F.col("o_custkey") % 10).alias("tile"), "o_orderkey"), "tile", "o_orderkey")
 
 
-@register("j22_frame_association")
+_FRAME = f"{_P}, q as (select a.id % 20 as t, a.id, b.id % 20 as t2, b.id as id2, {_D} as cost from p a join p b on b.id % 20 > a.id % 20 and b.id % 20 <= a.id % 20 + 2 and {_D} <= 0.8), f as (select *, row_number() over (partition by t, t2, id order by cost, id2) as o, row_number() over (partition by t, t2, id2 order by cost, id) as k from q)"
+
+
+@register("j22_frame_association", f"{_FRAME} select t, id, t2, id2, cost from f where o = 1 and k = 1")
 def _(spark, d):
     p = points(spark, d)
     return tracks.associate(p.select((F.col("id") % 20).alias("t"), "id", "x", "y", "z"), 0.8, window=2)
@@ -207,9 +222,14 @@ def _(spark, d):
     return voxels.histogram_features(voxel_rows(spark, d)).select("label", F.round("energy", 8).alias("energy"), F.round("entropy", 6).alias("entropy"), F.round("skew", 5).alias("skew"))
 
 
-@register("a08_voxel_texture")
+_WAY = "label, dz, dy, dx"
+_TEXTURE = f"{_V}, o as (select *, least(floor(value * 8.0 / (max(value) over () + 1)), 7)::int as g from v where label <> 0), m as (select a.k as dz, b.k as dy, c.k as dx from (select unnest([-1, 0, 1]) as k) a, (select unnest([-1, 0, 1]) as k) b, (select unnest([-1, 0, 1]) as k) c where a.k * 9 + b.k * 3 + c.k > 0), pr as (select a.label, dz, dy, dx, a.g as i, b.g as j from o a cross join m join o b on b.label = a.label and b.z = a.z + dz and b.y = a.y + dy and b.x = a.x + dx), c as (select * from pr union all select {_WAY}, j, i from pr), n as (select {_WAY}, i, j, count(*)::double as c from c group by all), p as (select *, c / sum(c) over (partition by {_WAY}) as p from n), q as (select *, sum(p * i) over (partition by {_WAY}) as mu from p), f as (select {_WAY}, sum(p * p) as t_energy, -sum(p * log2(p)) as t_entropy, sum(p / (1 + (i - j) ** 2)) as inverse_diff_moment, sum(p * (i - j) ** 2) as inertia, sum(p * (i + j - 2 * mu) ** 3) as cluster_shade, sum(p * (i + j - 2 * mu) ** 4) as cluster_prominence from q group by {_WAY})"
+_TEXTURES = ("t_energy", "t_entropy", "inverse_diff_moment", "inertia", "cluster_shade", "cluster_prominence")
+
+
+@register("a08_voxel_texture", f"{_TEXTURE} select l.label, {', '.join(f'round(coalesce(avg({c}), 0), 5) as {c}' for c in _TEXTURES)} from (select distinct label from o) l left join f on l.label = f.label group by l.label")
 def _(spark, d):
-    return voxels.texture(voxel_rows(spark, d))
+    return voxels.texture(voxel_rows(spark, d)).select("label", *(F.round(c, 5).alias(c) for c in _TEXTURES))
 
 
 @register("j09_region_adjacency", f"{_V}, n as (select a.label as a, b.label as b from v a join v b on abs(a.x - b.x) + abs(a.y - b.y) + abs(a.z - b.z) = 1 where a.label < b.label and a.label <> 0) select a as source, b as target, count(*) as faces from n group by 1, 2")

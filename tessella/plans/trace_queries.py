@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tessella.operators import graph, learning, spatial, statistics, traces, voxels
 from tessella.plans.object_queries import vectors
-from tessella.plans.structure_queries import _D, _KE, _NODES, _P, _TREE, _V, _knn, points, tree, voxel_rows
+from tessella.plans.structure_queries import _D, _KE, _NODES, _P, _TREE, _V, _forest, _knn, points, tree, voxel_rows
 from tessella.registry import register, table
 
 _LINES = f"with recursive {_NODES}, k as (select parent, count(*) as kids from s where parent >= 0 group by parent), st as (select s.*, (s.parent < 0 or k.kids > 1) as start from s left join k on s.parent = k.parent), l as (select id, id as line, 0 as position from st where start union all select st.id, l.line, l.position + 1 from st join l on st.parent = l.id where not st.start), g as (select a.id, coalesce(sqrt((a.x - p.x) ** 2 + (a.y - p.y) ** 2 + (a.z - p.z) ** 2), 0) as step from s a left join s p on a.parent = p.id), ln as (select line, count(*) as size, sum(case when position > 0 then step else 0 end) as length, max(case when position = 0 then step end) as to_parent, arg_max(k.kids is null, position) as leaf, sqrt((arg_max(x, position) - arg_min(x, position)) ** 2 + (arg_max(y, position) - arg_min(y, position)) ** 2 + (arg_max(z, position) - arg_min(z, position)) ** 2) as euclid from l join s using (id) join g using (id) left join k on k.parent = l.id group by line), u as (select *, case when size > 1 and length > 0 then size / length else 1 end as density from ln)"
@@ -63,10 +63,10 @@ def _(spark, d):
     return graph.cycle_rank(p, graph.kept(spatial.nearest(p, p, 2)))
 
 
-@register("g08_chords")
+@register("g08_chords", f"{_forest(3)} select s as source, t as target, round(w, 6) as distance from e where exists (select 1 from h where h.r = e.r and h.node = e.t)")
 def _(spark, d):
     p = points(spark, d)
-    return graph.chords(p, graph.kept(spatial.nearest(p, p, 3)))
+    return graph.chords(p, graph.kept(spatial.nearest(p, p, 3))).select("source", "target", F.round("distance", 6).alias("distance"))
 
 
 @register("g04_subgraph", f"select source, target, round(distance, 6) as distance from ({_knn(k=3)}) where source % 3 = 0 and target % 3 = 0")
