@@ -143,11 +143,22 @@ def base_rules() -> Column:
 
 def accepted(docs: DataFrame, max_rate: float = 0.5, z: float = 1.645) -> DataFrame:
     """The input's rows that `judge` keeps, with the input's columns; texts are not shuffled."""
-    own = docs.select(F.col("source").alias("_host"), F.col("text").alias("_told"), F.struct(*(F.col(f"`{name}`") for name in docs.columns)).alias("_row"))
-    stats = text_stats(own, "_told", "_host").select("_host", base_rules().alias("base_failed"))
-    hosts = written(host_verdicts(stats, "_host", ["base_failed"], max_rate, z).where("host_bad").select("host"), "hosts")
+    stats = text_stats(docs.select(F.col("source").alias("_host"), F.col("text").alias("_told")), "_told", "_host")
+    hosts = written(host_verdicts(stats.select("_host", base_rules().alias("base_failed")), "_host", ["base_failed"], max_rate, z).where("host_bad").select("host"), "hosts")
     # One struct carries the row, so that no name of a column meets those used here.
-    rows = text_stats(own, "_told", "_host", "_row").where(~base_rules())
+    own = docs.select(F.col("source").alias("_host"), F.struct(*(F.col(f"`{name}`") for name in docs.columns)).alias("_row"))
+    place = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            text = batch.column(1).field(place)
+            good = [np.zeros(0, bool)]
+            for block in blocks(text if pa.types.is_string(text.type) or pa.types.is_large_string(text.type) else text.cast(pa.string())):
+                told = block_stats(block)
+                good.append((told["n_words"] >= MIN_WORDS) & (100 * told["n_repeat_words"] <= MAX_REPEAT_PERCENT * told["n_words"]))
+            yield batch.filter(pa.array(np.concatenate(good)))
+
+    rows = own.mapInArrow(run, own.schema)
     return rows.join(hosts, F.col("_host").eqNullSafe(F.col("host")), "left_anti").select(*(F.col("_row").getField(name).alias(name) for name in docs.columns))
 
 
