@@ -39,9 +39,9 @@ PIVOTS = 3
 DRAWN = 8
 #: 64-bit words of a set's sketch, and of the short one that candidate joins carry; powers of two.
 SKETCH = 8
-SHORT = 2
+SHORT = 4
 #: Pivot rounds end when one links less than this share of the sets.
-WORTH = 0.01
+WORTH = 0.002
 SLOTS = 1 << 24
 #: Bytes of the texts whose elements a task of the first pass compares at once.
 BATCH_BYTES = 12 << 20
