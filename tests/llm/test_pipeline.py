@@ -3,7 +3,6 @@ import random
 import corpus_pipeline
 
 
-
 def test_stages_take_effect(spark, docs_of, tmp_path):
     rng = random.Random(5)
     fresh = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9))) for _ in range(n))
@@ -30,3 +29,27 @@ def test_stages_take_effect(spark, docs_of, tmp_path):
     got = seen["packing"]
     assert sum(r["length"] for r in got) == sum(next(g["doc_tokens"] for g in got if g["doc_id"] == r["doc_id"]) for r in mixed)
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(got)
+
+
+def test_stages_keep_clashing_columns_and_cut_passages_of_fifty_words(spark, docs_of, tmp_path):
+    rng = random.Random(6)
+    fresh = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 7))) for _ in range(n))
+    passages = [fresh(n) for n in (51, 53, 56, 60)]
+    rows = [(k, f"{fresh(90)} {passages[k % 4]} {fresh(90)}", "en", f"s{k % 3}") for k in range(24)] + [(None, fresh(120), "en", None), (None, fresh(130), "en", None), (30, None, None, None), (31, "", None, "s1")]
+    docs = docs_of(rows, extra=True)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    names = docs.columns
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before = docs.count()
+        docs = corpus_pipeline.written(stage(spark, docs, str(tmp_path)), "stage")
+        assert docs.columns == names
+        if name == "suffix-array dedup":
+            texts = [r["text"] for r in docs.collect()]
+            assert docs.count() == before == 26 and not any(" ".join(p.split()[k : k + 45]) in t for t in texts for p in passages for k in range(len(p.split()) - 44))
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).count() > 0
+
+
+def test_pipeline_of_no_documents(spark, docs_of, tmp_path):
+    docs_of([]).write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
