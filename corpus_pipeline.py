@@ -12,6 +12,10 @@ from tessella.llm import jaccard, mixing, packing, quality, suffix
 from tessella.llm.stage import written
 
 
+#: Repeated strings of so many bytes go: fewer than any passage of over 50 words has, unless its words have three letters on average.
+PASSAGE_BYTES = 200
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 4: documents that fail the base rules, or whose host is rejected, go."""
     return quality.accepted(docs)
@@ -24,7 +28,7 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 1: repeated strings are cut out; a document of which no word is left goes."""
-    cut = suffix.cut(docs)
+    cut = suffix.cut(docs, length=PASSAGE_BYTES, gram=PASSAGE_BYTES // 4)
     had = F.col("text").rlike("[^\\x20\\x09-\\x0D]")
     return cut.where(F.coalesce(had, F.lit(False))).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
