@@ -48,7 +48,7 @@ def nearest(sources: DataFrame, targets: DataFrame, k: int, cell: float | None =
 
     With `by`, only targets with the source's value of that column count; nulls are equal. Points with a missing
     coordinate take no part. Exact: a source is settled once k targets lie within the cell size of it; the cell doubles
-    for the others. The first cell is so small that few targets share one where most targets are, however uneven
+    for the others, and grows eightfold while few settle. The first cell is so small that few targets share one where most targets are, however uneven
     they lie; the far ones settle in later rounds. Of targets at one place only the first k + 1 by id can be among
     the nearest. A source with fewer than k targets in all gets those there are.
     """
@@ -68,7 +68,8 @@ def nearest(sources: DataFrame, targets: DataFrame, k: int, cell: float | None =
             break
         size /= min(16.0, max(2.0, (shared / (8 * max(k, 4))) ** (1 / 2)))
     best = Window.partitionBy("source").orderBy("distance", "target")
-    out, open_ = None, sources
+    out, open_ = None, kept(sources)
+    many = open_.count()
     while True:
         last = size >= 2 * width
         if last:
@@ -86,9 +87,11 @@ def nearest(sources: DataFrame, targets: DataFrame, k: int, cell: float | None =
         out = settled if out is None else out.unionByName(settled)
         before, open_ = open_, kept(open_.join(settled.select(F.col("source").alias("id")).distinct(), "id", "left_anti"))
         dropped(before)
-        if open_.isEmpty():
+        left = open_.count()
+        if not left:
             return out
-        size *= 2
+        size *= 2 if left < 0.9 * many else 8
+        many = left
 
 
 def undirected(edges: DataFrame) -> DataFrame:
