@@ -33,6 +33,8 @@ BITS = 16
 LEAST_BLOCK, MOST_BLOCK = 4096, 1 << 16
 #: Rows of all tables of this size or less lie in so many blocks, for parallel work.
 BLOCKS = 64
+#: Queries that probe a block together.
+QUERIES = 64
 _WEIGHTS = np.bitwise_count(np.arange(1 << BITS, dtype=np.uint32)).astype(np.int64)
 #: All masks of 16 bits in order of their number of ones, and how many have up to so many.
 MASKS = np.argsort(_WEIGHTS, kind="stable").astype(np.uint16)
@@ -90,35 +92,57 @@ def hamming(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Index:
-    """One index of rows for each substring of their codes: rows in order of the substring, and where each value begins."""
+    """One index of rows for each substring of their codes: the values that occur, their rows, and each row's value."""
 
     codes: np.ndarray  # rows x substrings
-    rows: list[np.ndarray]
-    begins: list[np.ndarray]
+    used: list[np.ndarray]  # values in order
+    member: list[np.ndarray]  # each row's place among them
+    rows: list[np.ndarray]  # rows in order of their values
+    begins: list[np.ndarray]  # where each of all 16-bit values begins there
 
     @classmethod
     def of(cls, codes: np.ndarray) -> Index:
         columns = [codes[:, j] for j in range(codes.shape[1])]
+        used, member = zip(*(np.unique(c, return_inverse=True) for c in columns), strict=True)
         begins = [np.concatenate([[0], np.cumsum(np.bincount(c, minlength=1 << BITS))]) for c in columns]
-        return cls(codes, [np.argsort(c, kind="stable") for c in columns], begins)
-
-    def within(self, code: np.ndarray, radius: int) -> np.ndarray:
-        """Rows whose codes lie within the radius of a code, by probing the buckets of every index that pigeonholes leave."""
-        q, a = divmod(radius, len(code))
-        found = np.zeros(len(self.codes), bool)
-        for j, part in enumerate(code):
-            reach = q if j <= a else q - 1
-            if reach < 0:
-                continue
-            buckets = MASKS[: UP_TO[min(reach, BITS)]] ^ part
-            first, last = self.begins[j][buckets], self.begins[j][buckets.astype(np.int64) + 1]
+        return cls(codes, list(used), list(member), [np.argsort(c, kind="stable") for c in columns], begins)
+
+    def _probe(self, j: int, parts: np.ndarray, reach: int, found: np.ndarray) -> None:
+        """Mark the rows in the buckets of one index within `reach` of each query's substring: by all masks, or by all buckets in use if these are fewer."""
+        if UP_TO[reach] * 8 > len(self.used[j]):
+            found |= (np.bitwise_count(parts[:, None] ^ self.used[j][None, :]) <= reach)[:, self.member[j]]
+            return
+        for q, part in enumerate(parts):
+            buckets = (MASKS[: UP_TO[reach]] ^ part).astype(np.int64)
+            first, last = self.begins[j][buckets], self.begins[j][buckets + 1]
             held = np.flatnonzero(last > first)
             count = (last - first)[held]
             ends = np.cumsum(count)
             if len(ends):
-                found[self.rows[j][np.arange(ends[-1]) + np.repeat(first[held] - ends + count, count)]] = True
-        rows = np.flatnonzero(found)
-        return rows[np.bitwise_count(self.codes[rows] ^ code).sum(1, dtype=np.int64) <= radius]
+                found[q, self.rows[j][np.arange(ends[-1]) + np.repeat(first[held] - ends + count, count)]] = True
+
+    def distances(self, asked: np.ndarray) -> np.ndarray:
+        """Hamming distances of all rows' codes to those asked for, four substrings at a time where their number allows it."""
+        wide = np.uint64 if self.codes.shape[1] % 4 == 0 else np.uint16
+        a, b = np.ascontiguousarray(asked).view(wide), np.ascontiguousarray(self.codes).view(wide)
+        total = np.zeros((len(a), len(b)), np.uint16)
+        for w in range(a.shape[1]):
+            total += np.bitwise_count(a[:, None, w] ^ b[None, :, w])
+        return total
+
+    def within(self, asked: np.ndarray, radius: int) -> np.ndarray:
+        """True for the rows whose codes lie within the radius of each one asked for, by probing the buckets that pigeonholes leave."""
+        q, a = divmod(radius, asked.shape[1])
+        found = np.zeros((len(asked), len(self.codes)), bool)
+        for j in range(asked.shape[1]):
+            reach = min(q if j <= a else q - 1, BITS)
+            if reach >= 0:
+                self._probe(j, asked[:, j], reach, found)
+        if found.mean() > 0.1:
+            return found & (self.distances(asked) <= radius)
+        x, y = np.nonzero(found)
+        found[x, y] = np.bitwise_count(self.codes[y] ^ asked[x]).sum(1, dtype=np.int64) <= radius
+        return found
 
 
 def search_block(coder: Coder, query_rows: np.ndarray, queries: np.ndarray, stored_rows: np.ndarray, ids: np.ndarray, stored: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -127,11 +151,13 @@ def search_block(coder: Coder, query_rows: np.ndarray, queries: np.ndarray, stor
     place = dict(zip(stored_rows.tolist(), range(len(stored_rows)), strict=True))
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
     for q in range(len(query_rows)):
+        if q % QUERIES == 0:
+            found = index.within(asked[q : q + QUERIES], coder.radius)
         own = place.get(int(query_rows[q]), -1)
-        near = index.within(asked[q], coder.radius)
+        near = np.flatnonzero(found[q % QUERIES])
         near = near[near != own]
         if len(near) < k:
-            distance = np.bitwise_count(index.codes ^ asked[q]).sum(1, dtype=np.int64)
+            distance = index.distances(asked[q : q + 1])[0].astype(np.int64)
             if own >= 0:
                 distance[own] = 1 << 20
             near = np.flatnonzero(distance <= np.sort(distance)[min(k, len(ids)) - 1])

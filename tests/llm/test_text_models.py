@@ -378,4 +378,4 @@ def test_probing_finds_every_code_within_the_radius(radius):
     index = ann.Index.of(codes)
     for q in (codes[0], codes[150], rng.integers(0, 1 << 16, 4).astype(np.uint16)):
         expected = np.flatnonzero(np.bitwise_count(codes ^ q).sum(1) <= radius)
-        assert index.within(q, radius).tolist() == expected.tolist()
+        assert np.flatnonzero(index.within(q[None, :], radius)[0]).tolist() == expected.tolist()
