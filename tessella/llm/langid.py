@@ -95,11 +95,11 @@ def sample(docs: DataFrame, per_lang: int, folds: int, held: int, most_langs: in
     own = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     own = own.where((fold(F.col("doc_id"), folds) != held) & F.col("lang").isNotNull())
     common = own.groupBy("lang").agg(F.count(F.lit(1)).alias("_n")).orderBy(F.col("_n").desc(), "lang").limit(most_langs).select("lang")
-    own = own.join(common, "lang", "left_semi").withColumn("_h", F.xxhash64(F.col("doc_id").cast("string"), "text", F.lit(5)))
-    # Ranks need only hashes; the optimiser cuts each task's rows to per_lang before the shuffle.
+    own = own.join(F.broadcast(common), "lang", "left_semi").withColumn("_h", F.xxhash64(F.col("doc_id").cast("string"), "text", F.lit(5)))
+    # Both tables broadcast here have a row a language, `most_langs` at most. Ranks need only hashes; the optimiser cuts each task's rows to per_lang before the shuffle.
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("_h"))
     cut = own.select("lang", "_h").withColumn("_r", rank).where(F.col("_r") <= per_lang).groupBy("lang").agg(F.max("_h").alias("_top"))
-    found = own.join(cut.withColumnRenamed("lang", "_l"), (F.col("lang") == F.col("_l")) & (F.col("_h") <= F.col("_top")))
+    found = own.join(F.broadcast(cut.withColumnRenamed("lang", "_l")), (F.col("lang") == F.col("_l")) & (F.col("_h") <= F.col("_top")))
     # Copies of the last row drawn are cut, too.
     return found.withColumn("_r", rank).where(F.col("_r") <= per_lang).select("_h", "lang", "text")
 
