@@ -117,7 +117,7 @@ def _segments(text: str, rng: np.random.Generator, shortest: int, longest: int)
             yield np.concatenate(piece)
 
 
-def train(texts: list[str], labels: list[str], epochs: int = 12, rate: float = 0.5, shortest: int = 12, longest: int = 1000, batch: int = 64, seed: int = 11) -> Model:
+def train(texts: list[str], labels: list[str], epochs: int = 12, rate: float = 1.0, shortest: int = 12, longest: int = 1000, batch: int = 64, seed: int = 11) -> Model:
     """Fit on segments of several lengths, so that short texts are known too."""
     langs = sorted(set(labels))
     if not langs:
@@ -161,9 +161,10 @@ def train(texts: list[str], labels: list[str], epochs: int = 12, rate: float = 0
             for d in range(DIM):
                 embed[:, d] += np.bincount(ids, back[owner, d], BUCKETS)
         loss = held_back()[1]
-        if loss > 0.98 * best:
+        # The first epochs of a small sample hardly move the loss; that is no standstill.
+        if loss > 0.98 * best and best < 0.5 * np.log(len(langs)):
             break
-        best = loss
+        best = min(best, loss)
     table = (embed @ out).astype(np.float32)
     model = Model(langs, table, bias.astype(float), 1.0, 0.0)
     logits, y = held_back()[0], check_y
