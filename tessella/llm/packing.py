@@ -30,6 +30,9 @@ WIDTH = 1024
 #: Lengths count in units of so many ids, rounded up: a few ids of padding a piece for a program of 256 rows.
 GRAIN = 4
 RANK_GROUP = 50_000
+#: Runs of so much white space go to the file's own library: the faster BPE looks back over a run and needs a stack as deep.
+LONG_RUN = 50_000
+_BLANK = re.compile(r"\s{2,}")
 
 _encoders: dict[str, object] = {}
 
@@ -58,6 +61,7 @@ def encoder(path: str):
 
         import public_tokenizers
         import tiktoken
+        from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
             stored = json.load(f)
@@ -70,7 +74,11 @@ def encoder(path: str):
         plain = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         split = re.compile(f"({'|'.join(map(re.escape, sorted(special, key=len, reverse=True)))})").split if special else None
 
+        library = Tokenizer.from_file(path)
+
         def encode(text: str) -> list[int]:
+            if len(text) > LONG_RUN and any(m.end() - m.start() > LONG_RUN for m in _BLANK.finditer(text)):
+                return library.encode(text, add_special_tokens=False).ids
             parts = split(text) if split else [text]
             if len(parts) == 1:
                 return plain(text)

@@ -1,7 +1,8 @@
 """Vectorised work on the UTF-8 bytes of many texts at once.
 
 A block holds the bytes of consecutive texts of an Arrow column. Words are maximal runs of bytes
-outside 0x20 and 0x09-0x0D; they never cross texts. Hashes are 64-bit polynomials over bytes.
+outside 0x20 and 0x09-0x0D; they never cross texts. Hashes of words and lines sum scattered values of
+bytes at their places; hashes of windows, which are short, are 64-bit polynomials.
 """
 
 from __future__ import annotations
@@ -86,29 +87,35 @@ def span_hash(total: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return mix((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
 
 
+def _placed(data: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """A value for each byte at its place in a span. Unlike terms of a polynomial they have no common factor, so that no pattern of letters cancels out."""
+    h = BYTE_VALUE[data] + place.astype(np.uint64) * BASE
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0xD6E8FEB86659FD93)
+    h ^= h >> np.uint64(29)
+    return h
+
+
 def spans_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, limit: int = SEGMENT_BYTES) -> np.ndarray:
-    """`span_hash` of spans in order that don't overlap, from running sums over `limit` bytes at a time, so that memory follows the spans."""
+    """Hashes of spans in order that don't overlap, from running sums over `limit` bytes at a time, so that memory follows the spans; equal bytes give equal hashes."""
     out = np.zeros(len(starts), np.uint64)
     at = 0
     while at < len(starts):
         a = int(starts[at])
         stop = int(np.searchsorted(ends, a + limit, "right"))
         if stop > at:
-            b = int(ends[stop - 1])
-            total = Block(0, data[a:b], np.array([0, b - a])).prefix_hash()
-            out[at:stop] = span_hash(total, starts[at:stop] - a, ends[at:stop] - a)
+            own, b = starts[at:stop], int(ends[stop - 1])
+            total = np.zeros(b - a + 1, np.uint64)
+            np.cumsum(_placed(data[a:b], np.arange(a, b) - np.repeat(own, np.diff(np.append(own, b)))), out=total[1:])
+            out[at:stop] = total[ends[at:stop] - a] - total[own - a]
             at = stop
             continue
-        # One span of more than the limit: the sum of its parts, each moved to its place.
-        whole, b, move = np.uint64(0), int(ends[at]), np.uint64(1)
-        with np.errstate(over="ignore"):
-            for c in range(a, b, limit):
-                part = data[c : min(c + limit, b)]
-                whole += move * (BYTE_VALUE[part] * powers(limit)[0][: len(part)]).sum(dtype=np.uint64)
-                move *= np.uint64(pow(int(BASE), limit, 2**64))
-            out[at : at + 1] = mix(np.array([whole + np.uint64(b - a)]))
+        # One span of more than the limit: the sum of its parts.
+        b = int(ends[at])
+        sums = [_placed(data[c : min(c + limit, b)], np.arange(c - a, min(c + limit, b) - a)).sum(dtype=np.uint64) for c in range(a, b, limit)]
+        out[at] = np.array(sums, np.uint64).sum(dtype=np.uint64)
         at += 1
-    return out
+    return mix(out + (ends - starts).astype(np.uint64))
 
 
 def window_hash(parts: np.ndarray, width: int) -> np.ndarray:

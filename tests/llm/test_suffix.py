@@ -126,9 +126,20 @@ def test_slices_hold_all_rows():
 
 @pytest.mark.parametrize("limit", [1, 7, 40, 1000])
 def test_hashes_of_spans_do_not_depend_on_segments(limit):
-    from tessella.llm.textblock import Block, span_hash, spans_hash
+    from tessella.llm.textblock import Block, spans_hash
 
     data = np.frombuffer(("word " * 5 + "x" * 90 + " end of it").encode(), np.uint8)
     starts, ends, _ = Block(0, data, np.array([0, len(data)])).words()
-    whole = span_hash(Block(0, data, np.array([0, len(data)])).prefix_hash(), starts, ends)
-    assert spans_hash(data, starts, ends, limit).tolist() == whole.tolist()
+    got = spans_hash(data, starts, ends, limit).tolist()
+    assert got == spans_hash(data, starts, ends).tolist()
+    assert len(set(got[:5])) == 1 and len(set(got)) == 5
+
+
+@pytest.mark.parametrize("power", [9, 11, 14])
+def test_spans_of_a_regular_pattern_and_its_mirror_differ(power):
+    from tessella.llm.textblock import spans_hash
+
+    pattern = np.bitwise_count(np.arange(1 << power)) % 2
+    data = np.concatenate([pattern, 1 - pattern]).astype(np.uint8) + 97
+    half = 1 << power
+    assert len(set(spans_hash(data, np.array([0, half]), np.array([half, 2 * half])).tolist())) == 2

@@ -312,6 +312,21 @@ def test_ids_are_the_library_s_with_its_defaults(docs_of):
     assert got == {k: (len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for k, x in enumerate(ids)}
 
 
+@pytest.mark.parametrize("text", [" " * 5_000_000, "a" * 5_000_000, "#" * 5_000_000, "word" + "\n \t" * 500_000 + "end<|endoftext|>"], ids=["blanks", "letters", "symbols", "mixed"])
+def test_texts_of_one_long_run(text):
+    from tokenizers import Tokenizer
+
+    path = packing.default_tokenizer()
+    assert packing.encoder(path)(text) == Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+
+
+def test_a_text_of_blanks_is_packed_with_others(docs_of):
+    rows = [(1, " " * 2_000_000), (2, "hello"), (None, "copy"), *[(None, "copy")] * 40]
+    got = packing.pack(docs_of(rows)).collect()
+    assert sum(r["length"] for r in got if r["doc_id"] == 1) == 2_000_001
+    assert sum(r["doc_id"] is None for r in got) == 41
+
+
 @pytest.mark.parametrize("seed", range(5))
 def test_plan_holds_the_histogram(seed):
     rng = random.Random(seed)
