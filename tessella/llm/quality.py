@@ -1,8 +1,9 @@
 """Quality rules with host verdicts (operator 4).
 
-Every text gets integer statistics in one vectorised pass inside Arrow batches. A host's failures are
-aggregated, its rate is shrunk by a beta prior fitted to all hosts by moments, and a host whose rate is
-surely too high rejects all its documents.
+Every text gets integer statistics in one vectorised pass inside Arrow batches. A host's failures of each of the
+`RULES` are aggregated, its rates are shrunk by a beta prior for each rule, fitted to all hosts by moments, and a host
+of which some rate is surely too high rejects all its documents. A document of another host goes only if it fails the
+base rules itself.
 
 Nulls and empty texts have no words and fail the base rules. A null host is a host of its own. Repeated
 rows count each time and each come back. Ties don't arise: nothing is ranked. A task holds a text whole, with
@@ -26,7 +27,16 @@ SYMBOLS = b"#*$%&|<>"
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 
-STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
+
+#: Failures that count against a host, by columns or arrays of statistics: the base rules, more than one symbol for ten words,
+#: more than 30 % of the lines with a word repeated, and words of under 2 or over 20 characters on average.
+RULES = {
+    "base_failed": lambda s: (s["n_words"] < MIN_WORDS) | (100 * s["n_repeat_words"] > MAX_REPEAT_PERCENT * s["n_words"]),
+    "many_symbols": lambda s: 10 * s["n_symbols"] > s["n_words"],
+    "many_dup_lines": lambda s: 10 * s["n_dup_lines"] > 3 * s["n_lines"],
+    "odd_words": lambda s: (s["word_chars"] < 2 * s["n_words"]) | (s["word_chars"] > 20 * s["n_words"]),
+}
 
 _IS_SYMBOL = np.zeros(256, bool)
 _IS_SYMBOL[list(SYMBOLS)] = True
@@ -79,6 +89,7 @@ def block_stats(block: Block) -> dict[str, np.ndarray]:
         "n_symbols": counts_by_text(_IS_SYMBOL[data], offsets),
         "n_dup_lines": np.bincount(line_of[again], minlength=n).astype(np.int64),
         "n_repeat_words": counts_by_text(covered, bounds),
+        "n_lines": np.bincount(line_of, minlength=n).astype(np.int64),
     }
 
 
@@ -136,15 +147,15 @@ def host_verdicts(failures: DataFrame, host: str, failed: list[str], max_rate: f
     return both.withColumn("host_bad", bad).drop("all_n", "all_nn", "hosts", *(f"all_{f}" for f in failed), *(f"sq_{f}" for f in failed))
 
 
-def base_rules() -> Column:
-    """True for rows of statistics that fail the base rules."""
-    return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
+def _failures() -> list[Column]:
+    told = {name: F.col(name) for name in STATS}
+    return [rule(told).alias(name) for name, rule in RULES.items()]
 
 
 def accepted(docs: DataFrame, max_rate: float = 0.5, z: float = 1.645) -> DataFrame:
     """The input's rows that `judge` keeps, with the input's columns; texts are not shuffled."""
     stats = text_stats(docs.select(F.col("source").alias("_host"), F.col("text").alias("_told")), "_told", "_host")
-    hosts = written(host_verdicts(stats.select("_host", base_rules().alias("base_failed")), "_host", ["base_failed"], max_rate, z).where("host_bad").select("host"), "hosts")
+    hosts = written(host_verdicts(stats.select("_host", *_failures()), "_host", list(RULES), max_rate, z).where("host_bad").select("host"), "hosts")
     # One struct carries the row, so that no name of a column meets those used here.
     own = docs.select(F.col("source").alias("_host"), F.struct(*(F.col(f"`{name}`") for name in docs.columns)).alias("_row"))
     place = docs.columns.index("text")
@@ -154,8 +165,7 @@ def accepted(docs: DataFrame, max_rate: float = 0.5, z: float = 1.645) -> DataFr
             text = batch.column(1).field(place)
             good = [np.zeros(0, bool)]
             for block in blocks(text if pa.types.is_string(text.type) or pa.types.is_large_string(text.type) else text.cast(pa.string())):
-                told = block_stats(block)
-                good.append((told["n_words"] >= MIN_WORDS) & (100 * told["n_repeat_words"] <= MAX_REPEAT_PERCENT * told["n_words"]))
+                good.append(~RULES["base_failed"](block_stats(block)))
             yield batch.filter(pa.array(np.concatenate(good)))
 
     rows = own.mapInArrow(run, own.schema)
@@ -163,13 +173,13 @@ def accepted(docs: DataFrame, max_rate: float = 0.5, z: float = 1.645) -> DataFr
 
 
 def judge(docs: DataFrame, max_rate: float = 0.5, z: float = 1.645) -> DataFrame:
-    """doc_id, the statistics, base_failed, the host's verdict and kept, one row per input row."""
+    """doc_id, the statistics, the failures of each rule, the host's verdict and kept, one row per input row."""
     stats = text_stats(docs, "text", "doc_id", "source")
-    stats = written(stats.withColumn("base_failed", base_rules()), "quality")
-    hosts = host_verdicts(stats, "source", ["base_failed"], max_rate, z).select("host", "host_bad")
+    stats = written(stats.select("*", *_failures()), "quality")
+    hosts = host_verdicts(stats, "source", list(RULES), max_rate, z).select("host", "host_bad")
     joined = stats.join(hosts, stats["source"].eqNullSafe(hosts["host"]), "left")
     kept = ~F.col("base_failed") & ~F.coalesce(F.col("host_bad"), F.lit(False))
-    return joined.select("doc_id", *STATS, "base_failed", F.col("source").alias("host"), F.coalesce(F.col("host_bad"), F.lit(False)).alias("host_bad"), kept.alias("kept"))
+    return joined.select("doc_id", *STATS, *RULES, F.col("source").alias("host"), F.coalesce(F.col("host_bad"), F.lit(False)).alias("host_bad"), kept.alias("kept"))
 
 
 JUDGE_SQL = r"""
@@ -187,30 +197,35 @@ with words as (
   select rowid_, l, count(*) as c from (select rowid_, unnest(string_split(text, chr(10))) as l from words)
   where regexp_matches(l, '[^\x20\x09-\x0D]') group by rowid_, l
 ), dups as (
-  select rowid_, sum(c - 1)::bigint as n from lines group by rowid_
+  select rowid_, sum(c - 1)::bigint as n, sum(c)::bigint as n_lines from lines group by rowid_
 ), stats as (
   select a.rowid_, doc_id, source, len(w)::bigint as n_words,
     length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g'))::bigint as word_chars,
     length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::bigint as n_symbols,
-    coalesce(d.n, 0)::bigint as n_dup_lines, coalesce(c.n, 0)::bigint as n_repeat_words
+    coalesce(d.n, 0)::bigint as n_dup_lines, coalesce(c.n, 0)::bigint as n_repeat_words, coalesce(d.n_lines, 0)::bigint as n_lines
   from words a left join dups d using (rowid_) left join covered c using (rowid_)
 ), base as (
-  select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from stats
+  select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed, 10 * n_symbols > n_words as many_symbols,
+    10 * n_dup_lines > 3 * n_lines as many_dup_lines, word_chars < 2 * n_words or word_chars > 20 * n_words as odd_words
+  from stats
+), failures as (
+  select source as host, unnest(['base_failed', 'many_symbols', 'many_dup_lines', 'odd_words']) as rule,
+    unnest([base_failed, many_symbols, many_dup_lines, odd_words]) as failed from base
 ), per_host as (
-  select source as host, count(*)::double as n, sum(base_failed::int)::double as bad from base group by source
+  select rule, host, count(*)::double as n, sum(failed::int)::double as bad from failures group by rule, host
 ), overall as (
-  select sum(n) as all_n, sum(bad) as all_bad, sum(bad * bad / n) as sq, count(*)::double as hosts from per_host
+  select rule, sum(n) as all_n, sum(bad) as all_bad, sum(bad * bad / n) as sq, count(*)::double as hosts from per_host group by rule
 ), prior as (
   select *, mu * (1 - mu) as spread, greatest((sq - all_bad * mu) / all_n - mu * (1 - mu) * hosts / all_n, mu * (1 - mu) * 1e-6) as variance
   from (select *, all_bad / all_n as mu from overall)
 ), strength as (
-  select mu, case when spread > 0 then least(greatest(spread / variance - 1, 1.0), 1e6) else 1.0 end as m from prior
+  select rule, mu, case when spread > 0 then least(greatest(spread / variance - 1, 1.0), 1e6) else 1.0 end as m from prior
 ), rates as (
-  select host, (bad + m * mu) / (n + m) as rate, n + m as weight from per_host, strength
+  select host, (bad + m * mu) / (n + m) as rate, n + m as weight from per_host join strength using (rule)
 ), verdicts as (
-  select host, rate - 1.645 * sqrt(rate * (1 - rate) / (weight + 1)) > 0.5 as host_bad from rates
+  select host, bool_or(rate - 1.645 * sqrt(rate * (1 - rate) / (weight + 1)) > 0.5) as host_bad from rates group by host
 )
-select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, host, host_bad,
-  not base_failed and not host_bad as kept
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, base_failed, many_symbols, many_dup_lines, odd_words,
+  host, host_bad, not base_failed and not host_bad as kept
 from base join verdicts on source is not distinct from host
 """

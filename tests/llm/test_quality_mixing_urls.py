@@ -11,14 +11,14 @@ def stats(text):
     grams = [tuple(w[k : k + 3]) for k in range(len(w) - 2)]
     hit = {k + j for k, g in enumerate(grams) if grams.count(g) > 1 for j in range(3)}
     lines = [x for x in text.split("\n") if words(x)]
-    return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(hit)
+    return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(hit), len(lines)
 
 
 TEXTS = ["a b c a b c", "é# line\nother\né# line\n \n \n", None, "", "x " * 60, " ".join(f"w{k}" for k in range(60)), "\t\v one\x1fword\n\n", "a|b <c> a|b <c> a|b"]
 
 
 def test_statistics_equal_brute_force(docs_of):
-    got = {r["doc_id"]: tuple(r)[1:6] for r in quality.judge(docs_of(list(enumerate(TEXTS)), extra=True)).collect()}
+    got = {r["doc_id"]: tuple(r)[1:7] for r in quality.judge(docs_of(list(enumerate(TEXTS)), extra=True)).collect()}
     assert got == {k: stats(t) for k, t in enumerate(TEXTS)}
 
 
@@ -31,6 +31,26 @@ def test_host_verdict_rejects_all_of_a_bad_host_only(docs_of):
     assert sorted(map(str, quality.accepted(docs).collect())) == sorted(map(str, docs.where(F.col("doc_id").isin([k for k, v in got.items() if v])).collect()))
 
 
+WORDS60 = [f"word{k}" for k in range(60)]
+BAD_TEXTS = {
+    "many_symbols": " ".join(WORDS60) + " #" * 8,
+    "many_dup_lines": "\n".join([*WORDS60, "one more line", *["one more line"] * 40]),
+    "odd_words": " ".join(f"averyveryverylongword{k}" for k in range(60)),
+    "base_failed": "few words",
+}
+
+
+@pytest.mark.parametrize("rule", BAD_TEXTS)
+def test_each_rule_rejects_a_bad_host_and_no_other(docs_of, rule):
+    fine = " ".join(WORDS60)
+    hosts = {"bad": [BAD_TEXTS[rule]] * 60 + [fine] * 2, "mixed": [BAD_TEXTS[rule]] * 10 + [fine] * 50, "clean": [fine] * 60}
+    rows = [(1000 * h + k, text, "en", host) for h, (host, texts) in enumerate(hosts.items()) for k, text in enumerate(texts)]
+    got = quality.judge(docs_of(rows)).collect()
+    assert {r["host"] for r in got if r["host_bad"]} == {"bad"}
+    assert {r["doc_id"] for r in got if r[rule]} == {d for d, text, _, _ in rows if text == BAD_TEXTS[rule]}
+    assert all(r["kept"] == (r["host"] != "bad" and not r["base_failed"]) for r in got)
+
+
 def test_empty_tables(docs_of, spark):
     assert quality.judge(docs_of([])).collect() == []
     assert mixing.mix(docs_of([])).collect() == []
