@@ -15,12 +15,13 @@ norms equal, so that nearest by angle is nearest by inner product.
 Vectors that are null, zero, or hold nulls or non-finite numbers take no part, nor does a null vec_id. A vector has an
 inner product only with vectors of its length: each length is a search of its own. Every row is a candidate of its own;
 rows with equal vec_id each answer as a query, with the others of that id among their candidates. Ties go to the smaller
-vec_id. Very long vectors count by their length only in memory: a block holds 65,536 of them at most. Extra columns are
+vec_id; an inner product that is no number, because its terms overflow, ranks last. Very long vectors count by their length only in memory: a block holds 65,536 of them at most. Extra columns are
 ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -44,8 +45,9 @@ UP_TO = np.cumsum(np.bincount(_WEIGHTS))
 @dataclass
 class Coder:
     rotations: np.ndarray  # (dim + 1) x bits
-    norm: float  # largest norm of all rows
+    norm: float  # largest norm of all rows, in units of `scale`
     radius: int
+    scale: float = 1.0  # largest component of all rows
 
     @property
     def substrings(self) -> int:
@@ -53,14 +55,16 @@ class Coder:
 
     def codes(self, x: np.ndarray, query: bool = False) -> np.ndarray:
         """uint16 substrings of each vector's code."""
+        x = x / self.scale
         last = np.zeros(len(x)) if query else np.sqrt(np.maximum(self.norm**2 - (x * x).sum(1), 0))
         bits = np.column_stack([x, last]) @ self.rotations > 0
         return np.packbits(bits, axis=1).view(np.uint16)
 
 
-def learn(sample: np.ndarray, norm: float, tables: int = 4, rounds: int = 20, k: int = 20, recall: float = 0.97, seed: int = 3) -> Coder:
+def learn(sample: np.ndarray, norm: float, scale: float = 1.0, tables: int = 4, rounds: int = 20, k: int = 20, recall: float = 0.97, seed: int = 3) -> Coder:
     """Rotations that bring the sample closest to its signs, and the radius that finds `recall` of its neighbours."""
     rng = np.random.default_rng(seed)
+    sample = sample / scale
     x = np.column_stack([sample, np.sqrt(np.maximum(norm**2 - (sample * sample).sum(1), 0))])
     dim = x.shape[1]
     made = []
@@ -80,6 +84,7 @@ def learn(sample: np.ndarray, norm: float, tables: int = 4, rounds: int = 20, k:
     if near.size:
         distance = hamming(coder.codes(asked, True), coder.codes(sample))
         coder.radius = int(np.quantile(np.take_along_axis(distance, near, 1), recall))
+    coder.scale = scale
     return coder
 
 
@@ -164,24 +169,27 @@ def search_block(coder: Coder, query_rows: np.ndarray, queries: np.ndarray, stor
             near = near[near != own]
         if not len(near):
             continue
-        score = stored[near] @ queries[q]
-        if len(near) > k:
-            edge = np.partition(score, len(score) - k)[len(score) - k]
-            near = near[score >= edge - 1e-9 * max(1.0, abs(edge))]
-        exact = (stored[near] * queries[q]).sum(1)  # the same order of summation for equal vectors
-        best = np.lexsort((ids[near], -exact))[:k]
+        with np.errstate(over="ignore", invalid="ignore"):
+            score = stored[near] @ queries[q]
+            if len(near) > k and np.isfinite(score).all():
+                edge = np.partition(score, len(score) - k)[len(score) - k]
+                near = near[score >= edge - 1e-9 * max(1.0, abs(edge))]
+            exact = (stored[near] * queries[q]).sum(1)  # the same order of summation for equal vectors
+        best = np.lexsort((ids[near], -np.where(np.isnan(exact), -np.inf, exact)))[:k]
         out.append((np.full(len(best), q), near[best], exact[best]))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """vec_id, v, its length dim, and norm of the vectors that take part; v is an array of double, or of float as it came."""
+    """vec_id, v, its length dim, its largest component and the logarithm of its norm, of the vectors that take part; v is an array of double, or of float as it came."""
     single = vectors.schema["embedding"].dataType.simpleString() == "array<float>"
     bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+    # In units of the largest component, so that squares neither overflow nor vanish.
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + F.pow(x.cast("double") / F.col("top"), 2)))
     kept = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>" if single else "array<double>").alias("v"))
     kept = kept.where(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & ~bad)
-    return kept.withColumns({"dim": F.size("v"), "norm": norm}).where(F.col("norm") > 0)
+    sized = kept.withColumns({"dim": F.size("v"), "top": F.aggregate("v", F.lit(0.0), lambda s, x: F.greatest(s, F.abs(x.cast("double"))))}).where(F.col("top") > 0)
+    return sized.withColumn("norm", F.log("top") + F.log(norm))
 
 
 def _matrix(table: pa.Table, dim: int) -> np.ndarray:
@@ -192,17 +200,18 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, sample_rows: int =
     """query_id, rank, vec_id and score of the k nearest found of each row whose vec_id is divisible by `every`."""
     # Row numbers hold from here on: the table is written once.
     good = written(usable(vectors).withColumn("_row", F.monotonically_increasing_id()), "vectors")
-    lengths = good.groupBy("dim").agg(F.count(F.lit(1)).alias("n"), F.max("norm").alias("norm"), F.sum((F.col("vec_id") % every == 0).cast("long")).alias("asked"))
+    lengths = good.groupBy("dim").agg(F.count(F.lit(1)).alias("n"), F.max("norm").alias("norm"), F.max("top").alias("top"), F.sum((F.col("vec_id") % every == 0).cast("long")).alias("asked"))
     found = vectors.sparkSession.createDataFrame([], "query_row long, query_id long, vec_id long, score double")
     for each in lengths.where("asked > 0").orderBy("dim").collect():  # one row a vector length
-        found = found.unionByName(_search_length(good.where(F.col("dim") == each["dim"]), each["dim"], each["n"], each["asked"], each["norm"], every, k, sample_rows))
-    best = Window.partitionBy("query_row").orderBy(F.col("score").desc(), "vec_id")
+        found = found.unionByName(_search_length(good, each["dim"], each["n"], each["asked"], each["norm"], each["top"], every, k, sample_rows))
+    best = Window.partitionBy("query_row").orderBy(F.when(F.isnan("score"), F.lit(float("-inf"))).otherwise(F.col("score")).desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
-def _search_length(good: DataFrame, dim: int, n: int, asked: int, norm: float, every: int, k: int, sample_rows: int) -> DataFrame:
+def _search_length(table: DataFrame, dim: int, n: int, asked: int, norm: float, top: float, every: int, k: int, sample_rows: int) -> DataFrame:
+    good = table.where(F.col("dim") == dim)
     drawn = good.orderBy(F.xxhash64("vec_id", F.lit(9)), "vec_id", "v").limit(sample_rows).select("v").collect()
-    coder = learn(np.array([r["v"] for r in drawn], np.float64).reshape(-1, dim), norm, k=k)
+    coder = learn(np.array([r["v"] for r in drawn], np.float64).reshape(-1, dim), math.exp(norm - math.log(top)), top, k=k)
     shared = good.sparkSession.sparkContext.broadcast(coder)
 
     block = min(MOST_BLOCK, max(LEAST_BLOCK, n // BLOCKS))
@@ -210,7 +219,9 @@ def _search_length(good: DataFrame, dim: int, n: int, asked: int, norm: float, e
     part = lambda count, salt: F.pmod(F.xxhash64("_row", F.lit(salt)), F.lit(count)).cast("int")
     all_of = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
     stored = good.select(part(n_blocks, 1).alias("b"), all_of(n_groups).alias("g"), "_row", "vec_id", "v")
-    queries = good.where(F.col("vec_id") % every == 0).select(all_of(n_blocks).alias("b"), part(n_groups, 2).alias("g"), "_row", "vec_id", "v")
+    # Read anew: both sides of a cogroup need columns of their own.
+    asking = good.sparkSession.read.schema(table.schema).parquet(table.written_to).where(F.col("dim") == dim)
+    queries = asking.where(F.col("vec_id") % every == 0).select(all_of(n_blocks).alias("b"), part(n_groups, 2).alias("g"), "_row", "vec_id", "v")
 
     def run(rows: pa.Table, asking: pa.Table) -> pa.Table:
         ids, query_ids, query_rows = (t[c].to_numpy() for t, c in ((rows, "vec_id"), (asking, "vec_id"), (asking, "_row")))

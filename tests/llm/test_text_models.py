@@ -383,6 +383,20 @@ def test_rows_of_one_id_and_other_lengths(spark):
     assert got == [(0, 1, 1, 0.9), (0, 2, 1, -1.0), *[(20, 1, 20, 1.0)] * 2, *[(20, 2, 3, 0.5)] * 2]
 
 
+def test_vectors_of_huge_and_tiny_components(spark):
+    import numpy as np
+
+    x = np.random.default_rng(4).normal(size=(400, 8))
+    x[7], x[13] = 1e200, 1e-300
+    got = ann.search(spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")).collect()
+    with np.errstate(over="ignore"):
+        for q in range(0, 400, 20):
+            scores = (x * x[q]).sum(1)
+            own = sorted(set(range(400)) - {q}, key=lambda k: (-scores[k], k))[:20]
+            assert len(set(own) & {r["vec_id"] for r in got if r["query_id"] == q}) >= 18
+    assert len(got) == 400
+
+
 @pytest.mark.parametrize("radius", [0, 1, 5, 17, 40, 64])
 def test_probing_finds_every_code_within_the_radius(radius):
     import numpy as np
