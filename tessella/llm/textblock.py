@@ -66,9 +66,9 @@ class Block:
         np.cumsum(BYTE_VALUE[data] * powers(max(len(data), 1))[0][: len(data)], out=total[1:])
         return total
 
-    def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Starts and ends of all words, and for each text the index of its first word (one more at the end)."""
-        dark = ~SPACE[self.data]
+    def words(self, apart: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Starts and ends of all words, and for each text the index of its first word (one more at the end); `apart` holds for bytes outside words."""
+        dark = ~apart[self.data]
         first, last = dark.copy(), dark.copy()
         cuts = self.offsets[1:-1]
         cuts = cuts[(cuts > 0) & (cuts < len(dark))]
