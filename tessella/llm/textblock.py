@@ -80,6 +80,16 @@ class Block:
         starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
         return starts, ends, np.searchsorted(starts, self.offsets)
 
+    def lines(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Starts and ends of all lines, newlines left out, and the text of each; an empty text has one empty line."""
+        newline = np.flatnonzero(self.data == 0x0A)
+        cuts = np.concatenate([self.offsets[:-1], newline + 1])
+        stops = np.concatenate([newline, self.offsets[1:]])
+        cuts.sort()
+        stops.sort()
+        many = np.diff(np.searchsorted(newline, self.offsets)) + 1
+        return cuts, stops, np.repeat(np.arange(len(self)), many)
+
 
 def span_hash(total: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Hashes of the spans [start, end) of the data behind `total`; equal bytes give equal hashes."""
@@ -96,8 +106,8 @@ def _placed(data: np.ndarray, place: np.ndarray) -> np.ndarray:
     return h
 
 
-def spans_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, limit: int = SEGMENT_BYTES) -> np.ndarray:
-    """Hashes of spans in order that don't overlap, from running sums over `limit` bytes at a time, so that memory follows the spans; equal bytes give equal hashes."""
+def spans_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, limit: int = SEGMENT_BYTES, salt: int = 0) -> np.ndarray:
+    """Hashes of spans in order that don't overlap, from running sums over `limit` bytes at a time, so that memory follows the spans; equal bytes give equal hashes, and each `salt` hashes of their own."""
     out = np.zeros(len(starts), np.uint64)
     at = 0
     while at < len(starts):
@@ -106,13 +116,13 @@ def spans_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, limit: in
         if stop > at:
             own, b = starts[at:stop], int(ends[stop - 1])
             total = np.zeros(b - a + 1, np.uint64)
-            np.cumsum(_placed(data[a:b], np.arange(a, b) - np.repeat(own, np.diff(np.append(own, b)))), out=total[1:])
+            np.cumsum(_placed(data[a:b], np.arange(a + salt, b + salt) - np.repeat(own, np.diff(np.append(own, b)))), out=total[1:])
             out[at:stop] = total[ends[at:stop] - a] - total[own - a]
             at = stop
             continue
         # One span of more than the limit: the sum of its parts.
         b = int(ends[at])
-        sums = [_placed(data[c : min(c + limit, b)], np.arange(c - a, min(c + limit, b) - a)).sum(dtype=np.uint64) for c in range(a, b, limit)]
+        sums = [_placed(data[c : min(c + limit, b)], np.arange(c - a + salt, min(c + limit, b) - a + salt)).sum(dtype=np.uint64) for c in range(a, b, limit)]
         out[at] = np.array(sums, np.uint64).sum(dtype=np.uint64)
         at += 1
     return mix(out + (ends - starts).astype(np.uint64))
