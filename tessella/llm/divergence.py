@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tessella.llm.sieve import counted, passes, salts, sieve
+from tessella.llm.sieve import counted, often, passes, salts, sieve
 from tessella.llm.stage import written
 from tessella.llm.textblock import LOWER, Block, blocks, mix, spans_hash
 
@@ -77,7 +77,7 @@ def _documents_by_key(own: DataFrame) -> DataFrame:
 
 def term_counts(own: DataFrame, least: int) -> DataFrame:
     """lang, source, term, its occurrences n and its documents docs, of terms that may occur in `least` documents of the language."""
-    bits = sieve(_documents_by_key(own), least)
+    bits = sieve(often(_documents_by_key(own), least))
     names = ["lang", "source", "term", "n", "docs"]
 
     def of_block(block: Block, group: np.ndarray, lang_salt: np.ndarray, groups: pa.Table) -> pa.Table:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm import ann, divergence, html, jaccard, langid, linededup, lm, mixing, packing, quality, suffix, urls
+from tessella.llm import ann, divergence, html, jaccard, langid, linededup, lm, mixing, packing, phrases, quality, suffix, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,16 +56,21 @@ def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.digest(_table(spark, sf_dir, "documents"))
 
 
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(_table(spark, sf_dir, "documents"))
+
+
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_array_dedup, op2_html_extraction, op3_language_id, op4_quality_rules, op5_mixing, op6_packing, op7_lm_scoring, op8_url_filters, op9_ngram_jaccard_join, op10_nearest_neighbours, op11_line_dedup, op13_source_divergence)}
+QUERIES = {f.__name__: f for f in (op1_suffix_array_dedup, op2_html_extraction, op3_language_id, op4_quality_rules, op5_mixing, op6_packing, op7_lm_scoring, op8_url_filters, op9_ngram_jaccard_join, op10_nearest_neighbours, op11_line_dedup, op12_phrase_collocations, op13_source_divergence)}
 
 ORACLE_SQL = {
     "op4_quality_rules": quality.JUDGE_SQL,
     "op5_mixing": mixing.MIX_SQL,
     "op8_url_filters": urls.JUDGE_URLS_SQL,
     "op11_line_dedup": linededup.DIGEST_SQL,
+    "op12_phrase_collocations": phrases.COLLOCATIONS_SQL,
     "op13_source_divergence": divergence.AUDIT_SQL,
 }

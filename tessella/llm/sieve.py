@@ -50,9 +50,13 @@ def slots(keys: np.ndarray) -> np.ndarray:
     return (mix(keys) % np.uint64(SLOTS)).astype(np.int64)
 
 
-def sieve(counts: DataFrame, least: int) -> Broadcast:
-    """The bitmap of the keys of (k, c) whose counts sum to `least` or more."""
-    good = counts.groupBy("k").agg(F.sum("c").alias("c")).where(F.col("c") >= least).select("k")
+def often(counts: DataFrame, least: int) -> DataFrame:
+    """The keys of (k, c) whose counts sum to `least` or more, with these sums."""
+    return counts.groupBy("k").agg(F.sum("c").alias("c")).where(F.col("c") >= least)
+
+
+def sieve(keys: DataFrame) -> Broadcast:
+    """The bitmap of the keys in column k."""
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -64,11 +68,11 @@ def sieve(counts: DataFrame, least: int) -> Broadcast:
         bits[table["bit"].to_numpy()] = 1
         return pa.table({"piece": table["piece"].slice(0, 1), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
 
-    made = good.mapInArrow(placed, "piece int, bit int").distinct().groupBy("piece").applyInArrow(pieces, "piece int, bits binary")
+    made = keys.select("k").mapInArrow(placed, "piece int, bit int").distinct().groupBy("piece").applyInArrow(pieces, "piece int, bits binary")
     whole = np.zeros(SLOTS // 8, np.uint8)
     for row in made.toLocalIterator():  # at most SLOTS / PIECE rows of PIECE / 8 bytes
         whole[row["piece"] * PIECE // 8 : (row["piece"] + 1) * PIECE // 8] = np.frombuffer(row["bits"], np.uint8)
-    return counts.sparkSession.sparkContext.broadcast(whole)
+    return keys.sparkSession.sparkContext.broadcast(whole)
 
 
 def passes(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
