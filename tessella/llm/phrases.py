@@ -8,8 +8,8 @@ word stays in one task. Each task sorts its suffixes in reverse order and counts
 last suffix, one for each length. Single words have their counts from the first pass.
 
 Parts of candidates occur as often as these or more, so they are found among the same counts: cuts are joined to them by the
-bytes of their keys. A candidate's own contiguous parts are exploded to look up what longer ones say about it. Words come
-back to keys in a third pass; should two words of the text share a key there, all is done again with other keys.
+bytes of their keys. A candidate's own contiguous parts are exploded to look up what longer ones say about it. Words of
+candidates come back to their keys in a third pass; should two words of the text share a key there, all is done again with other keys.
 
 A null text has no words, a null lang is `und`. Repeated rows count each time. Ties are settled by the phrase. Very long texts
 are held whole by one task, with some 30 bytes of memory for each byte; a piece of any length makes one suffix a word. Extra
@@ -253,10 +253,11 @@ def collocations(docs: DataFrame, max_words: int = MAX_WORDS, least: int = LEAST
     # At most 65,535 keys of eight bytes.
     common = [r["k"] for r in counts.orderBy(F.col("c").desc(), "k").limit(CODES).select("k").collect()]
     codes = own.sparkSession.sparkContext.broadcast(np.sort(np.array(common, np.int64).view(np.uint64)))
-    vocabulary = written(_vocabulary(own, bits, keying).join(counts.select("k"), "k", "left_semi"), "vocabulary")
+    found = written(prefix_counts(own, bits, codes, max_words, least, keying), "phrases")
+    used = written(found.select(F.explode(F.expr("transform(sequence(0, cast(length(phrase) / 8 as int) - 1), o -> substring(phrase, 8 * o + 1, 8))")).alias("one")).distinct().select(F.conv(F.hex("one"), 16, -10).cast("long").alias("k")), "used")
+    vocabulary = written(_vocabulary(own, sieve(used), keying).join(used, "k", "left_semi"), "vocabulary", used)
     if not vocabulary.groupBy("k").agg(F.count(F.lit(1)).alias("words")).where("words > 1").isEmpty():
         return collocations(docs, max_words, least, first, Keying(keying.seed + 1))
-    found = written(prefix_counts(own, bits, codes, max_words, least, keying), "phrases")
 
     size = F.length("phrase") / 8
     one = counts.select(F.unhex(F.lpad(F.hex("k"), 16, "0")).alias("part"), F.col("c").alias("f"))
