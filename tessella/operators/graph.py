@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tessella.sources.shared import written
+from tessella.sources.shared import dropped, written
 
 
 def kept(df: DataFrame) -> DataFrame:
@@ -86,6 +86,58 @@ def forest_depths(nodes: DataFrame) -> DataFrame:
         ptr = far.drop("_moved")
 
 
+def ancestors(nodes: DataFrame) -> list[DataFrame]:
+    """Tables of id and `up`, the ancestor 1, 2, 4, .. steps above every node, as far as the deepest tree needs; a root's is itself."""
+    rooted = F.col("parent").isNull() | (F.col("parent") < 0)
+    tables = [kept(nodes.select("id", F.when(rooted, F.col("id")).otherwise(F.col("parent")).alias("up")))]
+    while True:
+        last = tables[-1]
+        far = kept(last.join(last.select(F.col("id").alias("up"), F.col("up").alias("_up")), "up").select("id", F.col("_up").alias("up"), (F.col("_up") != F.col("up")).alias("moved")))
+        if far.where("moved").isEmpty():
+            return tables
+        tables.append(far.drop("moved"))
+
+
+def tree_distances(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """a, b, meet, steps and distance of each pair (a, b): their lowest common ancestor, and the steps and length of the way between; null in different trees.
+
+    `nodes` has id, parent and length, that of the way to the parent. Both ends rise by powers of two: the lower one to the height of the
+    other, then both as long as they differ. So a pair takes part in two joins for each power, and no pair meets another.
+    """
+    place = forest_depths(nodes)
+    rooted = F.col("parent").isNull() | (F.col("parent") < 0)
+    tables = ancestors(nodes)
+    # Lengths to the root double their reach with the tables of ancestors.
+    far = kept(nodes.select("id", F.when(rooted, F.lit(0.0)).otherwise(F.col("length").cast("double")).alias("far")))
+    for table in tables:
+        above = far.select(F.col("id").alias("up"), F.col("far").alias("_far"))
+        before, far = far, kept(far.join(table, "id").join(above, "up").select("id", F.when(F.col("up") == F.col("id"), F.col("far")).otherwise(F.col("far") + F.col("_far")).alias("far")))
+        dropped(before)
+    told = kept(place.join(far, "id"))
+    state = pairs.select("a", "b").distinct()
+    for end in ("a", "b"):
+        state = state.join(told.select(F.col("id").alias(end), F.col("root").alias(f"root_{end}"), F.col("depth").alias(f"depth_{end}"), F.col("far").alias(f"far_{end}")), end)
+    lower = F.col("depth_a") >= F.col("depth_b")
+    state = kept(state.withColumns({"u": F.when(lower, F.col("a")).otherwise(F.col("b")), "v": F.when(lower, F.col("b")).otherwise(F.col("a")), "rest": F.abs(F.col("depth_a") - F.col("depth_b"))}))
+    apart, state = state.where("root_a <> root_b"), state.where("root_a = root_b")
+    for k, table in enumerate(tables):
+        up = table.select(F.col("id").alias("u"), F.col("up").alias("_u"))
+        state = state.join(up, "u").withColumn("u", F.when(F.shiftright("rest", k).bitwiseAND(1) == 1, F.col("_u")).otherwise(F.col("u"))).drop("_u")
+        if k % 4 == 3:
+            state = kept(state)
+    for k, table in reversed(list(enumerate(tables))):
+        state = state.join(table.select(F.col("id").alias("u"), F.col("up").alias("_u")), "u").join(table.select(F.col("id").alias("v"), F.col("up").alias("_v")), "v")
+        goes = F.col("_u") != F.col("_v")
+        state = state.withColumns({"u": F.when(goes, F.col("_u")).otherwise(F.col("u")), "v": F.when(goes, F.col("_v")).otherwise(F.col("v"))}).drop("_u", "_v")
+        if k % 4 == 3:
+            state = kept(state)
+    state = state.join(tables[0].select(F.col("id").alias("u"), F.col("up").alias("_u")), "u").withColumn("meet", F.when(F.col("u") == F.col("v"), F.col("u")).otherwise(F.col("_u")))
+    state = state.join(told.select(F.col("id").alias("meet"), F.col("depth").alias("_depth"), F.col("far").alias("_far")), "meet")
+    found = state.select("a", "b", "meet", (F.col("depth_a") + F.col("depth_b") - 2 * F.col("_depth")).alias("steps"), (F.col("far_a") + F.col("far_b") - 2 * F.col("_far")).alias("distance"))
+    none = F.lit(None)
+    return found.unionByName(apart.select("a", "b", none.cast(found.schema["meet"].dataType).alias("meet"), none.cast("long").alias("steps"), none.cast("double").alias("distance")))
+
+
 def segments(nodes: DataFrame) -> DataFrame:
     """Per node: distance to its parent, taper, volume and surface of the piece between (a root is a ball of its radius)."""
     up = nodes.select(F.col("id").alias("parent"), *(F.col(c).alias(f"_{c}") for c in ("x", "y", "z", "r")))

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import itertools
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tessella.operators.graph import kept
+from tessella.operators import celltree
+from tessella.operators.graph import components, kept
 from tessella.sources.shared import dropped
 
 AXES = ("x", "y", "z")
@@ -48,8 +50,9 @@ def nearest(sources: DataFrame, targets: DataFrame, k: int, cell: float | None =
 
     With `by`, only targets with the source's value of that column count; nulls are equal. Points with a missing
     coordinate take no part. Exact: a source is settled once k targets lie within the cell size of it; the cell doubles
-    for the others, and grows eightfold while few settle. The first cell is so small that few targets share one where most targets are, however uneven
-    they lie; the far ones settle in later rounds. Of targets at one place only the first k + 1 by id can be among
+    for the others. The first cell is so small that few targets share one where most targets are, however uneven
+    they lie. As soon as few settle in a round, or larger cells would bring too many pairs together, the other sources go
+    through a tree of cells instead (`celltree`), which no distance and no density makes slow. Of targets at one place only the first k + 1 by id can be among
     the nearest. A source with fewer than k targets in all gets those there are.
     """
     sources = _placed(sources, by)
@@ -61,6 +64,7 @@ def nearest(sources: DataFrame, targets: DataFrame, k: int, cell: float | None =
         return sources.select(F.col("id").alias("source"), F.col("id").alias("target"), F.lit(0.0).alias("distance"), F.lit(0).alias("rank")).limit(0)
     width = max(max(extent[f"hi{c}"] - extent[f"lo{c}"] for c in AXES), 1e-9)
     size = cell or width * min(1.0, (max(k, 4) / n)) ** (1 / 3)
+    shared = float(n)
     while cell is None and size > width * 1e-12:
         # How many targets share a cell with a target, on average: cells with many count more.
         shared = _cells(targets, size).groupBy("_by", "_cell").agg(F.count(F.lit(1)).alias("c")).agg((F.sum(F.col("c").cast("double") * F.col("c")) / F.sum("c")).alias("m")).first()["m"]
@@ -71,16 +75,10 @@ def nearest(sources: DataFrame, targets: DataFrame, k: int, cell: float | None =
     out, open_ = None, kept(sources)
     many = open_.count()
     while True:
-        last = size >= 2 * width
-        if last:
-            far = sources.agg(*(f(c).alias(f"{k_}{c}") for c in AXES for k_, f in (("lo", F.min), ("hi", F.max)))).first()
-            size = 2 * max(width, *(max(abs((far[f"hi{c}"] or 0) - extent[f"lo{c}"]), abs((far[f"lo{c}"] or 0) - extent[f"hi{c}"])) for c in AXES))
         s, t = _around(open_, size).alias("s"), _cells(targets, size).alias("t")
         pairs = s.join(t, (F.col("s._by") == F.col("t._by")) & (F.col("s._cell") == F.col("t._cell"))).where(F.col("s.id") != F.col("t.id"))
         pairs = pairs.select(F.col("s.id").alias("source"), F.col("t.id").alias("target"), F.sqrt(squared_distance("s", "t")).alias("distance"))
         ranked = pairs.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-        if last:
-            return ranked if out is None else out.unionByName(ranked)
         whole = Window.partitionBy("source")
         sure = ranked.withColumns({"_n": F.count(F.lit(1)).over(whole), "_d": F.max("distance").over(whole)})
         settled = kept(sure.where((F.col("_n") == k) & (F.col("_d") <= size)).drop("_n", "_d"))
@@ -90,10 +88,35 @@ def nearest(sources: DataFrame, targets: DataFrame, k: int, cell: float | None =
         left = open_.count()
         if not left:
             return out
-        size *= 2 if left < 0.9 * many else 8
+        size, shared = 2 * size, min(float(n), 8 * shared)
+        if left > 0.9 * many or left * shared > 150 * n or size >= width:
+            levels, placed = celltree.build(targets.withColumn("_label", F.lit(0)))
+            return out.unionByName(celltree.search(open_.withColumn("_label", F.lit(0)), levels, placed, k))
         many = left
 
 
+def component_tree(points: DataFrame, key: str = "component") -> DataFrame:
+    """source, target and distance: the shortest edges that join all components of points (id, x, y, z, and the key) to a tree.
+
+    Boruvka over components: in each round every one takes its least distance to another, ties by the smaller ids. Points are
+    looked up in a tree of cells that knows which cells hold no other component.
+    """
+    state, taken = kept(points.select("id", *(F.col(c).cast("double").alias(c) for c in AXES), F.col(key).alias("_label"), F.lit(0).alias("_by"))), []
+    while state.select("_label").distinct().limit(2).count() > 1:
+        levels, placed = celltree.build(state)
+        near = celltree.search(state, levels, placed, 1, unlike=True, once=True)
+        at = state.select(F.col("id").alias("source"), F.col("_label").alias("_a"))
+        to = state.select(F.col("id").alias("target"), F.col("_label").alias("_b"))
+        edge = F.struct("distance", F.least("source", "target").alias("source"), F.greatest("source", "target").alias("target"), "_a", "_b")
+        best = kept(near.join(at, "source").join(to, "target").groupBy(F.col("_a").alias("_c")).agg(F.min(edge).alias("e")).select("e.*"))
+        taken.append(best.select("source", "target", "distance").distinct())
+        both = best.select(F.explode(F.array("_a", "_b")).alias("id")).distinct()
+        place = components(both, best.select(F.col("_a").alias("source"), F.col("_b").alias("target")))
+        before, state = state, kept(state.join(place.toDF("_label", "_to"), "_label", "left").withColumn("_label", F.coalesce("_to", "_label")).drop("_to"))
+        dropped(before)
+    return reduce(DataFrame.unionByName, taken) if taken else points.select(F.col("id").alias("source"), F.col("id").alias("target"), F.lit(0.0).alias("distance")).limit(0)
+
+
 def undirected(edges: DataFrame) -> DataFrame:
     """One row for each pair of ends, however often and in whichever direction it occurs."""
     return edges.groupBy(F.least("source", "target").alias("source"), F.greatest("source", "target").alias("target")).agg(F.min("distance").alias("distance"))

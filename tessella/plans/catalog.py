@@ -1,5 +1,5 @@
 """Imports every module that registers queries."""
 
-from tessella.plans import measure_queries, object_queries, structure_queries, trace_queries
+from tessella.plans import field_queries, measure_queries, object_queries, structure_queries, trace_queries
 
-__all__ = ["measure_queries", "object_queries", "structure_queries", "trace_queries"]
+__all__ = ["field_queries", "measure_queries", "object_queries", "structure_queries", "trace_queries"]
