@@ -1,7 +1,7 @@
 """Phrases of words that stand together more often than by chance, by suffix-sigma (operator 12).
 
 Words are told apart by 64-bit keys of language and word. A first pass counts all words; only those that occur `least`
-times can stand in a candidate, so a sieve of fixed size cuts pieces at all others. From every word that is left starts one
+times can stand in a candidate, and a second pass counts pairs of these by slot, so two sieves of fixed size cut pieces at all other words and pairs. From every word that is left starts one
 suffix of up to `max_words` words. Suffixes travel as bytes, two for each of the 65,535 commonest words (whose keys all
 tasks get) and ten for others, and are dealt out by language and first word - split by second word, so that no common
 word stays in one task. Each task sorts its suffixes in reverse order and counts all prefixes with one stack: the open prefixes of the
@@ -9,7 +9,7 @@ last suffix, one for each length. Single words have their counts from the first
 
 Parts of candidates occur as often as these or more, so they are found among the same counts: cuts are joined to them by the
 bytes of their keys. A candidate's own contiguous parts are exploded to look up what longer ones say about it. Words of
-candidates come back to their keys in a third pass; should two words of the text share a key there, all is done again with other keys.
+candidates come back to their keys in a last pass; should two words of the text share a key there, all is done again with other keys.
 
 A null text has no words, a null lang is `und`. Repeated rows count each time. Ties are settled by the phrase. Very long texts
 are held whole by one task, with some 30 bytes of memory for each byte; a piece of any length makes one suffix a word. Extra
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tessella.llm.sieve import counted, often, passes, salts, sieve
+from tessella.llm.sieve import counted, often, passes, salts, sieve, slot_sieve, slotted
 from tessella.llm.stage import written
 from tessella.llm.textblock import BASE, LOWER, Block, blocks, mix, spans_hash
 
@@ -137,12 +137,28 @@ def decoded(data: np.ndarray, offsets: np.ndarray, codes: np.ndarray, width: int
     return keys
 
 
-def _suffixes(words: Words, good: np.ndarray, width: int) -> np.ndarray:
-    """Keys of the suffix of up to `width` good words from each good word that another one follows, 0 where it ends."""
-    n = len(good)
-    if n < 2:
-        return np.zeros((0, width), np.uint64)
+def _pairs(words: Words, good: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where two good words follow each other in a piece, for all words but the last, and the keys of these pairs."""
     goes_on = good[:-1] & good[1:] & (words.piece[:-1] == words.piece[1:])
+    at = np.flatnonzero(goes_on)
+    return goes_on, mix(words.keys[at] * BASE + words.keys[at + 1])
+
+
+def pair_slots(own: DataFrame, bits: Broadcast, keying: Keying) -> DataFrame:
+    """Counts of pairs of good words by slot, for a sieve of pairs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return slotted(_pairs(words, passes(bits.value, words.keys))[1] for _, _, words, _ in _blocks(batches, keying))
+
+    return own.mapInArrow(run, "part int, low binary, high binary, counts binary")
+
+
+def _suffixes(words: Words, good: np.ndarray, pairs: np.ndarray, width: int) -> np.ndarray:
+    """Keys of the suffix of up to `width` good words from each good word that another one follows in a good pair, 0 where it ends."""
+    if len(good) < 2:
+        return np.zeros((0, width), np.uint64)
+    goes_on, keys = _pairs(words, good)
+    goes_on[goes_on] = passes(pairs, keys)
     stops = np.flatnonzero(np.append(~goes_on, True))
     starts = np.flatnonzero(goes_on)
     length = np.minimum(stops[np.searchsorted(stops, starts)] - starts + 1, width)
@@ -164,7 +180,7 @@ def _summed(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return rows[first], count
 
 
-def prefix_counts(own: DataFrame, bits: Broadcast, codes: Broadcast, max_words: int, least: int, keying: Keying) -> DataFrame:
+def prefix_counts(own: DataFrame, bits: Broadcast, pairs: Broadcast, codes: Broadcast, max_words: int, least: int, keying: Keying) -> DataFrame:
     """phrase, the keys of two words or more as eight bytes each, and a, its occurrences, `least` or more."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,7 +193,7 @@ def prefix_counts(own: DataFrame, bits: Broadcast, codes: Broadcast, max_words:
             return pa.RecordBatch.from_arrays([suffix.cast(pa.binary()), pa.array(count.astype(np.int64))], names=["suffix", "c"])
 
         for _, _, words, _ in _blocks(batches, keying):
-            held.append(_suffixes(words, passes(bits.value, words.keys), max_words))
+            held.append(_suffixes(words, passes(bits.value, words.keys), pairs.value, max_words))
             if sum(map(len, held)) > FLUSH:
                 yield flush()
                 held = []
@@ -253,7 +269,7 @@ def collocations(docs: DataFrame, max_words: int = MAX_WORDS, least: int = LEAST
     # At most 65,535 keys of eight bytes.
     common = [r["k"] for r in counts.orderBy(F.col("c").desc(), "k").limit(CODES).select("k").collect()]
     codes = own.sparkSession.sparkContext.broadcast(np.sort(np.array(common, np.int64).view(np.uint64)))
-    found = written(prefix_counts(own, bits, codes, max_words, least, keying), "phrases")
+    found = written(prefix_counts(own, bits, slot_sieve(pair_slots(own, bits, keying), least), codes, max_words, least, keying), "phrases")
     used = written(found.select(F.explode(F.expr("transform(sequence(0, cast(length(phrase) / 8 as int) - 1), o -> substring(phrase, 8 * o + 1, 8))")).alias("one")).distinct().select(F.conv(F.hex("one"), 16, -10).cast("long").alias("k")), "used")
     vocabulary = written(_vocabulary(own, sieve(used), keying).join(used, "k", "left_semi"), "vocabulary", used)
     if not vocabulary.groupBy("k").agg(F.count(F.lit(1)).alias("words")).where("words > 1").isEmpty():

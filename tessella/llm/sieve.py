@@ -19,6 +19,8 @@ from tessella.llm.textblock import mix
 SLOTS = 1 << 26
 #: Bits of one piece of the bitmap, made by one task.
 PIECE = 1 << 18
+#: Slots of one part of the sums that a task makes one by one.
+PART = 1 << 12
 #: Keys that a task holds before it sends their counts on.
 FLUSH = 1 << 22
 
@@ -75,6 +77,59 @@ def sieve(keys: DataFrame) -> Broadcast:
     return keys.sparkSession.sparkContext.broadcast(whole)
 
 
+def slotted(arrays: Iterator[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """Rows (part, slots, counts) of how often keys fall into each slot, for a sieve without keys: a byte or two for each slot in use."""
+    held: list[np.ndarray] = []
+    size = 0
+
+    def flush() -> pa.RecordBatch:
+        at, count = np.unique(slots(np.concatenate(held)), return_counts=True)
+        part, within = at // PART, (at % PART).astype(np.uint16)
+        first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+        bounds = np.append(first, len(at)).astype(np.int32)
+        # Gaps within a part, low bytes before high ones, which are mostly 0.
+        gaps = np.diff(within, prepend=np.uint16(0))
+        gaps[first] = within[first]
+        packed = [pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer((bounds * x.dtype.itemsize).astype(np.int32).tobytes()), pa.py_buffer(x.tobytes())]) for x in ((gaps & 0xFF).astype(np.uint8), (gaps >> 8).astype(np.uint8), count.astype(np.uint32))]
+        return pa.RecordBatch.from_arrays([pa.array(part[first].astype(np.int32)), *packed], names=["part", "low", "high", "counts"])
+
+    for keys in arrays:
+        if len(keys):
+            held.append(keys)
+            size += len(keys)
+        if size > FLUSH:
+            yield flush()
+            held, size = [], 0
+    if held:
+        yield flush()
+
+
+def slot_sieve(rows: DataFrame, least: int) -> Broadcast:
+    """The bitmap of the slots of `slotted` whose counts sum to `least` or more: all keys that occur so often pass. A task sums one part at a time, whatever the input."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, sums = -1, np.zeros(PART, np.int64)
+
+        def closed() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([np.packbits(sums >= least, bitorder="little").tobytes()], pa.binary())], names=["part", "bits"])
+
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row["part"] != part:
+                    if part >= 0:
+                        yield closed()
+                    part, sums = row["part"], np.zeros(PART, np.int64)
+                gaps = np.frombuffer(row["low"], np.uint8).astype(np.int64) + (np.frombuffer(row["high"], np.uint8).astype(np.int64) << 8)
+                sums[np.cumsum(gaps)] += np.frombuffer(row["counts"], np.uint32)
+        if part >= 0:
+            yield closed()
+
+    whole = np.zeros(SLOTS // 8, np.uint8)
+    for row in rows.repartition("part").sortWithinPartitions("part").mapInArrow(run, "part int, bits binary").toLocalIterator():  # at most SLOTS / PART rows of PART / 8 bytes
+        whole[row["part"] * PART // 8 : (row["part"] + 1) * PART // 8] = np.frombuffer(row["bits"], np.uint8)
+    return rows.sparkSession.sparkContext.broadcast(whole)
+
+
 def passes(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     at = slots(keys)
     return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0

@@ -86,3 +86,19 @@ def test_equal_hashes_of_rows_are_seen():
     rows = np.array([[1, 2, 0], [1, 2, 0], [3, 0, 0]], np.uint64)
     found, count = phrases._summed(rows)
     assert sorted(zip(found.tolist(), count.tolist(), strict=True)) == [([1, 2, 0], 2), ([3, 0, 0], 1)]
+
+
+def test_sieves_let_all_often_keys_pass_and_few_others(spark):
+    from tessella.llm import sieve
+
+    rng = np.random.default_rng(3)
+    often, rare = rng.integers(1, 2**63, 300).astype(np.uint64), rng.integers(1, 2**63, 5000).astype(np.uint64)
+    parts = np.array_split(rng.permutation(np.concatenate([np.repeat(often, 12), rare])), 7)
+    rows = [b for part in parts for batch in sieve.slotted(iter([part])) for b in batch.to_pylist()]
+    bits = sieve.slot_sieve(spark.createDataFrame(rows, "part int, low binary, high binary, counts binary"), 12).value
+    assert sieve.passes(bits, often).all() and sieve.passes(bits, rare).sum() < 5
+    counts = [r for part in parts for batch in sieve.counted(iter([np.unique(part, return_counts=True)])) for r in batch.to_pylist()]
+    kept = sieve.often(spark.createDataFrame(counts, "k long, c long"), 12)
+    assert {np.uint64(r["k"] % 2**64) for r in kept.collect()} == set(often)
+    bits = sieve.sieve(kept).value
+    assert sieve.passes(bits, often).all() and not sieve.passes(bits, rare).any()
