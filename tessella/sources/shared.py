@@ -35,6 +35,13 @@ def written(df: DataFrame, name: str, *done: DataFrame) -> DataFrame:
     return back
 
 
+def kept_until_end(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, whose contents are deleted when the application ends."""
+    path = f"{shared_dir(spark)}/tessella/{name}-{uuid.uuid4().hex}"
+    _made[path] = spark
+    return path
+
+
 def dropped(*tables: DataFrame) -> None:
     """Delete tables of `written` that no frame still to be computed reads; frames that it didn't make stay as they are."""
     for table in tables:
