@@ -33,6 +33,8 @@ from tessella.llm.textblock import BASE, LOWER, Block, blocks, mix, spans_hash
 MAX_WORDS, LEAST, FIRST = 5, 100, 2000
 #: Words with a code of two bytes.
 CODES = 0xFFFF
+#: Pairs pass the sieve from this part of the least count on: what is sent grows more evenly with the corpus than if pairs came in at the least count itself.
+PAIR_PART = 4
 #: Suffixes that a task holds before it sends them on.
 FLUSH = 1 << 20
 
@@ -269,7 +271,7 @@ def collocations(docs: DataFrame, max_words: int = MAX_WORDS, least: int = LEAST
     # At most 65,535 keys of eight bytes.
     common = [r["k"] for r in counts.orderBy(F.col("c").desc(), "k").limit(CODES).select("k").collect()]
     codes = own.sparkSession.sparkContext.broadcast(np.sort(np.array(common, np.int64).view(np.uint64)))
-    found = written(prefix_counts(own, bits, slot_sieve(pair_slots(own, bits, keying), least), codes, max_words, least, keying), "phrases")
+    found = written(prefix_counts(own, bits, slot_sieve(pair_slots(own, bits, keying), max(1, least // PAIR_PART)), codes, max_words, least, keying), "phrases")
     used = written(found.select(F.explode(F.expr("transform(sequence(0, cast(length(phrase) / 8 as int) - 1), o -> substring(phrase, 8 * o + 1, 8))")).alias("one")).distinct().select(F.conv(F.hex("one"), 16, -10).cast("long").alias("k")), "used")
     vocabulary = written(_vocabulary(own, sieve(used), keying).join(used, "k", "left_semi"), "vocabulary", used)
     if not vocabulary.groupBy("k").agg(F.count(F.lit(1)).alias("words")).where("words > 1").isEmpty():
