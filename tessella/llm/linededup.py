@@ -32,8 +32,8 @@ from tessella.llm.stage import written
 from tessella.llm.textblock import BASE, LOWER, SPACE, Block, blocks, mix, spans_hash
 
 LEAST_CHARS, LEAST_DOCS = 40, 5
-#: Keys of a shard, about.
-SHARD_KEYS = 1 << 17
+#: Keys of a shard, about; many more lines than that ask it.
+SHARD_KEYS = 1 << 13
 #: Bits that a level has for each key that it gets.
 ROOM = 1.5
 #: Pairs of a line and a document that a task holds before it sends them on.
