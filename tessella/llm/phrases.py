@@ -34,7 +34,7 @@ MAX_WORDS, LEAST, FIRST = 5, 100, 2000
 #: Words with a code of two bytes.
 CODES = 0xFFFF
 #: Pairs pass the sieve from this part of the least count on: what is sent grows more evenly with the corpus than if pairs came in at the least count itself.
-PAIR_PART = 4
+PAIR_PART = 10
 #: Suffixes that a task holds before it sends them on.
 FLUSH = 1 << 20
 
