@@ -34,6 +34,8 @@ DOUBT = 8
 
 #: Elements whose content is never text.
 RAW = frozenset("script style noscript template iframe svg math canvas object audio video head select datalist textarea button".split())
+#: Those of them that take all up to the end of the page if they have no end.
+ENDLESS = frozenset("script style textarea iframe".split())
 #: Elements that are never main text.
 ASIDE = frozenset("nav aside footer header form menu dialog fieldset label".split())
 #: Elements that begin and end a block.
@@ -51,7 +53,8 @@ HINTS = frozenset(
 TALK = frozenset("comment comments reply replies respond disqus discussion".split())
 
 _TOKEN = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*+)(?:>|\Z)|<""",
+    # Quotes hold a > only right after a =, and only if they end.
+    r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')|=)*+)(?:>|\Z)|<""",
     re.S,
 )
 _NAMED = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -109,20 +112,22 @@ def page_lines(page: str) -> list[Line]:
         if m.start() > at:
             add(page[at : m.start()])
         at = m.end()
-        name = m[2] or m[5]
+        name = m[2]
         if name is None:
             if m[0] == "<":
                 add("<")
             continue
         name = name.lower()
-        attrs = m[3] if m[2] else m[6]
-        if not (m[1] or m[4]):
+        attrs = m[3]
+        if not m[1]:
             if name in RAW and not attrs.endswith("/"):
-                close()
+                if name == "head":
+                    close()
                 stop = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
                 if stop is None and name == "head":
                     stop = re.compile(r"(?=<body\b)", re.I).search(page, at)
-                at = end if stop is None else stop.end()
+                if stop is not None or name in ENDLESS or name == "head":
+                    at = end if stop is None else stop.end()
                 continue
             if name == "a":
                 links += 1

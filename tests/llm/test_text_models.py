@@ -80,6 +80,21 @@ def test_the_window_decides():
     assert html.main_text(f"{menu}<p>{long}</p><p><a href=y>Source</a></p><p>{long}</p>{menu}") == f"{long.strip()}\n\nSource\n\n{long.strip()}"
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<article><p>Before it, long enough.</p><svg><p>After one, long enough, too.</p><p>And a third one.</p></article>", "Before it, long enough.\n\nAfter one, long enough, too.\n\nAnd a third one."),
+        ("<article><p>Before it, long enough.</p><button><p>After one, long enough, too.</p></article>", "Before it, long enough.\n\nAfter one, long enough, too."),
+        ("<article><p>x <math>a</math> z</p><p>He wrote <textarea>x</textarea>.</p><p>one<script>x</script> two</p></article>", "x z\n\nHe wrote .\n\none two"),
+        ("<article><p data-x=it's>First paragraph stays.</p><p>It's the second.</p></article>", "First paragraph stays.\n\nIt's the second."),
+        ("<article><p title='a > b' class = \"c > d\">Quotes hold a sign.</p></article>", "Quotes hold a sign."),
+        ("<article><p>Before it.</p><style>p { <p>gone</p>", "Before it."),
+    ],
+)
+def test_open_and_inline_elements_and_stray_quotes(page, text):
+    assert html.main_text(page) == text
+
+
 def test_stray_end_tags_take_constant_time():
     import time
 
