@@ -21,6 +21,11 @@ _GRADIENT = " + ".join(f"coalesce((n{k}.value - n{k + 1}.value) / 2.0, 0) ** 2"
 _SIX = f"{_V}, f as (select a.label, a.value, {_FACES} as faces, {_TOUCH} as touching, sqrt({_GRADIENT}) as g from v a {_JOINS} where a.label <> 0)"
 
 
+@register("x15_fragmentation", f"{_LINES} select line, round(case when euclid > 0 then length / euclid end, 5) as fragmentation, round(to_parent, 6) as to_parent from u")
+def _(spark, d):
+    return traces.line_table(tree(spark, d)).select("line", F.round("tortuosity", 5).alias("fragmentation"), F.round("to_parent", 6).alias("to_parent"))
+
+
 @register("f18_line_table", f"{_LINES} select line, size, round(length, 5) as length, round(euclid, 5) as euclid, round(density, 6) as density, round(to_parent, 6) as to_parent, leaf from u")
 def _(spark, d):
     t = traces.line_table(tree(spark, d))
