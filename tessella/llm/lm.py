@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from tessella.llm import suffixtree
 from tessella.llm.langid import fold
 from tessella.llm.stage import written
 from tessella.llm.textblock import LOWER, Block, blocks, mix, spans_hash
@@ -41,10 +42,8 @@ KNOWN_SHARE = 2e-6  # words whose counts reach every task
 SYMBOL_SHARE = 2e-5  # at most 50,000 symbols, so that one fits two bytes
 CONTEXT_SHARE = 2e-4
 ENTRY_SHARE = 5e-7
-LEAST_COUNT = 3
 DEPTH = 4
-STRENGTH = 20.0  # weight of the suffix's distribution, in tokens
-SIGNIFICANCE = 3.0
+LEAST_COUNT, STRENGTH, SIGNIFICANCE = suffixtree.LEAST_COUNT, suffixtree.STRENGTH, suffixtree.SIGNIFICANCE
 
 
 class HashIndex:
@@ -189,15 +188,20 @@ def entry_key(state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
     return mix((state.astype(np.uint64) << np.uint64(32)) | symbol.astype(np.uint64))
 
 
-def count_words(training: DataFrame) -> tuple[Model, DataFrame]:
-    """The root of the model of a table of texts (one column), and the table of all words' counts."""
+def word_counts(training: DataFrame) -> tuple[DataFrame, int, int]:
+    """The table of all words' counts (w, c) of a table of texts (one column), their sum and the number of words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _totals(tokens(block)[0] for batch in batches for block in blocks(batch.column(0)))
 
     words = written(training.mapInArrow(run, "w long, c long").groupBy("w").agg(F.sum("c").alias("c")), "words")
     sums = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
-    n, v = sums["n"], sums["v"]
+    return words, sums["n"], sums["v"]
+
+
+def count_words(training: DataFrame) -> tuple[Model, DataFrame]:
+    """The root of the bounded model of a table of texts (one column), and the table of all words' counts."""
+    words, n, v = word_counts(training)
     # At most 1 / KNOWN_SHARE words.
     top = words.where(F.col("c") >= max(n * KNOWN_SHARE, LEAST_COUNT)).toArrow().to_pandas().sort_values(["c", "w"], ascending=[False, True])
     count = top["c"].to_numpy(np.int64)
@@ -324,7 +328,15 @@ def gain_batches(model: Model, batches: Iterator[pa.RecordBatch]) -> Iterator[pa
 
 
 def score(docs: DataFrame, folds: int = 5, held: int = 1, depth: int = DEPTH) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score, one row per input row."""
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score, one row per input row, by the whole tree."""
+    own = docs.select("doc_id", (fold(F.col("doc_id"), folds) == held).alias("held_out"), F.col("text").cast("string").alias("_text"))
+    words, n, v = word_counts(own.where(~F.col("held_out")).select("_text"))
+    told = suffixtree.score(own, words, n, v, tokens, depth)
+    return told.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
+
+
+def bounded_score(docs: DataFrame, folds: int = 5, held: int = 1, depth: int = DEPTH) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score, one row per input row, by the tree that fits a task."""
     spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
     own = docs.select("doc_id", (fold(F.col("doc_id"), folds) == held).alias("held_out"), F.col("text").cast("string").alias("_text"))

@@ -274,6 +274,30 @@ def test_model_is_a_distribution(docs_of):
         assert model.probabilities(symbol, text)[1::2].sum() == pytest.approx(1)
 
 
+def test_rare_contexts_are_states_at_any_size(docs_of, monkeypatch):
+    rng = random.Random(8)
+    vocabulary = [f"v{k}" for k in range(900)]
+    rows = [(k, " ".join(rng.choice(vocabulary) for _ in range(100))) for k in range(1000)]
+    # Phrases seen 12 times or more, far below the least share of a context among 100,000 tokens.
+    rows += [(2000 + k, f"{' '.join(rng.choice(vocabulary) for _ in range(20))} deep{k % 4} sea v{k % 4} diving{k % 4}") for k in range(80)]
+    monkeypatch.setattr(lm.suffixtree, "BATCH", 20_000)
+    monkeypatch.setattr(lm.suffixtree, "BUCKET", 10_000)
+    got = lm.score(docs_of(rows, extra=True)).collect()
+    n = got[0]["train_tokens"]
+    assert n * lm.CONTEXT_SHARE > 16
+    for share in ("SYMBOL_SHARE", "CONTEXT_SHARE", "ENTRY_SHARE"):
+        monkeypatch.setattr(lm, share, 0)
+    expected, states = brute_scores(rows)
+    assert {len(c) for c in states} >= {0, 1, 2} and ("deep1", "sea") in states
+    assert {r["doc_id"]: r["score"] for r in got} == pytest.approx({d: x for (d, _), x in zip(rows, expected, strict=True)})
+
+
+def test_bounded_tree_of_a_small_corpus_is_the_whole_tree(docs_of):
+    docs = docs_of(lm_rows())
+    told = [{r["doc_id"]: r["score"] for r in made(docs).collect()} for made in (lm.score, lm.bounded_score)]
+    assert told[0] == pytest.approx(told[1])
+
+
 def test_lm_of_empty_table(docs_of):
     assert lm.score(docs_of([])).collect() == []
 
