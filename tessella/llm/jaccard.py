@@ -29,8 +29,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tessella.llm.stage import dropped, written
-from tessella.llm.textblock import LOWER, Block, blocks, mix, slices, spans_hash, window_hash
+from tessella.llm.stage import dropped, few_rows, written
+from tessella.llm.textblock import LOWER, Block, blocks, gathered, mix, spans_hash, window_hash
 
 WIDTH = 5
 PERCENT = 75
@@ -110,7 +110,7 @@ def sets_with_company(keyed: DataFrame, width: int, percent: int) -> DataFrame:
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
-        for batch in (part for whole in batches for part in slices(whole, 2, BATCH_BYTES)):
+        for batch in gathered(batches, 2, BATCH_BYTES):
             found, sizes = [np.zeros(0, np.uint64)], []
             for block in blocks(batch.column(2)):
                 elements, bounds = shingles(block, width)
@@ -277,6 +277,7 @@ def components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, roun
     `comp` tells components apart, which null and shared doc_ids don't: the number of the component, or the digest of
     a set that links with no other; null for texts without words.
     """
+    few_rows(docs.sparkSession)
     keyed = _keyed(docs)
     told = written(sets_with_company(keyed, width, percent), "company")
     spare = F.floor((100 - percent) * F.col("n") / 100)

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tessella.llm.stage import written
+from tessella.llm.stage import few_rows, written
 from tessella.llm.textblock import SPACE, Block, blocks, counts_by_text, mix, spans_hash, window_hash
 
 #: Fixed values of the contract.
@@ -154,6 +154,7 @@ def _failures() -> list[Column]:
 
 def accepted(docs: DataFrame, max_rate: float = 0.5, z: float = 1.645) -> DataFrame:
     """The input's rows that `judge` keeps, with the input's columns; texts are not shuffled."""
+    few_rows(docs.sparkSession)
     stats = text_stats(docs.select(F.col("source").alias("_host"), F.col("text").alias("_told")), "_told", "_host")
     hosts = written(host_verdicts(stats.select("_host", *_failures()), "_host", list(RULES), max_rate, z).where("host_bad").select("host"), "hosts")
     # One struct carries the row, so that no name of a column meets those used here.

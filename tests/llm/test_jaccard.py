@@ -82,3 +82,16 @@ def test_deduplicate_tells_components_apart_without_ids(docs_of):
     assert sum(kept[x] for x in (a, a + " x")) == sum(kept[x] for x in (b, b + " y")) == 1
     assert [kept[x] for x in (c, d, e, f)] == [1] * 4 and sum(kept.values()) == 6
     assert {r["component_id"] for r in jaccard.join(docs_of(rows)).collect()} == {None, 7}
+
+
+def test_gathered_batches_hold_all_rows_in_order_within_the_limit():
+    import pyarrow as pa
+
+    from tessella.llm.textblock import gathered
+
+    texts = ["x" * (k % 40) if k % 9 else None for k in range(500)] + ["y" * 300]
+    parts = pa.Table.from_pydict({"n": list(range(501)), "t": texts}).to_batches(max_chunksize=7)
+    got = list(gathered(iter(parts), 1, 200))
+    assert [n for b in got for n in b["n"].to_pylist()] == list(range(501)) and [t for b in got for t in b["t"].to_pylist()] == texts
+    assert len(got) < len(parts) and all(sum(len(t or "") for t in b["t"].to_pylist()) <= 240 for b in got[:-1])
+    assert list(gathered(iter([]), 1, 200)) == []

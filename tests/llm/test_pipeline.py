@@ -53,3 +53,28 @@ def test_stages_keep_clashing_columns_and_cut_passages_of_fifty_words(spark, doc
 def test_pipeline_of_no_documents(spark, docs_of, tmp_path):
     docs_of([]).write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_texts_meet_python_in_small_batches(spark, docs_of, monkeypatch):
+    from tessella.llm import quality, stage
+
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    monkeypatch.setattr(stage, "ROWS", 7)
+    real, sizes = quality.blocks, spark.sparkContext.accumulator(0)
+
+    def counted(column, *how):
+        if len(column) > 7:
+            sizes.add(1)
+        return real(column, *how)
+
+    monkeypatch.setattr(quality, "blocks", counted)
+    try:
+        docs = docs_of([(k, "a few words " * 5 + f"{k}", "en", "s") for k in range(100)]).coalesce(1)
+        quality.accepted(docs).collect()
+        assert sizes.value == 0
+        spark.conf.set(name, "3")
+        quality.accepted(docs).collect()
+        assert spark.conf.get(name) == "3"
+    finally:
+        spark.conf.set(name, before)
