@@ -83,7 +83,7 @@ def slotted(arrays: Iterator[np.ndarray]) -> Iterator[pa.RecordBatch]:
     size = 0
 
     def flush() -> pa.RecordBatch:
-        at, count = np.unique(slots(np.concatenate(held)), return_counts=True)
+        at, count = np.unique(np.concatenate(held), return_counts=True)
         part, within = at // PART, (at % PART).astype(np.uint16)
         first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
         bounds = np.append(first, len(at)).astype(np.int32)
@@ -95,7 +95,7 @@ def slotted(arrays: Iterator[np.ndarray]) -> Iterator[pa.RecordBatch]:
 
     for keys in arrays:
         if len(keys):
-            held.append(keys)
+            held.append(slots(keys).astype(np.int32))
             size += len(keys)
         if size > FLUSH:
             yield flush()

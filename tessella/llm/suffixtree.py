@@ -26,7 +26,7 @@ from tessella.llm.sieve import passes, sieve, slot_sieve, slotted
 from tessella.llm.stage import written
 from tessella.llm.textblock import blocks, mix
 
-BATCH = 1 << 21
+BATCH = 1 << 20
 #: Tokens of the table for each bucket in which questions meet answers, about.
 BUCKET = 1_000_000
 LEAST_COUNT = 3
@@ -42,11 +42,26 @@ class Batch:
     doc_id: pa.Array
     held: np.ndarray
     text: np.ndarray  # of each token
-    token: np.ndarray  # hashes
+    words: np.ndarray  # hashes of the different ones
+    place: np.ndarray  # of each token among these
+
+    @property
+    def token(self) -> np.ndarray:
+        return self.words[self.place]
 
     def training(self) -> tuple[np.ndarray, np.ndarray]:
         own = ~self.held[self.text]
-        return self.token[own], self.text[own]
+        return self.words[self.place[own]], self.text[own]
+
+    def runs_in_tree(self, known: np.ndarray, depth: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For runs of 2 words and more, the places where one ends that may be in the tree, and its keys."""
+        keys, at = self.token, np.arange(1, len(self.place))
+        for k in range(1, depth + 1):
+            keys = longer(keys)
+            at = at[at >= k]
+            at = at[self.text[at] == self.text[at - k]]
+            at = at[passes(known, keys[at])]  # a run in the tree is there without its first word, too
+            yield at, keys[at]
 
 
 def batched(own: DataFrame, tokens) -> DataFrame:
@@ -84,10 +99,10 @@ def batched(own: DataFrame, tokens) -> DataFrame:
 
 def opened(table: pa.RecordBatch | pa.Table) -> Iterator[Batch]:
     for k in range(table.num_rows):
-        low, high = (np.frombuffer(table[c][k].as_py(), "<u2").astype(np.int64) for c in ("low", "high"))
-        token = np.frombuffer(table["words"][k].as_py(), np.uint64)[low | (high << 16)]
+        low, high = (np.frombuffer(table[c][k].as_py(), "<u2").astype(np.int32) for c in ("low", "high"))
+        words = np.frombuffer(table["words"][k].as_py(), np.uint64)
         size = table["size"][k].values.to_numpy()
-        yield Batch(table["batch"][k].as_py(), table["doc_id"][k].values, table["held"][k].values.to_numpy(zero_copy_only=False), np.repeat(np.arange(len(size)), size), token)
+        yield Batch(table["batch"][k].as_py(), table["doc_id"][k].values, table["held"][k].values.to_numpy(zero_copy_only=False), np.repeat(np.arange(len(size), dtype=np.int32), size), words, low | (high << 16))
 
 
 def joined(before: np.ndarray, after: np.ndarray) -> np.ndarray:
@@ -190,38 +205,43 @@ def grow(stored: DataFrame, words: DataFrame, n: int, v: int, depth: int) -> Dat
     return written(tree.groupBy("key").agg(F.max("c").alias("c"), F.max("total").alias("total"), F.max("dropped").alias("dropped")), "tree")
 
 
+def distinct(keys: np.ndarray) -> np.ndarray:
+    """Different keys, sorted."""
+    keys = np.sort(keys)
+    return keys[np.concatenate([[True], keys[1:] != keys[:-1]])] if len(keys) else keys
+
+
 def questions(batch: Batch, known: np.ndarray, depth: int) -> np.ndarray:
     """Sorted keys of all words of a batch, and of the runs that may be in the tree."""
-    keys, at = batch.token, np.arange(1, len(batch.token))
-    asked = [np.unique(keys)]
-    for k in range(1, depth + 1):
-        keys = longer(keys)
-        at = at[at >= k]
-        at = at[batch.text[at] == batch.text[at - k]]
-        at = at[passes(known, keys[at])]  # what follows a state's suffix, or is one, is in the tree without its first word
-        asked.append(np.unique(keys[at]))
-    return np.unique(np.concatenate(asked))
+    return distinct(np.concatenate([batch.words, *(distinct(keys) for _, keys in batch.runs_in_tree(known, depth))]))
 
 
-def _bytes(x: np.ndarray, kind: str) -> bytes:
-    """Numbers byte by byte, the lowest of all first, so that those of small numbers compress."""
-    return x.astype(kind).view(np.uint8).reshape(len(x), -1).T.tobytes()
+def _bytes(x: np.ndarray) -> bytes:
+    """Numbers byte by byte, the lowest of all first, and as many as the largest needs."""
+    width = max(1, (int(x.max(initial=0)).bit_length() + 7) // 8)
+    return x.astype("<u8").view(np.uint8).reshape(-1, 8).T[:width].tobytes()
 
 
-def _numbers(raw: bytes, kind: str) -> np.ndarray:
-    width = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(width, -1).T).view(kind).reshape(-1).astype(np.int64)
+def _numbers(raw: bytes, many: int) -> np.ndarray:
+    out = np.zeros((8, many), np.uint8)
+    planes = np.frombuffer(raw, np.uint8).reshape(-1, many)
+    out[: len(planes)] = planes
+    return np.ascontiguousarray(out.T).view("<i8").reshape(-1)
+
+
+def edges(asked: np.ndarray, bits: int) -> np.ndarray:
+    """Where each bucket of sorted keys begins; one more at the end."""
+    return np.searchsorted(asked >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
 
 
 def answered(stored: DataFrame, tree: DataFrame, known: Broadcast, bits: int, depth: int) -> DataFrame:
     """batch, bucket and, for each of the batch's questions in that bucket, in order, c, total and dropped; 0 for what is not in the tree."""
-    low = np.uint64(64 - bits)
 
     def ask(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             for batch in opened(part):
                 asked = questions(batch, known.value, depth)
-                edge = np.searchsorted(asked >> low, np.arange((1 << bits) + 1, dtype=np.uint64))
+                edge = edges(asked, bits)
                 used = np.flatnonzero(np.diff(edge) > 0)
                 raw = [asked[edge[b] : edge[b + 1]].tobytes() for b in used.tolist()]
                 yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(np.full(len(used), batch.number)), pa.array(raw, pa.binary())], names=["bucket", "batch", "asked"])
@@ -237,7 +257,7 @@ def answered(stored: DataFrame, tree: DataFrame, known: Broadcast, bits: int, de
             place = np.minimum(np.searchsorted(keys, asked), max(len(keys) - 1, 0))
             hit = keys[place] == asked if len(keys) else np.zeros(len(asked), bool)
             for c, x in values.items():
-                out[c].append(_bytes(np.where(hit, x[place], 0) if len(x) else np.zeros(len(asked)), "<u8"))
+                out[c].append(_bytes(np.where(hit, x[place], 0) if len(x) else np.zeros(len(asked), np.int64)))
         return pa.table({"batch": asks["batch"], "bucket": asks["bucket"]} | {c: pa.array(x, pa.binary()) for c, x in out.items()})
 
     columns = ["batch", "doc_id", "held", "size", "words", "low", "high"]
@@ -256,26 +276,28 @@ def scores(stored: DataFrame, tree: DataFrame, n: int, v: int, tokens: int, dept
     def solve(own: pa.Table, told: pa.Table) -> pa.Table:
         batch = next(opened(own))
         asked = questions(batch, known.value, depth)
-        turn = np.argsort(told["bucket"].to_numpy())
-        c, total, left = (np.concatenate([_numbers(raw, "<u8") for raw in told[name].take(pa.array(turn)).to_pylist()]) for name in ("c", "total", "dropped"))
-
-        def find(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            place = np.minimum(np.searchsorted(asked, keys), len(asked) - 1)
-            return place, asked[place] == keys
-
-        count = c[find(batch.token)[0]]
+        turn = pa.array(np.argsort(told["bucket"].to_numpy()))
+        many = np.diff(edges(asked, bits))
+        many = many[many > 0].tolist()
+        c, total, left = (np.concatenate([_numbers(raw, k) for raw, k in zip(told[name].take(turn).to_pylist(), many, strict=True)]) for name in ("c", "total", "dropped"))
+        place = np.searchsorted(asked, batch.words)[batch.place]
+        count = c[place]
         p = (count + 0.5) / (n + 0.5 * (v + 1))
         base = np.log10(p)
-        keys, at = batch.token, np.arange(1, len(batch.token))
-        for k in range(1, depth + 1):
-            at = at[at >= k]
-            at = at[batch.text[at] == batch.text[at - k]]
-            place, hit = find(keys[at - 1])
-            state = hit & (total[place] > 0)
-            at, place = at[state], place[state]
-            keys = longer(keys)
-            entry, hit = find(keys[at])
-            p[at] = (np.where(hit, c[entry], 0) + (left[place] + STRENGTH) * p[at]) / (total[place] + STRENGTH)
+        last = np.arange(len(place))
+        for k, (at, keys) in enumerate(batch.runs_in_tree(known.value, depth), 1):
+            # `place` and `last`: where runs of k words that may be in the tree have their answers, and where they end.
+            state = total[place] > 0
+            ended, place = last[state] + 1, place[state]
+            inside = ended < len(p)
+            ended, place = ended[inside], place[inside]
+            inside = batch.text[ended] == batch.text[ended - k]
+            ended, place = ended[inside], place[inside]
+            entry = np.searchsorted(asked, keys)
+            seen = np.zeros(len(p), np.int64)
+            seen[at] = c[entry]
+            p[ended] = (seen[ended] + (left[place] + STRENGTH) * p[ended]) / (total[place] + STRENGTH)
+            last, place = at, entry
         many = len(batch.doc_id)
         sums = lambda x: pa.array(np.bincount(batch.text, x, many))
         whole = lambda x: pa.array(np.bincount(batch.text[x], minlength=many).astype(np.int64))
