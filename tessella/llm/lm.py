@@ -1,5 +1,8 @@
 """Language-model scores by a probabilistic suffix tree over words (operator 7).
 
+`score` uses the whole tree, in distributed tables (`suffixtree`): all words are symbols, and every context counts.
+The rest of this text is about `bounded_score`, whose tree fits every task.
+
 Symbols are the words that make up at least `SYMBOL_SHARE` of the training tokens, and one class for all others. As
 usual for such trees, a context - a run of up to `depth` symbols of which none is the class - is a candidate if its
 probability is at least `CONTEXT_SHARE`. It becomes a state if its suffix is one and its next-symbol distribution
