@@ -334,8 +334,7 @@ def score(docs: DataFrame, folds: int = 5, held: int = 1, depth: int = DEPTH) ->
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score, one row per input row, by the whole tree."""
     few_rows(docs.sparkSession)
     own = docs.select("doc_id", (fold(F.col("doc_id"), folds) == held).alias("held_out"), F.col("text").cast("string").alias("_text"))
-    words, n, v = word_counts(own.where(~F.col("held_out")).select("_text"))
-    told = suffixtree.score(own, words, n, v, tokens, depth)
+    told, n = suffixtree.score(own, tokens, depth)
     return told.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
 
 

@@ -11,9 +11,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F
 
+from tessella.llm.stage import dropped, settled
 from tessella.llm.textblock import mix
 
 SLOTS = 1 << 26
@@ -57,8 +59,8 @@ def often(counts: DataFrame, least: int) -> DataFrame:
     return counts.groupBy("k").agg(F.sum("c").alias("c")).where(F.col("c") >= least)
 
 
-def sieve(keys: DataFrame) -> Broadcast:
-    """The bitmap of the keys in column k."""
+def sieve(keys: DataFrame, free: bool = False) -> Broadcast:
+    """The bitmap of the keys in column k; with `free`, its pieces are written first, so that their shuffles are deleted."""
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -71,9 +73,11 @@ def sieve(keys: DataFrame) -> Broadcast:
         return pa.table({"piece": table["piece"].slice(0, 1), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
 
     made = keys.select("k").mapInArrow(placed, "piece int, bit int").distinct().groupBy("piece").applyInArrow(pieces, "piece int, bits binary")
+    made = settled(made, "bits") if free else made
     whole = np.zeros(SLOTS // 8, np.uint8)
     for row in made.toLocalIterator():  # at most SLOTS / PIECE rows of PIECE / 8 bytes
         whole[row["piece"] * PIECE // 8 : (row["piece"] + 1) * PIECE // 8] = np.frombuffer(row["bits"], np.uint8)
+    dropped(made)
     return keys.sparkSession.sparkContext.broadcast(whole)
 
 
@@ -104,29 +108,44 @@ def slotted(arrays: Iterator[np.ndarray]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
-def slot_sieve(rows: DataFrame, least: int) -> Broadcast:
-    """The bitmap of the slots of `slotted` whose counts sum to `least` or more: all keys that occur so often pass. A task sums one part at a time, whatever the input."""
+def slot_sieve(rows: DataFrame, least: int, free: bool = False) -> Broadcast:
+    """The bitmap of the slots of `slotted` whose counts sum to `least` or more: all keys that occur so often pass. A task sums one part at a time, whatever the input. `free` as in `sieve`."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, sums = -1, np.zeros(PART, np.int64)
-
-        def closed() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([np.packbits(sums >= least, bitorder="little").tobytes()], pa.binary())], names=["part", "bits"])
+    def closed(part: int, sums: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([np.packbits(sums >= least, bitorder="little").tobytes()], pa.binary())], names=["part", "bits"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, sums = -1, np.zeros(PART)
         for batch in batches:
-            for row in batch.to_pylist():
-                if row["part"] != part:
-                    if part >= 0:
-                        yield closed()
-                    part, sums = row["part"], np.zeros(PART, np.int64)
-                gaps = np.frombuffer(row["low"], np.uint8).astype(np.int64) + (np.frombuffer(row["high"], np.uint8).astype(np.int64) << 8)
-                sums[np.cumsum(gaps)] += np.frombuffer(row["counts"], np.uint32)
+            if not batch.num_rows:
+                continue
+            parts = batch.column("part").to_numpy()
+            low, high, counts = (np.frombuffer(b"".join(batch.column(c).to_pylist()), kind) for c, kind in (("low", np.uint8), ("high", np.uint8), ("counts", np.uint32)))
+            gaps = low.astype(np.int64) + (high.astype(np.int64) << 8)
+            long = pc.binary_length(batch.column("low")).to_numpy().astype(np.int64)
+            first = np.concatenate([[True], parts[1:] != parts[:-1]])
+            # Where each slot lies among the slots of all parts of the batch.
+            ends = np.cumsum(gaps)
+            begin = np.cumsum(long) - long
+            at = ends + np.repeat((np.cumsum(first) - 1) * PART - ends[begin] + gaps[begin], long)
+            total = np.bincount(at, counts, minlength=int(first.sum()) * PART).reshape(-1, PART)
+            names = parts[first].tolist()
+            if names[0] == part:
+                total[0] += sums
+            elif part >= 0:
+                yield closed(part, sums)
+            for k in range(len(names) - 1):
+                yield closed(names[k], total[k])
+            part, sums = names[-1], total[-1]
         if part >= 0:
-            yield closed()
+            yield closed(part, sums)
 
+    made = rows.repartition("part").sortWithinPartitions("part").mapInArrow(run, "part int, bits binary")
+    made = settled(made, "bits") if free else made
     whole = np.zeros(SLOTS // 8, np.uint8)
-    for row in rows.repartition("part").sortWithinPartitions("part").mapInArrow(run, "part int, bits binary").toLocalIterator():  # at most SLOTS / PART rows of PART / 8 bytes
+    for row in made.toLocalIterator():  # at most SLOTS / PART rows of PART / 8 bytes
         whole[row["part"] * PART // 8 : (row["part"] + 1) * PART // 8] = np.frombuffer(row["bits"], np.uint8)
+    dropped(made)
     return rows.sparkSession.sparkContext.broadcast(whole)
 
 

@@ -1,5 +1,6 @@
 import math
 import random
+import time
 import zlib
 from collections import Counter
 
@@ -292,6 +293,30 @@ def test_rare_contexts_are_states_at_any_size(docs_of, monkeypatch):
     assert {r["doc_id"]: r["score"] for r in got} == pytest.approx({d: x for (d, _), x in zip(rows, expected, strict=True)})
 
 
+@pytest.mark.parametrize("head", [0, 40])
+def test_scores_do_not_depend_on_what_reaches_every_task(docs_of, monkeypatch, head):
+    docs = docs_of(lm_rows())
+    told = [{r["doc_id"]: r["score"] for r in lm.score(docs).collect()}]
+    monkeypatch.setattr(lm.suffixtree, "HEAD", head)
+    told.append({r["doc_id"]: r["score"] for r in lm.score(docs).collect()})
+    assert told[0] == told[1]
+
+
+def test_shuffles_go_when_a_table_of_the_tree_is_written(docs_of, monkeypatch):
+    docs = docs_of(lm_rows())
+    files = docs.sparkSession.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffles = lambda: sum(files.getAllFiles().apply(k).getName().startswith("shuffle_") for k in range(files.getAllFiles().size()))
+    before, setting = shuffles(), docs.sparkSession.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled")
+    lm.score(docs)
+    # A few of jobs that write no table; deletions take a moment.
+    for _ in range(50):
+        if shuffles() <= before + 40:
+            break
+        time.sleep(0.2)
+    assert shuffles() <= before + 40
+    assert docs.sparkSession.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == setting
+
+
 def test_bounded_tree_of_a_small_corpus_is_the_whole_tree(docs_of):
     docs = docs_of(lm_rows())
     told = [{r["doc_id"]: r["score"] for r in made(docs).collect()} for made in (lm.score, lm.bounded_score)]
