@@ -302,19 +302,23 @@ def test_scores_do_not_depend_on_what_reaches_every_task(docs_of, monkeypatch, h
     assert told[0] == told[1]
 
 
-def test_shuffles_go_when_a_table_of_the_tree_is_written(docs_of, monkeypatch):
+def test_shuffles_go_when_a_table_of_the_tree_is_written(docs_of):
     docs = docs_of(lm_rows())
-    files = docs.sparkSession.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
-    shuffles = lambda: sum(files.getAllFiles().apply(k).getName().startswith("shuffle_") for k in range(files.getAllFiles().size()))
-    before, setting = shuffles(), docs.sparkSession.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled")
-    lm.score(docs)
-    # A few of jobs that write no table; deletions take a moment.
-    for _ in range(50):
-        if shuffles() <= before + 40:
+    spark, setting = docs.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffles():
+        found = files.getAllFiles()
+        return {name for k in range(found.size()) if (name := found.apply(k).getName()).startswith("shuffle_")}
+
+    before, now = shuffles(), spark.conf.get(setting)
+    table = lm.suffixtree.settled(docs.repartition(3, "doc_id"), "tree")
+    for _ in range(50):  # deletions take a moment
+        if shuffles() <= before:
             break
         time.sleep(0.2)
-    assert shuffles() <= before + 40
-    assert docs.sparkSession.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == setting
+    assert shuffles() <= before and spark.conf.get(setting) == now
+    assert table.count() == docs.count()
 
 
 def test_bounded_tree_of_a_small_corpus_is_the_whole_tree(docs_of):
