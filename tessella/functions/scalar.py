@@ -77,10 +77,34 @@ def normal(u: list[Column], v: list[Column]) -> list[Column]:
 
 
 def rall_power(parent: Column, first: Column, second: Column, tolerance: float = 0.001) -> Column:
-    """The smallest power among 0.001, 0.002 .. 5 at which the parent's equals the sum of the daughters' within the tolerance; -1 without one."""
-    tries = F.sequence(F.lit(1), F.lit(5000))
-    fits = F.filter(tries, lambda k: F.abs(F.pow(parent, k / 1000.0) - F.pow(first, k / 1000.0) - F.pow(second, k / 1000.0)) <= tolerance)
-    return F.when(F.size(fits) > 0, F.element_at(fits, 1) / 1000.0).otherwise(F.lit(-1.0))
+    """The smallest power among 0.001, 0.002 .. 5 at which the parent's equals the sum of the daughters' within the tolerance; -1 without one.
+
+    Powers are dropped in blocks of 500, 50 and 5 where the terms at a block's ends leave no room for a fit; only the others are tried.
+    """
+    bases, apart = (parent, first, second), lambda p, a, b: p - a - b
+
+    signed = (parent < 0) | (first < 0) | (second < 0)  # not monotonic
+
+    def may_fit(block: Column) -> Column:
+        """Whether a power of the block can fit: each term lies between those of the two ends."""
+        ends = [(block[f"low{n}"], block[f"high{n}"]) for n in range(3)]
+        least, most = ([f(*e) for e in ends] for f in (F.least, F.greatest))
+        slack = tolerance + 1e-12 * sum(most)
+        return ~((apart(least[0], *most[1:]) > slack) | (apart(most[0], *least[1:]) < -slack))
+
+    def blocks(of: Column, width: int, within: int) -> Column:
+        # Powers are fields, since an expression that stands twice in a function of an array is evaluated twice.
+        powers = lambda k: [F.pow(c, (k + d) / 1000.0).alias(f"{end}{n}") for n, c in enumerate(bases) for end, d in (("low", 0), ("high", width - 1))]
+        parts = F.flatten(F.transform(of, lambda k: F.sequence(k, k + (within - width), F.lit(width))))
+        told = F.transform(parts, lambda k: F.struct(k.alias("k"), *powers(k)))
+        return F.filter(told, lambda t: signed | may_fit(t)).getField("k")
+
+    fits = lambda k: F.abs(apart(*(F.pow(c, k / 1000.0) for c in bases))) <= tolerance
+    in_block = lambda k: F.get(F.filter(F.sequence(k, k + 4), fits), F.lit(0))
+    left = blocks(blocks(blocks(F.array(F.lit(1)), 500, 5000), 50, 500), 5, 50)
+    # Blocks are in order, and those after the first power that fits are not looked into.
+    power = F.aggregate(left, F.lit(None).cast("int"), lambda found, k: F.when(found.isNotNull(), found).otherwise(in_block(k)))
+    return F.coalesce(power / 1000.0, F.lit(-1.0))
 
 
 def pk(parent: Column, first: Column, second: Column, n: float) -> Column:

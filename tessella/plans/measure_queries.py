@@ -215,7 +215,8 @@ def _(spark, d):
 @register("x11_rall_power", "with g as (select p_partkey, 1 + p_size / 50.0::double as r from part), k as (select unnest(range(1, 5001)) as k), f as (select p_partkey, min(k) as k from g, k where abs(r ** (k / 1000.0::double) - 1 - 0.5::double ** (k / 1000.0::double)) <= 0.001 group by 1) select g.p_partkey, coalesce(k / 1000.0::double, -1.0::double) as power from g left join f on g.p_partkey = f.p_partkey")
 def _(spark, d):
     r = 1 + F.col("p_size") / 50
-    return table(spark, d, "part").select("p_partkey", scalar.rall_power(r, F.lit(1.0), F.lit(0.5)).cast("double").alias("power"))
+    # A small file is a task or two, but each row is much work.
+    return table(spark, d, "part").select("p_partkey", "p_size").repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))).select("p_partkey", scalar.rall_power(r, F.lit(1.0), F.lit(0.5)).cast("double").alias("power"))
 
 
 @register("c24_unmixed", "select vec_id as id, round(greatest(2 * embedding[1]::double - embedding[2]::double, 0), 6) as first, round(greatest(embedding[2]::double - embedding[1]::double, 0), 6) as second from embeddings")

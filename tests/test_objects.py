@@ -1,4 +1,5 @@
 import itertools
+import time
 
 import numpy as np
 import pytest
@@ -162,6 +163,21 @@ def test_scalars(spark):
     assert (row["n"], row["e"], row["w"], row["a"]) == (27, "tif", "/a.b/c.png", 180.0) and row["r"] == pytest.approx(1.0, abs=0.002)
 
 
+def test_rall_power_is_that_of_all_tries_and_takes_few(spark):
+    odd = [0.0, 0.5, 1.0, 2.0, -1.0, 1e200, float("inf"), float("nan"), None]
+    rng = np.random.default_rng(4)
+    rows = [(p, a, b) for p in odd for a in odd for b in odd] + [tuple(map(float, r)) for r in rng.uniform(0, 3, (50, 3))]
+    fits = F.filter(F.sequence(F.lit(1), F.lit(5000)), lambda k: F.abs(F.pow("p", k / 1000.0) - F.pow("a", k / 1000.0) - F.pow("b", k / 1000.0)) <= 0.001)
+    all_tries = F.when(F.size(fits) > 0, F.element_at(fits, 1) / 1000.0).otherwise(F.lit(-1.0))
+    power = scalar.rall_power(F.col("p"), F.col("a"), F.col("b"))
+    told = spark.createDataFrame(rows, "p double, a double, b double").select("p", "a", "b", all_tries.alias("want"), power.alias("got")).collect()
+    assert [r for r in told if r["want"] != r["got"]] == [] and sum(r["got"] > 0 for r in told) > 20
+    # With all tries, as many rows did not end in 100 s.
+    start = time.monotonic()
+    many = spark.range(0, 20000, 1, 1).select(scalar.rall_power(1 + F.rand(3), F.lit(1.0), F.lit(0.5)).alias("r")).agg(F.min("r")).first()[0]
+    assert many > 0 and time.monotonic() - start < 50
+
+
 def test_agglomeration_merges_the_closest_first(spark):
     df = spark.createDataFrame([(k, [v]) for k, v in enumerate([0.0, 1.0, 10.0, 10.5])], "id long, v array<double>")
     cells, mergers = learning.cell_mergers(df, 4, "single")
