@@ -1,4 +1,5 @@
 import random
+import time
 from collections import defaultdict, deque
 
 import numpy as np
@@ -197,3 +198,25 @@ def test_images_rules_and_traces_from_files(spark, tmp_path):
     assert tables.load_with_header(spark, f"{tmp_path}/h.txt", f"{tmp_path}/d.txt").columns == ["ID", "size"]
     (tmp_path / "t.xml").write_text('<Trace><TraceLine ID="1" Type="3" Parent="-1"><TraceBit ID="5" X="1" Y="2" Z="3"/><TraceBit ID="6" X="2" Y="2" Z="3"/></TraceLine></Trace>')
     assert [(r["line"], r["id"], r["x"]) for r in tables.load_trace_xml(spark, f"{tmp_path}/t.xml").orderBy("position").collect()] == [(1, 5, 1.0), (1, 6, 2.0)]
+
+
+def test_gaps_are_those_of_all_pairs_and_crowds_do_not_meet(spark):
+    rng, columns = np.random.default_rng(7), "line long, root long, x double, y double, z double, length double"
+    rows = [(k, k // 20, *map(float, rng.integers(0, 9, 2) / 10), 0.0, float(k % 4 + 1)) for k in range(200)]
+    rows += [(200 + k, k % 3, *map(float, rng.random(3)), float(k % 5 + 1)) for k in range(200)]
+    cost = {}
+    for a in rows:
+        for b in rows:
+            gap = sum((p - q) * (p - q) for p, q in zip(a[2:5], b[2:5], strict=True)) ** 0.5
+            if a[0] < b[0] and a[1] != b[1] and gap <= 0.5:
+                cost[a[0], b[0]] = gap / 0.5 * (gap / (gap + a[5] + b[5]))
+    forth, back = {}, {}
+    for (a, b), c in cost.items():
+        forth[a], back[b] = min(forth.get(a, (9, 0)), (c, b)), min(back.get(b, (9, 0)), (c, a))
+    got = {(r["line"], r["line2"]) for r in graph.gaps(spark.createDataFrame(rows, columns), 0.5).collect()}
+    assert got == {(a, b) for a, (_, b) in forth.items() if back[b][1] == a} and len(got) > 20
+    # 800 million pairs at one place: as a table they would not fit a test's time.
+    start = time.monotonic()
+    crowd = spark.range(40000).selectExpr("id as line", "id % 2 as root", "0.5D as x", "0D as y", "0D as z", "1D as length")
+    assert sorted((r["line"], r["line2"], r["cost"]) for r in graph.gaps(crowd, 0.5).collect()) == [(0, 1, 0.0), (1, 2, 0.0)]
+    assert time.monotonic() - start < 60
