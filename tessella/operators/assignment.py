@@ -9,12 +9,16 @@ the best there is.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tessella.operators.graph import kept
 from tessella.sources.shared import dropped
 
 AXES = ("x", "y", "z")
+#: Pairs of two frames that one task may hold; more are auctioned by joins.
+MOST = 2_000_000
 
 
 def candidates(frames: DataFrame, reach: float, window: int = 1) -> DataFrame:
@@ -30,11 +34,56 @@ def candidates(frames: DataFrame, reach: float, window: int = 1) -> DataFrame:
     return pairs.where("worth >= 0").select("t", "id", "t2", "id2", "worth")
 
 
+def _sold(pairs: pa.Table, step: float) -> pa.Table:
+    """The auction of two frames' pairs, by the same rounds and bids as `_rounds`."""
+    pairs = pairs.sort_by([("id", "ascending"), ("id2", "ascending")])
+    ids, own = np.unique(pairs["id"].to_numpy(), return_inverse=True)
+    _, item = np.unique(pairs["id2"].to_numpy(), return_inverse=True)
+    worth, starts = pairs["worth"].to_numpy(), np.searchsorted(own, np.arange(len(ids) + 1))
+    price, row = np.zeros(item.max() + 1), {}  # the pair that holds an item
+    open_ = range(len(ids))
+    while open_:
+        bids: dict[int, tuple[float, int]] = {}
+        lost = []
+        for who in open_:
+            low, high = starts[who], starts[who + 1]
+            left = worth[low:high] - price[item[low:high]]
+            k = int(left.argmax())
+            most = left[k]
+            if not most > 0:
+                continue
+            left[k] = -np.inf
+            what = int(item[low + k])
+            bid = price[what] + most - max(left.max(), 0.0) + step
+            # Those who bid come in order, so that ties stay with the smaller id.
+            if what not in bids or bid > bids[what][0]:
+                if what in bids:
+                    lost.append(int(own[bids[what][1]]))
+                bids[what] = (bid, low + k)
+            else:
+                lost.append(who)
+        for what, (bid, at) in bids.items():
+            if what in row:
+                lost.append(int(own[row[what]]))
+            price[what], row[what] = bid, at
+        open_ = sorted(lost)
+    return pairs.take(pa.array(sorted(row.values()), pa.int64()))
+
+
 def auction(pairs: DataFrame, step: float) -> DataFrame:
     """t, id, t2, id2 and worth of the pairs of an assignment that is one to one between any two frames.
 
     For each (t, t2) the total is at least the best possible one less `step` for every object of t. Ties in bids go to the smaller id.
+    Frames with at most `MOST` pairs are auctioned by one task, since an auction has thousands of rounds; all give the same rows.
     """
+    pairs = kept(pairs.select("t", "id", "t2", "id2", "worth"))
+    many = kept(pairs.groupBy("t", "t2").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > MOST).select("t", "t2"))
+    few = pairs.join(many, ["t", "t2"], "left_anti").select("t", "id", "t2", "id2", "worth").groupBy("t", "t2").applyInArrow(lambda table: _sold(table, step), pairs.schema)
+    return few if many.isEmpty() else few.unionByName(_rounds(pairs.join(many, ["t", "t2"], "left_semi"), step))
+
+
+def _rounds(pairs: DataFrame, step: float) -> DataFrame:
+    """The auction of all frames together, by joins: a round for all bids."""
     own, item = ["t", "t2", "id"], ["t", "t2", "id2"]
     pairs = kept(pairs.select("t", "t2", "id", "id2", "worth"))
     prices = kept(pairs.select(*item).distinct().select(*item, F.lit(0.0).alias("price"), F.lit(None).cast(pairs.schema["id"].dataType).alias("owner")))

@@ -3,6 +3,7 @@
 import itertools
 import os
 import random
+import time
 
 import numpy as np
 import pytest
@@ -173,3 +174,19 @@ def test_convexity_of_objects(spark):
     corners = np.array(list(itertools.product((0, 1), repeat=3)))
     whole = (np.argwhere(shapes[2])[:, None, :] + corners).reshape(-1, 3)
     assert got[2]["hull_volume"] == pytest.approx(hull.hull_size(whole)[0]) and 0.8 < got[2]["convexity"] < 1
+
+
+def test_auction_in_a_task_is_that_of_rounds(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    rows = [(t, int(a), t + 1, int(b), float(w)) for t in range(2) for a in range(12) for b, w in zip(rng.permutation(15)[:6], rng.integers(1, 9, 6) / 8, strict=True)]
+    pairs = spark.createDataFrame(rows, "t int, id long, t2 int, id2 long, worth double")
+    whole = sorted(map(tuple, assignment.auction(pairs, 0.125).collect()))
+    monkeypatch.setattr(assignment, "MOST", 0)
+    assert whole == sorted(map(tuple, assignment.auction(pairs, 0.125).collect())) and len(whole) > 15
+
+
+def test_an_auction_of_many_rounds_ends_soon(spark):
+    # Eight objects raise the prices of seven places by a step a bid: hundreds of rounds, a second and more each by joins.
+    pairs = spark.createDataFrame([(0, a, 1, b, 1.0) for a in range(8) for b in range(7)], "t int, id long, t2 int, id2 long, worth double")
+    start = time.monotonic()
+    assert assignment.auction(pairs, 0.002).count() == 7 and time.monotonic() - start < 60
