@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import StructField, StructType
 
-from tessella.operators.graph import components, kept
+from tessella.operators.graph import components, kept, unbroadcast
 
 PLACE = ("t", "ch", "z", "y", "x")
 
@@ -141,13 +141,13 @@ def regions(voxels: DataFrame) -> DataFrame:
     Voxels that follow each other along x are one vertex; edges join those of neighbouring lines that touch.
     """
     told = kept(_runs(voxels))
-    edges = None
+    rows, edges = told.count(), None
     for axis in ("y", "z"):
         moved = told.select("t", "ch", *(F.col(c) + (1 if c == axis else 0) if c == axis else F.col(c) for c in ("z", "y", "x")), F.col("run").alias("target")).toDF("t", "ch", "z", "y", "x", "target")
-        met = told.select(*PLACE, F.col("run").alias("source")).join(moved, list(PLACE)).select("source", "target").distinct()
+        met = told.select(*PLACE, F.col("run").alias("source")).join(unbroadcast(moved, rows), list(PLACE)).select("source", "target").distinct()
         edges = met if edges is None else edges.unionByName(met)
     place = components(told.select(F.col("run").alias("id")).distinct(), kept(edges))
-    return told.join(place.select(F.col("id").alias("run"), F.col("component").alias("region")), "run").drop("run")
+    return told.join(unbroadcast(place.select(F.col("id").alias("run"), F.col("component").alias("region")), rows), "run").drop("run")
 
 
 def fill_holes(voxels: DataFrame) -> DataFrame:
@@ -156,13 +156,14 @@ def fill_holes(voxels: DataFrame) -> DataFrame:
     The border is that of the box of all voxels of a time and channel; missing voxels count as border too.
     """
     empty = kept(regions(voxels.where("label = 0")))
+    rows = empty.count()
     box = voxels.groupBy("t", "ch").agg(*(f(c).alias(f"{k}{c}") for c in ("z", "y", "x") for k, f in (("lo", F.min), ("hi", F.max))))
     moves = F.array(*(F.struct(*(F.lit(s if c == a else 0).alias(c) for c in ("z", "y", "x"))) for a in ("z", "y", "x") for s in (-1, 1)))
     asked = empty.select("t", "ch", "region", F.explode(moves).alias("m"), "z", "y", "x").select("t", "ch", "region", *((F.col(c) + F.col(f"m.{c}")).alias(c) for c in ("z", "y", "x")))
-    near = asked.join(voxels.select(*PLACE, F.col("label").alias("near")), list(PLACE), "left").join(box, ["t", "ch"])
+    near = unbroadcast(asked, rows).join(voxels.select(*PLACE, F.col("label").alias("near")), list(PLACE), "left").join(box, ["t", "ch"])
     out = reduce(lambda a, b: a | b, ((F.col(c) < F.col(f"lo{c}")) | (F.col(c) > F.col(f"hi{c}")) for c in ("z", "y", "x")))
     open_ = near.groupBy("region").agg(F.max((out | F.col("near").isNull()).cast("int")).alias("open")).where("open = 0").select("region")
-    touched = near.where("near <> 0").groupBy("region", "near").agg(F.count(F.lit(1)).alias("faces")).join(open_, "region", "left_semi")
+    touched = near.where("near <> 0").groupBy("region", "near").agg(F.count(F.lit(1)).alias("faces")).join(unbroadcast(open_, rows), "region", "left_semi")
     most = touched.groupBy("region").agg(F.max(F.struct("faces", (-F.col("near")).alias("l"))).alias("m")).select("region", (-F.col("m.l")).alias("_fill"))
-    filled = empty.join(most, "region").select(*PLACE, "_fill")
-    return voxels.join(filled, list(PLACE), "left").withColumn("label", F.coalesce("_fill", "label").cast(voxels.schema["label"].dataType)).select(*voxels.columns)
+    filled = unbroadcast(empty, rows).join(unbroadcast(most, rows), "region").select(*PLACE, "_fill")
+    return voxels.join(unbroadcast(filled, rows), list(PLACE), "left").withColumn("label", F.coalesce("_fill", "label").cast(voxels.schema["label"].dataType)).select(*voxels.columns)

@@ -148,3 +148,14 @@ def test_tree_distances_equal_walks(spark, shape):
             want[a, b] = (meet, len(ways), sum(length[x] for x in ways))
     assert {(r["a"], r["b"]): (r["meet"], r["steps"], r["distance"]) for r in got.collect()} == want
     assert got.count() == len(set(pairs))
+
+
+def test_holes_of_many_voxels_are_filled_without_broadcasts_of_voxels(spark, monkeypatch):
+    rows = spark.range(8000).selectExpr("0 as t", "0 as ch", "int(id div 400) as z", "int(id div 20 % 20) as y", "int(id % 20) as x", "int(if(id % 7 in (0, 3), 0, 1 + id % 3)) as label")
+    want = sorted(map(tuple, distance.fill_holes(rows).collect()))
+    monkeypatch.setattr(graph, "BROADCAST", 1000)
+    filled = distance.fill_holes(rows)
+    assert sorted(map(tuple, filled.collect())) == want
+    plan = filled._jdf.queryExecution().optimizedPlan().toString()
+    # All joins but that with the box of each time and channel.
+    assert plan.count("strategy=merge") >= plan.count("Join ") - 1 >= 4
