@@ -12,17 +12,17 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tessella.operators.graph import kept
+from tessella.operators.graph import kept, unbroadcast
 
 AXES = ("x", "y", "z")
 #: Points of a cell that isn't divided.
 LEAF = 64
 
 
-def build(points: DataFrame, leaf: int = LEAF) -> tuple[list[DataFrame], DataFrame]:
+def build(points: DataFrame, leaf: int = LEAF, rows: int = 0) -> tuple[list[DataFrame], DataFrame]:
     """The cells of each level - _by, path, parent, n, box, whether a leaf, least and largest `_label` - and the points with the path of their leaf.
 
-    `points` has id, x, y, z, _by (each value has a tree of its own) and _label.
+    `points` has id, x, y, z, _by (each value has a tree of its own) and _label; `rows` is their number, if known.
     """
     open_ = points.withColumn("path", F.lit(""))
     levels, placed = [], []
@@ -32,7 +32,7 @@ def build(points: DataFrame, leaf: int = LEAF) -> tuple[list[DataFrame], DataFra
         flat = reduce(lambda a, b: a & b, (F.col(f"lo{c}") == F.col(f"hi{c}") for c in AXES))
         cells = kept(cells.withColumns({"leaf": (F.col("n") <= leaf) | flat, "parent": F.expr("substring(path, 1, length(path) - 1)")}))
         levels.append(cells)
-        told = open_.join(cells.select("_by", "path", "leaf", *box), ["_by", "path"])
+        told = open_.join(unbroadcast(cells.select("_by", "path", "leaf", *box), rows), ["_by", "path"])
         half = sum(F.when(F.col(c) - F.col(f"lo{c}") > (F.col(f"hi{c}") - F.col(f"lo{c}")) / 2, F.lit(1 << k)).otherwise(F.lit(0)) for k, c in enumerate(AXES))
         if cells.where(~F.col("leaf")).isEmpty():
             placed.append(told.drop("leaf", *box))
@@ -49,11 +49,12 @@ def _reach() -> tuple[Column, Column]:
     return near, far
 
 
-def search(sources: DataFrame, levels: list[DataFrame], points: DataFrame, k: int, unlike: bool = False, once: bool = False) -> DataFrame:
+def search(sources: DataFrame, levels: list[DataFrame], points: DataFrame, k: int, unlike: bool = False, once: bool = False, rows: int = 0) -> DataFrame:
     """source, target, distance and rank of each source's k nearest points, itself excluded, ties to the smaller id.
 
     `sources` has id, x, y, z, _by and _label. With `unlike` (for k = 1), only points of another label count; `once` returns a label's best
-    sources only, those that are no farther from another label than the label's least distance surely is.
+    sources only, those that are no farther from another label than the label's least distance surely is. `rows` is the number of points or
+    sources, if known.
     """
     asked = sources.select(F.col("id").alias("source"), F.col("_label").alias("_own"), "_by", *(F.col(c).cast("double").alias(f"s{c}") for c in AXES))
     mine = asked.columns
@@ -61,7 +62,7 @@ def search(sources: DataFrame, levels: list[DataFrame], points: DataFrame, k: in
     open_, leaves = asked.withColumn("parent", F.lit("")), None
     near, far = _reach()
     for depth, cells in enumerate(levels):
-        met = open_.join(cells.select("_by", "parent", "path", "n", "leaf", "least", "most", *box), ["_by", "parent"]) if depth else open_.join(cells.select("_by", "path", "n", "leaf", "least", "most", *box), "_by")
+        met = unbroadcast(open_, rows).join(unbroadcast(cells.select("_by", "parent", "path", "n", "leaf", "least", "most", *box), rows), ["_by", "parent"]) if depth else open_.join(cells.select("_by", "path", "n", "leaf", "least", "most", *box), "_by")
         if unlike:
             met = met.where((F.col("least") != F.col("_own")) | (F.col("most") != F.col("_own"))).withColumn("n", F.lit(1).cast("long"))
         met = met.select(*mine, "path", "n", "leaf", near.alias("near"), far.alias("far"))
@@ -79,7 +80,7 @@ def search(sources: DataFrame, levels: list[DataFrame], points: DataFrame, k: in
         told = kept(told.drop("_enough", "_sure").select(*mine, "path", "n", "leaf", "near", "far"))
         leaves = told.where("leaf")
         open_ = told.where(~F.col("leaf")).select(*mine, F.col("path").alias("parent"))
-    pairs = leaves.join(points.select("_by", "path", "id", F.col("_label"), *AXES), ["_by", "path"])
+    pairs = unbroadcast(leaves, rows).join(points.select("_by", "path", "id", F.col("_label"), *AXES), ["_by", "path"])
     pairs = pairs.where(F.col("_label") != F.col("_own") if unlike else F.col("id") != F.col("source"))
     squared = sum((F.col(c) - F.col(f"s{c}")) * (F.col(c) - F.col(f"s{c}")) for c in AXES)
     pairs = pairs.select("source", F.col("id").alias("target"), F.sqrt(squared).alias("distance"))

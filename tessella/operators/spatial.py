@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tessella.operators import celltree
-from tessella.operators.graph import components, kept
+from tessella.operators.graph import components, kept, unbroadcast
 from tessella.sources.shared import dropped
 
 AXES = ("x", "y", "z")
@@ -75,7 +75,7 @@ def nearest(sources: DataFrame, targets: DataFrame, k: int, cell: float | None =
     out, open_ = None, kept(sources)
     many = open_.count()
     while True:
-        s, t = _around(open_, size).alias("s"), _cells(targets, size).alias("t")
+        s, t = unbroadcast(_around(open_, size), 27 * many).alias("s"), unbroadcast(_cells(targets, size), n).alias("t")
         pairs = s.join(t, (F.col("s._by") == F.col("t._by")) & (F.col("s._cell") == F.col("t._cell"))).where(F.col("s.id") != F.col("t.id"))
         pairs = pairs.select(F.col("s.id").alias("source"), F.col("t.id").alias("target"), F.sqrt(squared_distance("s", "t")).alias("distance"))
         ranked = pairs.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
@@ -83,15 +83,15 @@ def nearest(sources: DataFrame, targets: DataFrame, k: int, cell: float | None =
         sure = ranked.withColumns({"_n": F.count(F.lit(1)).over(whole), "_d": F.max("distance").over(whole)})
         settled = kept(sure.where((F.col("_n") == k) & (F.col("_d") <= size)).drop("_n", "_d"))
         out = settled if out is None else out.unionByName(settled)
-        before, open_ = open_, kept(open_.join(settled.select(F.col("source").alias("id")).distinct(), "id", "left_anti"))
+        before, open_ = open_, kept(open_.join(unbroadcast(settled.select(F.col("source").alias("id")).distinct(), many), "id", "left_anti"))
         dropped(before)
         left = open_.count()
         if not left:
             return out
         size, shared = 2 * size, min(float(n), 8 * shared)
         if left > 0.9 * many or left * shared > 150 * n or size >= width:
-            levels, placed = celltree.build(targets.withColumn("_label", F.lit(0)))
-            return out.unionByName(celltree.search(open_.withColumn("_label", F.lit(0)), levels, placed, k))
+            levels, placed = celltree.build(targets.withColumn("_label", F.lit(0)), rows=n)
+            return out.unionByName(celltree.search(open_.withColumn("_label", F.lit(0)), levels, placed, k, rows=max(n, left)))
         many = left
 
 
@@ -131,7 +131,8 @@ def mutual(edges: DataFrame) -> DataFrame:
 def mean_distance(points: DataFrame, edges: DataFrame, name: str = "mean_distance") -> DataFrame:
     """Each point with the mean distance of its edges, 0 without any."""
     mean = edges.groupBy(F.col("source").alias("id")).agg(F.avg("distance").alias(name))
-    return points.select("id").join(mean, "id", "left").select("id", F.coalesce(name, F.lit(0.0)).alias(name))
+    # Means are as many as points, and ids in order look small to Spark.
+    return points.select("id").join(mean.hint("merge"), "id", "left").select("id", F.coalesce(name, F.lit(0.0)).alias(name))
 
 
 def neighbour_count(points: DataFrame, edges: DataFrame, name: str = "neighbours") -> DataFrame:

@@ -220,3 +220,15 @@ def test_gaps_are_those_of_all_pairs_and_crowds_do_not_meet(spark):
     crowd = spark.range(40000).selectExpr("id as line", "id % 2 as root", "0.5D as x", "0D as y", "0D as z", "1D as length")
     assert sorted((r["line"], r["line2"], r["cost"]) for r in graph.gaps(crowd, 0.5).collect()) == [(0, 1, 0.0), (1, 2, 0.0)]
     assert time.monotonic() - start < 60
+
+
+def test_many_points_meet_without_broadcasts(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    df = spark.createDataFrame([(k, *map(float, v), 0) for k, v in enumerate(rng.normal(size=(300, 3)))], "id long, x double, y double, z double, class int")
+    want = sorted(map(tuple, spatial.mean_distance(df, spatial.nearest(df, df, 3)).collect()))
+    monkeypatch.setattr(graph, "BROADCAST", 10)
+    told = spatial.mean_distance(df, spatial.nearest(df, df, 3))
+    got = sorted(map(tuple, told.collect()))
+    assert [r[0] for r in got] == [r[0] for r in want] and np.allclose([r[1] for r in got], [r[1] for r in want], rtol=1e-12)
+    assert "strategy=merge" in told._jdf.queryExecution().optimizedPlan().toString()
+    assert "Broadcast" not in told._jdf.queryExecution().executedPlan().toString()
